@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_cascade": op2_quality_cascade,
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     }
 
