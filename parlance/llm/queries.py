@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
+from .syncmers import op1_closed_syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_closed_syncmers": op1_closed_syncmers,
         "op2_quality_cascade": op2_quality_cascade,
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
     }
