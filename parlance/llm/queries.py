@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op9_histogram_packing
 from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
 from .syncmers import op1_closed_syncmers
+from .urls import op8_host_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_closed_syncmers": op1_closed_syncmers,
         "op2_quality_cascade": op2_quality_cascade,
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
+        "op8_host_reputation": op8_host_reputation,
+        "op9_histogram_packing": op9_histogram_packing,
     }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for a context."""
+    context = spark.sparkContext
+    if not getattr(context, "_parlance_shipped", False):
+        top = Path(__file__).resolve().parents[1]
+        target = f"{tempfile.mkdtemp(prefix='parlance-')}/{top.name}"
+        context.addPyFile(shutil.make_archive(target, "zip", top.parent, top.name))
+        context._parlance_shipped = True
+
+
 def words_of(text: Column) -> Column:
     """Words of ``text``: maximal runs of anything but blanks; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
