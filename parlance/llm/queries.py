@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op10_marginal_unigrams
 from .packing import op9_histogram_packing
 from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
         "op8_host_reputation": op8_host_reputation,
         "op9_histogram_packing": op9_histogram_packing,
+        "op10_marginal_unigrams": op10_marginal_unigrams,
     }
 
 
