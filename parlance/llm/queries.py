@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op5_partition_jaccard
 from .langid import op10_marginal_unigrams
 from .packing import op9_histogram_packing
 from .quality import op2_quality_cascade
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_closed_syncmers": op1_closed_syncmers,
         "op2_quality_cascade": op2_quality_cascade,
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
+        "op5_partition_jaccard": op5_partition_jaccard,
         "op8_host_reputation": op8_host_reputation,
         "op9_histogram_packing": op9_histogram_packing,
         "op10_marginal_unigrams": op10_marginal_unigrams,
