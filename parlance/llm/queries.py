@@ -13,6 +13,7 @@ from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
 from .syncmers import op1_closed_syncmers
 from .urls import op8_host_reputation
+from .warc import op6_revisit_archives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_cascade": op2_quality_cascade,
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
         "op5_partition_jaccard": op5_partition_jaccard,
+        "op6_revisit_archives": op6_revisit_archives,
         "op8_host_reputation": op8_host_reputation,
         "op9_histogram_packing": op9_histogram_packing,
         "op10_marginal_unigrams": op10_marginal_unigrams,
