@@ -88,6 +88,9 @@ def with_counts(docs: DataFrame, at: str = "quality__") -> DataFrame:
         (F.size(f"{at}l") - F.size(F.array_distinct(f"{at}l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col(f"{at}p")).alias("n_repeat_words"),
         F.size(f"{at}l").cast("long").alias("n_lines"),
+        # not deterministic: else the optimizer moves filters on counts below the
+        # columns that they are made of, and evaluates those once for each use
+        F.monotonically_increasing_id().alias("row"),
     )
     return step.withColumn(at, counts).drop(*[f"{at}{x}" for x in "whpl"])
 
@@ -145,7 +148,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that no rule rejects, with the columns they came with."""
     order = [name for name, _, _ in cascade_order(docs)]
     text = F.coalesce(F.col("text"), F.lit(""))
-    return with_counts(docs).filter(failed_rule(text, F.col("quality__"), order).isNull()).drop("quality__")
+    c = F.col("quality__")
+    return with_counts(docs).filter((c["row"] >= 0) & failed_rule(text, c, order).isNull()).drop("quality__")
 
 
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
