@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op7_host_wrappers
 from .jaccard import op5_partition_jaccard
 from .langid import op10_marginal_unigrams
 from .packing import op9_histogram_packing
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
         "op5_partition_jaccard": op5_partition_jaccard,
         "op6_revisit_archives": op6_revisit_archives,
+        "op7_host_wrappers": op7_host_wrappers,
         "op8_host_reputation": op8_host_reputation,
         "op9_histogram_packing": op9_histogram_packing,
         "op10_marginal_unigrams": op10_marginal_unigrams,
