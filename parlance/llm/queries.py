@@ -10,6 +10,7 @@ from .html import op7_host_wrappers
 from .jaccard import op5_partition_jaccard
 from .langid import op10_marginal_unigrams
 from .packing import op9_histogram_packing
+from .pieces import op3_max_plus_pieces
 from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
 from .syncmers import op1_closed_syncmers
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_closed_syncmers": op1_closed_syncmers,
         "op2_quality_cascade": op2_quality_cascade,
+        "op3_max_plus_pieces": op3_max_plus_pieces,
         "op4_virtual_slot_sharding": op4_virtual_slot_sharding,
         "op5_partition_jaccard": op5_partition_jaccard,
         "op6_revisit_archives": op6_revisit_archives,
