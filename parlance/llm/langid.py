@@ -33,6 +33,8 @@ from .shared import ship_package
 
 #: Labelled documents of a language that piece probabilities are fitted on.
 SAMPLE = 400
+#: Parts of a language that the sample is first taken in.
+PARTS = 64
 ROUNDS = 4
 SMOOTH = 0.1
 #: Probability of a letter that no piece covers.
@@ -203,8 +205,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, file: str = VOCABULARY) -> dict
     The sample is taken by a hash of the id, ``sample`` rows of each language at
     most; its word counts are what the driver gets.
     """
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = training_rows(docs.select("doc_id", "lang")).withColumn("rank", rank).filter(F.col("rank") <= sample)
+    chosen = training_rows(docs.select("doc_id", "lang")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    for parts in (["lang", "part"], ["lang"]):  # a language may hold most rows, so first within parts of it
+        rank = F.row_number().over(W.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= sample)
     rows = training_rows(docs.select("doc_id", "lang", "text")).join(
         F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"
     )
