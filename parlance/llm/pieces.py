@@ -41,10 +41,11 @@ CHUNK = 32_768
 FAN = 64
 MARK = "▁"
 #: Words that a task remembers at a time.
-CACHE = 200_000
+CACHE = 250_000
 #: How much lower than the worst piece an uncovered character scores.
 UNKNOWN = 10.0
-WORD = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+#: Texts between certain cuts; a line's end is one piece in any segmentation.
+WORD = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 _coders: dict = {}
 
@@ -63,7 +64,9 @@ class Coder:
         self.ids = {self.names[i]: i for i in plain}
         self.scores = {self.names[i]: m.get_score(i) for i in plain}
         self.bytes = {int(self.names[i][3:5], 16): i for i in every if m.is_byte(i)}
-        self.values = {i: b for b, i in self.bytes.items()}
+        self.raw = [p.encode("utf-8", "surrogatepass") for p in self.names]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
         self.longest = max(map(len, self.ids))
         # every beginning of a piece, with its score if it is one
         self.begins: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.scores
@@ -71,36 +74,36 @@ class Coder:
         self.known: dict[str, tuple[float, list[int]]] = {}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a blank mark after another character")
+        if any("\n" in p for p in self.ids):
+            raise ValueError("a piece holds a line's end")
 
-    def best(self, text: str, upto: int | None = None) -> tuple[np.ndarray, list[int]]:
+    def best(self, text: str, upto: int | None = None) -> tuple[list[float], list[int]]:
         """Best scores of all cuts, and the start of the piece before each.
 
         With ``upto``, no piece starts there or later.
         """
         n = len(text)
-        score, start = [-np.inf] * (n + 1), [-1] * (n + 1)
+        low = float("-inf")
+        score, start = [low] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
-        begins = self.begins
+        begins, bare = self.begins.get, self.bare
         for i in range(n if upto is None else min(n, upto)):
             base = score[i]
-            if base == -np.inf:
+            if base == low:
                 continue
-            single = False
-            for j in range(i + 1, n + 1):
-                s = begins.get(text[i:j], False)
-                if s is False:
-                    break
-                if s is not None:
-                    single |= j == i + 1
-                    if base + s > score[j]:
-                        score[j], start[j] = base + s, i
-            if not single and base + self.bare > score[i + 1]:
-                score[i + 1], start[i + 1] = base + self.bare, i
-        return np.array(score), start
-
-    def piece_ids(self, piece: str) -> list[int]:
-        got = self.ids.get(piece)
-        return [got] if got is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            j = i + 1
+            s = begins(text[i:j], False)
+            if s is None or s is False:
+                if base + bare > score[j]:
+                    score[j], start[j] = base + bare, i
+            elif base + s > score[j]:
+                score[j], start[j] = base + s, i
+            while s is not False and j < n:
+                j += 1
+                s = begins(text[i:j], False)
+                if s is not None and s is not False and base + s > score[j]:
+                    score[j], start[j] = base + s, i
+        return score, start
 
     def word(self, text: str) -> tuple[float, list[int]]:
         """Score and ids of a text between two certain cuts."""
@@ -109,26 +112,32 @@ class Coder:
             score, start = self.best(text)
             cuts, j = [], len(text)
             while j > 0:
-                cuts.append((start[j], j))
+                cuts.append(text[start[j] : j])
                 j = start[j]
-            ids = [x for a, b in reversed(cuts) for x in self.piece_ids(text[a:b])]
+            cuts.reverse()
+            ids = []
+            for piece in cuts:
+                i = self.ids.get(piece)
+                ids += (i,) if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             if len(self.known) >= CACHE:
                 self.known.clear()
-            found = self.known[text] = (float(score[-1]), ids)
+            found = self.known[text] = (score[-1], ids)
         return found
 
     def encode(self, marked: str) -> list[int]:
         """Ids of a text whose ends are cuts."""
-        return [i for w in WORD.findall(marked) for i in self.word(w)[1]]
+        known, out = self.known, []
+        for w in WORD.findall(marked):
+            found = known.get(w)
+            out += found[1] if found is not None else self.word(w)[1]
+        return out
 
     def score(self, marked: str) -> float:
         return sum(self.word(w)[0] for w in WORD.findall(marked))
 
     def decode(self, ids: list[int]) -> bytes:
         """The marked text of ids, in UTF-8."""
-        return b"".join(
-            bytes([self.values[i]]) if i in self.values else self.names[i].encode("utf-8", "surrogatepass") for i in ids
-        )
+        return b"".join(map(self.raw.__getitem__, ids))
 
     def matrix(self, text: str, size: int) -> np.ndarray:
         """Best scores from each entry state of a chunk to each exit state.
@@ -152,10 +161,10 @@ class Coder:
         s, _ = self.best(text[last:], size - last)
         ends = s[size - last : size - last + k]
         if last == size:
-            ends = np.zeros(1)
+            ends = [0.0]
         for a in range(k):
             head = self.best(text[a:first])[0][-1]
-            out[a, : len(ends)] = head + middle + ends
+            out[a, : len(ends)] = head + middle + np.array(ends)
         return out
 
 
