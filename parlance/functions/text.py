@@ -9,13 +9,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Greetings.
-GREETINGS = ["hi", "hello", "hey", "good morning", "good afternoon", "good evening", "greetings", "howdy", "hola", "sup", "yo", "what's up"]
+GREETINGS = [
+    "hi", "hello", "hey", "greetings", "good morning", "good afternoon", "good evening", "good night", "howdy", "sup", "what's up", "hey there",
+]
 #: Phrases that ask for a person.
-AGENT_PHRASES = ["agent", "human", "representative", "real person", "live chat", "speak to someone", "talk to someone", "customer service"]
+AGENT_PHRASES = [
+    "speak to agent", "talk to agent", "connect to agent", "live agent", "human agent", "real person", "speak to human", "talk to human",
+    "connect to human", "speak to person", "talk to person", "connect to person", "speak to someone", "talk to someone", "connect to someone",
+    "agent please", "human please", "person please", "agent", "human", "representative", "support agent", "customer service", "customer support",
+    "live chat", "live support", "can i speak", "can i talk", "i want to speak", "i want to talk", "need to speak", "need to talk", "want to speak",
+    "want to talk", "let me speak", "let me talk", "transfer to agent", "transfer to human", "transfer to person",
+]
 #: Hints of a question about the site's structure.
-STRUCTURE_HINTS = ["list", "links", "urls", "pages", "show me", "all ", "top ", "articles", "posts", "blogs"]
+STRUCTURE_HINTS = ["list", "show", "give me", "links", "how many", "all ", "urls", "products", "collections", "top "]
 #: Words that carry no meaning for a search.
-STOP_WORDS = ["the", "and", "for", "are", "was", "with", "that", "this", "from", "have", "you", "your", "what", "how", "can", "list", "show", "all", "top"]
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "of", "for", "to", "in", "on", "with", "all", "show", "list", "give", "me", "links", "url", "urls", "how", "many",
+    "top", "best", "your", "their", "our", "my", "there", "is", "are", "do", "you", "please", "products", "collections", "link", "items", "item",
+]
+#: Words that promise a long answer.
+LONG_WORDS = [
+    "list", "top", "best", "all", "multiple", "several", "many", "links", "link", "url", "urls", "products", "items", "options", "ways", "steps",
+    "examples", "recommendations", "suggestions", "compare", "difference", "differences", "explain", "detailed", "comprehensive", "complete", "full",
+    "everything", "show me", "give me", "provide me", "send me",
+]
+#: Patterns of the token budget.
+QUANTITY = r"(?i)\b(\d+)\s+(best|top|ways|steps|items|products|links|options|recommendations|suggestions|examples)\b"
+LISTING = r"(?i)\b(list|lists|listing|all|every|each)\b"
+LINKING = r"(?i)\b(link|links|url|urls|website|websites|page|pages)\b"
+DETAILED = r"(?i)\b(explain|describe|detail|detailed|comprehensive|complete|full|everything|how\s+does|how\s+do|what\s+are|what\s+is)\b"
 
 
 def clean_spaces(c: Column) -> Column:
@@ -89,14 +111,16 @@ def keywords(c: Column) -> Column:
 
 
 def max_tokens(c: Column) -> Column:
-    """Token budget of an answer: by the number asked for, else by the kind of question."""
-    q = F.lower(F.coalesce(c, F.lit("")))
-    n = F.regexp_extract(q, r"\b(\d{1,6})\b", 1).try_cast("long")
-    listed = q.rlike("list|top|best|all")
+    """Token budget of an answer, by what it is asked to hold."""
+    q = F.coalesce(c, F.lit(""))
+    long = _any([F.lower(F.trim(q)).contains(w) for w in LONG_WORDS])
+    lists, links = q.rlike(LISTING), q.rlike(LINKING)
+    n = F.coalesce(F.regexp_extract(q, r"\b(\d{1,9})\b", 1).try_cast("long"), F.lit(5))
+    counted = q.rlike(QUANTITY) | (long & (lists | links))
     return (
-        F.when(listed & (n > 0) & q.rlike("link|url"), F.least(F.lit(2000), 200 + n * 150))
-        .when(listed & (n > 0), F.least(F.lit(1000), 200 + n * 80))
-        .when(listed, 800).when(q.rlike("explain|describe|how"), 600).when(F.length(q) > 60, 400).otherwise(200).cast("long")
+        F.when(counted & links, F.least(F.lit(2000), 200 + n * 150))
+        .when(counted, F.least(F.lit(1000), 200 + n * 80))
+        .when(links & long, 800).when(lists | (long & q.rlike(DETAILED)), 600).when(long, 400).otherwise(200).cast("long")
     )
 
 

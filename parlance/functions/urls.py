@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Suffixes of two parts.
-TWO_PART = ["co.uk", "org.uk", "ac.uk", "gov.uk", "co.in", "com.au", "co.nz", "co.jp", "com.br", "co.za"]
+TWO_PART = ["co.uk", "com.au", "co.nz", "co.jp", "com.br", "co.in", "net.au", "org.uk", "ac.uk", "gov.uk"]
 
 
 def hostname(c: Column) -> Column:
@@ -23,7 +23,7 @@ def primary_label(host: Column) -> Column:
 
 
 def is_domain(c: Column) -> Column:
-    return F.lower(F.trim(c)).rlike(r"^([a-z0-9-]+\.)+[a-z]{2,}$")
+    return F.trim(c).rlike(r"^[\w.-]+\.[\w.-]+$")
 
 
 def with_scheme(c: Column) -> Column:

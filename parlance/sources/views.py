@@ -107,6 +107,25 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
 
 #: Literal tables: name: (columns, rows as SQL).
 LITERALS: dict[str, tuple[str, str]] = {
+    "questions": (
+        "id, q",
+        "(1, 'hi'), (2, 'hi there'), (3, 'hi!'), (4, 'hint'), (5, 'aaaabbbbaaaabbbba'), (6, 'asdfasdf'), (7, '10 best t-shirts links'), "
+        "(8, 'list all urls'), (9, 'agent'), (10, ''), (11, NULL), (12, 'Explain how it works in full'), (13, 'top 3 pages please'), "
+        "(14, 'what is the price of shipping'), (15, 'Good Morning team'), (16, 'I want to talk to a real person'), (17, 'show me 25 items'), "
+        "(18, 'compare plans'), (19, 'a--b c_d  é'), (20, 'give me 0 links')",
+    ),
+    "hosts": (
+        "id, u",
+        "(1, 'https://www.a.co.uk/x'), (2, 'a.com'), (3, '//a.b.com'), (4, 'localhost'), (5, 'not a url'), (6, ''), (7, 'http://shop.example.com.au:80/p?q=1'), (8, 'https://x.org/a/b')",
+    ),
+    "shades": (
+        "id, c",
+        "(1, '#abc'), (2, '#AABBCC'), (3, 'rgb(300,0,0)'), (4, '#f0f0f2'), (5, '#101010'), (6, '#808285'), (7, 'rgb(10, 120, 200)'), (8, 'red'), (9, '#ffd700')",
+    ),
+    "snippets": (
+        "id, t",
+        "(1, '<p>Price?</p>'), (2, 'price?'), (3, 'PRICE?&nbsp;'), (4, 'a  <b>b</b> &amp;lt; &quot;x&quot;'), (5, ''), (6, NULL), (7, '&lt;i&gt; it&#39;&#39;s'), (8, ' x <br/> y ')",
+    ),
     "plans": (
         "name, status, sort, isDefault, maxQueries, maxAgents, maxHumanAgents, maxStorage",
         "('free', 'active', 0, true, 1000, 1, 1, 1048576), ('pro', 'active', 1, false, 5000, 3, 5, 4194304), "
