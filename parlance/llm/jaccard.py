@@ -39,8 +39,9 @@ from .shared import ship_package, stored
 
 #: Linked if 100 * intersection >= PERCENT * union.
 N, PERCENT = 3, 90
-#: Share of tokens that unrelated sets have in common, for the cost model.
-COMMON = 0.25
+#: For the cost model: share of tokens that unrelated sets have in common, share
+#: of all sets in one band, and what a row that meets another costs in index rows.
+COMMON, BAND_SHARE, MEETING = 0.05, 0.1, 8
 #: Rows of a group that meet in one task at most; larger groups are tiled.
 TILE = 512
 SET_TILE = 128
@@ -99,7 +100,8 @@ def allocation(h: int, size: int, documents: int) -> tuple[int, int]:
     def cost(m1: int) -> float:
         m = h + 1 - m1
         own = size / m
-        exact, tolerant = documents * COMMON**own, documents * (own + 1) * COMMON ** max(own - 1, 0)
+        met = MEETING * BAND_SHARE * documents
+        exact, tolerant = met * COMMON**own, met * (own + 1) * COMMON ** max(own - 1, 0)
         return m + m1 * own + (m - m1) * exact + m1 * tolerant
 
     m1 = min(range((h + 1) // 2 + 1), key=lambda k: (cost(k), k))
@@ -157,8 +159,8 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def base_rows(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """For each row: id, size, two hashes that name the set, signatures, sketch."""
+def base_rows(docs: DataFrame, n: int = N) -> DataFrame:
+    """For each row: id, size, two hashes that name the set, sketch."""
     ship_package(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +170,29 @@ def base_rows(docs: DataFrame, documents: int, n: int = N, percent: int = PERCEN
                 sets = [shingle_set(t, n) for t in part["text"].to_pylist()]
                 sums = [(mix(s, seed=3).sum(dtype=np.uint64), mix(s, seed=4).sum(dtype=np.uint64)) for s in sets]
                 keys = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                sigs = [signatures(s, documents, percent) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-                flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([sketch(s) for s in sets], pa.binary()),
+                        pa.array([sketch(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sigs", "sketch"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
                 )
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>, sketch binary")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+
+
+def index_rows(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``sig, node`` for each signature of each row; nothing of it is stored before the shuffle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                keys = [signatures(shingle_set(t, n), documents, percent) for t in part["text"].to_pylist()]
+                node = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node)], names=["sig", "node"])
+
+    return docs.filter("doc_id is not null").mapInArrow(rows, "sig long, node long")
 
 
 def only(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
@@ -334,10 +347,13 @@ def _by_set(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``u, v``: edges between nodes that connect what links connect, one row per node and task at most."""
+    """``u, v``: edges between nodes that connect what links connect, one row per node and task at most.
+
+    ``docs`` are the texts to link and ``rows`` their sizes and sketches.
+    """
     kinds = "u long, v long"
     key = ["sig", "left", "right"]
-    shared = stored(meeting(rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("node"))), "meeting")
+    shared = stored(meeting(index_rows(docs, rows.count(), n, percent)), "meeting")
     named = rows.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
     near = tiled(shared, "sig").join(named, "node").repartition(*key).sortWithinPartitions(*key)
     near = near.select("node", *key, "tile", "n_shingles", "sketch").mapInArrow(
@@ -369,16 +385,19 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(base_rows(docs, docs.count(), n, percent), "sets")
+    rows = stored(base_rows(docs, n), "sets")
     named = rows.filter("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "k1", "k2"]
-    nodes = named.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
-    copies = stored(
-        named.select("doc_id", *same).join(nodes.filter("rows > 1"), same).filter("doc_id <> node").select("doc_id", "k1", "k2", "node"), "copies"
+    nodes = stored(
+        named.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "nodes"
     )
-    firsts = only(named, copies.select("doc_id", "k1", "k2").distinct(), "left_anti", ["doc_id", "k1", "k2"])
-    found = links(firsts.select("doc_id", "n_shingles", "sigs", "sketch"), docs, n, percent)
-    roots = components(found.union(copies.select("doc_id", "node")))
+    equal = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
+    copies = stored(named.select("doc_id", *same).join(equal, same).filter("doc_id <> node").select("doc_id", "node"), "copies")
+    # the texts of a repeated id may differ, so all of them stay in the index
+    twice = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    spare = stored(copies.select("doc_id").distinct().join(twice, "doc_id", "left_anti"), "spare")
+    found = links(only(named, spare, "left_anti"), only(docs, spare, "left_anti"), n, percent)
+    roots = components(found.union(copies))
     return rows.join(roots, rows["doc_id"] == roots["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )
