@@ -35,6 +35,8 @@ RULES = [
 TWO_PART = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.nz", "co.jp", "co.in", "com.br", "co.za"]
 #: A host whose share of bad pages surely lies above this is blocked.
 MAX_BAD = 0.5
+#: Hosts up to which their table (about 60 bytes each) is broadcast.
+SMALL = 500_000
 #: Deviations below the posterior mean at which the bound lies (about 95 %).
 Z = 1.645
 #: Bounds of the correlation within groups, so that a prior stays proper.
@@ -131,6 +133,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     outcomes = split.join(labels.select("page_id", "bad"), "page_id").select("host", "bad")
     reputation = host_reputation(outcomes, split.select("host").distinct())
     blocked = reputation.select("host", (F.col("bound") > MAX_BAD).alias("blocked"), "mean")
+    if split.select("host").distinct().limit(SMALL + 1).count() <= SMALL:
+        blocked = F.broadcast(blocked)
     found = rule_of(F.col("host"), F.col("path"))
     return split.join(blocked, "host", "left").select(
         "page_id", "host", "path",
