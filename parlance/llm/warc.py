@@ -3,7 +3,8 @@
 Records are text, so Spark's own writer and reader move them: a record is one
 row ended by an empty line, and reading takes whole files (``binaryFile``) and
 cuts them by Content-Length.  Nothing opens a path in Python, so any store that
-Spark reaches will do.  Files hold about ``FILE_BYTES`` of payload.
+Spark reaches will do.  A file holds ``FILE_RECORDS`` records at most, and payloads
+are written where they are read: they are not shuffled.
 
 :func:`write_archive` writes a response record per page.  :func:`deduplicate`
 reads archives, shuffles the headers (never payloads) by payload digest, picks
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_dir, ship_package
+from .shared import scratch_dir, ship_package, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
-#: Bytes of payload in a file, on the mean.
-FILE_BYTES = 16 << 20
+#: Records of a file at most; a file is read whole by one task.
+FILE_RECORDS = 5_000
+#: Revisits up to which their table (about 100 bytes each) is broadcast.
+SMALL = 500_000
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -67,13 +70,9 @@ def _record(kind: Column, payload: Column) -> Column:
     return F.concat(*lines)
 
 
-def _write(records: DataFrame, path: str, files: int) -> None:
-    spread = records.withColumn("value", _record(F.col("record_type"), F.col("payload"))).select("record_id", "value")
-    spread.repartition(files, "record_id").select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
-
-
-def _files(total: int | None) -> int:
-    return max(1, -(-(total or 0) // FILE_BYTES))
+def _write(records: DataFrame, path: str) -> None:
+    lines = records.select(_record(F.col("record_type"), F.col("payload")).alias("value"))
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -84,10 +83,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.sha2(payload.cast("binary"), 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_record"),
     )
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0]
-    # the record id is random, so it must be dealt out before it is made
-    spread = records.withColumn("value", _record(F.col("record_type"), F.col("payload"))).select("value")
-    spread.repartition(_files(total)).write.option("lineSep", END).option("compression", "gzip").text(path)
+    _write(records, path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,11 +161,13 @@ def revisits(headers: DataFrame) -> DataFrame:
 
 def deduplicate(spark: SparkSession, source: str, target: str) -> None:
     """Archives at ``source`` written to ``target`` with revisits in place of repeated payloads."""
-    decided = revisits(read_archive(spark, source)).filter("record_type = 'revisit'")
+    headers = stored(read_archive(spark, source), "warc-headers")
+    decided = stored(revisits(headers).filter("record_type = 'revisit'"), "revisits")
+    if decided.count() <= SMALL:
+        decided = F.broadcast(decided)
     whole = read_archive(spark, source, payloads=True).drop("record_type", "refers_to", "refers_record")
     records = whole.join(decided, "record_id", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
-    total = read_archive(spark, source).agg(F.sum("payload_bytes")).first()[0]
-    _write(records, target, _files(total))
+    _write(records, target)
 
 
 def resolved(headers: DataFrame) -> DataFrame:
@@ -193,4 +191,4 @@ def op6_revisit_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, deduplicated = scratch_dir(spark, "warc-raw"), scratch_dir(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), raw)
     deduplicate(spark, raw, deduplicated)
-    return resolved(read_archive(spark, deduplicated))
+    return resolved(stored(read_archive(spark, deduplicated), "warc-headers"))
