@@ -45,8 +45,8 @@ COMMON, BAND_SHARE, MEETING = 0.05, 0.1, 8
 #: Rows of a group that meet in one task at most; larger groups are tiled.
 TILE = 512
 SET_TILE = 128
-#: Bytes of a parity sketch.
-SKETCH = 64
+#: Cells of the smallest parity sketch; larger sets have a cell a token or more.
+CELLS = 512
 #: Rows up to which a table of ids is broadcast (about 16 bytes each).
 SMALL = 2_000_000
 
@@ -135,12 +135,41 @@ def signatures(tokens: np.ndarray, documents: int, percent: int = PERCENT) -> np
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, dtype=np.int64)
 
 
-def sketch(tokens: np.ndarray, size: int = SKETCH) -> bytes:
-    """Parities of the numbers of tokens in ``8 * size`` cells."""
-    cells = np.bincount((mix(tokens, seed=31) % np.uint64(8 * size)).astype(np.int64), minlength=8 * size)
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the numbers of tokens in a power of two of cells.
+
+    Two sets differ in at least as many tokens as their sketches in parities.
+    """
+    size = max(CELLS, 1 << max(len(tokens) - 1, 0).bit_length())
+    cells = np.bincount((mix(tokens, seed=31) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Sketches of many rows; a larger one is folded to the size of a smaller one by exclusive or."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows, self.size = rows, np.array([len(r) for r in rows], dtype=np.int64)
+
+    def folded(self, at: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(at), size // 8), dtype=np.uint64)
+        for own in np.unique(self.size[at]):
+            same = np.flatnonzero(self.size[at] == own)
+            words = np.frombuffer(b"".join(self.rows[k] for k in at[same]), dtype=np.uint64)
+            out[same] = np.bitwise_xor.reduce(words.reshape(len(same), own // size, size // 8), axis=1)
+        return out
+
+    def apart(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Parities in which the sketches of each pair differ."""
+        out = np.empty(len(u), dtype=np.int64)
+        small = np.minimum(self.size[u], self.size[v])
+        for size in np.unique(small):
+            for part in np.array_split(np.flatnonzero(small == size), max(1, len(u) * int(size) >> 26)):
+                x, y = self.folded(u[part], int(size)), self.folded(v[part], int(size))
+                out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest reachable row of each of ``n`` rows."""
     root = np.arange(n)
@@ -296,7 +325,7 @@ def _by_sketch(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.nd
     """Pairs whose sketches allow a link; rows of one group, of unequal tiles if those differ."""
     n = table["n_shingles"].to_numpy()
     tile, crossed = table["tile"].to_numpy(), table["left"].to_numpy() != table["right"].to_numpy()
-    bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+    sketches = Sketches(table["sketch"].to_pylist())
     group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     us, vs = [], []
     for step in range(1, int(np.diff(bounds).max(initial=1))):
@@ -307,8 +336,7 @@ def _by_sketch(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.nd
         small, large = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
         ok = (100 * small >= percent * large) & (~crossed[u] | (tile[u] != tile[v]))
         u, v = u[ok], v[ok]
-        apart = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
-        ok = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
+        ok = (100 + percent) * sketches.apart(u, v) <= (100 - percent) * (n[u] + n[v])
         us.append(u[ok])
         vs.append(v[ok])
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, int), np.empty(0, int))
