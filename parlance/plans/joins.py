@@ -210,11 +210,11 @@ def join_expired_users(v: Views):
     return v.clients.filter((C("planExpiry") <= now) & (C("plan") != "free")).select("userId").join(users, "userId")
 
 
-@query("join_anti_unique", "SELECT id, name FROM hagents WHERE lower(name) NOT IN (SELECT lower(name) FROM visitors v2 WHERE name IS NOT NULL) AND id NOT IN (SELECT userId FROM clients)")
+@query("join_anti_unique", "SELECT id, name FROM hagents WHERE lower(name) NOT IN (SELECT lower(name) FROM visitors v2 WHERE name IS NOT NULL) AND id NOT IN (SELECT userId FROM clients WHERE userId % 2 = 0)")
 def join_anti_unique(v: Views):
     """Names and ids that nobody has yet."""
     names = v.visitors.select(F.lower("name").alias("n"))
-    return v.hagents.join(names, F.lower("name") == C("n"), "left_anti").join(v.clients.select(C("userId").alias("u")), C("id") == C("u"), "left_anti").select("id", "name")
+    return v.hagents.join(names, F.lower("name") == C("n"), "left_anti").join(v.clients.filter("userId % 2 = 0").select(C("userId").alias("u")), C("id") == C("u"), "left_anti").select("id", "name")
 
 
 @query("sender_name", """SELECT m.id, CASE WHEN m.sender_type = 'visitor' THEN 'Visitor' WHEN m.sender_type = 'system' THEN 'System' ELSE coalesce(h.name, a.siteName, 'AI Agent') END AS sender
