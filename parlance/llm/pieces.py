@@ -132,15 +132,12 @@ class Coder:
             out += found[1] if found is not None else self.word(w)[1]
         return out
 
-    def score(self, marked: str) -> float:
-        return sum(self.word(w)[0] for w in WORD.findall(marked))
-
     def decode(self, ids: list[int]) -> bytes:
         """The marked text of ids, in UTF-8."""
         return b"".join(map(self.raw.__getitem__, ids))
 
     def matrix(self, text: str, size: int) -> np.ndarray:
-        """Best scores from each entry state of a chunk to each exit state.
+        """Best scores from each entry state of a chunk to each exit state, up to a common constant.
 
         ``text`` is the chunk, ``size`` long, and what pieces that start in it may reach.
         """
@@ -156,15 +153,13 @@ class Coder:
             for a in range(size, k):  # the piece that entered ends behind this chunk
                 out[a, a - size] = 0.0
             return out
+        # what lies between the first and the last certain cut adds the same to all
+        # ways through the chunk, so it is left out
         last = max(c for c in cuts if c <= size)
-        middle = self.score(text[first:last])
         s, _ = self.best(text[last:], size - last)
-        ends = s[size - last : size - last + k]
-        if last == size:
-            ends = [0.0]
+        ends = np.array(s[size - last : size - last + k]) if last < size else np.zeros(1)
         for a in range(k):
-            head = self.best(text[a:first])[0][-1]
-            out[a, : len(ends)] = head + middle + np.array(ends)
+            out[a, : len(ends)] = self.best(text[a:first])[0][-1] + ends
         return out
 
 
