@@ -342,6 +342,21 @@ def _by_sketch(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.nd
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, int), np.empty(0, int))
 
 
+def _near_pairs(percent: int):
+    """A function for mapInArrow over pairs with sizes and sketches: those that may be linked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = np.arange(batch.num_rows)
+            n, m = batch["n_shingles"].to_numpy(), batch["n_shingles_b"].to_numpy()
+            apart = Sketches(batch["sketch"].to_pylist() + batch["sketch_b"].to_pylist()).apart(u, u + batch.num_rows)
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch["node"].filter(keep), batch["node_b"].filter(keep)], names=["u", "v"])
+
+    return rows
+
+
 def _by_set(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that are linked: sizes of intersections by products of 0-1 matrices, in slices of tokens."""
     us, vs = [], []
@@ -383,10 +398,14 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     key = ["sig", "left", "right"]
     shared = stored(meeting(index_rows(docs, rows.count(), n, percent)), "meeting")
     named = rows.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
-    near = tiled(shared, "sig").join(named, "node").repartition(*key).sortWithinPartitions(*key)
-    near = near.select("node", *key, "tile", "n_shingles", "sketch").mapInArrow(
-        grouped(lambda t, b: _by_sketch(t, b, percent), key), kinds
-    )
+    # two rows under a signature: the pair goes on, once however many signatures it shares
+    sizes = stored(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")), "sizes")
+    other = named.select(*[F.col(c).alias(f"{c}_b") for c in named.columns])
+    pairs = sizes.filter("n = 2 and a <> b").select("a", "b").distinct().join(named, F.col("a") == F.col("node")).join(other, F.col("b") == F.col("node_b"))
+    near = pairs.select("node", "node_b", "n_shingles", "n_shingles_b", "sketch", "sketch_b").mapInArrow(_near_pairs(percent), kinds)
+    many = tiled(shared.join(sizes.filter("n > 2").select("sig"), "sig", "left_semi"), "sig").join(named, "node")
+    many = many.repartition(*key).sortWithinPartitions(*key).select("node", *key, "tile", "n_shingles", "sketch")
+    near = near.unionByName(many.mapInArrow(grouped(lambda t, b: _by_sketch(t, b, percent), key), kinds))
     blocks = stored(components(near), "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
