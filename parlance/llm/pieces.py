@@ -14,9 +14,8 @@ Pieces never hold a blank mark after another character, so a mark behind another
 character is a cut in every segmentation.  Between such cuts, words are encoded
 once and remembered; the matrix of a chunk needs full sums only near its ends.
 
-The files at hand hold byte-pair models.  Their scores are used as they are, so
-the ids equal the library's when it loads the file as a unigram model, not its
-byte-pair ids (see the README).
+The files at hand hold byte-pair models.  Their scores are used as they are: the
+ids are the best-scoring segmentation, not the order of merges (see the README).
 
 Defined cases: null and empty texts have no pieces; runs of blanks and any
 character round-trip exactly; of segmentations with equal scores one is taken,
