@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .html import op7_host_wrappers
 from .jaccard import op5_partition_jaccard
 from .langid import op10_marginal_unigrams
@@ -34,4 +35,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_cascade": oracles.QUALITY,
+        "op6_revisit_archives": oracles.REVISITS,
+        "op8_host_reputation": oracles.HOSTS,
+    }

@@ -140,7 +140,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
         "page_id", "host", "path",
         found["rule"].alias("rule"),
         F.coalesce(found["verdict"], F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        F.col("mean").alias("host_bad"),
+        F.round("mean", 6).alias("host_bad"),
     )
 
 

@@ -470,3 +470,13 @@ def test_pipeline_odd(spark, odd, empty):
             assert out.columns == df.columns
             df = out.cache()
         c.STAGES[-1][1](spark, df, "").count()
+
+
+def test_oracles(spark, sf_dir):
+    from harness import connect, difference
+
+    from parlance.llm import queries
+
+    con = connect(sf_dir)
+    for name, sql in queries.oracle_sql().items():
+        assert difference(queries.queries()[name](spark, sf_dir), con, sql) == "", name
