@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.plans.registry import query
 from parlance.sources.views import Views
-from parlance.streaming.messages import rooms
+from parlance.streaming.messages import conversation_state, rooms
 
 C = F.col
 
@@ -36,3 +36,16 @@ def session_windows(v: Views):
     """Sessions with a gap of twelve hours."""
     s = v.events.withColumn("ts", C("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", "12 hours"))
     return s.agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event")).select("user_id", "events", "first_event")
+
+
+@query("stream_conversation_state", """SELECT conversation_id, count(*) AS messages, count(*) FILTER (WHERE sender_type = 'visitor') AS unread, coalesce(bool_or(sender_type = 'visitor' AND r > 1), false) AS started, arg_max(message, turn) AS last_message
+ FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS r FROM msgs) GROUP BY conversation_id""")
+def stream_conversation_state(v: Views):
+    """State of each conversation after all available messages of a file stream."""
+    spark, name = v.spark, f"state_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(v.conversations.schema).parquet(f"{v.sf_dir}/conversations.parque[t]")
+    sender = F.when(C("role") == "user", "visitor").when(C("role") == "assistant", "ai").otherwise("system")
+    rows = stream.select(C("conv_id").alias("conversation_id"), sender.alias("sender_type"), C("text").alias("message"), C("turn").cast("long").alias("seq"))
+    conversation_state(rows).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    last = spark.table(name).groupBy("conversation_id").agg(F.max_by(F.struct("messages", "unread", "started", "last_message"), "messages").alias("s"))
+    return last.select("conversation_id", "s.*")

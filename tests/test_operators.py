@@ -136,3 +136,12 @@ def test_handoff_timer(spark, tmp_path):
 def test_pandas_has_no_part_in_simple_plans(spark, sf_dir):
     assert isinstance(QUERIES["csat"](spark, sf_dir).toPandas(), pd.DataFrame)
     assert "Python" not in plan_of(QUERIES["dashboard_tenant"](spark, sf_dir))
+
+
+def test_files(spark, tmp_path):
+    from parlance.sources.files import read_documents
+
+    for name, body in (("a.txt", "x\r\n\r\n\r\n\r\ny\tz"), ("b.md", "   "), ("c.bin", "q")):
+        (tmp_path / name).write_text(body, newline="")
+    got = {r.path.rsplit("/", 1)[1]: (r.error, r.content) for r in read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": (None, "x\n\ny z"), "b.md": ("EMPTY", None), "c.bin": ("UNSUPPORTED", None)}
