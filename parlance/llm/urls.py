@@ -39,8 +39,8 @@ MAX_BAD = 0.5
 SMALL = 500_000
 #: Deviations below the posterior mean at which the bound lies (about 95 %).
 Z = 1.645
-#: Bounds of the correlation within groups, so that a prior stays proper.
-RHO = (0.001, 0.999)
+#: Bounds of the correlation within groups: a prior counts as one page at least.
+RHO = (0.001, 0.5)
 
 
 def url_host(url: Column) -> Column:
