@@ -13,12 +13,12 @@ A slot carries what its pages held: pages, characters, characters inside links,
 and the range of the texts' hashes (equal ends: the text never changes).  Slots in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments
 are boilerplate by their tags and class names; so are slots made of links, and
-slots that say the same on at least ``CONSTANT`` pages outside an article.  If a
-wrapper has content slots inside ``article`` or ``main``, only those count.
+slots that say the same on at least ``CONSTANT`` pages outside an article.
 
 Extraction reads every page whole: texts whose slot is content make up the
-blocks; a block ends at any block-level tag.  A slot that the wrapper lacks is
-judged by its tags alone, so no text of an article is lost.
+blocks; a block ends at any block-level tag.  If a page has such texts inside
+``article`` or ``main``, only those count on this page; pages of another template
+keep theirs.  A slot that the wrapper lacks is judged by its tags alone.
 
 Defined cases: a null or empty page has no text; unclosed and stray tags are
 tolerated; a null url belongs to the host of the empty name; repeated rows each
@@ -246,24 +246,25 @@ def content_slots(wrapper: list) -> dict[str, bool]:
         pages, n, linked, low, high, inside, dropped = s
         return not dropped and (inside or not (linked >= LINKS * n or (pages >= CONSTANT and low == high)))
 
-    content = {p: good(s) for p, s in slots.items()}
-    if any(content[p] and slots[p][5] for p in slots):
-        content = {p: v and slots[p][5] for p, v in content.items()}
-    return {"/".join(p): v for p, v in content.items()}
+    return {"/".join(p): good(s) for p, s in slots.items()}
 
 
 def main_text(page: str | None, content: dict[str, bool]) -> str:
     """Blocks of the content slots, in page order, one line each."""
+    found: list[tuple[bool, bool, int, str]] = []  # kept, in an article, block, text
+    for path, dropped, inside, _, block, text in texts(page or ""):
+        blank = not path and text == " "
+        found.append((not blank and not dropped and content.get("/".join(path), True), inside, block, " " if blank else text))
+    within = any(keep and inside for keep, inside, _, _ in found)
     blocks: list[str] = []
     parts: list[str] = []
     now = None
-    within = any(content.values())
-    for path, dropped, inside, _, block, text in texts(page or ""):
-        if not path and text == " ":
+    for keep, inside, block, text in found:
+        if text == " ":
             if block == now:
                 parts.append(" ")
             continue
-        keep = not dropped and content.get("/".join(path), inside or not within)
+        keep = keep and (inside or not within)
         if block != now:
             blocks.append("".join(parts))
             parts, now = [], block

@@ -311,6 +311,16 @@ def test_main_text(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_of_mixed_templates(spark):
+    one = "<article><h1>head {0}</h1><p>text {0}</p></article><div>beside {0}</div>"
+    two = "<div class=content><h1>title {0}</h1><p>body {0}</p></div>"
+    for url in ("https://h.test/{0}", None):
+        rows = [(k, url and url.format(k), (one if k % 3 else two).format(k)) for k in range(9)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+        assert got == {k: (f"head {k}\ntext {k}" if k % 3 else f"title {k}\nbody {k}") for k in range(9)}
+
+
 def test_wrapper_alignment():
     a = wrappers.shape("<div><h1>x</h1><p>a</p></div>")
     b = wrappers.shape("<div><p>a</p><p>b</p><ul><li>q</li></ul></div>")
