@@ -10,15 +10,20 @@ folds its own pages and the partial wrappers of a host are folded in two steps;
 no task ever holds a host's pages.
 
 A slot carries what its pages held: pages, characters, characters inside links,
-and the range of the texts' hashes (equal ends: the text never changes).  Slots in
+and the range of the texts' hashes (equal ends: the text never changes).  Texts in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments
-are boilerplate by their tags and class names; so are slots made of links, and
-slots that say the same on at least ``CONSTANT`` pages outside an article.
+are boilerplate by their tags, attributes and class names; so are, outside an
+article, slots made of links and slots that say the same on at least ``CONSTANT``
+pages.  A class or id counts by its whole words or their beginnings, and the slots'
+figures overrule it: on a page without an article, an element of such a name whose
+texts are no links, change, and hold ``LONG`` characters and twice what the page has
+without such names, is main text.  Names of comments and teasers are firm: they are
+overruled only if the page has no other text.
 
 Extraction reads every page whole: texts whose slot is content make up the
 blocks; a block ends at any block-level tag.  If a page has such texts inside
 ``article`` or ``main``, only those count on this page; pages of another template
-keep theirs.  A slot that the wrapper lacks is judged by its tags alone.
+keep theirs.  A slot that the wrapper lacks is judged by its tags and names alone.
 
 Defined cases: a null or empty page has no text; unclosed and stray tags are
 tolerated; a null url belongs to the host of the empty name; repeated rows each
@@ -43,6 +48,8 @@ from .shared import ship_package, stored
 CONSTANT = 3
 #: Share of link characters from which a slot is a menu.
 LINKS = 0.8
+#: Characters of a page from which texts under a boilerplate name may be its main text.
+LONG = 100
 #: Parts that a host's partial wrappers are folded in first.
 PARTS = 32
 #: Bytes of wrappers up to which they are broadcast.
@@ -62,36 +69,47 @@ CLOSES_P = {
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DROP_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", *RAW, "head"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
-DROP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion)?|banners?|cookies?|consent|gdpr|notices?|alerts?"
-    r"|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|nav|navbar|navigation|navs?|menus?|breadcrumbs?|sidebars?|side-bar"
-    r"|widgets?|footers?|site-header|page-header|masthead|topbar|top-bar|comments?|comment-list|replies|respond|disqus|share|sharing|social"
-    r"|related|recommended|pagination|pager|skip-link|toolbar|search|copyright|legal|hidden)(?=$|[\s_-])",
-    re.I,
+#: Names of what holds other people's texts, or teasers that are articles themselves.
+FIRM = r"comments?|comment-list|replies|respond|disqus|related|recommended"
+NAMES = (
+    rf"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion)?|banners?|cookies?|consent|gdpr|notices?|alerts?"
+    rf"|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|nav|navbar|navigation|navs?|menus?|breadcrumbs?|sidebars?|side-bar"
+    rf"|widgets?|footers?|site-header|page-header|masthead|topbar|top-bar|share|sharing|social"
+    rf"|pagination|pager|skip-link|toolbar|search|copyright|legal|hidden|{FIRM}"
 )
+# a class that starts with a name is a part of that block, unless it tells a state of the page
+STATE = r"(?:open(?:ed)?|closed|enabled|disabled|active|inactive|on|off|visible|print|xs|sm|md|lg|xl)"
+PLACE = r"(?:(?:site|page|main|global|mobile|top|bottom|primary|secondary)[_-])?"
+DROP_NAME = re.compile(rf"{PLACE}(?:{NAMES})(?:[_-]+(?!{STATE}$).*)?", re.I)
+FIRM_NAME = re.compile(rf"{PLACE}(?:{FIRM})(?:[_-]+(?!{STATE}$).*)?", re.I)
+#: Kinds of texts: without a sign of boilerplate, under a name, under a firm name, under a tag or attribute.
+CLEAN, NAMED, FIRMLY, HARD = range(4)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BLANK = re.compile(r"\s+")
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its tag and attributes.
+def _level(tag: str, attributes: str, inside: bool) -> int:
+    """How surely an element is boilerplate by its tag and attributes.
 
     A ``header`` inside an article holds the article's own heading.
     """
     if tag in DROP_TAGS and not (tag == "header" and inside):
-        return True
+        return HARD
+    level = CLEAN
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in DROP_ROLES):
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and DROP_NAMES.search(value):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            for part in value.split():
+                if DROP_NAME.fullmatch(part):
+                    level = max(level, FIRMLY if FIRM_NAME.fullmatch(part) else NAMED)
+    return level
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -121,21 +139,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "close", tag, ""
 
 
-def texts(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, bool, int, str]]:
-    """(path, dropped, in an article, in a link, block number, text) of each text.
+def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, int, bool, bool, int, str]]:
+    """(path, level, box, in an article, in a link, block number, text) of each text.
 
     The path names the open elements with their first class; a block number
-    changes at each block-level tag.
+    changes at each block-level tag.  The box is the number of the innermost element
+    with such a name or tag, 0 if the level is ``CLEAN``.  An article below a name is
+    no part of the named block, unless that name is firm; a ``main`` never is.
     """
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, label, dropped, in article, in link
-    block = 0
+    stack: list[tuple[str, str, int, bool, bool, int]] = []  # tag, label, level, in article, in link, box
+    block = boxes = 0
     for kind, tag, rest in tokens(page):
-        top = stack[-1] if stack else ("", "", False, False, False)
+        top = stack[-1] if stack else ("", "", CLEAN, False, False, 0)
         if kind == "text":
             if rest.strip():
-                yield tuple(s[1] for s in stack if s[0] not in INLINE), top[2], top[3], top[4], block, rest
+                yield tuple(s[1] for s in stack if s[0] not in INLINE), top[2], top[5], top[3], top[4], block, rest
             elif rest:
-                yield (), True, False, False, block, " "
+                yield (), HARD, 0, False, False, block, " "
             continue
         if tag not in INLINE:
             block += 1
@@ -153,13 +173,20 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, bool, int, s
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-            top = stack[-1] if stack else ("", "", False, False, False)
+            top = stack[-1] if stack else ("", "", CLEAN, False, False, 0)
             if tag in VOID or rest.endswith("/"):
                 continue
             inside = top[3] or tag in ("article", "main")
             first = re.search(r"(?<![\w-])class\s*=\s*[\"']?\s*([\w-]+)", rest)
             label = f"{tag}.{first[1]}" if first else tag
-            stack.append((tag, label, top[2] or _dropped(tag, rest, top[3]), inside, top[4] or tag == "a"))
+            above, box = top[2], top[5]
+            if not top[3] and above <= {"article": NAMED, "main": FIRMLY}.get(tag, CLEAN):
+                above, box = CLEAN, 0
+            level = _level(tag, rest, top[3])
+            if level:
+                boxes += 1
+                above, box = max(above, level), boxes
+            stack.append((tag, label, above, inside, top[4] or tag == "a", box))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -168,7 +195,7 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, bool, int, s
 
 
 # A wrapper is [label, repeated, optional, slot, children]; a slot is
-# [pages, characters, link characters, least hash, largest hash, in article, dropped] or None.
+# [pages, characters, link characters, least hash, largest hash] or None.
 
 
 def shape(page: str) -> list:
@@ -176,7 +203,7 @@ def shape(page: str) -> list:
     root = ["", False, False, None, []]
     before: tuple[str, ...] = ()
     last_block = -1
-    for path, dropped, inside, linked, block, text in texts(page):
+    for path, _, _, _, linked, block, text in texts(page):
         if not path and text == " ":
             continue
         node = root
@@ -192,12 +219,11 @@ def shape(page: str) -> list:
         n, crc = len(text.strip()), zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))
         slot = node[3]
         if slot is None:
-            node[3] = [1, n, n if linked else 0, crc, crc, inside, dropped]
+            node[3] = [1, n, n if linked else 0, crc, crc]
         else:
             slot[1] += n
             slot[2] += n if linked else 0
             slot[3], slot[4] = min(slot[3], crc), max(slot[4], crc)
-            slot[5], slot[6] = slot[5] or inside, slot[6] and dropped
         before, last_block = path, block
     return root
 
@@ -207,7 +233,7 @@ def align(a: list, b: list) -> list:
     slot = a[3] or b[3]
     if a[3] and b[3]:
         s, t = a[3], b[3]
-        slot = [s[0] + t[0], s[1] + t[1], s[2] + t[2], min(s[3], t[3]), max(s[4], t[4]), s[5] or t[5], s[6] and t[6]]
+        slot = [s[0] + t[0], s[1] + t[1], s[2] + t[2], min(s[3], t[3]), max(s[4], t[4])]
     left, right = a[4], b[4]
     children, j = [], 0
     at = {c[0]: k for k, c in enumerate(right)}
@@ -233,42 +259,54 @@ def expression(w: list) -> str:
 
 
 def content_slots(wrapper: list) -> dict[str, bool]:
-    """Path to whether its slot is content."""
-    slots: dict[tuple[str, ...], list] = {}
+    """Path to whether its slot is content by its figures: no menu and not always the same."""
+    slots: dict[str, bool] = {}
     todo = [((), wrapper)]
     while todo:
         path, w = todo.pop()
         if w[3]:
-            slots[path] = w[3]
+            pages, n, linked, low, high = w[3]
+            slots["/".join(path)] = not (linked >= LINKS * n or (pages >= CONSTANT and low == high))
         todo += [((*path, c[0]), c) for c in w[4]]
-
-    def good(s: list) -> bool:
-        pages, n, linked, low, high, inside, dropped = s
-        return not dropped and (inside or not (linked >= LINKS * n or (pages >= CONSTANT and low == high)))
-
-    return {"/".join(p): good(s) for p, s in slots.items()}
+    return slots
 
 
 def main_text(page: str | None, content: dict[str, bool]) -> str:
     """Blocks of the content slots, in page order, one line each."""
-    found: list[tuple[bool, bool, int, str]] = []  # kept, in an article, block, text
-    for path, dropped, inside, _, block, text in texts(page or ""):
-        blank = not path and text == " "
-        found.append((not blank and not dropped and content.get("/".join(path), True), inside, block, " " if blank else text))
-    within = any(keep and inside for keep, inside, _, _ in found)
+    found: list[tuple[int, int, bool, int, str]] = []  # level, box, in an article, block, text
+    sums: dict[tuple[int, int, bool], int] = {}
+    for path, level, box, inside, _, block, text in texts(page or ""):
+        if not path and text == " ":
+            found.append((HARD, 0, False, block, " "))
+            continue
+        if not (content.get("/".join(path), True) or (inside and level == CLEAN)):
+            level = HARD
+        kind = level, box, inside
+        sums[kind] = sums.get(kind, 0) + len(text.strip())
+        found.append((*kind, block, text))
+    within = any(level == CLEAN and inside for level, _, inside in sums)
+    clean = sum(n for (level, _, _), n in sums.items() if level == CLEAN)
+    main = {0}  # boxes that are content: the clean one, and what is overruled
+    for overruled, enough in ((NAMED, 2 * clean), (FIRMLY, 0)):
+        size: dict[int, int] = {}
+        for (level, box, _), n in sums.items():
+            if level == overruled:
+                size[box] = size.get(box, 0) + n
+        least = max(LONG, enough + 1, max(size.values(), default=0) / 2)
+        if not within and len(main) == 1 and (overruled == NAMED or not clean):
+            main |= {box for box, n in size.items() if n >= least}
     blocks: list[str] = []
     parts: list[str] = []
     now = None
-    for keep, inside, block, text in found:
+    for level, box, inside, block, text in found:
         if text == " ":
             if block == now:
                 parts.append(" ")
             continue
-        keep = keep and (inside or not within)
         if block != now:
             blocks.append("".join(parts))
             parts, now = [], block
-        if keep:
+        if level < HARD and box in main and (inside or not within):
             parts.append(text)
     blocks.append("".join(parts))
     lines = (BLANK.sub(" ", entities.unescape(b)).strip() for b in blocks)

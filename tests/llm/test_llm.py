@@ -321,6 +321,24 @@ def test_main_text_of_mixed_templates(spark):
         assert got == {k: (f"head {k}\ntext {k}" if k % 3 else f"title {k}\nbody {k}") for k in range(9)}
 
 
+def test_main_text_under_names(spark):
+    def texts_of(form, n=4):
+        rows = [(k, f"https://h.test/{k}", form.format(k)) for k in range(n)]
+        return [r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).sort("page_id").collect()]
+
+    side = "<div class='sidebar'>side {0}</div><div id=cookie-notice>We use {0}</div><div class='x site-footer'>foot {0}</div>"
+    kept = [f"head {k}\ntext {k}" for k in range(4)]
+    for name in ("content has-sidebar", "no-sidebar", "nav-open", "share-enabled", "hidden-print", "layout with-sidebar"):
+        assert texts_of(f"<div class='{name}'><h1>head {{0}}</h1><p>text {{0}}</p></div>" + side) == kept, name
+    for name in ("entry promo", "nav", "widget-area"):
+        assert texts_of(f"<div class='{name}'><article><h1>head {{0}}</h1><p>text {{0}}</p></article></div>" + side) == kept, name
+    long = "words of a page " * 12
+    body = f"<div class='promo'><h1>head {{0}}</h1><div class='sidebar'>side {{0}}</div><p>{long}{{0}}</p></div>"
+    assert texts_of(body + side) == [f"head {k}\n{long}{k}" for k in range(4)]
+    comments = f"<div class=comments><article><p>{long}{{0}}</p></article></div>"
+    assert texts_of("<div><h1>head {0}</h1><p>text {0}</p></div>" + comments) == kept
+
+
 def test_wrapper_alignment():
     a = wrappers.shape("<div><h1>x</h1><p>a</p></div>")
     b = wrappers.shape("<div><p>a</p><p>b</p><ul><li>q</li></ul></div>")
