@@ -1,20 +1,20 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A page is a stream of tags and texts.  A page's own shape is its element tree in
-which runs of sibling elements of one label are one repeated group.  Shapes of
-one host are aligned one after another: children are matched in order by label;
+which sibling elements of one label are one repeated group, wherever they stand.  Shapes of
+one host are aligned one after another: children are matched by label, not by place;
 what one side lacks becomes optional, what either repeats becomes a repeated
 group, and texts become slots.  The result, a regular expression without unions,
 is the host's wrapper.  Alignment is a fold that can be combined, so each task
 folds its own pages and the partial wrappers of a host are folded in two steps;
 no task ever holds a host's pages.
 
-A slot carries what its pages held: pages, characters, characters inside links,
-and the range of the texts' hashes (equal ends: the text never changes).  Texts in
+A slot carries what its pages held: up to ``CONSTANT`` distinct contents of pages (so
+copies of a page count once), characters, characters inside links, and the range of the texts' hashes (equal ends: the text never changes).  Texts in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments
 are boilerplate by their tags, attributes and class names; so are, outside an
-article, slots made of links and slots that say the same on at least ``CONSTANT``
-pages.  A class or id counts by its whole words or their beginnings, and the slots'
+article, the link blocks of slots made of links (a block of plain text in such a slot
+stays) and slots that say the same in at least ``CONSTANT`` distinct contents.  A class or id counts by its whole words or their beginnings, and the slots'
 figures overrule it: on a page without an article, an element of such a name whose
 texts are no links, change, and hold ``LONG`` characters and twice what the page has
 without such names, is main text.  Names of comments and teasers are firm: they are
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .shared import ship_package, stored
 
-#: Pages on which an unchanging text outside an article is boilerplate.
+#: Distinct contents of pages in which an unchanging text outside an article is boilerplate.
 CONSTANT = 3
 #: Share of link characters from which a slot is a menu.
 LINKS = 0.8
@@ -195,7 +195,7 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, int, bool, bool, in
 
 
 # A wrapper is [label, repeated, optional, slot, children]; a slot is
-# [pages, characters, link characters, least hash, largest hash] or None.
+# [distinct contents, characters, link characters, least hash, largest hash] or None.
 
 
 def shape(page: str) -> list:
@@ -203,7 +203,9 @@ def shape(page: str) -> list:
     root = ["", False, False, None, []]
     before: tuple[str, ...] = ()
     last_block = -1
-    for path, _, _, _, linked, block, text in texts(page):
+    own, every = 0, 0  # hashes of the page's own texts, and of all
+    slots: list[list] = []
+    for path, level, _, _, linked, block, text in texts(page):
         if not path and text == " ":
             continue
         node = root
@@ -217,14 +219,20 @@ def shape(page: str) -> list:
                 found[1] = True  # the same element again: a repeated group
             node = found
         n, crc = len(text.strip()), zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))
+        every = zlib.crc32(crc.to_bytes(4), every)
+        if level == CLEAN and not linked:
+            own = zlib.crc32(crc.to_bytes(4), own)
         slot = node[3]
         if slot is None:
-            node[3] = [1, n, n if linked else 0, crc, crc]
+            node[3] = [[], n, n if linked else 0, crc, crc]
+            slots.append(node[3])
         else:
             slot[1] += n
             slot[2] += n if linked else 0
             slot[3], slot[4] = min(slot[3], crc), max(slot[4], crc)
         before, last_block = path, block
+    for slot in slots:
+        slot[0].append(own or every)
     return root
 
 
@@ -233,7 +241,7 @@ def align(a: list, b: list) -> list:
     slot = a[3] or b[3]
     if a[3] and b[3]:
         s, t = a[3], b[3]
-        slot = [s[0] + t[0], s[1] + t[1], s[2] + t[2], min(s[3], t[3]), max(s[4], t[4])]
+        slot = [s[0] if s[0] == t[0] else sorted({*s[0], *t[0]})[:CONSTANT], s[1] + t[1], s[2] + t[2], min(s[3], t[3]), max(s[4], t[4])]
     left, right = a[4], b[4]
     children, j = [], 0
     at = {c[0]: k for k, c in enumerate(right)}
@@ -258,28 +266,39 @@ def expression(w: list) -> str:
     return f"({body})" + ("+" if w[1] else "") + ("?" if w[2] else "") if w[1] or w[2] else body
 
 
-def content_slots(wrapper: list) -> dict[str, bool]:
-    """Path to whether its slot is content by its figures: no menu and not always the same."""
-    slots: dict[str, bool] = {}
+def content_slots(wrapper: list) -> dict[str, bool | None]:
+    """Path to whether its slot is content by its figures: not always the same; None if it is made of links."""
+    slots: dict[str, bool | None] = {}
     todo = [((), wrapper)]
     while todo:
         path, w = todo.pop()
         if w[3]:
-            pages, n, linked, low, high = w[3]
-            slots["/".join(path)] = not (linked >= LINKS * n or (pages >= CONSTANT and low == high))
+            contents, n, linked, low, high = w[3]
+            same = len(contents) >= CONSTANT and low == high
+            slots["/".join(path)] = None if linked >= LINKS * n and not same else not same
         todo += [((*path, c[0]), c) for c in w[4]]
     return slots
 
 
-def main_text(page: str | None, content: dict[str, bool]) -> str:
+def main_text(page: str | None, content: dict[str, bool | None]) -> str:
     """Blocks of the content slots, in page order, one line each."""
     found: list[tuple[int, int, bool, int, str]] = []  # level, box, in an article, block, text
     sums: dict[tuple[int, int, bool], int] = {}
-    for path, level, box, inside, _, block, text in texts(page or ""):
+    rows = list(texts(page or ""))
+    size_of: dict[int, list[int]] = {}  # block: characters, and those inside links
+    for path, _, _, _, linked, block, text in rows:
+        if path or text != " ":
+            size = size_of.setdefault(block, [0, 0])
+            size[0] += len(text.strip())
+            size[1] += len(text.strip()) if linked else 0
+    for path, level, box, inside, _, block, text in rows:
         if not path and text == " ":
             found.append((HARD, 0, False, block, " "))
             continue
-        if not (content.get("/".join(path), True) or (inside and level == CLEAN)):
+        good = content.get("/".join(path), True)
+        if good is None:
+            good = size_of[block][1] < LINKS * size_of[block][0]
+        if not (good or (inside and level == CLEAN)):
             level = HARD
         kind = level, box, inside
         sums[kind] = sums.get(kind, 0) + len(text.strip())
@@ -365,7 +384,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = own.join(F.broadcast(found) if size <= SMALL else found, "host", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, bool]] = {}
+        known: dict[str, dict[str, bool | None]] = {}
         for batch in batches:
             out = []
             for page, host, wrapper in zip(batch["html"], batch["host"].to_pylist(), batch["wrapper"], strict=True):

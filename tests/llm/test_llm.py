@@ -339,6 +339,17 @@ def test_main_text_under_names(spark):
     assert texts_of("<div><h1>head {0}</h1><p>text {0}</p></div>" + comments) == kept
 
 
+def test_main_text_of_copies_and_link_slots(spark):
+    copies = "<h1>head</h1><div class=body><p>the only text</p></div>"
+    menu = "".join(f"<a href=/{k}>a long menu item</a> " for k in range(20))
+    links = f"<div>{menu}</div><div>text {{0}}</div>"
+    foot = "<p>text {0}</p><h6>the same everywhere</h6>"
+    rows = [(k, f"https://{h}.test/{k}", form.format(k)) for k in range(5) for h, form in (("a", copies), ("b", links), ("c", foot))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.url[8], r.page_id): r.text for r in wrappers.extract(df).collect()}
+    assert got == {(h, k): t for k in range(5) for h, t in (("a", "head\nthe only text"), ("b", f"text {k}"), ("c", f"text {k}"))}
+
+
 def test_wrapper_alignment():
     a = wrappers.shape("<div><h1>x</h1><p>a</p></div>")
     b = wrappers.shape("<div><p>a</p><p>b</p><ul><li>q</li></ul></div>")
