@@ -156,6 +156,13 @@ def bulk_insert_new(v: Views):
     return state.without(v.webpages.filter("id % 3 = 0").select("url").distinct(), have, ["url"])
 
 
+@query("bulk_insert_all", "SELECT DISTINCT url FROM webpages WHERE id % 3 <> 1 AND url IS NOT NULL AND url NOT IN (SELECT url FROM webpages WHERE id % 3 = 1 AND url IS NOT NULL)")
+def bulk_insert_all(v: Views):
+    """Rows to append of all pages: those of id % 3 = 1 are there, all others come in."""
+    have = v.webpages.filter("id % 3 = 1").select("url")
+    return state.without(v.webpages.filter("id % 3 <> 1 AND url IS NOT NULL").select("url").distinct(), have, ["url"])
+
+
 @query("msg_project", "SELECT id, conversation_id, CASE WHEN sender_type IN ('humanAgent', 'client', 'ai') THEN humanAgentId END AS humanAgentId FROM msgs")
 def msg_project(v: Views):
     return v.msgs.select("id", "conversation_id", F.when(C("sender_type").isin("humanAgent", "client", "ai"), C("humanAgentId")).alias("humanAgentId"))

@@ -105,6 +105,13 @@ def context_join(v: Views):
     return some.select("user_id", F.array_join(F.transform("x", lambda y: y["text"]), "\n\n---\n\n").alias("context"))
 
 
+@query("context_join_all", "SELECT user_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context FROM points WHERE text <> '' GROUP BY user_id")
+def context_join_all(v: Views):
+    """Texts of all points of an owner."""
+    some = v.points.filter("text <> ''").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("x"))
+    return some.select("user_id", F.array_join(F.transform("x", lambda y: y["text"]), "\n\n---\n\n").alias("context"))
+
+
 @query("prompt_build", """SELECT id, 'You answer for ' || coalesce(nullif(agentName, ''), 'the company') || CASE WHEN success > 20 THEN ' with ' || success || ' pages.' ELSE '.' END AS prompt FROM agents""")
 def prompt_build(v: Views):
     """A prompt from a tenant's metadata, in words of our own."""

@@ -26,3 +26,12 @@ def test_entry(spark):
 
     assert e.entry(spark).columns[0] == "userId"
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_no_text_or_page_is_left_out(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    rows = QUERIES["context_join_all"](spark, sf_dir).collect()
+    assert sum(len(r.context.split("\n\n---\n\n")) for r in rows) == points
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    there = {r.url for r in pages if r.page_id % 3 == 1}
+    assert {r.url for r in QUERIES["bulk_insert_all"](spark, sf_dir).collect()} == {r.url for r in pages} - there
