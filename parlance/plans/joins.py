@@ -139,6 +139,17 @@ def join_same_ip(v: Views):
     return a.join(b, keys).filter("id <> other").select("id", "other")
 
 
+@query("same_ip_all", """SELECT a.id AS id, count(*) AS others, min(b.id) AS first_other FROM visitors a JOIN visitors b ON a.ip = b.ip AND a.userId = b.userId AND a.agentId = b.agentId AND a.id <> b.id GROUP BY a.id""")
+def same_ip_all(v: Views):
+    """Of every visitor, how many others share the address, and the first of them; a group's pairs are never made."""
+    keys = ["ip", "userId", "agentId"]
+    a = v.visitors.select("id", *keys)
+    groups = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+    rest = a.join(groups, keys).filter("n > 1")
+    second = rest.filter("id <> low").groupBy(*keys).agg(F.min("id").alias("next"))
+    return rest.join(second, keys).select("id", (C("n") - 1).alias("others"), F.when(C("id") == C("low"), C("next")).otherwise(C("low")).alias("first_other"))
+
+
 @query("join_first_conv", """SELECT visitor, id AS first_conversation FROM (SELECT visitor, id, row_number() OVER (PARTITION BY visitor ORDER BY createdAt, id) AS r FROM convs
  WHERE is_started AND visitor IN (SELECT id FROM visitors)) WHERE r = 1""")
 def join_first_conv(v: Views):

@@ -263,6 +263,20 @@ def knn_join(v: Views):
     return pairs.withColumn("r", r).filter("r <= 3").drop("r")
 
 
+@query("knn_join_all", f"SELECT q, id, score FROM (SELECT q.id AS q, p.id, round({COS}, 5) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round({COS}, 5) DESC, p.id) AS r FROM points p, points q) WHERE r <= 3")
+def knn_join_all(v: Views):
+    """The three most similar points of every point with a vector; points come in blocks, of which three each go on."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    points = v.points.filter("vector IS NOT NULL").select("id", "vector", dot(C("vector"), C("vector")).alias("n"))
+    parts = max(1, points.count() // 256)
+    blocks = points.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b")).agg(F.collect_list(F.struct("id", "vector", "n")).alias("block")).drop("b")
+    q = points.select(C("id").alias("q"), C("vector").alias("qv"), C("n").alias("qn"))
+    found = lambda p: F.struct((-F.round(dot(p["vector"], C("qv")) / F.sqrt(p["n"] * C("qn")), 5)).alias("s"), p["id"].alias("id"))
+    best = q.crossJoin(blocks).select("q", F.explode(F.slice(F.array_sort(F.transform("block", found)), 1, 3)).alias("x"))
+    r = F.row_number().over(W.partitionBy("q").orderBy("x.s", "x.id"))
+    return best.withColumn("r", r).filter("r <= 3").select("q", "x.id", (-C("x.s")).alias("score"))
+
+
 POLICY = f"""WITH h AS (SELECT id, u, s, row_number() OVER (PARTITION BY u ORDER BY s DESC, id) AS r FROM (SELECT p.id, p.user_id AS u, round({COS}, 5) AS s FROM points p, points q WHERE q.id = 7)),
  k AS (SELECT *, max(s) OVER (PARTITION BY u) AS top FROM h WHERE r <= 5)"""
 

@@ -35,3 +35,9 @@ def test_no_text_or_page_is_left_out(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
     there = {r.url for r in pages if r.page_id % 3 == 1}
     assert {r.url for r in QUERIES["bulk_insert_all"](spark, sf_dir).collect()} == {r.url for r in pages} - there
+
+
+def test_no_visitor_or_point_is_left_out(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert QUERIES["knn_join_all"](spark, sf_dir).select("q").distinct().count() == points
+    assert QUERIES["same_ip_all"](spark, sf_dir).filter("id >= 50").count() > 0
