@@ -124,31 +124,34 @@ def test_quality_order_and_columns(odd, empty):
 
 
 def test_pieces_whole_document(spark):
+    """In chunks or not, the ids are those of one scan over the whole text."""
     rng = random.Random(3)
-    texts = [t for _, t, _ in ODD[:7]] + ["a" * 300, "internationalization" * 20, "  two  blanks   ", "\n\n x \n"]
+    texts = [t for _, t, _ in ODD[:7]] + ["a" * 300, "internationalization" * 20, "  two  blanks   ", "\n\n x \n", "ab" * 41, "x▁y ▁ z" * 9]
     texts += ["".join(rng.choice("ab é漢 theonrig\n") for _ in range(rng.randint(1, 300))) for _ in range(20)]
+    texts += ["".join(rng.choice("theonrigas") for _ in range(rng.randint(30, 300))) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = pieces.encode_documents(df, chunk=40).collect()
     c = pieces.coder()
-    by = defaultdict(list)
-    for r in sorted(rows, key=lambda r: r.chunk):
-        by[r.doc_id] += r.ids
-    for i, t in enumerate(texts):
-        if not t:
-            assert i not in by
-            continue
-        m = pieces.MARK + t.replace(" ", pieces.MARK)
-        assert c.decode(by[i]).decode() == m
-        total, j = 0.0, 0
-        while j < len(by[i]):
-            name = c.names[by[i][j]]
-            if name in c.scores:
-                total, j = total + c.scores[name], j + 1
-            else:  # the bytes of one character
-                b = c.raw[by[i][j]][0]
-                total, j = total + c.bare, j + (1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4)
-        if len(m) < 5000:
-            assert total == pytest.approx(c.best(m)[0][-1])
+
+    def scan(m):
+        start, cuts, j = c.best(m)[1], [], len(m)
+        while j > 0:
+            cuts.append(m[start[j] : j])
+            j = start[j]
+        return [i for x in reversed(cuts) for i in ([c.ids[x]] if x in c.ids else [c.bytes[b] for b in x.encode()])]
+
+    for chunk in (40, 17, pieces.CHUNK):
+        rows = pieces.decode_ids(pieces.encode_documents(df, chunk=chunk)).collect()
+        by, back = defaultdict(list), defaultdict(str)
+        for r in sorted(rows, key=lambda r: r.chunk):
+            by[r.doc_id] += r.ids
+            back[r.doc_id] += r.text
+            assert zlib.crc32(r.text.encode()) == r.text_crc32
+        assert set(by) == set(range(len(texts)))
+        for i, t in enumerate(texts):
+            m = pieces.MARK + t.replace(" ", pieces.MARK) if t else ""
+            assert back[i] == (t or "").replace(pieces.MARK, " ")
+            if len(m) < 5000:
+                assert by[i] == scan(m), (chunk, t)
 
 
 def test_pieces_are_the_best():
@@ -166,7 +169,20 @@ def test_pieces_are_the_best():
 
 
 def test_pieces_odd(odd, empty):
-    assert all(r.ok for r in pieces.encode_documents(odd).collect()) and pieces.encode_documents(empty).count() == 0
+    rows = pieces.decode_ids(pieces.encode_documents(odd)).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in rows if r.chunks == 1) == Counter((i, zlib.crc32((t or "").encode())) for i, t, _ in ODD if t != LONG)
+    assert pieces.decode_ids(pieces.encode_documents(empty)).count() == 0
+
+
+def test_pieces_forget(monkeypatch):
+    """Little room for words changes no ids."""
+    texts = ["▁" + "▁".join(f"w{k % 50}x{j}" for k in range(40)) for j in range(6)]
+    ids, counts = pieces.Coder().encode(texts)
+    monkeypatch.setattr(pieces, "CACHE", 100)
+    c, small = pieces.Coder(), []
+    for t in texts:
+        small += c.encode([t])[0].tolist()
+    assert small == ids.tolist() and counts.sum() == len(small)
 
 
 def test_shards(odd, empty, docs):
