@@ -322,7 +322,7 @@ def test_main_text(spark):
     rows = [(1, "https://h.test/1", page), (2, "https://h.test/2", page.replace("one", "other")), (2, "https://h.test/2", page), (3, None, None), (4, "x", ""), (5, "y", "plain <b>te</b>xt"), (None, "z", "<p>a<p>b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("no")).withColumn("host", F.lit("no"))
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in wrappers.extract(df).collect())
-    main = "T & x\na bc\none\ntwo"
+    main = "T & x\na b c\none\ntwo"
     assert got == sorted((i, t, len(t)) for i, t in [(1, main), (2, main.replace("one", "other")), (2, main), (3, ""), (4, ""), (5, "plain text"), (0, "a\nb")])
     assert wrappers.extract(df.limit(0)).count() == 0
 
@@ -372,6 +372,99 @@ def test_wrapper_alignment():
     assert wrappers.expression(wrappers.align(a, b)) == "<div>(<h1>#TEXT</>)?(<p>#TEXT</>)+(<ul><li>#TEXT</></>)?</>"
 
 
+def token_stream(page):
+    out = []
+    for node, *_ in wrappers.texts(page, (), lambda _, label: (out.append(f"<{label}>"), ())[1], lambda *_: out.append("</>")):
+        if node is not None:
+            out.append("#")
+    return "".join(out)
+
+
+def as_pattern(w):
+    inner = "".join(("(?:" if c[5] == 1 else "") + as_pattern(c) + (")+" if c[5] == 2 else "") for c in w[4])
+    body = "#" if w[0] == "#" else f"<{re.escape(w[0])}>{inner}</>" if w[0] else inner
+    return f"(?:{body})" + ("*" if w[1] and w[2] else "+" if w[1] else "?" if w[2] else "")
+
+
+def random_template(rng, depth=0):
+    """A function that writes pages of one template with optional and repeated groups."""
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        inner = random_template(rng, depth + 1) if depth < 2 and rng.random() < 0.5 else lambda r: "x"
+        parts.append((rng.choice(["div", "section", "h2", "h3", "div class=a", "div class=b", "blockquote"]), rng.choice(["one", "optional", "repeated", "pairs"]), inner))
+
+    def write(r):
+        out = ""
+        for tag, kind, inner in parts:
+            for _ in range({"one": 1, "optional": r.randrange(2), "repeated": r.randint(1, 4), "pairs": r.randint(1, 3)}[kind]):
+                out += f"<{tag}>{inner(r)}</{tag.split()[0]}>" + ("<p>y</p>" if kind == "pairs" else "")
+        return out
+
+    return write
+
+
+def test_wrappers_accept_their_pages():
+    """The wrapper as a regular expression matches every page that it was made of, in any order of folding."""
+    for seed in range(300):
+        rng = random.Random(seed)
+        write = random_template(rng)
+        pages = [write(rng) for _ in range(5)]
+        shapes = [wrappers.shape(p) for p in pages]
+        one = shapes[0]
+        for other in shapes[1:]:
+            one = wrappers.align(one, other)
+        two = wrappers.align(wrappers.align(shapes[4], shapes[2]), wrappers.align(shapes[3], wrappers.align(shapes[1], shapes[0])))
+        for w in (one, two):
+            assert all(re.fullmatch(as_pattern(w), token_stream(p)) for p in pages), (seed, wrappers.expression(w))
+
+
+def extracted(pages):
+    w = wrappers.shape(pages[0])
+    for p in pages[1:]:
+        w = wrappers.align(w, wrappers.shape(p))
+    follower = wrappers.Follower(wrappers.judged(w))
+    return [wrappers.main_text(p, follower) for p in pages]
+
+
+def test_repeated_and_optional_groups_decide():
+    """Pages with other numbers of a group find the same slots; a page's place in the group matters."""
+    page = "<h1>t {0}</h1>" + "{1}" + "<h2>more</h2><p>always this</p>"
+    pairs = lambda k: "".join(f"<h2>head {k}{j}</h2><p>body {k}{j}</p>" for j in range(k))
+    pages = [page.format(k, "<div>never changes</div>" * (k % 2) + pairs(k)) for k in range(1, 8)]
+    w = wrappers.shape(pages[0])
+    for p in pages[1:]:
+        w = wrappers.align(w, wrappers.shape(p))
+    assert wrappers.expression(w) == "<h1>#TEXT</>(<div>#TEXT</>)?(<h2>#TEXT</><p>#TEXT</>)+"
+    menu = "<ul>" + "<li><a href=x>go</a>" * 4 + "</ul>"
+    lone = [f"<h1><a href=/{k}>title {k}</a></h1>{menu}<p>text {k}</p>" for k in range(5)]
+    assert extracted(lone) == [f"title {k}\ntext {k}" for k in range(5)]
+    once = [f"<h2>h {k}</h2><p>p {k}</p><blockquote><p>the same</p></blockquote>" for k in range(5)]
+    assert extracted(once) == [f"h {k}\np {k}" for k in range(5)]
+
+
+def test_text_is_not_lost():
+    for page, text in (
+        ("<p>one</p><button>go<p>two</p><p>three</p>", "one\ngo\ntwo\nthree"), ("<p>a</p><svg><p>b", "a\nb"), ("a<br>b<wbr>c", "a bc"),
+        ("<p>x <math>y</math> <noscript>z</noscript></p>", "x y\nz"), ("<nav>menu<p>text", "menu\ntext"), ("<p>a<textarea>b", "a"), ("<p>a<button>b</button>c</p>", "a\nc"),
+        ("</div></p><p>a</b></p>", "a"), ("<object>o</object><select><option>s</select>", "o"),
+        ("<article><p>x</p><div class=alert>w</div><div class=legal-history>l</div><p class=related-work>r</p><div class=ad>buy</div></article>", "x\nw\nl\nr"),
+    ):
+        assert extracted([page]) == [text], page
+    notice = [f"<article><p>x {k}</p><div class=alert>the same alert</div></article>" for k in range(4)]
+    assert extracted(notice) == [f"x {k}" for k in range(4)]
+
+
+def test_deep_and_wide_pages():
+    for page in ("<div>" * 100_000 + "x", "<div><p>x" * 30_000, "<div><b><p>x</p></i></b></div></div>" * 20_000):
+        assert extracted([page])[0].split() == ["x"] * page.count("x")
+    wide = ["".join(f"<div class=c{chr(97 + (k * 7 + j) % 26)}{chr(97 + j % 26)}x>t{k}{j}</div><p>u</p>" for j in range(300)) for k in range(4)]
+    w = wrappers.shape(wide[0])
+    for p in wide[1:]:
+        w = wrappers.align(w, wrappers.shape(p))
+    assert len(w[4]) <= wrappers.WIDE
+    assert [t.count("t") for t in extracted(wide)] == [300] * 4
+
+
 def test_extraction_of_the_pages(spark, sf_dir):
     import html as entities
 
