@@ -4,10 +4,12 @@ Documents are tokenized where they lie; only slim rows (id, piece, length,
 checksum) go on.  Best-fit decreasing then runs over the counts of each length,
 at most ``SEQUENCE`` of them, not over documents: a run of equal sequences is one
 entry of the plan however many sequences it stands for.  Pieces take the planned
-places by their rank within their length.  Ranks are counted in ``SALTS`` parts
-of each length, so one common length is no single task.
+places by their rank within their length.  Ranks are counted in parts of about
+``PART_ROWS`` pieces of a length, so one common length is no single task; pieces that
+fill a sequence take one each and need no rank.
 
-Defined cases: a null text is empty and has one token, the id 0 at its end;
+Defined cases: a null text is empty and has one token, the id 0 at its end; the
+tokenizer's special strings in a text are their ids, as the plain call gives them;
 equal lengths are ranked by doc_id (nulls first) and piece, repeated rows follow
 one another; an empty table gives no rows; other columns are ignored.
 """
@@ -15,8 +17,9 @@ one another; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,31 +32,32 @@ from .shared import ship_package, stored
 SEQUENCE = 2048
 #: The id that ends every document.
 END = 0
-#: Parts that the pieces of one length are ranked in.
-SALTS = 64
-#: Files of the public tokenizer: the same vocabulary in two formats.
-RANKS = "byte_bpe_50k.tiktoken"
+#: Pieces of one length that are ranked together, on the mean.
+PART_ROWS = 500_000
+#: Files of the public tokenizer: the same vocabulary in two formats; only the first names the special strings.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict = {}
 
 
-def encoder(file: str = RANKS):
-    """The byte-level BPE of ``byte_bpe_50k.json``, read from its rank file.
+def encoder(file: str = TOKENIZER, ranks: str = RANKS) -> Callable[[str], list[int]]:
+    """Texts to ids as ``tokenizers`` gives them for ``file`` (without added ids at the ends).
 
-    Both files hold one vocabulary and give equal ids (a test compares them);
-    this form is five times faster on words that are not in the vocabulary.
+    The rank file holds the vocabulary of ``file`` and gives equal ids (a test compares
+    them); it is five times faster on words that are not in the vocabulary.
     """
     if file not in _encoders:
         import public_tokenizers
         import tiktoken
 
-        path = file if "/" in file else public_tokenizers.path(file)
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[file] = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
+        named = [f if "/" in f else public_tokenizers.path(f) for f in (file, ranks)]
+        with open(named[0], encoding="utf-8") as text:
+            special = {t["content"]: t["id"] for t in json.load(text)["added_tokens"]}
+        with open(named[1], "rb") as lines:
+            order = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        made = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order, special_tokens=special)
+        _encoders[file] = lambda text: made.encode(text, allowed_special="all", disallowed_special=())
     return _encoders[file]
 
 
@@ -70,11 +74,11 @@ def piece_rows(doc_id: int | None, ids: np.ndarray, size: int) -> list[tuple]:
     ]
 
 
-def tokenized_pieces(docs: DataFrame, file: str = RANKS, size: int = SEQUENCE) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, file: str = TOKENIZER, size: int = SEQUENCE) -> DataFrame:
     """Pieces of all documents, in the schema ``PIECES``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(file).encode_ordinary
+        encode = encoder(file)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -133,19 +137,25 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """Adds ``sequence_id, offset`` to rows of ``PIECES``."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    whole = pieces.filter(F.col("length") == size).select(
+        "*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    pieces = pieces.filter(F.col("length") < size)
     # at most `size` lengths, whatever the input
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.createDataFrame(
         plan(histogram, size) or [(0, 0, 0, 0, 0)],
         "length long, first_rank long, ranks long, first_sequence long, offset long",
     )
+    parts = spark.createDataFrame([(n, k // PART_ROWS + 1) for n, k in histogram.items()] or [(0, 1)], "length long, parts long")
+    pieces = pieces.join(F.broadcast(parts), "length")
+    pieces = pieces.withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece), parts)")).drop("parts")
+    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select(
         "length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("rank_start")
     )
     within = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    # starts has `size` times SALTS rows at most and the plan a few for each length: both bounded by parameters
+    # starts has a row for each length and PART_ROWS pieces, the plan a few for each length
     ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(starts), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank_start") + F.col("r")).drop("salt", "r", "rank_start")
     p = F.broadcast(places.alias("p"))
@@ -154,14 +164,15 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         & (F.col("d.rank") >= F.col("p.first_rank"))
         & (F.col("d.rank") < F.col("p.first_rank") + F.col("p.ranks"))
     )
-    return ranked.alias("d").join(p, on).select(
+    placed = ranked.alias("d").join(p, on).select(
         *[F.col(f"d.{c}") for c in ("doc_id", "piece", "start", "length", "ids_crc32")],
         (F.col("p.first_sequence") + F.col("d.rank") - F.col("p.first_rank")).alias("sequence_id"),
         F.col("p.offset").alias("offset"),
     )
+    return placed.unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE, file: str = RANKS) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, file: str = TOKENIZER) -> DataFrame:
     """Pieces of all documents with their places; tokenized once."""
     return pack(stored(tokenized_pieces(docs, file, size), "pieces"), size)
 

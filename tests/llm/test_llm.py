@@ -532,12 +532,23 @@ def test_packing_plan():
             assert len(used) == plain_best_fit([n for n, c in h.items() for _ in range(c)], size)
 
 
+def test_packing_in_parts(docs, monkeypatch):
+    """Lengths ranked in many parts take the same number of sequences."""
+    monkeypatch.setattr(packing, "PART_ROWS", 3)
+    got = packing.pack_documents(docs.select("doc_id", F.substring("text", 1, 40).alias("text"))).collect()
+    assert len(got) == docs.count() and len({r.sequence_id for r in got}) == plain_best_fit([r.length for r in got], 2048)
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(v)[:j]) for v in places.values() for j, (o, _) in enumerate(sorted(v)))
+
+
 def test_packing(odd, empty, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert packing.encoder()("x <|endoftext|> y") == t.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
     import numpy as np
 
     for df in (docs, odd):
