@@ -55,29 +55,61 @@ CACHE = 6_000_000
 BLOCK = 2_000_000
 #: How much lower than the worst piece an uncovered character scores.
 UNKNOWN = 10.0
-#: Texts between certain cuts; a line's end is one piece in any segmentation.
-WORD = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Texts between certain cuts where blanks follow one another.
+WORD = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 _coders: dict = {}
+_decoders: dict = {}
+
+
+def _model(file: str):
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=file if "/" in file else public_tokenizers.path(file))
+
+
+class Words(dict):
+    """Numbers of words; a new one gets the next number and is listed in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Decoder:
+    """The plain text of each id, in UTF-8."""
+
+    def __init__(self, file: str = MODEL):
+        m = _model(file)
+        raw = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(m.get_piece_size())]
+        self.count = np.array([len(r) for r in raw])
+        self.first = np.cumsum(self.count) - self.count
+        self.pool = np.frombuffer(b"".join(raw), np.uint8)
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of runs of ids, a blank in front where the ids have one."""
+        counts = self.count[ids]
+        ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        data = self.pool[ragged(self.first[ids], counts)]
+        return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
 
 
 class Coder:
     """Scores, ids and the segmentation of short texts."""
 
     def __init__(self, file: str = MODEL):
-        import public_tokenizers
-        import sentencepiece
-
-        m = sentencepiece.SentencePieceProcessor(model_file=file if "/" in file else public_tokenizers.path(file))
+        m = _model(file)
         every = range(m.get_piece_size())
         self.names = [m.id_to_piece(i) for i in every]
         plain = [i for i in every if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.ids = {self.names[i]: i for i in plain}
         self.scores = {self.names[i]: m.get_score(i) for i in plain}
         self.bytes = {int(self.names[i][3:5], 16): i for i in every if m.is_byte(i)}
-        self.raw = [p.encode("utf-8", "surrogatepass") for p in self.names]
-        for b, i in self.bytes.items():
-            self.raw[i] = bytes([b])
         self.longest = max(map(len, self.ids))
         # every beginning of a piece, with its score if it is one
         self.begins: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.scores
@@ -130,7 +162,7 @@ class Coder:
 
     def forget(self) -> None:
         """Drops the words met so far."""
-        self.known: dict[str, int] = {}
+        self.known = Words()
         self.held = 0
         self.pool, self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -166,7 +198,7 @@ class Coder:
         size = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
         score = np.where(node >= 0, self.score_at[node], self.bare)
         place = start - begin[word_of[start]]
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.int16) if sizes.max() < 2**15 else place, kind="stable")
         start, node, size, score = start[order], node[order], size[order], score[order]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=1))])
         # a word has one cell more than characters
@@ -204,30 +236,40 @@ class Coder:
         counts = np.bincount(word_of[start[chosen]], weights=many, minlength=len(words)).astype(np.int64)
         return pool[ragged(first, many)], counts
 
+    @staticmethod
+    def units(marked: str) -> list:
+        """Parts between certain cuts: a word stands for itself behind a mark, a tuple for any other part."""
+        if not marked:
+            return []
+        if MARK * 2 in marked or marked.endswith(MARK):
+            return [w[1:] if w[0] == MARK and MARK not in w[1:] and len(w) > 1 else (w,) for w in WORD.findall(marked)]
+        words: list = marked.split(MARK)
+        if words[0]:
+            words[0] = (words[0],)
+        else:
+            del words[0]
+        return words
+
     def encode(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose ends are cuts, one after another, and their numbers."""
-        lists = [WORD.findall(t) for t in marked]
         if self.held > CACHE:
             self.forget()
         known = self.known
-        fresh = [w for w in set().union(*lists) if w not in known]
-        if fresh:
-            ids, counts = self.segment(fresh)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
-            self.pool = np.concatenate([self.pool, ids])
-            self.held += sum(map(len, fresh))
+        lists = [self.units(t) for t in marked]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         words = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+        if known.fresh:
+            fresh = [MARK + w if isinstance(w, str) else w[0] for w in known.fresh]
+            known.fresh.clear()
+            ids, many = self.segment(fresh)
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(many) - many])
+            self.count = np.concatenate([self.count, many])
+            self.pool = np.concatenate([self.pool, ids])
+            self.held += sum(map(len, fresh))
         counts = self.count[words]
         upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)] if len(lists) else np.empty(0, np.int64)
         return self.pool[ragged(self.first[words], counts)], np.diff(upto, prepend=0)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The marked text of ids, in UTF-8."""
-        return b"".join(map(self.raw.__getitem__, ids))
-
     def matrix(self, text: str, size: int) -> np.ndarray:
         """Best scores from each entry state of a chunk to each exit state, up to a common constant.
 
@@ -446,13 +488,17 @@ def decode_ids(rows: DataFrame, file: str = MODEL) -> DataFrame:
     ids, chunk = rows.columns.index("ids"), rows.columns.index("chunk")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(file)
+        if file not in _decoders:
+            _decoders[file] = Decoder(file)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                some = batch.slice(low, 500)
-                pairs = zip(some.column(ids), some.column(chunk).to_pylist(), strict=True)
-                texts = [unmarked(c.decode(x.values.to_pylist() if x.is_valid else []).decode("utf-8", "surrogatepass"), k == 0) for x, k in pairs]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, "text"])
+            for low in range(0, batch.num_rows, 200):
+                some = batch.slice(low, 200)
+                lists = some.column(ids)
+                bounds = lists.offsets.to_numpy()
+                texts = _decoders[file].texts(lists.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0])
+                # the first chunk has the mark in front
+                texts = pc.if_else(pc.equal(some.column(chunk), 0), pc.utf8_slice_codeunits(texts, 1), texts)
+                yield pa.RecordBatch.from_arrays([*some.columns, texts.cast(pa.string())], names=[*some.schema.names, "text"])
 
     return rows.mapInArrow(decode, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
