@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ship_package, stored
+from .shared import fresh_name, ship_package, stored
 
 #: Linked if 100 * intersection >= PERCENT * union.
 N, PERCENT = 3, 90
@@ -453,17 +453,28 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id; all its columns stay.
 
-    Rows without ``doc_id`` stay.  Of repeated rows with one id one stays.
+    Rows without ``doc_id`` stay.  Rows that share an id are documents of their own if
+    their texts differ; of rows with equal id and text one stays.
     """
-    found = stored(jaccard_components(docs, n, percent), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = only(docs, stored(gone, "gone"), "left_anti")
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    twice = stored(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if twice.isEmpty():
-        return kept
-    repeated = F.broadcast(twice.select("doc_id")) if twice.count() <= SMALL else twice.select("doc_id")
-    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(first)
+        found = stored(jaccard_components(docs, n, percent), "components")
+        gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+        return only(docs, stored(gone, "gone"), "left_anti")
+    # rows of a repeated id are named by a hash of id and text instead
+    key, own = fresh_name(docs, "node"), F.col("doc_id").cast("long")
+    digest = F.xxhash64(own, F.coalesce("text", F.lit("")))
+    repeated = only(docs, twice, "left_semi").withColumn(key, digest).dropDuplicates([key])
+    single = only(docs, twice, "left_anti").withColumn(key, own)
+    every = stored(single.unionByName(repeated), "named")
+    found = stored(jaccard_components(every.select(F.col(key).alias("doc_id"), "text"), n, percent).distinct(), "components")
+    names = every.filter(F.col(key).isNotNull()).select(F.col(key).alias("node"), own.alias("id"))
+    linked = found.join(found.groupBy("component_id").count().filter("count > 1").select("component_id"), "component_id")
+    ranked = linked.select(F.col("doc_id").alias("node"), "component_id").join(names, "node")
+    least = ranked.groupBy("component_id").agg(F.min(F.struct("id", "node")).alias("first")).select("component_id", "first.node")
+    gone = stored(ranked.select("node").join(least.select("node"), "node", "left_anti").withColumnRenamed("node", key), "gone")
+    return only(every, gone, "left_anti", key).select(*docs.columns)
 
 
 def op5_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

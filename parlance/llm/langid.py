@@ -8,18 +8,26 @@ a bounded sample of labelled documents, ``SAMPLE`` of each language at most.
 Words are maximal runs of letters, in lower case; pieces never cross a blank, so
 a text's log likelihood is the sum over its words, and each distinct word is
 scored once for a task.  The score is the posterior of the best language under
-equal priors.
+equal priors.  A text in no learned language has a high posterior too, so
+:func:`likelihood_floors` tells how likely a letter of a text is at least, by what
+the sample shows for each language.
+
+A letter is what ``str.isalpha`` says (the Unicode categories L), in fitting and in
+prediction alike.  What the driver gets for fitting are the sample's word counts; they
+grow with its documents' lengths and the number of languages, not with the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text if there is no labelled row to learn from; equal posteriors go to
 the first language in alphabetical order; letters outside the vocabulary have a
 fixed small probability; the prediction depends on the text only; an empty table
-gives no rows; extra columns are kept by :func:`identify` as they are.
+gives no rows; extra columns are kept by :func:`identify` as they are, but those that
+have the names of its results, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,24 +37,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship_package
+from .shared import ship_package, stored
 
 #: Labelled documents of a language that piece probabilities are fitted on.
 SAMPLE = 400
 #: Parts of a language that the sample is first taken in.
 PARTS = 64
+#: Rows up to which the ids of the sample are broadcast.
+SMALL = 1_000_000
 ROUNDS = 4
 SMOOTH = 0.1
 #: Probability of a letter that no piece covers.
 UNKNOWN = 1e-7
 VOCABULARY = "piece_bpe_32k.model"
-#: Distinct words that a task keeps scores for at a time.
-CACHE = 300_000
+#: Characters of the distinct words that a task keeps scores for at a time.
+CACHE = 4_000_000
+#: Letters of a word beyond which sums of its segmentations are taken as logarithms.
+LINEAR = 64
+#: Words of one length that are segmented together have so many characters at most (or are one word).
+CELLS = 1 << 19
+#: Nats below the lowest likelihood of a letter (but for one text in a hundred) that still count as the language.
+MARGIN = 1.0
 #: Rows whose new words are scored together.
 BLOCK = 500
 SPACE = "▁"
 BASE = np.uint64(1_099_511_628_211)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, and numbers that are no digits: those are taken out afterwards.
+NEARLY = re.compile(r"[^\W\d_]+")
+
+
+def words(text: str | None) -> list[str]:
+    """Maximal runs of letters, in lower case."""
+    found = NEARLY.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def vocabulary(file: str = VOCABULARY) -> list[str]:
@@ -136,8 +161,9 @@ def by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
     for k, w in enumerate(words):
         places.setdefault(len(w), []).append(k)
     for at in places.values():
-        for k in range(0, len(at), 4096):
-            part = at[k : k + 4096]
+        most = max(1, min(4096, CELLS // (len(words[at[0]]) + 1)))
+        for k in range(0, len(at), most):
+            part = at[k : k + most]
             yield part, _codes([SPACE + words[j] for j in part])
 
 
@@ -150,6 +176,33 @@ def log_likelihood(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarra
     return out
 
 
+def _expect_long(pieces: Pieces, codes: np.ndarray, p: np.ndarray, weight: np.ndarray, expected: np.ndarray) -> None:
+    """Adds the expected piece counts of long words, by logarithms of the sums."""
+    m, n = codes.shape
+    logs = np.log(p)
+    steps: dict[int, list] = {}
+    covered = np.zeros((n, m), dtype=bool)
+    for start, length, rows, ids in pieces.matches(codes):
+        steps.setdefault(start, []).append((length, rows, ids))
+        covered[start, rows] |= length == 1
+    alpha, beta = np.full((n + 1, m, p.shape[1]), -np.inf), np.full((n + 1, m, p.shape[1]), -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for start in range(n):
+        for length, rows, ids in steps.get(start, ()):
+            alpha[start + length, rows] = np.logaddexp(alpha[start + length, rows], alpha[start, rows] + logs[ids])
+        bare = np.flatnonzero(~covered[start])
+        alpha[start + 1, bare] = np.logaddexp(alpha[start + 1, bare], alpha[start, bare] + np.log(UNKNOWN))
+    for start in reversed(range(n)):
+        for length, rows, ids in steps.get(start, ()):
+            beta[start, rows] = np.logaddexp(beta[start, rows], logs[ids] + beta[start + length, rows])
+        bare = np.flatnonzero(~covered[start])
+        beta[start, bare] = np.logaddexp(beta[start, bare], np.log(UNKNOWN) + beta[start + 1, bare])
+        for length, rows, ids in steps.get(start, ()):
+            got = np.exp(alpha[start, rows] + logs[ids] + beta[start + length, rows] - alpha[n, rows]) * weight[rows]
+            for k in range(p.shape[1]):
+                np.add.at(expected[:, k], ids, got[:, k])
+
+
 def fit(pieces: Pieces, counts: list[tuple[str, str, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and piece probabilities (piece, language), from word counts."""
     langs = sorted({lang for lang, _, _ in counts})
@@ -162,7 +215,8 @@ def fit(pieces: Pieces, counts: list[tuple[str, str, int]], rounds: int = ROUNDS
     for _ in range(rounds if words else 0):
         expected = np.full_like(p, SMOOTH)
         for part, codes in by_length(words):
-            if codes.shape[1] > 64:  # sums of so long words need scaling; they add next to nothing
+            if codes.shape[1] > LINEAR:
+                _expect_long(pieces, codes, p, weight[part], expected)
                 continue
             n = codes.shape[1]
             alpha, beta = np.zeros((n + 1, len(part), len(langs))), np.zeros((n + 1, len(part), len(langs)))
@@ -199,30 +253,60 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, file: str = VOCABULARY) -> dict:
-    """The model: vocabulary, languages, probabilities.
-
-    The sample is taken by a hash of the id, ``sample`` rows of each language at
-    most; its word counts are what the driver gets.
-    """
+def sample_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, lang, text``: ``sample`` labelled rows of each language at most, by a hash of the id."""
     chosen = training_rows(docs.select("doc_id", "lang")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
     for parts in (["lang", "part"], ["lang"]):  # a language may hold most rows, so first within parts of it
         rank = F.row_number().over(W.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id"))
         chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= sample)
-    rows = training_rows(docs.select("doc_id", "lang", "text")).join(
-        F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"
-    )
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    counts = rows.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    chosen = stored(chosen.select("doc_id").distinct(), "sample")
+    ids = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
+    return training_rows(docs.select("doc_id", "lang", "text")).join(ids, "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, file: str = VOCABULARY, rows: DataFrame | None = None) -> dict:
+    """The model: vocabulary, languages, probabilities, from the word counts of the sample.
+
+    ``rows`` is the sample if it is there already.
+    """
+    ship_package(docs.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter(
+                (lang, w) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for w in words(text)
+            )
+            langs, names = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"]
+            )
+
+    rows = sample_rows(docs, sample) if rows is None else rows
+    counts = rows.select("lang", "text").mapInArrow(counted, "lang string, word string, n long")
     vocab = vocabulary(file)
-    langs, p = fit(Pieces(vocab), [tuple(r) for r in counts.collect()])
+    langs, p = fit(Pieces(vocab), [tuple(r) for r in counts.groupBy("lang", "word").agg(F.sum("n")).collect()])
     return {"vocabulary": vocab, "langs": langs, "p": p}
 
 
-def identify(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with two more columns: the language and its posterior."""
+def likelihood_floors(rows: DataFrame, model: dict) -> dict[str, float]:
+    """For each language, the least log likelihood of a letter, on the mean of a text.
+
+    It lies ``MARGIN`` below that of all but one in a hundred of the sample's texts, ``rows``.
+    """
+    found = identify(rows.select("text"), model, ("lang_pred", "score", "letter"))
+    lows = found.filter("letter is not null").groupBy("lang_pred").agg(F.percentile("letter", F.lit(0.01)).alias("low"))
+    return {r["lang_pred"]: r["low"] - MARGIN for r in lows.collect()}
+
+
+def identify(docs: DataFrame, model: dict, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with more columns: the language and its posterior.
+
+    A third name gets the mean log likelihood of a letter in that language (null
+    without one).
+    """
     spark = docs.sparkSession
     ship_package(spark)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in names}])
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -230,35 +314,37 @@ def identify(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred"
         m = shared.value
         langs, p, pieces = m["langs"], m["p"], Pieces(m["vocabulary"])
         known: dict[str, int] = {}
-        scores = np.empty((0, len(langs)))
+        scores, held = np.empty((0, len(langs))), 0
         for batch in batches:
             preds: list[str] = []
             posts: list[float] = []
+            letters: list[float | None] = []
             for low in range(0, batch.num_rows, BLOCK):
-                texts = [LETTERS.findall((t or "").lower()) for t in batch.column(at).slice(low, BLOCK).to_pylist()]
-                if len(known) > CACHE:
-                    known, scores = {}, np.empty((0, len(langs)))
+                texts = [words(t) for t in batch.column(at).slice(low, BLOCK).to_pylist()]
+                if held > CACHE:
+                    known, scores, held = {}, np.empty((0, len(langs))), 0
                 if langs:
-                    fresh = list(dict.fromkeys(w for words in texts for w in words if w not in known))
+                    fresh = [w for w in set().union(*texts) if w not in known]
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+                    held += sum(map(len, fresh))
                     if fresh:
                         scores = np.concatenate([scores, log_likelihood(pieces, p, fresh)])
-                for words in texts:
-                    if not words or not langs:
+                for found in texts:
+                    if not found or not langs:
                         preds.append("und")
                         posts.append(0.0)
+                        letters.append(None)
                         continue
-                    total = scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                    total = scores[np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)
                     best = int(total.argmax())
                     preds.append(langs[best])
                     posts.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(preds, pa.string()), pa.array(posts, pa.float64())],
-                names=[*batch.schema.names, *names],
-            )
+                    letters.append(float(total[best]) / sum(map(len, found)))
+            added = [pa.array(preds, pa.string()), pa.array(posts, pa.float64()), pa.array(letters, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added[: len(names)]], names=[*batch.schema.names, *names])
 
-    kinds = (T.StringType(), T.DoubleType())
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]])
     return docs.mapInArrow(predict, schema)
 
 

@@ -12,7 +12,7 @@ expression, so a rule is evaluated only for rows that all earlier ones let pass.
 Defined cases: a null or empty text has no words and fails the base; ties in
 rejection per cost keep the order in ``RULES``; an empty table gives no rows and
 the written order; extra columns are kept by :func:`kept_documents`, whatever
-their names, because working columns live in one struct with a name of its own.
+their names, because working columns take names that the table lacks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, words_of
+from .shared import BLANKS, fresh_name, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -73,29 +73,30 @@ def _repeat_words(pairs: Column) -> Column:
 def with_counts(docs: DataFrame, at: str = "quality__") -> DataFrame:
     """Adds the struct ``at`` with the base counts of the column ``text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.withColumn(f"{at}w", words_of(F.col("text")))
-    words = F.col(f"{at}w")
+    w, h, p, lines = (fresh_name(docs, f"{at}{x}") for x in "whpl")
+    step = docs.withColumn(w, words_of(F.col("text")))
+    words = F.col(w)
     step = step.withColumn(
-        f"{at}h",
+        h,
         F.when(
             F.size(words) >= WINDOW,
             F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    step = step.withColumn(f"{at}p", _sorted_pairs(F.col(f"{at}h"), F.size(F.array_distinct(F.col(f"{at}h")))))
-    step = step.withColumn(f"{at}l", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    step = step.withColumn(p, _sorted_pairs(F.col(h), F.size(F.array_distinct(F.col(h)))))
+    step = step.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counts = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(f"{at}l") - F.size(F.array_distinct(f"{at}l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col(f"{at}p")).alias("n_repeat_words"),
-        F.size(f"{at}l").cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(p)).alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
         # not deterministic: else the optimizer moves filters on counts below the
         # columns that they are made of, and evaluates those once for each use
         F.monotonically_increasing_id().alias("row"),
     )
-    return step.withColumn(at, counts).drop(*[f"{at}{x}" for x in "whpl"])
+    return step.withColumn(at, counts).drop(w, h, p, lines)
 
 
 def base_failed(c: Column) -> Column:
@@ -158,8 +159,9 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that no rule rejects, with the columns they came with."""
     order = [name for name, _, _ in cascade_order(docs)]
     text = F.coalesce(F.col("text"), F.lit(""))
-    c = F.col("quality__")
-    return with_counts(docs).filter((c["row"] >= 0) & failed_rule(text, c, order).isNull()).drop("quality__")
+    at = fresh_name(docs, "quality__")
+    c = F.col(at)
+    return with_counts(docs, at).filter((c["row"] >= 0) & failed_rule(text, c, order).isNull()).drop(at)
 
 
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

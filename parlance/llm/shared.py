@@ -49,6 +49,14 @@ def ship_package(spark: SparkSession) -> None:
         context._parlance_shipped = True
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words of ``text``: maximal runs of anything but blanks; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

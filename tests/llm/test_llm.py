@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -29,7 +30,7 @@ ODD = [
 def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
     # clashing names: columns that operators use inside or return
-    return df.withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(1), "slot": F.lit("x"), "quality__x": F.lit(0)}).cache()
+    return df.withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(1), "slot": F.lit("x"), "quality__": F.lit(0), "quality__w": F.lit(7), "Quality__P": F.lit(8), "language_pred": F.lit(9), "node": F.lit(3)}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -120,7 +121,8 @@ def test_quality_order_and_columns(odd, empty):
     order = quality.cascade_order(odd)
     assert {n for n, _, _ in order} == set(quality.RULES) and all(a[2] / a[1] >= b[2] / b[1] for a, b in zip(order, order[1:]))
     kept = quality.kept_documents(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {9, 10} and quality.kept_documents(empty).count() == 0
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {9, 10}
+    assert {(r["quality__"], r["quality__w"], r["Quality__P"]) for r in kept.collect()} == {(0, 7, 8)} and quality.kept_documents(empty).count() == 0
 
 
 def test_pieces_whole_document(spark):
@@ -282,10 +284,18 @@ def test_jaccard_tolerant_segments(spark, monkeypatch):
 def test_one_of_each(odd, empty):
     kept = jaccard.one_of_each(odd)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert kept.columns == odd.columns and ids == [1, 2, 3, 4, 6, 7, 9, 12, 13, 14] and kept.filter("doc_id is null").count() == 2
+    assert kept.columns == odd.columns and ids == [1, 2, 3, 4, 6, 7, 9, 12, 12, 13, 14] and {r.node for r in kept.collect()} == {3} and kept.filter("doc_id is null").count() == 2
     assert jaccard.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """Rows of one id are told apart by their texts, also where those have copies elsewhere."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, b), (8, a), (9, c), (None, a), (6, a + " end"), (7, None), (7, None)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert Counter(map(tuple, kept)) == Counter([(5, a), (3, b), (9, c), (None, a), (7, None)])
+
+
 PAGES = [
     (5, "u", "x" * 200), (5, "u", "x" * 200), (9, None, "x" * 200), (11, "a\r\nb", None), (None, "q", "x" * 200),
     (12, "q", "WARC/1.1\r\n\r\n\r\n" * 20), (13, "q", "WARC/1.1\r\n\r\n\r\n" * 20), (14, "s", "é" * 49), (15, "s", "é" * 49), (16, "s", ""),
@@ -600,30 +610,82 @@ def test_languages(spark, sf_dir, odd, empty, docs):
     out = langid.identify(odd, model, ("p__", "s__"))
     assert out.columns == [*odd.columns, "p__", "s__"]
     for r in out.collect():
-        has = bool(langid.LETTERS.search(r.text or ""))
+        has = any(unicodedata.category(x)[0] == "L" for x in r.text or "")
         assert (r["p__"] in model["langs"]) == has and (r["p__"] == "und") == (not has) and 0 <= r["s__"] <= 1
     assert langid.identify(empty, model).count() == 0
     untaught = langid.train(empty)
-    assert {r.lang_pred for r in langid.identify(odd.drop("score"), untaught).collect()} == {"und"}
+    found = langid.identify(odd, untaught)
+    assert {r.lang_pred for r in found.collect()} == {"und"} and sorted(found.columns) == sorted([*odd.columns, "lang_pred"])
+    marks = spark.createDataFrame([("\u00b2 \u00bd \u2460 \u2167 7 _",), ("x\u00b2y \u2167",)], "text string")
+    assert [r.lang_pred == "und" for r in langid.identify(marks, model).collect()] == [True, False]
+    assert langid.words("x\u00b2Y \u2167 \u00e9a_b1c") == ["x", "y", "\u00e9a", "b", "c"]
+
+
+def test_fitting_counts_all_segmentations(monkeypatch):
+    """One round of expectation maximisation against sums over enumerated segmentations."""
+    import numpy as np
+
+    vocab = ["\u2581", "\u2581a", "a", "b", "ab", "ba", "\u2581ab", "abb"]
+    counts = [("x", "abba", 3), ("x", "ab", 2), ("y", "bab", 1), ("y", "aqb", 2), ("x", "abbaabab", 1)]
+
+    def ways(word):
+        if not word:
+            yield ()
+        for k, v in enumerate(vocab):
+            if word.startswith(v):
+                yield from ((k, *rest) for rest in ways(word[len(v) :]))
+        if word and word[0] not in vocab:
+            yield from ((None, *rest) for rest in ways(word[1:]))
+
+    want = np.full((len(vocab), 2), langid.SMOOTH)
+    share = lambda way: np.prod([langid.UNKNOWN if k is None else 1 / len(vocab) for k in way])
+    for lang, word, n in counts:
+        every = list(ways("\u2581" + word))
+        total = sum(map(share, every))
+        for way in every:
+            for k in way:
+                if k is not None:
+                    want[k, "xy".index(lang)] += n * share(way) / total
+    for linear in (64, 0):  # sums as they are, and as logarithms
+        monkeypatch.setattr(langid, "LINEAR", linear)
+        langs, p = langid.fit(langid.Pieces(vocab), counts, 1)
+        assert langs == ["x", "y"] and np.allclose(p, want / want.sum(axis=0))
+    langs, p = langid.fit(langid.Pieces(vocab), [("x", "ab" * 400, 1)], 2)
+    assert np.isfinite(p).all() and p[vocab.index("ab"), 0] > p[vocab.index("abb"), 0]
 
 
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline as c
 
     got = c.run(spark, sf_dir).collect()
+    rows = langid.sample_rows(docs)
     model = langid.train(docs)
-    lang = {(r.doc_id): r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    floors = langid.likelihood_floors(rows, model)
+    known = langid.identify(docs.select("doc_id", "text"), model, ("pred", "score", "letter")).collect()
+    ids = {r.doc_id for r in known if r.pred != "und" and r.score >= c.LEAST_SCORE and r.letter >= floors[r.pred]}
+    assert {r.doc_id for r in c.language(spark, docs, sf_dir).collect()} == ids and len(ids) > 0.9 * len(known)
     ok = {r.doc_id for r in quality.op2_quality_cascade(spark, sf_dir).filter("kept").collect()}
-    left = [(r.doc_id, r.text) for r in docs.collect() if lang[r.doc_id] != "und" and r.doc_id in ok]
+    left = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in ids and r.doc_id in ok]
     near = brute_components(left, c.SHINGLE_WORDS, c.SIMILAR_PERCENT)
     assert {r.doc_id for r in got} == {i for i, root in near.items() if i == root}
     assert [n for n, _ in c.STAGES] == ["language", "quality", "near_copies", "packing"]
 
 
+def test_language_stage_rejects_gibberish(spark, docs):
+    """Texts of letters in no learned language go; clean ones of the learned languages stay."""
+    import corpus_pipeline as c
+
+    rng = random.Random(4)
+    strange = [" ".join("".join(rng.choice("qxzjkvw") for _ in range(7)) for _ in range(60)), "漢字仮名交じり文の例です " * 20, "?!? 123"]
+    added = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id for r in c.language(spark, docs.unionByName(added), "").collect()}
+    assert not kept & {10**9 + k for k in range(3)} and len(kept) >= 0.97 * docs.filter("length(text) > 40").count()
+
+
 def test_pipeline_odd(spark, odd, empty):
     import corpus_pipeline as c
 
-    for df in (odd.drop("score"), empty.drop("score")):
+    for df in (odd, empty):
         for _, stage in c.STAGES[:-1]:
             out = stage(spark, df, "")
             assert out.columns == df.columns
