@@ -38,7 +38,10 @@ RULE, VERDICT = _rules()
 TWO = ", ".join(f"'{x}'" for x in urls.TWO_PART)
 NAME = r"regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '')"
 
-HOSTS = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+#: Steps of the continued fraction; it needs about the root of the largest count.
+STEPS = 600
+
+HOSTS = f"""WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
  o AS (SELECT host, coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 AS bad FROM p JOIN labels ON page_id = doc_id),
  h AS (SELECT host, coalesce(n, 0) AS n, coalesce(b, 0) AS bad, string_split({NAME}, '.') AS parts FROM (SELECT DISTINCT host FROM p) LEFT JOIN (SELECT host, count(*) AS n, count(*) FILTER (WHERE bad) AS b FROM o GROUP BY host) USING (host)),
@@ -48,5 +51,12 @@ HOSTS = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''
  suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY 1),
  a AS (SELECT suffix, (bad + m * s) / (n + s) AS mean FROM suffixes, {_strength('suffixes')}),
  b AS (SELECT domain, (bad + mean * s) / (n + s) AS mean FROM domains JOIN a USING (suffix), {_strength('domains')}),
- c AS (SELECT host AS named, (bad + mean * s) / (n + s) AS mean, n + s + 1 AS size FROM hosts JOIN b USING (domain), {_strength('hosts')})
-SELECT page_id, host, path, {RULE} AS rule, coalesce({VERDICT}, CASE WHEN mean - {urls.Z} * sqrt(mean * (1 - mean) / size) > {urls.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS host_bad FROM p JOIN c ON host = named"""
+ c AS (SELECT host AS named, (bad + mean * s) / (n + s) AS mean, n + s AS size FROM hosts JOIN b USING (domain), {_strength('hosts')}),
+ x AS (SELECT {urls.LIFT} * sum(bad) / sum(n) AS x FROM hosts),
+ e AS (SELECT *, greatest(mean * size, 1e-9) AS a, greatest((1 - mean) * size, 1e-9) AS b FROM c, x),
+ t AS (SELECT named, x > (a + 1) / (a + b + 2) AS turned, CASE WHEN turned THEN b ELSE a END AS p, CASE WHEN turned THEN a ELSE b END AS q, CASE WHEN turned THEN 1 - x ELSE x END AS z FROM e WHERE x > 0 AND x < 1),
+ f AS (SELECT *, 0 AS k, 1::DOUBLE AS c, 1 / (1 - (p + q) * z / (p + 1)) AS d, d AS h FROM t
+  UNION ALL SELECT named, turned, p, q, z, k, c2, d2, h * c1 * d1 * c2 * d2 FROM (SELECT *, 1 / (1 + e2 * d1) AS d2, 1 + e2 / c1 AS c2 FROM (SELECT *, 1 / (1 + e1 * d) AS d1, 1 + e1 / c AS c1 FROM
+   (SELECT named, turned, p, q, z, k + 1 AS k, c, d, h, (k + 1) * (q - k - 1) * z / ((p + 2 * k + 1) * (p + 2 * k + 2)) AS e1, -(p + k + 1) * (p + q + k + 1) * z / ((p + 2 * k + 2) * (p + 2 * k + 3)) AS e2 FROM f WHERE k < {STEPS})))),
+ g AS (SELECT named, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(z) + q * ln(1 - z)) / p * h AS v, CASE WHEN turned THEN v ELSE 1 - v END AS above FROM f WHERE k = {STEPS})
+SELECT page_id, host, path, {RULE} AS rule, coalesce({VERDICT}, CASE WHEN above >= {urls.SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS host_bad FROM p JOIN c ON host = c.named LEFT JOIN g ON host = g.named"""

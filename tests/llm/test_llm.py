@@ -549,8 +549,81 @@ def test_reputation_shrinks(spark):
     df = spark.createDataFrame(rows, "host string, bad boolean")
     hosts = df.select("host").distinct().union(spark.createDataFrame([("new.test.com",)], "host string"))
     got = {r.host: r for r in urls.host_reputation(df, hosts).collect()}
-    assert got["bad.test.com"].bound > urls.MAX_BAD > got["good.test.com"].mean and got["once.test.com"].bound < urls.MAX_BAD
-    assert got["good.test.com"].mean < got["new.test.com"].mean < got["bad.test.com"].mean
+    base = 61 / 121
+    assert got["bad.test.com"].above >= urls.SURE > 0.05 > got["good.test.com"].above and got["once.test.com"].above < urls.SURE
+    assert got["good.test.com"].mean < got["new.test.com"].mean < got["bad.test.com"].mean and got["good.test.com"].mean < base < got["bad.test.com"].mean
+
+
+def test_beta_distribution():
+    """Against sums over a fine grid."""
+    import numpy as np
+
+    for a, b, x in ((2.5, 7.0, 0.3), (40.0, 60.0, 0.5), (1.0, 1.0, 0.25), (300.0, 900.0, 0.27), (5.0, 2.0, 0.9)):
+        grid = (np.arange(200_000) + 0.5) / 200_000
+        weight = np.exp((a - 1) * np.log(grid) + (b - 1) * np.log1p(-grid) - (a - 1) * np.log(a / (a + b)) - (b - 1) * np.log(b / (a + b)))
+        assert urls.beta_below(np.array([a]), np.array([b]), x)[0] == pytest.approx(weight[grid < x].sum() / weight.sum(), abs=1e-4)
+
+
+def test_hosts_are_blocked(spark):
+    """The whole filter against plain Python on hosts that differ, and against its SQL."""
+    import duckdb
+    import numpy as np
+
+    from parlance.llm import oracles
+
+    rng = random.Random(8)
+    share = {f"h{k}.{d}.{s}": q for k in range(6) for d, q in (("fine", 0.05), ("spam", 0.7), ("mixed", 0.1 + 0.15 * k)) for s in ("com", "net", "co.uk")}
+    urls_of = [(k, f"https://{h}/p/{k}") for k, h in enumerate(h for h in share for _ in range(40))] + [(10**6, "https://new.spam.com/x"), (10**6 + 1, None)]
+    outcome = [(k, int(rng.random() >= share[u.split("/")[2]]), 0) for k, u in urls_of[:-2] if rng.random() < 0.8]
+    pages = spark.createDataFrame(urls_of, "page_id long, url string")
+    labels = spark.createDataFrame(outcome, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urls.judge_urls(pages, urls.page_outcomes(labels)).collect()}
+
+    host = {k: u.split("/")[2] if u else "" for k, u in urls_of}
+    domain = {h: ".".join(h.split(".")[1:]) if h not in ("", "new.spam.com") else h[4:] for h in host.values()}
+    suffix = {d: ".".join(d.split(".")[1:]) for d in domain.values()}
+    tally = {h: [0, 0] for h in domain}
+    for k, ok, _ in outcome:
+        tally[host[k]][0] += 1
+        tally[host[k]][1] += 1 - ok
+
+    def summed(of, level):
+        out = defaultdict(lambda: [0, 0])
+        for key, (n, bad) in level.items():
+            out[of[key]][0] += n
+            out[of[key]][1] += bad
+        return out
+
+    domains = summed(domain, tally)
+    suffixes = summed(suffix, domains)
+
+    def strength(level):
+        v = np.array([x for x in level.values() if x[0]], float)
+        n, bad = v[:, 0], v[:, 1]
+        m = bad.sum() / n.sum()
+        scale = m * (1 - m) * ((n.sum() - (n**2).sum() / n.sum()) - (len(n) - 1))
+        rho = ((n * (bad / n - m) ** 2).sum() - m * (1 - m) * (len(n) - 1)) / scale if scale > 0 else urls.RHO[1]
+        return m, 1 / min(max(rho, urls.RHO[0]), urls.RHO[1]) - 1
+
+    m, k0 = strength(suffixes)
+    k1, k2 = strength(domains)[1], strength(tally)[1]
+    base = sum(1 - ok for _, ok, _ in outcome) / len(outcome)
+    blocked = {}
+    for h, (n, bad) in tally.items():
+        d, s = domains[domain[h]], suffixes[suffix[domain[h]]]
+        prior = (d[1] + k1 * (s[1] + k0 * m) / (s[0] + k0)) / (d[0] + k1)
+        mean = (bad + k2 * prior) / (n + k2)
+        draws = np.random.default_rng(1).beta(mean * (n + k2), (1 - mean) * (n + k2), 200_000)
+        blocked[h] = (draws > urls.LIFT * base).mean()
+    for k, h in host.items():
+        if abs(blocked[h] - urls.SURE) > 0.01:
+            assert got[k].verdict == ("block" if blocked[h] >= urls.SURE else "allow"), (h, blocked[h])
+    assert {got[k].verdict for k in host if ".spam." in host[k] and k < 10**6} == {"block"} and {got[k].verdict for k in host if ".fine." in host[k]} == {"allow"}
+
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", labels.toPandas())
+    assert {r[0]: r[4] for r in con.execute(oracles.HOSTS).fetchall()} == {k: r.verdict for k, r in got.items()}
 
 
 def plain_best_fit(lengths, size):
