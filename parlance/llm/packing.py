@@ -4,9 +4,9 @@ Documents are tokenized where they lie; only slim rows (id, piece, length,
 checksum) go on.  Best-fit decreasing then runs over the counts of each length,
 at most ``SEQUENCE`` of them, not over documents: a run of equal sequences is one
 entry of the plan however many sequences it stands for.  Pieces take the planned
-places by their rank within their length.  Ranks are counted in parts of about
-``PART_ROWS`` pieces of a length, so one common length is no single task; pieces that
-fill a sequence take one each and need no rank.
+places by their rank within their length.  Ranks are counted in parts of a length,
+with about a share of one in ``PARTS`` of all pieces, so one common length is no single
+task; pieces that fill a sequence take one each and need no rank.
 
 Defined cases: a null text is empty and has one token, the id 0 at its end; the
 tokenizer's special strings in a text are their ids, as the plain call gives them;
@@ -32,8 +32,8 @@ from .shared import ship_package, stored
 SEQUENCE = 2048
 #: The id that ends every document.
 END = 0
-#: Pieces of one length that are ranked together, on the mean.
-PART_ROWS = 500_000
+#: Parts that all pieces are ranked in, besides one for each length, and their pieces at least.
+PARTS, PART_ROWS = 4096, 256
 #: Files of the public tokenizer: the same vocabulary in two formats; only the first names the special strings.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -147,7 +147,8 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         plan(histogram, size) or [(0, 0, 0, 0, 0)],
         "length long, first_rank long, ranks long, first_sequence long, offset long",
     )
-    parts = spark.createDataFrame([(n, k // PART_ROWS + 1) for n, k in histogram.items()] or [(0, 1)], "length long, parts long")
+    share = max(PART_ROWS, sum(histogram.values()) // PARTS)
+    parts = spark.createDataFrame([(n, k // share + 1) for n, k in histogram.items()] or [(0, 1)], "length long, parts long")
     pieces = pieces.join(F.broadcast(parts), "length")
     pieces = pieces.withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece), parts)")).drop("parts")
     counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -155,7 +156,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         "length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("rank_start")
     )
     within = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    # starts has a row for each length and PART_ROWS pieces, the plan a few for each length
+    # starts has `size` and PARTS rows at most and the plan a few for each length: both bounded by parameters
     ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(starts), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank_start") + F.col("r")).drop("salt", "r", "rank_start")
     p = F.broadcast(places.alias("p"))
