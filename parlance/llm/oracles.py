@@ -13,7 +13,8 @@ QUALITY = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(str
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
  b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
- OR word_chars > 20 * n_words OR 5 * len(regexp_extract_all(t, '[!?]{{2,}}')) > n_words OR 2 * length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) < word_chars) AS kept FROM b"""
+ OR word_chars > 20 * n_words OR 5 * len(regexp_extract_all(t, '[!?]{{2,}}')) > n_words OR 10 * len(regexp_extract_all(t, '(?:^|\\n)[\\x20\\t]*[-*\u2022]')) > 9 * n_lines OR 10 * len(regexp_extract_all(t, '(?:\\.\\.\\.|\u2026)[\\x20\\t]*(?:\\n|$)')) > 3 * n_lines
+ OR 2 * length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) < word_chars) AS kept FROM b"""
 
 REVISITS = """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
  f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)

@@ -1,16 +1,18 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects a document on its own.  A plan for the cascade is made on a
-bounded sample: a rule's cost is the time that its expression adds over the
-sample, its rejection rate the share of sample rows that it rejects, and rules
-run in the order of rejection per cost.  The order decides only how soon work
-stops; the verdict is the same for every order.
+bounded random sample of all rows: a rule's cost is the time that its expression adds
+over the sample, and rules are put in order one after another, each time the one with
+the most rejections per cost among the sample rows that the base and the rules
+before let pass.  The order decides only how soon work stops; the verdict is the same
+for every order.
 
 Columns that the base counts need are computed once; the cascade is one CASE
 expression, so a rule is evaluated only for rows that all earlier ones let pass.
 
 Defined cases: a null or empty text has no words and fails the base; ties in
-rejection per cost keep the order in ``RULES``; an empty table gives no rows and
+rejection per cost keep the order in ``RULES``; a very long text is read whole; repeated
+rows are judged one by one; an empty table gives no rows and
 the written order; extra columns are kept by :func:`kept_documents`, whatever
 their names, because working columns take names that the table lacks.
 """
@@ -23,13 +25,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, fresh_name, words_of
+from .shared import BLANKS, fresh_name, stored, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Rows at most that costs and rejection rates are estimated on.
-SAMPLE_ROWS = 2048
+#: Rows at most that costs and rejection rates are estimated on, and how often a rule is timed on each.
+SAMPLE_ROWS, ROUNDS = 2048, 8
 #: Least cost of a rule: below it, times on the sample tell nothing.
 LEAST_SECONDS = 0.005
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -113,38 +115,51 @@ RULES: dict[str, Callable[[Column, Column], Column]] = {
     "word_length": lambda text, c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"]),
     # runs of exclamation or question marks after every fifth word or more
     "shouting": lambda text, c: 5 * F.regexp_count(text, F.lit(r"[!?]{2,}")) > c["n_words"],
+    # more than nine of ten lines begin with a bullet
+    "bullets": lambda text, c: 10 * F.regexp_count(text, F.lit(r"(?:^|\n)[\x20\t]*[-*\u2022]")) > 9 * c["n_lines"],
+    # more than three of ten lines end with an ellipsis
+    "ellipses": lambda text, c: 10 * F.regexp_count(text, F.lit(r"(?:\.\.\.|\u2026)[\x20\t]*(?:\n|$)")) > 3 * c["n_lines"],
     # less than half of the characters in words are letters
     "letters": lambda text, c: 2 * F.length(F.regexp_replace(text, r"\P{L}+", "")) < c["word_chars"],
 }
 
 
 def cascade_order(docs: DataFrame, rules: dict = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """``(rule, seconds, rejection rate)`` by rejection per cost, on a sample.
-
-    The sample is the first ``rows`` rows that Spark finds and is only used for
-    this order.  A limit that is collected reads one partition after another and
-    stops at its rows, so no size of the input makes it read more; what comes
-    back are truth values.  Rejection rates come from one run of all rules.  The
-    base counts are there anyway, so a rule's cost is the time that it takes with
-    constants in their place, beyond that of reading the texts.
+    """``(rule, seconds, rejection rate)`` in the order of the cascade, from a random sample.
+
+    The sample has ``rows`` rows at most and is only used for this order; it is stored
+    with the base counts, so a rule's cost is the time that its own expression takes,
+    beyond that of reading the rows.  A rate is the share of the rows rejected among those
+    that came so far.  What comes back to the driver are truth values of the sample.
     """
+    n = docs.count()
+    if not n:
+        return [(name, LEAST_SECONDS, 0.0) for name in rules]
+    some = docs.select("text").sample(fraction=min(1.0, 1.5 * rows / n), seed=5).limit(rows)
+    some = stored(with_counts(some), "quality-sample")
     text, c = F.coalesce("text", F.lit("")), F.col("quality__")
-    counted = with_counts(docs.select("text"))
-    found = counted.select(*[F.coalesce(rule(text, c), F.lit(False)).alias(name) for name, rule in rules.items()]).limit(rows).collect()
-    constants = F.struct(*[F.lit(100).cast("long").alias(k) for k in COUNTS])
+    verdicts = {name: F.coalesce(rule(text, c), F.lit(False)) for name, rule in rules.items()}
+    left = [r.asDict() for r in some.filter(~base_failed(c)).select(*[v.alias(name) for name, v in verdicts.items()]).collect()]
+    often = some.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
 
     def seconds(verdict: Column) -> float:
         taken = []
         for _ in range(3):  # the first run also compiles
             began = time.perf_counter()
-            docs.select(F.coalesce(verdict, F.lit(False)).alias("x")).limit(rows).collect()
+            often.agg(F.count(F.when(verdict, 1)), F.sum(F.octet_length("text")), F.sum(c["n_words"])).collect()
             taken.append(time.perf_counter() - began)
         return min(taken)
 
     base = seconds(F.octet_length(text) > 0)
-    costs = {name: max(seconds(rule(text, constants)) - base, LEAST_SECONDS) for name, rule in rules.items()}
-    rates = {name: sum(r[name] for r in found) / max(len(found), 1) for name in rules}
-    return sorted(((name, costs[name], rates[name]) for name in rules), key=lambda x: -x[2] / x[1])
+    costs = {name: max(seconds(v) - base, LEAST_SECONDS) for name, v in verdicts.items()}
+    order: list[tuple[str, float, float]] = []
+    while len(order) < len(rules):
+        open_ = [name for name in rules if name not in {o[0] for o in order}]
+        rates = {name: sum(r[name] for r in left) / max(len(left), 1) for name in open_}
+        best = max(open_, key=lambda name: rates[name] / costs[name])
+        order.append((best, costs[best], rates[best]))
+        left = [r for r in left if not r[best]]
+    return order
 
 
 def failed_rule(text: Column, counts: Column, order: list[str], rules: dict = RULES) -> Column:

@@ -160,12 +160,29 @@ def test_quality_keeps_clean(spark, sf_dir, docs):
 
 def test_quality_order_and_columns(odd, empty):
     order = quality.cascade_order(odd)
-    assert {n for n, _, _ in order} == set(quality.RULES) and all(a[2] / a[1] >= b[2] / b[1] for a, b in zip(order, order[1:]))
+    assert {n for n, _, _ in order} == set(quality.RULES) and [n for n, _, _ in quality.cascade_order(empty)] == list(quality.RULES)
     kept = quality.kept_documents(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {9, 10}
     assert {(r["quality__"], r["quality__w"], r["Quality__P"]) for r in kept.collect()} == {(0, 7, 8)} and quality.kept_documents(empty).count() == 0
 
 
+def test_quality_rates_are_conditional(spark):
+    """A rule that rejects what another one rejected already comes last, however much it rejects."""
+    body = " ".join(f"word{k}" for k in range(40))
+    signs, cries = (" ".join(x.format(j) for j in range(30)) + " " for x in ("#s{0}", "x{0}!!"))
+    rows = [((signs if k % 2 else "") + body + " " + (cries if k % 5 == 0 else ""),) for k in range(100)]
+    df = spark.createDataFrame(rows, "text string")
+    many = lambda text, c: 5 * c["n_symbols"] > c["n_words"]
+    rules = {"many": many, "same": many, "shouting": quality.RULES["shouting"]}
+    order = quality.cascade_order(df, rules)
+    rates = [r for n, _, r in order if n != "shouting"]
+    assert rates[1] == 0 and 0.3 <= rates[0] <= 0.7 and all(0.05 <= r <= 0.25 for n, _, r in order if n == "shouting")
+    lists = spark.createDataFrame([("\n".join(f"- item{k} number{k} of{k} it{k}" for k in range(12)),), ("\n".join(f"line number {k} ends ..." for k in range(12)),), (body,)], "text string")
+    c = F.col("quality__")
+    failed = [r.f for r in quality.with_counts(lists).select(quality.failed_rule(F.col("text"), c, list(quality.RULES)).alias("f")).collect()]
+    assert failed == ["bullets", "ellipses", None]
+
+
 def test_pieces_whole_document(spark):
     """In chunks or not, the ids are those of one scan over the whole text."""
     rng = random.Random(3)
