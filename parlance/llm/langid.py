@@ -41,8 +41,6 @@ from .shared import ship_package, stored
 
 #: Labelled documents of a language that piece probabilities are fitted on.
 SAMPLE = 400
-#: Parts of a language that the sample is first taken in.
-PARTS = 64
 #: Rows up to which the ids of the sample are broadcast.
 SMALL = 1_000_000
 ROUNDS = 4
@@ -255,10 +253,14 @@ def held_out():
 
 def sample_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, lang, text``: ``sample`` labelled rows of each language at most, by a hash of the id."""
-    chosen = training_rows(docs.select("doc_id", "lang")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
-    for parts in (["lang", "part"], ["lang"]):  # a language may hold most rows, so first within parts of it
-        rank = F.row_number().over(W.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id"))
-        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= sample)
+    slim = training_rows(docs.select("doc_id", "lang"))
+    # a language may hold most rows: about twice the sample goes on to be ranked
+    counts = stored(slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    place = F.xxhash64("doc_id")
+    some = slim.join(F.broadcast(counts) if counts.count() <= SMALL else counts, "lang")
+    some = some.filter(place / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * sample + 100) / F.col("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = some.withColumn("rank", rank).filter(F.col("rank") <= sample)
     chosen = stored(chosen.select("doc_id").distinct(), "sample")
     ids = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
     return training_rows(docs.select("doc_id", "lang", "text")).join(ids, "doc_id", "left_semi")
