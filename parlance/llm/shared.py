@@ -65,3 +65,22 @@ def words_of(text: Column) -> Column:
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to ``kind``, or nulls where the table lacks it."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+#: Rows up to which :func:`lookup` broadcasts a table, and rows of a key from which it is hot.
+SMALL, HOT = 500_000, 100_000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table that has one row for each ``key``, however many rows share a key.
+
+    The table is broadcast if it has ``SMALL`` rows at most.  Beyond that the keys with
+    ``HOT`` rows or more are looked up by a broadcast of theirs alone (one for ``HOT`` rows at most), the
+    others by a shuffle.
+    """
+    if right.limit(SMALL + 1).count() <= SMALL:
+        return left.join(F.broadcast(right), key, "left")
+    hot = stored(left.groupBy(key).count().filter(F.col("count") >= HOT).select(key), "hot")
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    return left.join(F.broadcast(hot), key, "left_semi").join(few, key, "left").unionByName(rest)

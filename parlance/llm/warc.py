@@ -1,12 +1,13 @@
 """WARC archives with revisits resolved.
 
 Records are text, so Spark's own writer and reader move them: a record is one
-row ended by an empty line, and reading takes whole files (``binaryFile``) and
-cuts them by Content-Length.  Nothing opens a path in Python, so any store that
-Spark reaches will do.  A file holds ``FILE_RECORDS`` records at most, and payloads
-are written where they are read: they are not shuffled.
+row ended by an empty line, and reading takes whole files (``binaryFile``),
+unpacks them as a stream and cuts them by Content-Length, so a task holds one packed
+file and one record.  Nothing opens a path in Python, so any store that Spark reaches will do.  Payloads
+are written where they are read: they are not shuffled.  Records are written by
+classes of size, so a file has about ``FILE_BYTES`` of payloads at most, or one record.
 
-:func:`write_archive` writes a response record per page.  :func:`deduplicate`
+:func:`write_archive` writes a ``warcinfo`` record and a response record per page.  :func:`deduplicate`
 reads archives, shuffles the headers (never payloads) by payload digest, picks
 the record with the smallest page id of each digest as the original and writes
 new archives with fresh headers, where all others are revisit records without a
@@ -16,28 +17,32 @@ Defined cases: a null payload is empty; a null url becomes ``about:blank``;
 line breaks in a url are percent-encoded; payloads below ``LEAST`` bytes are all
 responses; rows with one page id and payload are told apart by their record id,
 the first one is the response and the others revisit it; pages without an id come
-after all others; an empty table gives no records; other columns are ignored.
+after all others; an empty table gives no records but the ``warcinfo``; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_dir, ship_package, stored
+from .shared import lookup, scratch_dir, ship_package, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
-#: Records of a file at most; a file is read whole by one task.
-FILE_RECORDS = 5_000
-#: Revisits up to which their table (about 100 bytes each) is broadcast.
-SMALL = 500_000
+#: Bytes of a file's payloads, about: a file is read by one task.
+FILE_BYTES = 64 << 20
+#: Largest payloads of the classes that records are written in; beyond the last a record has a file.
+CLASSES = (16 << 10, 512 << 10, 8 << 20)
 END = "\r\n\r\n"
-DATE = "2024-01-01T00:00:00Z"
 
 HEADERS = "page_id long, record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
@@ -46,7 +51,11 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def _record(kind: Column, payload: Column) -> Column:
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _record(kind: Column, payload: Column, date: str) -> Column:
     """The text of a record; ``payload`` is left out of revisits."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(kind == "response", payload).otherwise(""))
     revisit = kind == "revisit"
@@ -54,7 +63,7 @@ def _record(kind: Column, payload: Column) -> Column:
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", kind),
         _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">"))),
-        _line("WARC-Date", F.lit(DATE)),
+        _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(F.col("page_id").isNotNull(), _line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(""),
@@ -70,9 +79,26 @@ def _record(kind: Column, payload: Column) -> Column:
     return F.concat(*lines)
 
 
-def _write(records: DataFrame, path: str) -> None:
-    lines = records.select(_record(F.col("record_type"), F.col("payload")).alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def _write(records: DataFrame, path: str, headers: DataFrame | None = None) -> None:
+    """Records to files below ``path``, by the classes of size that occur (in ``headers``, if those are there)."""
+    spark, date = records.sparkSession, _now()
+    fields = "software: parlance\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}",
+        "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}", "", fields,
+    ]
+    info = spark.createDataFrame([("\r\n".join(head),)], "value string").coalesce(1)
+    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    place = F.lit(0)
+    for bound in CLASSES:
+        place = place + (size > bound).cast("int")
+    found = {r[0] for r in (records if headers is None else headers).select(place.alias("k")).distinct().collect()}
+    for k in sorted({*found, 0}):
+        some = records.filter(place == k) if len(found) > 1 else records
+        lines = some.select(_record(F.col("record_type"), F.col("payload"), date).alias("value"))
+        most = max(1, FILE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        writer = (lines.unionAll(info) if k == 0 else lines).write.mode("append").option("lineSep", END)
+        writer.option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -86,40 +112,43 @@ def write_archive(pages: DataFrame, path: str) -> None:
     _write(records, path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed archive."""
-    at = 0
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", start)
-        lines = data[start:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = dict(line.split(": ", 1) for line in lines if ": " in line)
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an unpacked archive."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        headers: dict[str, str] = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, found, value = line.decode("utf-8", "replace").partition(": ")
+            if found:
+                headers[name] = value
         size = int(headers["Content-Length"])
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
+        yield headers, stream.read(size)
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Headers of all records, and payloads if asked for."""
     ship_package(spark)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
+    names = ["page_id", "record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "refers_record"]
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string()]
+    if payloads:
+        names, kinds = [*names, "payload"], [*kinds, pa.string()]
 
-        names = ["page_id", "record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "refers_record"]
-        kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string()]
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                data = content.as_py()
-                data = gzip.decompress(data) if name.endswith(".gz") else data
+                packed = pa.BufferReader(content.as_buffer())
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=packed) if name.endswith(".gz") else packed, 1 << 20)
                 found: list[tuple] = []
-
-                def flush() -> pa.RecordBatch:
-                    cols = list(zip(*found, strict=True))
-                    arrays = [pa.array(c, k) for c, k in zip(cols, [*kinds, pa.string()] if payloads else kinds, strict=True)]
-                    found.clear()
-                    return pa.RecordBatch.from_arrays(arrays, names=[*names, "payload"] if payloads else names)
-
-                for h, block in parse_records(data):
+                held = 0
+                for h, block in parse_records(stream):
+                    if h["WARC-Type"] not in ("response", "revisit"):
+                        continue
                     number = lambda key: int(h[key]) if key in h else None
                     urn = lambda key: re.sub(r"^<urn:uuid:|>$", "", h[key]) if key in h else None
                     row = (
@@ -128,11 +157,13 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                     )
                     if payloads:
                         row += (block.split(b"\r\n\r\n", 1)[1].decode("utf-8", "replace"),)
+                        held += len(block)
                     found.append(row)
-                    if len(found) >= 500:
-                        yield flush()
+                    if len(found) >= 500 or held > 8 << 20:
+                        yield batch_of(found)
+                        found, held = [], 0
                 if found:
-                    yield flush()
+                    yield batch_of(found)
 
     schema = HEADERS + ", refers_record string" + (", payload string" if payloads else "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -142,8 +173,9 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
 def revisits(headers: DataFrame) -> DataFrame:
     """Headers with type and original, resolved by payload digest.
 
-    Originals are found by a sum over each digest, combined before the shuffle,
-    so a digest that a third of the records share is no single task.
+    Originals are found by a sum over each digest, combined before the shuffle, and
+    looked up with hot digests apart, so a digest that a third of the records share is
+    no single task.
     """
     named = headers.select("page_id", "record_id", "payload_digest", "payload_bytes")
     rank = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")
@@ -151,7 +183,7 @@ def revisits(headers: DataFrame) -> DataFrame:
         F.min(rank).alias("first"), F.count(F.lit(1)).alias("records")
     ).filter("records > 1").select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record"))
     again = (F.col("payload_bytes") >= LEAST) & F.col("first_record").isNotNull() & (F.col("first_record") != F.col("record_id"))
-    return named.join(originals, "payload_digest", "left").select(
+    return lookup(named, stored(originals, "originals"), "payload_digest").select(
         "record_id",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first_page")).alias("refers_to"),
@@ -163,11 +195,9 @@ def deduplicate(spark: SparkSession, source: str, target: str) -> None:
     """Archives at ``source`` written to ``target`` with revisits in place of repeated payloads."""
     headers = stored(read_archive(spark, source), "warc-headers")
     decided = stored(revisits(headers).filter("record_type = 'revisit'"), "revisits")
-    if decided.count() <= SMALL:
-        decided = F.broadcast(decided)
     whole = read_archive(spark, source, payloads=True).drop("record_type", "refers_to", "refers_record")
-    records = whole.join(decided, "record_id", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
-    _write(records, target)
+    records = lookup(whole, decided, "record_id").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    _write(records, target, headers)
 
 
 def resolved(headers: DataFrame) -> DataFrame:
@@ -179,7 +209,9 @@ def resolved(headers: DataFrame) -> DataFrame:
         F.col("record_id").alias("refers_record"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), F.col("page_id").alias("p")
     )
     first = headers.filter("record_type = 'response'")
-    again = headers.filter("record_type = 'revisit'").join(originals, "refers_record", "left").select(
+    named = headers.filter("record_type = 'revisit'").select("refers_record").distinct()
+    originals = stored(originals.join(named, "refers_record", "left_semi"), "originals")
+    again = lookup(headers.filter("record_type = 'revisit'"), originals, "refers_record").select(
         "page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"),
         "record_type", F.coalesce("p", "refers_to").alias("refers_to"),
     )

@@ -360,6 +360,38 @@ PAGES = [
 ]
 
 
+def test_warc_classes_and_hot_digests(spark, monkeypatch):
+    """Records of all sizes, one file for a large one, and lookups without a broadcast of all."""
+    import gzip
+    import io
+    import os
+
+    from parlance.llm import shared
+
+    monkeypatch.setattr(warc, "CLASSES", (100, 300, 1000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 900)
+    monkeypatch.setattr(shared, "SMALL", 1)
+    monkeypatch.setattr(shared, "HOT", 5)
+    rows = [(k, "u", "ab" * (20 * (k % 5 + 1) ** 2) + ("x" * 900 if k == 7 else "")) for k in range(60)] + [(100 + k, None, "same" * 100) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    raw, out = scratch_dir(spark, "raw"), scratch_dir(spark, "out")
+    warc.write_archive(df, raw)
+    warc.deduplicate(spark, raw, out)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.resolved(warc.read_archive(spark, out)).collect()}
+    first = {}
+    for i, _, t in rows:
+        first.setdefault(t, i)
+    assert got == {i: ("revisit", first[t]) if len(t) >= 100 and first[t] != i else ("response", None) for i, _, t in rows}
+    sizes, infos = [], 0
+    for name in os.listdir(raw):
+        if name.endswith(".gz") and not name.startswith("."):
+            with open(f"{raw}/{name}", "rb") as f:
+                found = [h for h, _ in warc.parse_records(io.BytesIO(gzip.decompress(f.read())))]
+            infos += sum(h["WARC-Type"] == "warcinfo" for h in found)
+            sizes.append([int(h["X-Payload-Length"]) for h in found if h["WARC-Type"] != "warcinfo"])
+    assert infos == 1 and all(sum(x) <= 900 or len(x) == 1 for x in sizes) and sum(map(len, sizes)) == 80
+
+
 def test_warc(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("record_id", F.lit(1))
     for rows in (df, df.limit(0)):
