@@ -12,9 +12,14 @@ the index plus chance meetings of ``documents`` unrelated sets.
 
 Equal sets are one node from the start.  Rows that meet under a signature are
 compared by parity sketches, whose distance never exceeds the true difference, so
-no link is lost; what each task emits is a forest, never all pairs.  Groups of
-more than ``TILE`` rows are dealt out as pairs of tiles.  Nodes still connected
-form blocks, and inside a block (tiled as well) sets are compared exactly.
+no link is lost; what each task emits is a forest, never all pairs.  Nodes still
+connected form blocks, and inside a block sets are compared exactly.
+
+Large groups and blocks are dealt out as tiles, bounded in rows and in tokens
+(:func:`links_within`).  First each tile is compared within itself and with the
+group's first row.  What that connects is a class; of a group of near copies one class
+holds almost all rows.  Then only rows outside the largest class go on, to be
+compared with all others: rows that are connected already never meet again.
 
 Defined cases: a null or wordless text has an empty set and is linked to nothing;
 fewer words than ``N`` make one shingle of them all; rows without ``doc_id`` take
@@ -35,16 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh_name, ship_package, stored
+from .shared import fresh_name, lookup, ship_package, stored
 
 #: Linked if 100 * intersection >= PERCENT * union.
 N, PERCENT = 3, 90
 #: For the cost model: share of tokens that unrelated sets have in common, share
 #: of all sets in one band, and what a row that meets another costs in index rows.
 COMMON, BAND_SHARE, MEETING = 0.05, 0.1, 8
-#: Rows of a group that meet in one task at most; larger groups are tiled.
-TILE = 512
-SET_TILE = 128
+#: Rows of a tile, for sketches and for sets, and tokens of a tile of sets, about.
+TILE, SET_TILE, TOKENS = 512, 128, 4_000_000
 #: Cells of the smallest parity sketch; larger sets have a cell a token or more.
 CELLS = 512
 #: Rows up to which a table of ids is broadcast (about 16 bytes each).
@@ -230,33 +234,29 @@ def only(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id"
 
 
 def meeting(index: DataFrame) -> DataFrame:
-    """Rows of ``sig, node`` that share their signature, with their tile in it.
+    """Rows of ``sig, node`` that share their signature.
 
     Rows stream through in the order of ``sig``; a row needs its neighbours only.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.int64), np.empty(0, np.int64))
-        before, place = None, 0  # the signature before the held rows, and its rows so far
+        before = None  # the signature before the held rows
 
         def emit(sig, node, last):
             """All rows but a last one that the next batch may join; returns what stays."""
-            nonlocal before, place
+            nonlocal before
             end = len(sig) if last else len(sig) - 1
             if end <= 0:
                 return None
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
             new[0] = before is None or sig[0] != before
-            start = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            at = np.where(start >= 0, np.arange(len(sig)) - start, np.arange(len(sig)) + place)
             shared = ~new
             shared[:-1] |= ~new[1:]
             keep = np.flatnonzero(shared[:end])
-            before, place = sig[end - 1], at[end - 1] + 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(sig[keep]), pa.array(node[keep]), pa.array((at[keep] // TILE).astype(np.int64))], names=["sig", "node", "tile"]
-            )
+            before = sig[end - 1]
+            return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], names=["sig", "node"])
 
         for batch in batches:
             sig, node = (np.concatenate([h, batch[c].to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("sig", "node"), strict=True))
@@ -267,20 +267,55 @@ def meeting(index: DataFrame) -> DataFrame:
         if len(held[0]) and (out := emit(*held, True)) is not None:
             yield out
 
-    return index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(rows, "sig long, node long, tile long")
+    return index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(rows, "sig long, node long")
 
 
-def tiled(df: DataFrame, key: str) -> DataFrame:
-    """Rows with ``left, right``: the pair of tiles of ``key`` that they meet in.
+def links_within(members: DataFrame, payload: DataFrame, most: int, compare: Callable) -> DataFrame:
+    """``u, v``: edges that connect what pairs within the groups of ``members`` connect.
 
-    A group of one tile is the pair (0, 0).  A row of a larger one goes to every
-    pair with its own tile.
+    ``members`` has ``key, node, tokens`` (long), ``payload`` a row or more for each
+    node with what ``compare`` needs (see :func:`grouped`), which leaves pairs of equal ``class`` out.
     """
-    most = df.groupBy(key).agg(F.max("tile").alias("last")).filter("last > 0")
-    both = df.join(most, key, "left").withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long"))))
+    kinds, at = "u long, v long", ["key", "left", "right"]
+    sizes = stored(
+        members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min("node").alias("first")).filter("n > 1"), "sizes"
+    )
+    parts = lambda n, t: F.greatest(F.ceil(n / F.lit(most)), F.ceil(t / F.lit(TOKENS))).cast("long")
+    zero = F.lit(0).cast("long")
+    whole = sizes.select("key", "first", parts(F.col("n"), F.col("t")).alias("tiles"))
+    several = whole.filter("tiles > 1")
+    place = lambda tiles: F.pmod(F.xxhash64("node"), tiles)
+    dealt = lookup(members, whole.select("key", "tiles"), "key").filter("tiles is not null")
+    own = dealt.select("key", place(F.col("tiles")).alias("left"), zero.alias("right"), "node", F.col("node").alias("class"))
+    # the first row visits the other tiles
+    visits = several.select("key", F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("left"), zero.alias("right"), F.col("first").alias("node"), F.col("first").alias("class"))
+    met = lambda rows: rows.join(payload, "node").repartition(*at).sortWithinPartitions(*at).mapInArrow(grouped(compare, at), kinds)
+    if several.isEmpty():
+        return met(own)
+    near = stored(met(own.unionByName(visits)), "edges")
+    classes = stored(components(near), "classes")
+    # rows of the groups with several tiles, by class; those outside the largest one go on
+    split = dealt.filter("tiles > 1").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    counts = split.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    ranked = counts.groupBy("key").agg(
+        F.max(F.struct("n", "class", "t")).alias("top"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("classes")
+    ).filter("classes > 1")
+    plan = stored(ranked.select(
+        "key", F.col("top.class").alias("main"), parts(F.col("top.n"), F.col("top.t")).alias("most"),
+        parts(F.col("n") - F.col("top.n"), F.col("t") - F.col("top.t")).alias("others"),
+    ), "plan")
+    if plan.isEmpty():
+        return near
+    split = lookup(split.select("key", "node", "class"), plan, "key").filter("main is not null")
+    every = lambda tiles: F.explode(F.sequence(zero, tiles - 1))
+    main, other = split.filter(F.col("class") == F.col("main")), split.filter(F.col("class") != F.col("main"))
+    # tiles of the largest class are numbered below 0
+    cross = main.select("key", (-1 - place(F.col("most"))).alias("left"), every(F.col("others")).alias("right"), "node", "class").unionByName(
+        other.select("key", every(F.col("most")).alias("left"), place(F.col("others")).alias("right"), "node", "class").withColumn("left", -1 - F.col("left"))
     )
-    return both.withColumn("left", F.least("tile", "other")).withColumn("right", F.greatest("tile", "other")).drop("last", "other")
+    among = other.withColumn("own", place(F.col("others"))).select("key", "own", every(F.col("others")).alias("other"), "node", "class")
+    among = among.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "node", "class")
+    return near.unionByName(met(cross.unionByName(among)))
 
 
 def grouped(compare: Callable[[dict[str, pa.Array]], tuple[np.ndarray, np.ndarray]], names: list[str]):
@@ -322,9 +357,8 @@ def grouped(compare: Callable[[dict[str, pa.Array]], tuple[np.ndarray, np.ndarra
 
 
 def _by_sketch(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sketches allow a link; rows of one group, of unequal tiles if those differ."""
-    n = table["n_shingles"].to_numpy()
-    tile, crossed = table["tile"].to_numpy(), table["left"].to_numpy() != table["right"].to_numpy()
+    """Pairs of a group whose sketches allow a link."""
+    n, kind = table["n_shingles"].to_numpy(), table["class"].to_numpy()
     sketches = Sketches(table["sketch"].to_pylist())
     group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     us, vs = [], []
@@ -334,7 +368,7 @@ def _by_sketch(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.nd
             break
         v = u + step
         small, large = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
-        ok = (100 * small >= percent * large) & (~crossed[u] | (tile[u] != tile[v]))
+        ok = (100 * small >= percent * large) & (kind[u] != kind[v])
         u, v = u[ok], v[ok]
         ok = (100 + percent) * sketches.apart(u, v) <= (100 - percent) * (n[u] + n[v])
         us.append(u[ok])
@@ -360,7 +394,7 @@ def _near_pairs(percent: int):
 def _by_set(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that are linked: sizes of intersections by products of 0-1 matrices, in slices of tokens."""
     us, vs = [], []
-    tile, crossed = table["tile"].to_numpy(), table["left"].to_numpy() != table["right"].to_numpy()
+    kind = table["class"].to_numpy()
     lists = table["tokens"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -381,8 +415,7 @@ def _by_set(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.ndarr
             common += ones @ ones.T
         i = np.rint(common).astype(np.int64)
         linked = np.triu(100 * i >= percent * (sizes[:, None] + sizes[None, :] - i), 1)
-        if crossed[a]:
-            linked &= tile[a:b][:, None] != tile[a:b][None, :]
+        linked &= kind[a:b][:, None] != kind[a:b][None, :]
         u, v = np.nonzero(linked)
         us.append(u + a)
         vs.append(v + a)
@@ -395,7 +428,6 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     ``docs`` are the texts to link and ``rows`` their sizes and sketches.
     """
     kinds = "u long, v long"
-    key = ["sig", "left", "right"]
     shared = stored(meeting(index_rows(docs, rows.count(), n, percent)), "meeting")
     named = rows.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
     # two rows under a signature: the pair goes on, once however many signatures it shares
@@ -403,9 +435,8 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     other = named.select(*[F.col(c).alias(f"{c}_b") for c in named.columns])
     pairs = sizes.filter("n = 2 and a <> b").select("a", "b").distinct().join(named, F.col("a") == F.col("node")).join(other, F.col("b") == F.col("node_b"))
     near = pairs.select("node", "node_b", "n_shingles", "n_shingles_b", "sketch", "sketch_b").mapInArrow(_near_pairs(percent), kinds)
-    many = tiled(shared.join(sizes.filter("n > 2").select("sig"), "sig", "left_semi"), "sig").join(named, "node")
-    many = many.repartition(*key).sortWithinPartitions(*key).select("node", *key, "tile", "n_shingles", "sketch")
-    near = near.unionByName(many.mapInArrow(grouped(lambda t, b: _by_sketch(t, b, percent), key), kinds))
+    many = shared.join(sizes.filter("n > 2").select("sig"), "sig", "left_semi").select(F.col("sig").alias("key"), "node", F.lit(0).cast("long").alias("tokens"))
+    near = near.unionByName(links_within(many, named, TILE, lambda t, b: _by_sketch(t, b, percent)))
     blocks = stored(components(near), "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,12 +452,9 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     ids = blocks.select(F.col("node").alias("doc_id"))
     tokens = only(docs, ids, "left_semi").mapInArrow(sets, "node long, tokens array<long>")
-    sized = blocks.join(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumn(
-        "tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SET_TILE)).cast("long")
-    )
-    key = ["root", "left", "right"]
-    exact = tiled(sized.select("root", "node", "tile"), "root").join(tokens, "node").repartition(*key).sortWithinPartitions(*key)
-    return exact.select("node", *key, "tile", "tokens").mapInArrow(grouped(lambda t, b: _by_set(t, b, percent), key), kinds)
+    sizes = named.groupBy("node").agg(F.max("n_shingles").alias("tokens"))
+    members = stored(blocks.join(sizes, "node").select(F.col("root").alias("key"), "node", "tokens"), "members")
+    return links_within(members, tokens, SET_TILE, lambda t, b: _by_set(t, b, percent))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

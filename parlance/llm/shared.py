@@ -17,11 +17,14 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests,
-    local mode) a temporary folder of this machine serves instead.
+    ``spark.checkpoint.dir`` names that folder.  Only where it is unset in local mode
+    (tests) a temporary folder of this machine serves instead; on a cluster that is an
+    error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,7 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`stored` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -320,12 +320,26 @@ def test_jaccard(spark, odd, docs, n, percent):
 
 
 def test_jaccard_tiles(spark, monkeypatch):
-    """Groups and blocks over the tile size give the same classes."""
+    """Groups and blocks over the tile size give the same classes, with few rows broadcast or many."""
+    from parlance.llm import components, shared
+
+    rng = random.Random(4)
+    base = [f"w{j}" for j in range(60)]
+    rows = [(k, " ".join(base + [f"x{k}"])) for k in range(20)] + near_texts()[9:14]
+    for k in range(100, 112):  # a chain: neighbours are linked, few are linked to the first
+        base[rng.randrange(60)] = f"y{k}"
+        rows.append((k, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"]).cache()
+    want = brute_components([tuple(r) for r in df.collect()], 3, 90)
     monkeypatch.setattr(jaccard, "TILE", 4)
     monkeypatch.setattr(jaccard, "SET_TILE", 3)
-    df = spark.createDataFrame([(k, " ".join([f"w{j}" for j in range(60)] + [f"x{k}"])) for k in range(40)] + near_texts()[9:20], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df.dropDuplicates(["doc_id"])).collect()}
-    assert got == brute_components([tuple(r) for r in df.dropDuplicates(["doc_id"]).collect()], 3, 90)
+    for tokens, small in ((4_000_000, 500_000), (100, 0)):
+        monkeypatch.setattr(jaccard, "TOKENS", tokens)
+        monkeypatch.setattr(components, "SMALL", small)
+        monkeypatch.setattr(components, "HUB", 3)
+        monkeypatch.setattr(shared, "SMALL", small)
+        monkeypatch.setattr(shared, "HOT", 3)
+        assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == want
 
 
 def test_jaccard_tolerant_segments(spark, monkeypatch):
