@@ -79,10 +79,10 @@ def is_greeting(c: Column) -> Column:
 
 
 def is_accidental(c: Column) -> Column:
-    """Keyboard noise: long without blanks and of few letters, or one half twice."""
-    q = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    """Keyboard noise: long without blanks and of few letters whatever their case, or one half twice, letter by letter."""
+    q = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
     n = F.length(q)
-    few = F.size(F.array_distinct(F.split(q, ""))) < n * 0.4
+    few = F.size(F.array_distinct(F.split(F.lower(q), ""))) < n * 0.4
     half = F.floor(n / 2).cast("int")
     twice = (n > 6) & (n % 2 == 0) & (F.left(q, half) == F.right(q, half))
     return (n >= 3) & ((~q.contains(" ") & (n > 10) & few) | twice)
@@ -98,9 +98,15 @@ def detect_intent(c: Column) -> Column:
     return F.when(_any([q.contains(h) for h in STRUCTURE_HINTS]), "STRUCTURAL").otherwise("SEMANTIC")
 
 
+def _first_number(c: Column) -> Column:
+    digits = F.ltrim(F.regexp_extract(c, r"\b(\d+)\b", 1), F.lit("0"))
+    digits = F.when((digits == "") & c.rlike(r"\b\d+\b"), "0").otherwise(digits)
+    return F.when(F.length(digits) > 18, F.lit(10**18 - 1)).otherwise(digits.try_cast("long"))
+
+
 def requested_count(c: Column, fallback: int = 5) -> Column:
-    """The first whole number in the text if it is above 0."""
-    n = F.regexp_extract(F.coalesce(c, F.lit("")), r"\b(\d{1,9})\b", 1).try_cast("long")
+    """The first whole number in the text if it is above 0 (one beyond 18 digits counts as the largest of 18)."""
+    n = _first_number(F.coalesce(c, F.lit("")))
     return F.when(n > 0, n).otherwise(F.lit(fallback)).cast("long")
 
 
@@ -115,7 +121,7 @@ def max_tokens(c: Column) -> Column:
     q = F.coalesce(c, F.lit(""))
     long = _any([F.lower(F.trim(q)).contains(w) for w in LONG_WORDS])
     lists, links = q.rlike(LISTING), q.rlike(LINKING)
-    n = F.coalesce(F.regexp_extract(q, r"\b(\d{1,9})\b", 1).try_cast("long"), F.lit(5))
+    n = F.coalesce(_first_number(q), F.lit(5))
     counted = q.rlike(QUANTITY) | (long & (lists | links))
     return (
         F.when(counted & links, F.least(F.lit(2000), 200 + n * 150))
@@ -146,6 +152,26 @@ def meaningful(c: Column) -> Column:
     return (F.size(F.array_distinct(F.split(bare, ""))) >= 2) & (word_count(c) >= 2) & (letters >= 0.3 * F.length(bare))
 
 
+def dominated(c: Column) -> Column:
+    """Whether one word of more than two letters makes up more than three tenths of all words, inside the row."""
+    words = F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")
+    long = F.array_sort(F.filter(words, lambda w: F.length(w) > 2))
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, w: Column) -> Column:
+        run = F.when(acc["word"] == w, acc["run"] + 1).otherwise(1)
+        return F.struct(w.alias("word"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(long, start, step, lambda acc: acc["most"]) > 0.3 * F.size(words)
+
+
+def spam(c: Column) -> Column:
+    """One word all over, many runs of marks, or mostly capitals in a long text."""
+    c = F.coalesce(c, F.lit(""))
+    caps = F.length(F.regexp_replace(c, "[^A-Z]", ""))
+    return dominated(c) | (F.regexp_count(c, F.lit("[!?]{2,}")) > 5) | ((caps > 0.5 * F.length(c)) & (F.length(c) > 100))
+
+
 def initials(c: Column) -> Column:
     parts = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"[\s#]+"), lambda w: w != "")
     return F.upper(F.left(F.array_join(F.transform(parts, lambda w: F.left(w, F.lit(1))), ""), F.lit(2)))

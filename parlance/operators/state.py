@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(log: DataFrame, key: str, order: list[str], sets: list[str], adds: list[str]) -> DataFrame:
+def fold(log: DataFrame, key: str, order: list[str], sets: list[str], adds: list[str], unset: dict[str, str] | None = None) -> DataFrame:
     """State after a log: the last value that is not null of each set column, the sum of each added one.
 
-    Rows count in the order of ``order``, whatever order they arrive in.
+    ``unset`` names, for a set column, a boolean column: a row where it holds takes the
+    value away unless it sets one.  Rows count in the order of ``order``, whatever order they arrive in.
     """
-    at = F.struct(*order)
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in sets]
+    at, unset = F.struct(*order), unset or {}
+    touched = lambda c: F.col(c).isNotNull() | (F.coalesce(F.col(unset[c]), F.lit(False)) if c in unset else F.lit(False))
+    last = [F.max_by(F.struct(c), F.when(touched(c), at))[c].alias(c) for c in sets]
     return log.groupBy(key).agg(*last, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in adds])
 
 

@@ -126,17 +126,16 @@ def join_plan_fallback(v: Views):
 @query("join_latest", """SELECT c.conversation_id, m.message AS last_message FROM (SELECT DISTINCT conversation_id FROM msgs) c LEFT JOIN
  (SELECT conversation_id, arg_max(message, turn) AS message FROM msgs WHERE is_note IS DISTINCT FROM 'true' GROUP BY conversation_id) m USING (conversation_id)""")
 def join_latest(v: Views):
-    """Latest message that is no note, else null."""
-    last = v.msgs.filter(~C("is_note").eqNullSafe("true")).groupBy("conversation_id").agg(F.max_by("message", "turn").alias("last_message"))
-    return v.msgs.select("conversation_id").distinct().join(last, "conversation_id", "left")
+    """Latest message that is no note, else null, in one pass."""
+    spoken = F.when(~C("is_note").eqNullSafe("true"), C("turn"))
+    return v.msgs.groupBy("conversation_id").agg(F.max_by("message", spoken).alias("last_message"))
 
 
-@query("join_same_ip", """SELECT a.id AS id, b.id AS other FROM visitors a JOIN visitors b ON a.ip = b.ip AND a.userId = b.userId AND a.agentId = b.agentId AND a.id <> b.id WHERE a.id < 50""")
+@query("join_same_ip", """SELECT a.id AS id, b.id AS other FROM visitors a JOIN visitors b ON a.ip = b.ip AND a.userId = b.userId AND a.agentId = b.agentId AND b.id > a.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) = 1""")
 def join_same_ip(v: Views):
-    """Other visits from the address of some visitors."""
-    keys = ["ip", "userId", "agentId"]
-    a, b = v.visitors.filter("id < 50").select("id", *keys), v.visitors.select(C("id").alias("other"), *keys)
-    return a.join(b, keys).filter("id <> other").select("id", "other")
+    """Every visitor's next one from the same address: a chain through all of a group, never its pairs."""
+    w = W.partitionBy("ip", "userId", "agentId").orderBy("id")
+    return v.visitors.select("id", F.lead("id").over(w).alias("other")).filter("other is not null")
 
 
 @query("same_ip_all", """SELECT a.id AS id, count(*) AS others, min(b.id) AS first_other FROM visitors a JOIN visitors b ON a.ip = b.ip AND a.userId = b.userId AND a.agentId = b.agentId AND a.id <> b.id GROUP BY a.id""")

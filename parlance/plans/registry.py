@@ -10,6 +10,8 @@ from parlance.sources.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Oracles before the views are put in front of them.
+OVER_VIEWS: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -25,7 +27,7 @@ def query(name: str, oracle: str | None = None):
         run.__name__, run.__doc__ = name, function.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            OVER_VIEWS[name], ORACLES[name] = oracle, with_views(oracle)
         return function
 
     return register

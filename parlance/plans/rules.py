@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions import text
 from parlance.operators import state
 from parlance.operators.filters import not_true
 from parlance.operators.lookups import counts_by
@@ -120,10 +121,9 @@ def tier_route(v: Views):
 
 @query("retrain_delta", "SELECT id, cast(strlen(trim(content)) - strlen(content) AS BIGINT) + id % 7 AS delta FROM tdocs")
 def retrain_delta(v: Views):
-    """Bytes that a new version adds to an old one."""
-    old = v.tdocs.select("id", F.octet_length("content").cast("long").alias("old"))
-    new = v.tdocs.select("id", (F.octet_length(F.trim("content")) + C("id") % 7).cast("long").alias("new"))
-    return old.join(new, "id").select("id", (C("new") - C("old")).alias("delta"))
+    """Bytes that a new version adds to an old one; both are columns of one row."""
+    old, new = F.octet_length("content").cast("long"), (F.octet_length(F.trim("content")) + C("id") % 7).cast("long")
+    return v.tdocs.select("id", (new - old).alias("delta"))
 
 
 @query("metadata_pick", """SELECT host, id, url FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, id, url, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY len(string_split(url, '/')) <= 5 DESC, id) AS r FROM webpages) WHERE r = 1""")
@@ -134,10 +134,11 @@ def metadata_pick(v: Views):
     return v.webpages.groupBy(host.alias("host")).agg(F.min(rank).alias("m"), F.min_by("url", rank).alias("url")).select("host", C("m.id").alias("id"), "url")
 
 
-@query("status_fold", "SELECT visitor, arg_max(status, id) AS status, arg_max(closedBy, id) FILTER (WHERE closedBy IS NOT NULL) AS closedBy FROM (SELECT visitor, id, status, CASE WHEN visitorClosed THEN 'visitor' END AS closedBy FROM convs) GROUP BY visitor")
+@query("status_fold", "SELECT visitor, arg_max(status, id) AS status, nullif(arg_max(coalesce(closedBy, ''), id) FILTER (WHERE closedBy IS NOT NULL OR status = 'open'), '') AS closedBy FROM (SELECT visitor, id, status, CASE WHEN visitorClosed THEN 'visitor' END AS closedBy FROM convs) GROUP BY visitor")
 def status_fold(v: Views):
-    log = v.convs.select("visitor", "id", "status", F.when(C("visitorClosed"), "visitor").alias("closedBy"))
-    return state.fold(log, "visitor", ["id"], ["status", "closedBy"], [])
+    """Opening and closing folded: who closed is forgotten when a conversation opens again."""
+    log = v.convs.select("visitor", "id", "status", F.when(C("visitorClosed"), "visitor").alias("closedBy"), (C("status") == "open").alias("opened"))
+    return state.fold(log, "visitor", ["id"], ["status", "closedBy"], [], {"closedBy": "opened"})
 
 
 @query("sanitize_fields", "SELECT id, left(name, 200) AS label, CASE WHEN type IN ('webpage', 'file') THEN type ELSE 'text' END AS type, coalesce(maybe_url, '') AS placeholder FROM (SELECT id, repeat(title, 40) AS name, type, maybe_url FROM points)")
@@ -149,11 +150,11 @@ def sanitize_fields(v: Views):
 # mutations
 
 
-@query("bulk_insert_new", "SELECT DISTINCT url FROM webpages WHERE id % 3 = 0 AND url NOT IN (SELECT url FROM webpages WHERE id % 3 = 1)")
+@query("bulk_insert_new", "SELECT DISTINCT url FROM webpages WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM tdocs WHERE url IS NOT NULL)")
 def bulk_insert_new(v: Views):
-    """Rows to append: those that are not there yet."""
-    have = v.webpages.filter("id % 3 = 1").select("url")
-    return state.without(v.webpages.filter("id % 3 = 0").select("url").distinct(), have, ["url"])
+    """Addresses of pages to append: those that no training document has yet."""
+    have = v.tdocs.filter("url IS NOT NULL").select("url")
+    return state.without(v.webpages.filter("url IS NOT NULL").select("url").distinct(), have, ["url"])
 
 
 @query("bulk_insert_all", "SELECT DISTINCT url FROM webpages WHERE id % 3 <> 1 AND url IS NOT NULL AND url NOT IN (SELECT url FROM webpages WHERE id % 3 = 1 AND url IS NOT NULL)")
@@ -254,29 +255,37 @@ def vector_topk(v: Views):
     return scored(v).filter("user_id = 3").select("id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "id").limit(5)
 
 
-@query("knn_join", f"SELECT q, id, score FROM (SELECT q.id AS q, p.id, round({COS}, 5) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round({COS}, 5) DESC, p.id) AS r FROM points p, points q WHERE q.id < 10) WHERE r <= 3")
+def nearest(points, questions: str, k: int):
+    """``q, id, score``: the ``k`` points most similar to each question, by blocks of 256 points."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    points = points.select("id", "vector", dot(C("vector"), C("vector")).alias("n"))
+    parts = max(1, points.count() // 256)
+    blocks = points.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b")).agg(F.collect_list(F.struct("id", "vector", "n")).alias("block")).drop("b")
+    q = points.filter(questions).select(C("id").alias("q"), C("vector").alias("qv"), C("n").alias("qn"))
+    found = lambda p: F.struct((-F.round(dot(p["vector"], C("qv")) / F.sqrt(p["n"] * C("qn")), 5)).alias("s"), p["id"].alias("id"))
+    best = q.join(blocks).select("q", F.explode(F.slice(F.array_sort(F.transform("block", found)), 1, k)).alias("x"))
+    r = F.row_number().over(W.partitionBy("q").orderBy("x.s", "x.id"))
+    return best.withColumn("r", r).filter(C("r") <= k).select("q", "x.id", (-C("x.s")).alias("score"))
+
+
+@query("knn_join", f"SELECT q, id, score FROM (SELECT q.id AS q, p.id, round({COS}, 5) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round({COS}, 5) DESC, p.id) AS r FROM points p, points q WHERE q.id % 20 = 0) WHERE r <= 3")
 def knn_join(v: Views):
-    """The three most similar points of each of ten questions (a bounded set)."""
-    q = v.points.filter("id < 10").select(C("id").alias("q"), C("vector").alias("qv"))
-    pairs = v.points.join(F.broadcast(q)).select("q", "id", F.round(cosine(C("vector"), C("qv")), 5).alias("score"))
-    r = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("r", r).filter("r <= 3").drop("r")
+    """The three most similar points of every question (the points whose id is divisible by 20).
+
+    Questions meet the points in blocks: a block of points is one row, and a question
+    keeps three of each block, so pairs are never rows.
+    """
+    return nearest(v.points.filter("vector IS NOT NULL"), "id % 20 = 0", 3)
 
 
 @query("knn_join_all", f"SELECT q, id, score FROM (SELECT q.id AS q, p.id, round({COS}, 5) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round({COS}, 5) DESC, p.id) AS r FROM points p, points q) WHERE r <= 3")
 def knn_join_all(v: Views):
     """The three most similar points of every point with a vector; points come in blocks, of which three each go on."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    points = v.points.filter("vector IS NOT NULL").select("id", "vector", dot(C("vector"), C("vector")).alias("n"))
-    parts = max(1, points.count() // 256)
-    blocks = points.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b")).agg(F.collect_list(F.struct("id", "vector", "n")).alias("block")).drop("b")
-    q = points.select(C("id").alias("q"), C("vector").alias("qv"), C("n").alias("qn"))
-    found = lambda p: F.struct((-F.round(dot(p["vector"], C("qv")) / F.sqrt(p["n"] * C("qn")), 5)).alias("s"), p["id"].alias("id"))
-    best = q.crossJoin(blocks).select("q", F.explode(F.slice(F.array_sort(F.transform("block", found)), 1, 3)).alias("x"))
-    r = F.row_number().over(W.partitionBy("q").orderBy("x.s", "x.id"))
-    return best.withColumn("r", r).filter("r <= 3").select("q", "x.id", (-C("x.s")).alias("score"))
+    return nearest(v.points.filter("vector IS NOT NULL"), "true", 3)
 
 
+GREETING = "(" + " OR ".join(f"g = '{x}' OR starts_with(g, '{x} ') OR g = '{x}!'" for x in (y.replace("'", "''") for y in text.GREETINGS)) + ")"
+ACCIDENTAL = """(length(a) >= 3 AND ((NOT contains(a, ' ') AND length(a) > 10 AND len(list_distinct(string_split(lower(a), ''))) < 0.4 * length(a)) OR (length(a) > 6 AND length(a) % 2 = 0 AND left(a, length(a) // 2) = right(a, length(a) // 2))))"""
 POLICY = f"""WITH h AS (SELECT id, u, s, row_number() OVER (PARTITION BY u ORDER BY s DESC, id) AS r FROM (SELECT p.id, p.user_id AS u, round({COS}, 5) AS s FROM points p, points q WHERE q.id = 7)),
  k AS (SELECT *, max(s) OVER (PARTITION BY u) AS top FROM h WHERE r <= 5)"""
 
@@ -288,15 +297,41 @@ def hits(v: Views):
     return ranked.filter("r <= 5").withColumn("top", F.max("score").over(w))
 
 
-@query("threshold_policy", POLICY + " SELECT u AS user_id, id, s AS score, s >= 0.4 AS above, top < 0.3 AS irrelevant, CASE WHEN top < 0.3 THEN s >= 0.4 ELSE true END AS kept FROM k")
-def threshold_policy(v: Views):
-    """Hits above the threshold; if the best one is relevant the rest fill up to five."""
-    t = F.lit(0.4)
+POLICY += """, w AS (SELECT agentId, arg_min(t, id) AS t FROM (SELECT agentId, id, coalesce(scoreThreshold, 0.4)::DOUBLE AS t FROM widgets) GROUP BY agentId),
+ o AS (SELECT u, max(top) < 0.3 AS irrelevant, max(s) AS best, coalesce(any_value(w.t), 0.4::DOUBLE) AS t0 FROM k LEFT JOIN w ON w.agentId = k.u GROUP BY u),
+ e AS (SELECT u, irrelevant, CASE WHEN NOT irrelevant AND best < t0 AND best >= greatest(0.2::DOUBLE, t0 - 0.15::DOUBLE) THEN greatest(0.2::DOUBLE, t0 - 0.15::DOUBLE) ELSE t0 END AS t FROM o)"""
+
+
+def judged_hits(v: Views):
+    """Hits with the owner's threshold in force and what it keeps.
+
+    The threshold is the widget's, else 0.4.  If the best hit is relevant (0.3) but below
+    it, it falls by 0.15, not below 0.2, where that finds a hit.  Hits below it fill up to
+    five unless nothing is relevant.
+    """
+    own = v.widgets.groupBy(C("agentId").alias("user_id")).agg(F.min_by(F.coalesce(C("scoreThreshold").cast("double"), F.lit(0.4)), "id").alias("own"))
+    t, lower = F.coalesce("own", F.lit(0.4)), F.greatest(F.lit(0.2), F.coalesce("own", F.lit(0.4)) - 0.15)
     irrelevant = C("top") < 0.3
-    return hits(v).select("user_id", "id", "score", (C("score") >= t).alias("above"), irrelevant.alias("irrelevant"), F.when(irrelevant, C("score") >= t).otherwise(True).alias("kept"))
+    found = hits(v).join(own, "user_id", "left").withColumn("irrelevant", irrelevant)
+    found = found.withColumn("t", F.when(~irrelevant & (C("top") < t) & (C("top") >= lower), lower).otherwise(t))
+    return found.withColumn("above", C("score") >= C("t")).withColumn("kept", C("above") | ~irrelevant)
+
+
+@query("threshold_policy", POLICY + " SELECT k.u AS user_id, id, s AS score, round(t, 6) AS threshold, s >= t AS above, irrelevant, s >= t OR NOT irrelevant AS kept FROM k JOIN e ON k.u = e.u")
+def threshold_policy(v: Views):
+    """Hits above the threshold in force; if the best one is relevant the rest fill up to five."""
+    return judged_hits(v).select("user_id", "id", "score", F.round("t", 6).alias("threshold"), "above", "irrelevant", "kept")
 
 
-@query("answer_branch", POLICY + " SELECT u AS user_id, CASE WHEN max(top) < 0.3 THEN 'redirect' ELSE 'contextual' END AS branch, count(*) AS hits FROM k GROUP BY u")
+@query("answer_branch", POLICY + f""", x AS (SELECT id, agentId, coalesce(message, '') AS q FROM msgs WHERE sender_type = 'visitor'),
+ f AS (SELECT k.u, any_value(irrelevant) AS irrelevant, count(*) FILTER (WHERE s >= t OR NOT irrelevant) AS kept FROM k JOIN e ON k.u = e.u GROUP BY k.u),
+ z AS (SELECT x.id, coalesce(kept, 0) AS kept, coalesce(irrelevant, false) AS irrelevant, {GREETING} AS greeting, {ACCIDENTAL} AS accidental FROM (SELECT *, lower(trim(q)) AS g, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS a FROM x) x LEFT JOIN f ON f.u = x.agentId)
+ SELECT id, CASE WHEN kept = 0 AND greeting THEN 'greeting' WHEN accidental AND NOT greeting THEN 'accidental' WHEN (kept = 0 OR irrelevant) AND NOT greeting THEN 'redirect' ELSE 'contextual' END AS branch, kept AS hits FROM z""")
 def answer_branch(v: Views):
-    """Greeting and accidental questions aside: a redirect if nothing is relevant, else an answer from context."""
-    return hits(v).groupBy("user_id").agg(F.when(F.max("top") < 0.3, "redirect").otherwise("contextual").alias("branch"), F.count(F.lit(1)).alias("hits"))
+    """How each question of a visitor is answered: as a greeting, an accident, by a redirect, or from the owner's hits."""
+    found = judged_hits(v).groupBy(C("user_id").alias("agentId")).agg(F.count_if("kept").alias("kept"), F.max("irrelevant").alias("irrelevant"))
+    asked = v.msgs.filter("sender_type = 'visitor'").select("id", "agentId", "message").join(found, "agentId", "left")
+    greeting, accidental = text.is_greeting(C("message")), text.is_accidental(C("message"))
+    kept, irrelevant = F.coalesce("kept", F.lit(0)), F.coalesce("irrelevant", F.lit(False))
+    branch = F.when((kept == 0) & greeting, "greeting").when(accidental & ~greeting, "accidental").when(((kept == 0) | irrelevant) & ~greeting, "redirect").otherwise("contextual")
+    return asked.select("id", branch.alias("branch"), kept.alias("hits"))

@@ -1,4 +1,4 @@
-"""Column functions over the tables and over literal edge cases."""
+"""Column functions over the tables."""
 
 from __future__ import annotations
 
@@ -18,6 +18,11 @@ def _sql_any(expression: str, phrases: list[str]) -> str:
 Q = "lower(trim(coalesce(q, '')))"
 
 
+def _number(c: str) -> str:
+    found = f"regexp_extract(coalesce({c}, ''), '\\b(\\d+)\\b', 1)"
+    return f"CASE WHEN length(ltrim({found}, '0')) > 18 THEN 999999999999999999 ELSE try_cast({found} AS BIGINT) END"
+
+
 @query("norm_question", "SELECT id, lower(trim(regexp_replace(regexp_replace(replace(coalesce(t, ''), '&nbsp;', ' '), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS n FROM snippets")
 def norm_question(v: Views):
     return v.snippets.select("id", text.norm_question(C("t")).alias("n"))
@@ -43,8 +48,8 @@ def is_greeting(v: Views):
     return v.questions.select("id", text.is_greeting(C("q")).alias("hit"))
 
 
-@query("is_accidental", f"""SELECT id, length(x) >= 3 AND ((NOT contains(x, ' ') AND length(x) > 10 AND len(list_distinct(string_split(lower(x), ''))) < 0.4 * length(x))
- OR (length(x) > 6 AND length(x) % 2 = 0 AND left(x, length(x) // 2) = right(x, length(x) // 2))) AS hit FROM (SELECT id, {Q} AS x FROM questions)""")
+@query("is_accidental", """SELECT id, length(x) >= 3 AND ((NOT contains(x, ' ') AND length(x) > 10 AND len(list_distinct(string_split(lower(x), ''))) < 0.4 * length(x))
+ OR (length(x) > 6 AND length(x) % 2 = 0 AND left(x, length(x) // 2) = right(x, length(x) // 2))) AS hit FROM (SELECT id, regexp_replace(coalesce(q, ''), '^\\s+|\\s+$', '', 'g') AS x FROM questions)""")
 def is_accidental(v: Views):
     return v.questions.select("id", text.is_accidental(C("q")).alias("hit"))
 
@@ -58,7 +63,7 @@ def is_agent_request(v: Views):
  WHEN regexp_matches(q, '{text.QUANTITY}') OR (long AND (lists OR links)) THEN least(1000, 200 + n * 80) WHEN links AND long THEN 800
  WHEN lists OR (long AND regexp_matches(q, '{text.DETAILED}')) THEN 600 WHEN long THEN 400 ELSE 200 END AS BIGINT) AS tokens FROM
  (SELECT id, coalesce(q, '') AS q, {_sql_any(Q, text.LONG_WORDS)} AS long, regexp_matches(coalesce(q, ''), '{text.LISTING}') AS lists, regexp_matches(coalesce(q, ''), '{text.LINKING}') AS links,
- coalesce(try_cast(regexp_extract(coalesce(q, ''), '\\b(\\d+)\\b', 1) AS BIGINT), 5) AS n FROM questions)""")
+ coalesce({_number('q')}, 5) AS n FROM questions)""")
 def max_tokens(v: Views):
     return v.questions.select("id", text.max_tokens(C("q")).alias("tokens"))
 
@@ -68,7 +73,7 @@ def detect_intent(v: Views):
     return v.questions.select("id", text.detect_intent(C("q")).alias("intent"))
 
 
-@query("requested_count", "SELECT id, cast(CASE WHEN n > 0 THEN n ELSE 5 END AS BIGINT) AS n FROM (SELECT id, try_cast(regexp_extract(coalesce(q, ''), '\\b(\\d+)\\b', 1) AS BIGINT) AS n FROM questions)")
+@query("requested_count", "SELECT id, cast(CASE WHEN n > 0 THEN n ELSE 5 END AS BIGINT) AS n FROM (SELECT id, " + _number("q") + " AS n FROM questions)")
 def requested_count(v: Views):
     return v.questions.select("id", text.requested_count(C("q")).alias("n"))
 
@@ -99,9 +104,13 @@ def role_map(v: Views):
     return v.msgs.select("id", text.role_name(C("sender_type")).alias("role"))
 
 
-@query("context_join", "SELECT user_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context FROM points WHERE id % 7 = 0 AND text <> '' GROUP BY user_id")
+@query("context_join", "SELECT user_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS r FROM points WHERE text <> '') WHERE r <= 5 GROUP BY user_id")
 def context_join(v: Views):
-    some = v.points.filter("id % 7 = 0 AND text <> ''").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("x"))
+    """The texts of the first five hits of each owner: an answer's context has five at most."""
+    from pyspark.sql import Window as W
+
+    first = v.points.filter("text <> ''").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("id"))).filter("r <= 5")
+    some = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("x"))
     return some.select("user_id", F.array_join(F.transform("x", lambda y: y["text"]), "\n\n---\n\n").alias("context"))
 
 
@@ -225,25 +234,29 @@ def meaningful(v: Views):
     return v.tdocs.select("id", text.meaningful(C("content")).alias("ok"))
 
 
-@query("word_freq", """SELECT id, max(n) > 0.3 * any_value(total) AS dominated FROM (SELECT id, w, count(*) AS n, any_value(total) AS total FROM
- (SELECT id, unnest(string_split_regex(lower(message), '\\s+')) AS w, len(list_filter(string_split_regex(message, '\\s+'), lambda x: x <> '')) AS total FROM msgs) WHERE length(w) > 2 GROUP BY id, w) GROUP BY id""")
+def _dominated(table: str, column: str) -> str:
+    return f"""SELECT t.id, coalesce(max(n) > 0.3 * any_value(total), false) AS dominated FROM (SELECT id, len(string_split_regex(lower({column}), '\\s+')) AS total FROM {table}) t
+ LEFT JOIN (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(string_split_regex(lower({column}), '\\s+')) AS w FROM {table}) WHERE length(w) > 2 GROUP BY id, w) f ON f.id = t.id GROUP BY t.id"""
+
+
+@query("word_freq", _dominated("msgs", "message"))
 def word_freq(v: Views):
-    """Whether one word makes up more than three tenths of a message."""
-    words = v.msgs.select("id", text.word_count(C("message")).alias("total"), F.explode(F.split(F.lower("message"), r"\s+")).alias("w")).filter("length(w) > 2")
-    return words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total")).groupBy("id").agg((F.max("n") > 0.3 * F.first("total")).alias("dominated"))
+    """Whether one word makes up more than three tenths of a message; no word leaves its row."""
+    return v.msgs.select("id", text.dominated(C("message")).alias("dominated"))
 
 
-@query("spam", """SELECT id, len(regexp_extract_all(content, '[!?]{2,}')) > 5 OR (length(regexp_replace(content, '[^A-Z]', '', 'g')) > 0.5 * length(content) AND length(content) > 100) AS spam FROM tdocs""")
+@query("spam", f"""SELECT c.id, dominated OR len(regexp_extract_all(content, '[!?]{{2,}}')) > 5 OR (length(regexp_replace(content, '[^A-Z]', '', 'g')) > 0.5 * length(content) AND length(content) > 100) AS spam
+ FROM tdocs c JOIN ({_dominated('tdocs', 'content')}) d ON c.id = d.id""")
 def spam(v: Views):
-    caps = F.length(F.regexp_replace("content", "[^A-Z]", ""))
-    return v.tdocs.select("id", ((F.regexp_count("content", F.lit("[!?]{2,}")) > 5) | ((caps > 0.5 * F.length("content")) & (F.length("content") > 100))).alias("spam"))
+    """Repetition, punctuation and capitals of documents."""
+    return v.tdocs.select("id", text.spam(C("content")).alias("spam"))
 
 
-@query("validate_content", "SELECT id, CASE WHEN coalesce(t, '') = '' THEN 'CONTENT_MISSING' WHEN length(trim(t)) < 10 THEN 'CONTENT_TOO_SHORT' WHEN strlen(trim(t)) > 25 THEN 'PLAN_LIMIT_EXCEEDED' ELSE 'OK' END AS code, cast(coalesce(strlen(trim(t)), 0) AS BIGINT) AS size FROM snippets")
+@query("validate_content", "SELECT id, CASE WHEN coalesce(t, '') = '' THEN 'CONTENT_MISSING' WHEN length(trim(t)) < 10 THEN 'CONTENT_TOO_SHORT' WHEN strlen(trim(t)) > 4000 THEN 'PLAN_LIMIT_EXCEEDED' ELSE 'OK' END AS code, cast(coalesce(strlen(trim(t)), 0) AS BIGINT) AS size FROM snippets")
 def validate_content(v: Views):
     """Missing, too short, above the limit, or fine; and the size in bytes."""
     t = F.trim("t")
-    code = F.when(F.coalesce("t", F.lit("")) == "", "CONTENT_MISSING").when(F.length(t) < 10, "CONTENT_TOO_SHORT").when(F.octet_length(t) > 25, "PLAN_LIMIT_EXCEEDED").otherwise("OK")
+    code = F.when(F.coalesce("t", F.lit("")) == "", "CONTENT_MISSING").when(F.length(t) < 10, "CONTENT_TOO_SHORT").when(F.octet_length(t) > 4000, "PLAN_LIMIT_EXCEEDED").otherwise("OK")
     return v.snippets.select("id", code.alias("code"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("size"))
 
 
@@ -268,10 +281,11 @@ def validate_form(v: Views):
     return v.visitors.select("id", F.array_join(F.filter(errors, lambda e: e.isNotNull()), "; ").alias("errors"))
 
 
-@query("regex_checks", "SELECT userId, regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') AS email_ok, length(email) >= 8 AND regexp_matches(email, '[a-z]') AND regexp_matches(email, '[0-9]') AND regexp_matches(email, '[^a-zA-Z0-9]') AS strong FROM clients")
+@query("regex_checks", "SELECT userId, regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') AS email_ok, length(name) >= 8 AND regexp_matches(name, '[A-Z]') AND regexp_matches(name, '[0-9]') AND regexp_matches(name, '[^A-Za-z0-9]') AS strong FROM clients")
 def regex_checks(v: Views):
-    e = C("email")
-    return v.clients.select("userId", e.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$").alias("email_ok"), ((F.length(e) >= 8) & e.rlike("[a-z]") & e.rlike("[0-9]") & e.rlike("[^a-zA-Z0-9]")).alias("strong"))
+    """E-mail addresses, and strong words: eight characters, a capital, a digit and another sign."""
+    e, w = C("email"), C("name")
+    return v.clients.select("userId", e.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$").alias("email_ok"), ((F.length(w) >= 8) & w.rlike("[A-Z]") & w.rlike("[0-9]") & w.rlike("[^A-Za-z0-9]")).alias("strong"))
 
 
 @query("detail_email", "SELECT id, coalesce(email, 'N/A') AS email FROM visitors")
@@ -320,7 +334,7 @@ def color_useful(v: Views):
     return h.select("id", colors.useful(C("h")).alias("useful"))
 
 
-@query("contrast_text", f"SELECT id, CASE WHEN (0.299 * r + 0.587 * g + 0.114 * b) / 255 > 0.55 THEN '#000000' ELSE '#ffffff' END AS ink FROM {RGB} WHERE h IS NOT NULL")
+@query("contrast_text", f"SELECT id, CASE WHEN (0.299 * r + 0.587 * g + 0.114 * b) / 255 > 0.55 THEN '#1F2937' ELSE '#FFFFFF' END AS ink FROM {RGB} WHERE h IS NOT NULL")
 def contrast_text(v: Views):
     h = v.shades.select("id", colors.to_hex(C("c")).alias("h")).filter("h is not null")
     return h.select("id", colors.contrast_text(C("h")).alias("ink"))
