@@ -16,51 +16,158 @@ SEPARATORS = ["\n\n", "\n", ". ", " "]
 DIMENSIONS = 64
 
 
-class _Markdown(HTMLParser):
-    """A small helper: headings, links and paragraphs of one page."""
+# fixed values: elements and classes that pages lose, and elements without content
+DROPPED = {"script", "style", "noscript", "iframe", "svg", "canvas", "form", "button", "select", "textarea", "title"}
+DROPPED_CLASSES = {"ad", "advertisement", "popup", "modal"}
+EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements that end where their parent or a sibling does.
+LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+
 
-    skip = {"script", "style", "form", "iframe", "noscript", "nav", "svg"}
+class _Markdown(HTMLParser):
+    """A small helper: headings, lists, links, images and paragraphs of one page, its first footer apart."""
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.out, self.depth, self.href = base, [], 0, None
+        self.base, self.body, self.footer = base, [], []
+        self.skipped: list[str] = []  # open elements from the one that is left out on
+        self.links: list[tuple[str, int]] = []
+        self.footers = self.inside = 0
+
+    @property
+    def out(self) -> list[str]:
+        return self.footer if self.inside and self.footers == 1 else self.body
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in self.skip or "ad" in (a.get("class") or "").split():
-            self.depth += 1
-        elif self.depth and tag == "div":
-            self.depth += 1
-        if tag in ("p", "div", "li", "footer"):
-            self.out.append("\n\n" if tag != "li" else "\n- ")
-        if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
+        if self.skipped:
+            if tag not in EMPTY:
+                self.skipped.append(tag)
+            return
+        if tag in DROPPED or DROPPED_CLASSES & set((a.get("class") or "").split()):
+            if tag not in EMPTY:
+                self.skipped.append(tag)
+            return
+        if tag == "footer":
+            self.footers += not self.inside
+            self.inside += 1
+        if tag in ("p", "div", "footer", "section", "article", "ul", "ol", "table", "blockquote", "header", "main", "nav"):
+            self.out.append("\n\n")
+        elif tag in ("li", "tr"):
+            self.out.append("\n- " if tag == "li" else "\n")
+        elif tag == "br":
+            self.out.append("\n")
+        elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        if tag == "a" and not self.depth:
-            self.href = urljoin(self.base, a.get("href") or "")
-            self.out.append("[")
+        elif tag == "a":
+            self.links.append((self.absolute(a.get("href")), len(self.out)))
+            self.out.append("[" if a.get("href") else "")
+        elif tag == "img" and a.get("src"):
+            alt = (a.get("alt") or "").strip()
+            self.out.append(f"\n\nImage{f' ({alt})' if alt else ''}: {self.absolute(a['src'])}\n\n")
+
+    def absolute(self, link: str | None) -> str:
+        link = (link or "").strip()
+        return link if not link or link.startswith(("http", "data:")) else urljoin(self.base, link)
 
     def handle_endtag(self, tag):
-        if self.depth and (tag in self.skip or tag == "div"):
-            self.depth -= 1
-        if tag == "a" and self.href is not None:
-            self.out.append(f"]({self.href})")
-            self.href = None
+        if self.skipped:
+            # loose elements end with their parent; a tag that closes nothing here is ignored
+            k = next((k for k in range(len(self.skipped) - 1, -1, -1) if self.skipped[k] == tag or self.skipped[k] not in LOOSE), None)
+            if k is not None and self.skipped[k] == tag:
+                del self.skipped[k:]
+            elif tag in self.skipped and len(self.skipped) > 1:
+                del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
+            elif len(self.skipped) == 1 and self.skipped[0] in LOOSE:
+                self.skipped.clear()  # its parent ends
+            return
+        if tag == "a" and self.links:
+            href, at = self.links.pop()
+            if href:
+                shown = "".join(self.out[at + 1 :]).strip()
+                self.out.append(f"]({href})" if shown else f"Link: {href}]({href})")
+        elif tag == "footer" and self.inside:
+            self.inside -= 1
 
     def handle_data(self, data):
-        if not self.depth:
+        if not self.skipped:
             self.out.append(data)
 
 
-def markdown(url: str | None, page: str | None) -> str:
+def markdown(url: str | None, page: str | None) -> tuple[str, str]:
+    """Markdown of a page without its footers, and of its first footer."""
     parser = _Markdown(url or "")
     parser.feed(page or "")
     parser.close()
-    return "".join(parser.out)
+    return "".join(parser.body), "".join(parser.footer)
+
+
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("footer", T.StringType())]))
+def html_to_md(url: pd.Series, page: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([markdown(u, p) for u, p in zip(url, page)], columns=["body", "footer"])
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link as an absolute address, as a page at ``base`` means it; null without a base."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    whole = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    local = F.when(link.startswith("/"), link).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), link))
+    parts = F.split(F.regexp_extract(local, r"^([^?#]*)", 1), "/")
+    last = F.get(parts, F.size(parts) - 1)
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    tidy = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    tidy = F.concat(F.array_join(tidy, "/"), F.when(last.isin("..", "."), "/").otherwise(F.when(F.size(parts) < 2, "/").otherwise("")))
+    rest = F.regexp_extract(local, r"^[^?#]*(.*)$", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    return F.when(origin == "", None).otherwise(
+        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), link))
+        .when(link.startswith("?"), F.concat(whole, link))
+        .otherwise(F.concat(origin, tidy, rest))
+    )
+
+
+def origin_of(url: Column) -> Column:
+    """Scheme and host in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1))
+
+
+#: The address of each link of a page, in double, single or no quotes.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def links_of(page: Column) -> Column:
+    found = [F.regexp_extract_all(page, F.lit(HREF), F.lit(k)) for k in (1, 2, 3)]
+    joined = F.zip_with(F.zip_with(*found[:2], lambda x, y: F.concat(x, y)), found[2], lambda x, y: F.concat(x, y))
+    return F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x != "")
+
 
+def sitemap_addresses(documents: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, url``: the addresses below each root sitemap, through nested indexes.
 
-@F.pandas_udf(T.StringType())
-def html_to_md(url: pd.Series, page: pd.Series) -> pd.Series:
-    return pd.Series([markdown(u, p) for u, p in zip(url, page)])
+    ``documents`` has ``url, xml``, ``roots`` has ``root``.  An index names further
+    documents; a document is read once for each root, so circles end.  Addresses are
+    trimmed, distinct, and start with ``http``.
+    """
+    locs = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*([^<]*?)\s*</loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+    parsed = documents.select("url", F.col("xml").contains("<sitemapindex").alias("nested"), locs.alias("locs"))
+    now = roots.select("root", F.col("root").alias("url")).distinct()
+    seen, found = now, None
+    while True:
+        level = now.join(parsed, "url").select("root", "nested", F.explode("locs").alias("url"))
+        pages = level.filter(~F.col("nested")).select("root", "url")
+        found = pages if found is None else found.unionByName(pages)
+        now = level.filter("nested").select("root", "url").distinct().join(seen, ["root", "url"], "left_anti")
+        if now.isEmpty():
+            return found.filter(F.col("url").startswith("http")).distinct()
+        seen = seen.unionByName(now)
 
 
 def split(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: list[str] | None = None) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.text import clean_markdown
-from parlance.operators.ingest import chunked, embed, html_to_md
+from parlance.operators.ingest import chunked, embed, html_to_md, links_of, origin_of, resolved, sitemap_addresses
 from parlance.plans.registry import query
 from parlance.sources.views import Views
 
@@ -13,7 +13,14 @@ C = F.col
 
 
 def pages(v: Views):
-    return v.webpages.select("id", "url", clean_markdown(html_to_md(C("url"), C("html"))).alias("text"))
+    """Pages as markdown; a site's footer stands behind its first page that has one."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    made = v.webpages.select("id", "url", host.alias("host"), html_to_md(C("url"), C("html")).alias("md"))
+    made = made.select("id", "url", "host", "md.body", F.nullif(clean_markdown(C("md.footer")), F.lit("")).alias("footer"))
+    first = made.filter("footer is not null").groupBy("host").agg(F.min("id").alias("first"))
+    shown = F.when((C("id") == C("first")) & C("footer").isNotNull(), F.concat(F.lit("\n\n---\n**Footer Links (from "), "host", F.lit(")**\n"), "footer"))
+    whole = F.concat("body", F.coalesce(shown, F.lit("")))
+    return made.join(first, "host", "left").select("id", "url", clean_markdown(whole).alias("text"))
 
 
 @query("html_to_md")
@@ -44,22 +51,38 @@ def embed_chunks(v: Views):
     return chunked(pages(v), "text").select("id", "url", "chunk_index", "total_chunks", "chunk", embed(C("chunk")).alias("vector"))
 
 
-@query("same_origin_links", """SELECT DISTINCT id, path FROM (SELECT id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS path FROM webpages) WHERE starts_with(path, '/')""")
+@query("same_origin_links", """SELECT DISTINCT id, link FROM (SELECT id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) AS origin, regexp_extract(url, '^([a-zA-Z]+:)', 1) AS scheme, unnest(regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1)) AS h,
+ CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN scheme || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || h END AS link FROM webpages)
+ WHERE link IS NOT NULL AND origin <> '' AND lower(regexp_extract(link, '^([a-zA-Z]+://[^/?#]*)', 1)) = origin""")
 def same_origin_links(v: Views):
-    """Links of each page that stay on its host."""
-    links = v.webpages.select("id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("path"))
-    return links.filter(C("path").startswith("/")).distinct()
+    """Links of each page, resolved against its address, that stay on its origin."""
+    links = v.webpages.select("id", "url", F.explode(links_of(C("html"))).alias("link"))
+    links = links.select("id", "url", resolved(C("url"), C("link")).alias("link"))
+    return links.filter((origin_of(C("url")) != "") & (origin_of(C("link")) == origin_of(C("url")))).select("id", "link").distinct()
 
 
-@query("sitemap_urls", """SELECT host, count(*) AS urls, min(url) AS first_url FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url FROM webpages) GROUP BY host""")
+@query("sitemap_urls", """SELECT host, count(DISTINCT url) AS urls, min(url) AS first_url FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url FROM webpages) WHERE host <> '' AND starts_with(url, 'http') GROUP BY host""")
 def sitemap_urls(v: Views):
-    """Addresses out of sitemap documents; here each host's document is made of its pages."""
+    """Addresses out of sitemaps with nested indexes.
+
+    The documents are made of the pages: each site has an index that names an index
+    for each part of the site, which names lists of the pages.
+    """
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    maps = v.webpages.select(host.alias("host"), entry.alias("xml"))
-    locs = maps.select("host", F.explode(F.regexp_extract_all("xml", F.lit("<loc>([^<]*)</loc>"), F.lit(1))).alias("u"))
-    urls = locs.select("host", F.replace("u", F.lit("&amp;"), F.lit("&")).alias("u"))
-    return urls.groupBy("host").agg(F.count(F.lit(1)).alias("urls"), F.min("u").alias("first_url"))
+    place = v.webpages.select(host.alias("host"), "url", F.regexp_extract("url", "://[^/?#]*/?([^/?#]*)", 1).alias("part"), F.expr("id div 1000").alias("n")).filter("host <> ''")
+    name = lambda *p: F.concat(F.lit("https://"), "host", F.lit("/sitemap"), *[F.concat(F.lit("-"), C(x).cast("string")) for x in p], F.lit(".xml"))
+
+    def document(rows, address, kind: str, item: str, loc):
+        entry = F.concat(F.lit(f"<{item}><loc> "), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f" </loc></{item}>"))
+        body = F.array_join(F.collect_list(entry), "")
+        return rows.groupBy(address.alias("url")).agg(F.concat(F.lit(f"<{kind}>"), body, F.lit(f"</{kind}>")).alias("xml"))
+
+    lists = document(place, name("part", "n"), "urlset", "url", C("url"))
+    parts = document(place.select("host", "part", "n").distinct(), name("part"), "sitemapindex", "sitemap", name("part", "n"))
+    tops = document(place.select("host", "part").distinct(), name(), "sitemapindex", "sitemap", name("part"))
+    roots = place.select(name().alias("root")).distinct()
+    found = sitemap_addresses(lists.unionByName(parts).unionByName(tops), roots)
+    return found.groupBy(F.regexp_extract("root", "://([^/?#]*)", 1).alias("host")).agg(F.count(F.lit(1)).alias("urls"), F.min("url").alias("first_url"))
 
 
 @query("robots_sitemaps", "SELECT 'https://site' || id || '.example.com/map.xml' AS sitemap, id FROM webpages WHERE id % 2 = 0")

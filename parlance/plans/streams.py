@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.plans.registry import query
@@ -13,16 +15,38 @@ from parlance.streaming.messages import conversation_state, rooms
 C = F.col
 
 
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """The rows that a stream writes until its input ends.
+
+    Each batch is appended as Parquet with its number below the folder that
+    ``spark.checkpoint.dir`` names (a temporary one only in local mode); the checkpoint
+    lies beside them.  In complete mode the last batch is the result.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="parlance-")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.filter(C("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
+
+
 @query("stream_event_windows", """SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS slot, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY time_bucket(INTERVAL 6 HOUR, ts), event_type""")
 def stream_event_windows(v: Views):
     """Tumbling windows of a file stream, available rows only."""
-    spark = v.spark
-    name = f"windows_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(v.events.schema).parquet(f"{v.sf_dir}/events.parque[t]")
+    stream = v.spark.readStream.schema(v.events.schema).parquet(f"{v.sf_dir}/events.parque[t]")
     counted = stream.withColumn("ts", C("ts").cast("timestamp")).groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
     shown = counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("slot"), "event_type", "n", "total")
-    shown.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return drained(shown, "complete")
 
 
 @query("room_fanout", """SELECT room, count(*) AS events FROM (SELECT 'user' || userId AS room FROM convs UNION ALL SELECT 'user' || userId || '-agent' || agentId FROM convs) GROUP BY room""")
@@ -42,10 +66,8 @@ def session_windows(v: Views):
  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS r FROM msgs) GROUP BY conversation_id""")
 def stream_conversation_state(v: Views):
     """State of each conversation after all available messages of a file stream."""
-    spark, name = v.spark, f"state_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(v.conversations.schema).parquet(f"{v.sf_dir}/conversations.parque[t]")
+    stream = v.spark.readStream.schema(v.conversations.schema).parquet(f"{v.sf_dir}/conversations.parque[t]")
     sender = F.when(C("role") == "user", "visitor").when(C("role") == "assistant", "ai").otherwise("system")
     rows = stream.select(C("conv_id").alias("conversation_id"), sender.alias("sender_type"), C("text").alias("message"), C("turn").cast("long").alias("seq"))
-    conversation_state(rows).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    last = spark.table(name).groupBy("conversation_id").agg(F.max_by(F.struct("messages", "unread", "started", "last_message"), "messages").alias("s"))
+    last = drained(conversation_state(rows), "update").groupBy("conversation_id").agg(F.max_by(F.struct("messages", "unread", "started", "last_message"), "messages").alias("s"))
     return last.select("conversation_id", "s.*")

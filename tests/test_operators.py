@@ -35,8 +35,39 @@ def test_split_overlaps():
 
 def test_markdown():
     page = "<h1>T</h1><script>x</script><p>a &amp; <a href='/b'>l</a></p><div class='ad'>no</div>"
-    got = markdown("https://h.test/x", page)
-    assert "# T" in got and "a & [l](https://h.test/b)" in got and "no" not in got and "x<" not in got
+    got, footer = markdown("https://h.test/x", page)
+    assert "# T" in got and "a & [l](https://h.test/b)" in got and "no" not in got and "x<" not in got and footer == ""
+    for page in ("<p class='ad'>buy</p><p>rest</p>", "<span class='x ad'><b>buy</b></span><p>rest</p>", "<div><p class=ad>buy</div><p>rest", "<ul class=popup><li>buy<li>now</ul>rest", "<form><div>buy</form>rest"):
+        assert markdown("", page)[0].split() == ["rest"], page
+    got, footer = markdown("https://h.test/d/x", "<p>a</p><img src=i.png alt=' pic '><a href='y'></a><footer>one <a href=/t>t</a></footer><footer>two</footer>")
+    assert got.split() == ["a", "Image", "(pic):", "https://h.test/d/i.png", "[Link:", "https://h.test/d/y](https://h.test/d/y)", "two"] and footer.split() == ["one", "[t](https://h.test/t)"]
+
+
+def test_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    from parlance.operators.ingest import links_of, origin_of, resolved
+
+    bases = ["https://h.test", "https://h.test/", "https://H.test/a/b?q#f", "http://h.test/a/b/c/", "h.test/x", ""]
+    links = ["/x", "y", "../z", "./w?q=1", "?p=2", "#top", "//other.test/x", "https://h.test/abs", "mailto:a@b.test", "../../../up", "a/../b/./c", "..", "d/"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, x string")
+    for r in df.select("b", "x", resolved(F.col("b"), F.col("x")).alias("r")).collect():
+        assert r.r == (urljoin(r.b, r.x) if "://" in r.b else None), (r.b, r.x)
+    page = "<a href=\"/1\">x</a><a class=c href='2'>y</a><A HREF=3>z</A><link href='/no'><a name=n>n</a><a href=' '>w</a><a\nhref=https://h.test.evil/x>e</a>"
+    got = spark.createDataFrame([(page,)], "p string").select(F.explode(links_of(F.col("p"))).alias("x")).collect()
+    assert [r.x for r in got] == ["/1", "2", "3", "https://h.test.evil/x"]
+    origins = spark.createDataFrame([("https://h.test.evil/x",), ("HTTPS://H.test?x",)], "u string").select(origin_of(F.col("u")).alias("o")).collect()
+    assert [r.o for r in origins] == ["https://h.test.evil", "https://h.test"]
+
+
+def test_nested_sitemaps(spark):
+    from parlance.operators.ingest import sitemap_addresses
+
+    index = lambda *x: "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in x) + "</sitemapindex>"
+    urls = lambda *x: "<urlset>" + "".join(f"<url><loc>\n {u} </loc></url>" for u in x) + "</urlset>"
+    docs = [("r", index("a", "b", "missing")), ("a", index("c", "r")), ("b", urls("http://1", "ftp://2")), ("c", urls("http://1", "http://3?a&amp;b")), ("s", urls("http://4"))]
+    got = sitemap_addresses(spark.createDataFrame(docs, "url string, xml string"), spark.createDataFrame([("r",), ("s",), ("none",)], "root string")).collect()
+    assert {tuple(r) for r in got} == {("r", "http://1"), ("r", "http://3?a&b"), ("s", "http://4")} and len(got) == 3
 
 
 @pytest.mark.parametrize("base,months,want", [
@@ -66,6 +97,9 @@ def test_fold_ignores_arrival(spark):
     for r in (rows, rows[::-1]):
         got = state.fold(spark.createDataFrame(r, "k long, t long, v string, n long"), "k", ["t"], ["v"], ["n"]).orderBy("k").collect()
         assert [tuple(x) for x in got] == [(1, "b", 3), (2, None, 5)]
+    rows = [(1, 1, "a", False), (1, 2, None, True), (2, 1, None, True), (2, 2, "b", False), (3, 1, "c", False), (3, 2, None, False)]
+    got = state.fold(spark.createDataFrame(rows, "k long, t long, v string, gone boolean"), "k", ["t"], ["v"], [], {"v": "gone"}).orderBy("k").collect()
+    assert [tuple(x) for x in got] == [(1, None), (2, "b"), (3, "c")]
 
 
 def test_latest_is_idempotent(spark):
