@@ -42,3 +42,14 @@ def spoken(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0))
     text = F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), F.floor(s % 3600 / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))
     return F.when(seconds.isNull(), "-").otherwise(text)
+
+
+def within_hours(ts: Column, hours: dict[str, tuple[bool, str, str]], enabled: bool = True) -> Column:
+    """Whether a time lies in its weekday's hours, given as open, from and to (HH:MM); always if they are not in use."""
+    if not enabled:
+        return F.lit(True)
+    day, time = F.date_format(ts, "EEEE"), F.date_format(ts, "HH:mm")
+    found = F.lit(False)
+    for name, (on, start, end) in hours.items():
+        found = F.when(day == name, F.lit(on) & (time >= start) & (time <= end)).otherwise(found)
+    return found

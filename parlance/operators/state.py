@@ -34,3 +34,13 @@ def update(df: DataFrame, where: Column, **values) -> DataFrame:
 def without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """Rows that match no row of ``gone``; missing values match nothing."""
     return df.join(gone.select(*on).distinct(), on, "left_anti")
+
+
+def get_or_create(old: DataFrame, asked: DataFrame, key: str, column: str) -> DataFrame:
+    """A row for each key of either table; ``column`` of ``asked`` wins where it has a value.
+
+    ``created`` says that the row is new, ``patched`` that its value changed.
+    """
+    both = old.select(key, F.col(column).alias("was"), F.lit(True).alias("there")).join(asked.select(key, F.col(column).alias("wanted")), key, "full")
+    changed = F.col("there") & F.col("wanted").isNotNull() & ~F.col("was").eqNullSafe(F.col("wanted"))
+    return both.select(key, F.coalesce("wanted", "was").alias(column), F.col("there").isNull().alias("created"), F.coalesce(changed, F.lit(False)).alias("patched"))

@@ -20,17 +20,21 @@ def pct(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN floor({part} * 100.0 / {whole} * 100 + 0.5) / 100 ELSE 0.0 END"
 
 
+def since(day: str):
+    return C("createdAt") >= F.to_timestamp_ntz(F.lit(f"{day} 00:00:00"))
+
+
 @query("global_counts", """SELECT count(*) AS total, count_if(status = 'open') AS open_, count_if(status = 'close') AS closed, count_if(is_started) AS started, count_if(aiChat) AS ai, count_if(NOT aiChat) AS human,
  count_if(aiChat IS NULL) AS unset, count_if(feedback) AS liked, count_if(NOT feedback) AS disliked, count_if(visitorClosed IS DISTINCT FROM true) AS still_there, count_if(humanAgentId IS NOT NULL) AS handed,
- count_if(createdAt >= TIMESTAMP '1998-01-01 00:00:00') AS recent FROM convs""")
+ count_if(createdAt >= TIMESTAMP '1998-01-01 00:00:00') AS recent, count_if(createdAt >= TIMESTAMP '1998-07-15 00:00:00') AS today, count_if(createdAt >= TIMESTAMP '1998-07-12 00:00:00') AS week, count_if(createdAt >= TIMESTAMP '1998-07-01 00:00:00') AS month_, count(feedback) AS rated FROM convs""")
 def global_counts(v: Views):
-    """Twelve filtered counts in one scan."""
+    """Sixteen filtered counts in one scan; today is 15 July 1998."""
     return v.convs.agg(
         F.count(F.lit(1)).alias("total"),
         *count_where(
             open_=C("status") == "open", closed=C("status") == "close", started=C("is_started"), ai=C("aiChat"), human=~C("aiChat"), unset=C("aiChat").isNull(),
             liked=C("feedback"), disliked=~C("feedback"), still_there=not_true(C("visitorClosed")), handed=C("humanAgentId").isNotNull(),
-            recent=C("createdAt") >= F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")),
+            recent=since("1998-01-01"), today=since("1998-07-15"), week=since("1998-07-12"), month_=since("1998-07-01"), rated=C("feedback").isNotNull(),
         ),
     )
 
@@ -111,8 +115,11 @@ def timeframe_stats(v: Views):
     return past.agg(*counts, F.count(F.lit(1)).alias("all_time"))
 
 
-@query("billing_cycle_count", f"""SELECT w.userId, count(c.id) AS conversations FROM (SELECT userId, s - INTERVAL 27 YEAR AS s, {_plus('s', '1')} - INTERVAL 27 YEAR AS e FROM {WINDOW_SQL}) w LEFT JOIN
- (SELECT id, userId, createdAt FROM convs WHERE is_started AND visitor IN (SELECT id FROM visitors WHERE email IS NOT NULL)) c ON c.userId = w.userId AND c.createdAt >= w.s AND c.createdAt < w.e GROUP BY w.userId""")
+BILLED = f"""SELECT w.userId, count(c.id) AS conversations FROM (SELECT userId, s - INTERVAL 27 YEAR AS s, {_plus('s', '1')} - INTERVAL 27 YEAR AS e FROM {WINDOW_SQL}) w LEFT JOIN
+ (SELECT id, userId, createdAt FROM convs WHERE is_started AND visitor IN (SELECT id FROM visitors WHERE email IS NOT NULL)) c ON c.userId = w.userId AND c.createdAt >= w.s AND c.createdAt < w.e GROUP BY w.userId"""
+
+
+@query("billing_cycle_count", BILLED)
 def billing_cycle_count(v: Views):
     """Started conversations of signed-in visitors in the current billing month (moved 27 years back, to the data)."""
     back = F.expr("INTERVAL 27 YEARS")
@@ -144,30 +151,53 @@ def dashboard_sql(keys: str) -> str:
  FROM convs c LEFT JOIN visitors p ON c.visitor = p.id WHERE c.is_started GROUP BY {', '.join('c.' + k for k in keys.split(', '))}, place) GROUP BY {keys}) t ON {on}"""
 
 
-@query("dashboard_agent", dashboard_sql("userId, agentId") % "")
+OWNER_SQL = f""", coalesce(a.agents, 0) AS agents, coalesce(i.ai_agents, 0) AS ai_agents, coalesce(pc.chats_in_plan, 0) AS chats_in_plan%s LEFT JOIN (SELECT userId, count(*) AS agents FROM hagents WHERE isDeleted IS DISTINCT FROM true GROUP BY userId) a ON a.userId = b.userId
+ LEFT JOIN (SELECT userId, count(*) AS ai_agents FROM agents WHERE isDeleted IS DISTINCT FROM true GROUP BY userId) i ON i.userId = b.userId LEFT JOIN (SELECT userId, conversations AS chats_in_plan FROM ({BILLED})) pc ON pc.userId = b.userId"""
+
+
+def owner_figures(v: Views, df):
+    """Figures of a tenant joined: people, AI agents, and the chats of the billing month."""
+    live = not_true(C("isDeleted"))
+    people, bots = counts_by(v.hagents.filter(live), "userId", "agents"), counts_by(v.agents.filter(live), "userId", "ai_agents")
+    plan = billing_cycle_count(v).withColumnRenamed("conversations", "chats_in_plan")
+    for part in (people, bots, plan):
+        df = df.join(part, "userId", "left")
+    return df.fillna(0, ["agents", "ai_agents", "chats_in_plan"])
+
+
+def _dashboard_oracle(keys: str) -> str:
+    shown, joined = OWNER_SQL.split("%s")
+    return dashboard_sql(keys) % shown + joined
+
+
+@query("dashboard_agent", _dashboard_oracle("userId, agentId"))
 def dashboard_agent(v: Views):
-    return dashboard(v, ["userId", "agentId"])
+    return owner_figures(v, dashboard(v, ["userId", "agentId"]))
 
 
-@query("dashboard_tenant", dashboard_sql("userId") % ", coalesce(a.agents, 0) AS agents" + " LEFT JOIN (SELECT userId, count(*) AS agents FROM hagents WHERE isDeleted IS DISTINCT FROM true GROUP BY userId) a ON a.userId = b.userId")
+@query("dashboard_tenant", _dashboard_oracle("userId"))
 def dashboard_tenant(v: Views):
-    agents = counts_by(v.hagents.filter(not_true(C("isDeleted"))), "userId", "agents")
-    return dashboard(v, ["userId"]).join(agents, "userId", "left").fillna(0, ["agents"])
+    return owner_figures(v, dashboard(v, ["userId"]))
 
 
-@query("dashboard_admin", f"""SELECT n.*, c.clients, c.active, c.revenue, a.agents, h.humans, h.online, u.tokens FROM (SELECT count(*) AS conversations, count_if(status = 'open') AS open_, {pct('count_if(humanAgentId IS NOT NULL)', 'count(*)')} AS human_share FROM convs) n,
+@query("dashboard_admin", f"""SELECT n.*, c.clients, c.active, c.revenue, a.agents, a.active_agents, h.humans, h.online, h.approved, u.tokens, u.cost, q.*, m.* FROM (SELECT count(*) AS conversations, count_if(status = 'open') AS open_, {pct('count_if(humanAgentId IS NOT NULL)', 'count(*)')} AS human_share,
+ count_if(createdAt >= TIMESTAMP '1998-07-15 00:00:00') AS today, count_if(createdAt >= TIMESTAMP '1998-07-12 00:00:00') AS week, count_if(createdAt >= TIMESTAMP '1998-07-01 00:00:00') AS month_ FROM convs) n,
  (SELECT count(*) AS clients, count_if(planStatus = 'active') AS active, round(coalesce(sum(totalAmountPaid), 0), 2) AS revenue FROM clients WHERE isDeleted IS DISTINCT FROM true) c,
- (SELECT count(*) AS agents FROM agents WHERE isDeleted IS DISTINCT FROM true) a, (SELECT count(*) AS humans, count_if(isActive) AS online FROM hagents WHERE isDeleted IS DISTINCT FROM true) h, (SELECT sum(tokens)::BIGINT AS tokens FROM llm_usage) u""")
+ (SELECT count(*) AS agents, count_if(isActive) AS active_agents FROM agents WHERE isDeleted IS DISTINCT FROM true) a, (SELECT count(*) AS humans, count_if(isActive) AS online, count_if(status = 'Approved') AS approved FROM hagents WHERE isDeleted IS DISTINCT FROM true) h,
+ (SELECT sum(tokens)::BIGINT AS tokens, round(sum(cost), 2) AS cost FROM llm_usage) u, (SELECT sum(vectorsAdded)::BIGINT AS vectors_added, sum(vectorsDeleted)::BIGINT AS vectors_deleted, round(sum(storageMB), 2) AS storage_mb FROM vec_usage) q,
+ (SELECT count(*) AS messages, count_if(sender_type = 'ai') AS ai_messages, count_if(humanAgentId IS NOT NULL) AS human_messages, count_if(sender_type = 'visitor') AS visitor_messages FROM msgs) m""")
 def dashboard_admin(v: Views):
-    """Platform figures: one scan of each collection; every part is a single row."""
+    """Platform figures: one scan of each collection; every part is a single row.  Today is 15 July 1998."""
     live = not_true(C("isDeleted"))
     n = F.count(F.lit(1))
     parts = [
-        v.convs.agg(n.alias("conversations"), *count_where(open_=C("status") == "open"), share(F.count("humanAgentId"), n).alias("human_share")),
+        v.convs.agg(n.alias("conversations"), *count_where(open_=C("status") == "open"), share(F.count("humanAgentId"), n).alias("human_share"), *count_where(today=since("1998-07-15"), week=since("1998-07-12"), month_=since("1998-07-01"))),
         v.clients.filter(live).agg(n.alias("clients"), *count_where(active=C("planStatus") == "active"), F.round(total(C("totalAmountPaid")), 2).alias("revenue")),
-        v.agents.filter(live).agg(n.alias("agents")),
-        v.hagents.filter(live).agg(n.alias("humans"), *count_where(online=C("isActive"))),
-        v.llm_usage.agg(total(C("tokens")).alias("tokens")),
+        v.agents.filter(live).agg(n.alias("agents"), *count_where(active_agents=C("isActive"))),
+        v.hagents.filter(live).agg(n.alias("humans"), *count_where(online=C("isActive"), approved=C("status") == "Approved")),
+        v.llm_usage.agg(total(C("tokens")).alias("tokens"), F.round(F.sum("cost"), 2).alias("cost")),
+        v.vec_usage.agg(total(C("vectorsAdded")).alias("vectors_added"), total(C("vectorsDeleted")).alias("vectors_deleted"), F.round(F.sum("storageMB"), 2).alias("storage_mb")),
+        v.msgs.agg(n.alias("messages"), *count_where(ai_messages=C("sender_type") == "ai", human_messages=C("humanAgentId").isNotNull(), visitor_messages=C("sender_type") == "visitor")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -175,6 +205,12 @@ def dashboard_admin(v: Views):
     return out
 
 
+@query("dashboard_admin_days", """SELECT strftime(d, '%Y-%m-%d') AS day, count(o.id) AS n FROM (SELECT unnest(generate_series(DATE '1998-07-09', DATE '1998-07-15', INTERVAL 1 DAY)) AS d) LEFT JOIN convs o ON cast(o.createdAt AS DATE) = cast(d AS DATE) GROUP BY d""")
+def dashboard_admin_days(v: Views):
+    """Conversations of the last seven days, days without any too."""
+    return zero_filled_days(v.convs.filter("createdAt >= '1998-07-09' AND createdAt < '1998-07-16'"), "createdAt", "1998-07-09", 7)
+
+
 @query("score_stats", "SELECT userId, round(min(score), 2) AS low, round(max(score), 2) AS high, floor(avg(score) * 100 + 0.5) / 100 AS mean FROM convs GROUP BY userId")
 def score_stats(v: Views):
     return v.convs.groupBy("userId").agg(F.round(F.min("score"), 2).alias("low"), F.round(F.max("score"), 2).alias("high"), rounded(F.avg("score")).alias("mean"))

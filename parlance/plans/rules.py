@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions import text
+from parlance.functions import dates, text, urls
 from parlance.operators import state
 from parlance.operators.filters import not_true
 from parlance.operators.lookups import counts_by
 from parlance.plans.registry import query
+from parlance.plans.scalars import _plus
 from parlance.sources.views import Views
 
 C = F.col
@@ -82,11 +83,23 @@ def downgrade(v: Views):
     return state.update(v.clients.select("userId", "plan", "planStatus", "planExpiry"), expired, plan=F.lit("free"), planStatus="inactive").drop("planExpiry")
 
 
-@query("plan_delete", "SELECT p.name, n > 0 AS in_use, n AS clients, CASE WHEN n > 0 THEN 'blocked' ELSE 'deleted' END AS outcome FROM (SELECT name, (SELECT count(*) FROM clients c WHERE c.plan = p.name) AS n FROM plans p) p")
+@query("plan_delete", """SELECT p.name, n > 0 AS in_use, n AS clients, CASE WHEN n > 0 THEN 'blocked' ELSE 'deactivated' END AS outcome, CASE WHEN n > 0 THEN (SELECT name FROM plans WHERE status = 'active' ORDER BY isDefault DESC, sort LIMIT 1) END AS forced_to
+ FROM (SELECT name, (SELECT count(*) FROM clients c WHERE c.plan = p.name) AS n FROM plans p) p""")
 def plan_delete(v: Views):
+    """A plan in use stays, any other is set inactive; by force its clients go to the default plan."""
     n = F.coalesce("clients", F.lit(0))
     used = v.plans.select("name").join(counts_by(v.clients.filter("plan is not null"), "plan", "clients"), C("name") == C("plan"), "left")
-    return used.select("name", (n > 0).alias("in_use"), n.alias("clients"), F.when(n > 0, "blocked").otherwise("deleted").alias("outcome"))
+    default = v.plans.filter("status = 'active'").orderBy(F.desc("isDefault"), "sort").limit(1).select(C("name").alias("default"))  # one row
+    return used.join(F.broadcast(default)).select(
+        "name", (n > 0).alias("in_use"), n.alias("clients"), F.when(n > 0, "blocked").otherwise("deactivated").alias("outcome"), F.when(n > 0, C("default")).alias("forced_to")
+    )
+
+
+@query("plan_force_delete", "SELECT userId, CASE WHEN plan = 'pro' THEN 'free' ELSE plan END AS plan FROM clients")
+def plan_force_delete(v: Views):
+    """Clients after a plan is deleted by force."""
+    default = v.plans.filter("status = 'active' AND name <> 'pro'").orderBy(F.desc("isDefault"), "sort").limit(1).select(C("name").alias("default"))  # one row
+    return state.update(v.clients.select("userId", "plan").join(F.broadcast(default)), C("plan") == "pro", plan=C("default")).drop("default")
 
 
 @query("plan_migrate", "SELECT userId, CASE WHEN plan = 'pro' AND userId IN (1, 2, 3, 5, 8) THEN 'business' ELSE plan END AS plan FROM clients")
@@ -107,11 +120,21 @@ def reorder(v: Views):
     return v.plans.select("name").join(F.broadcast(order), "name")
 
 
-@query("payment_fold", "SELECT userId, cast(sum(amount) AS BIGINT) AS paid, arg_max(cycle, id) AS cycle, count(*) AS payments FROM (SELECT o_custkey % 10 AS userId, o_orderkey AS id, cast(floor(o_totalprice) AS BIGINT) AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'year' ELSE 'month' END AS cycle FROM orders) GROUP BY userId")
+PAID = """SELECT o_custkey % 10 AS userId, o_orderkey AS id, cast(floor(o_totalprice) AS BIGINT) AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS cycle, o_orderdate AS paid_on FROM orders"""
+
+
+@query("payment_fold", f"""SELECT userId, paid, cycle, payments, 'active' AS planStatus, 'paid' AS paymentStatus, strftime(paid_on, '%Y-%m-%d %H:%M:%S') AS purchased, strftime({_plus('paid_on', "CASE WHEN cycle = 'yearly' THEN 12 ELSE 1 END")}, '%Y-%m-%d %H:%M:%S') AS expiry
+ FROM (SELECT userId, cast(sum(amount) AS BIGINT) AS paid, arg_max(cycle, id) AS cycle, arg_max(paid_on, id) AS paid_on, count(*) AS payments FROM ({PAID}) GROUP BY userId)""")
 def payment_fold(v: Views):
-    """Payments folded: the last cycle, the sum of amounts."""
-    log = v.orders.select((C("o_custkey") % 10).alias("userId"), C("o_orderkey").alias("id"), F.floor("o_totalprice").alias("paid"), F.when(C("o_orderkey") % 2 == 0, "year").otherwise("month").alias("cycle"), F.lit(1).cast("long").alias("payments"))
-    return state.fold(log, "userId", ["id"], ["cycle"], ["paid", "payments"])
+    """Payments folded: the sum of amounts; status, cycle and expiry as the last one sets them."""
+    log = v.orders.select(
+        (C("o_custkey") % 10).alias("userId"), C("o_orderkey").alias("id"), F.floor("o_totalprice").alias("paid"), F.when(C("o_orderkey") % 2 == 0, "yearly").otherwise("monthly").alias("cycle"),
+        C("o_orderdate").cast("timestamp").alias("at"), F.lit(1).cast("long").alias("payments"),
+    )
+    folded = state.fold(log, "userId", ["id"], ["cycle", "at"], ["paid", "payments"])
+    expiry = dates.add_months_overflow(C("at"), F.when(C("cycle") == "yearly", 12).otherwise(1))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return folded.select("userId", "paid", "cycle", "payments", F.lit("active").alias("planStatus"), F.lit("paid").alias("paymentStatus"), shown(C("at")).alias("purchased"), shown(expiry).alias("expiry"))
 
 
 @query("tier_route", "SELECT userId, CASE WHEN plan = 'free' THEN 'free' ELSE 'paid' END AS tier FROM clients")
@@ -126,12 +149,18 @@ def retrain_delta(v: Views):
     return v.tdocs.select("id", (new - old).alias("delta"))
 
 
-@query("metadata_pick", """SELECT host, id, url FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, id, url, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY len(string_split(url, '/')) <= 5 DESC, id) AS r FROM webpages) WHERE r = 1""")
+NAMED = "regexp_matches(html, '(?is)<title>\\s*[^<\\s]')"
+
+
+@query("metadata_pick", f"""SELECT host, id, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id) AS p FROM (SELECT *, min(id) OVER (PARTITION BY host) AS first FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, id, url, html FROM webpages)) WHERE coalesce(html, '') <> '' AND (id = first OR {NAMED}
+ OR len(list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) <= 1)) WHERE p = 1""")
 def metadata_pick(v: Views):
-    """One page of each site: a shallow one if there is any, else the first."""
-    host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    rank = F.struct((F.size(F.split("url", "/")) > 5).alias("deep"), "id")
-    return v.webpages.groupBy(host.alias("host")).agg(F.min(rank).alias("m"), F.min_by("url", rank).alias("url")).select("host", C("m.id").alias("id"), "url")
+    """The page of each site that gives its metadata: the first one in order that is a homepage, the first of all, or has a name; pages without content give none."""
+    pages = v.webpages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "id", "url", (F.coalesce("html", F.lit("")) != "").alias("ok"), (urls.is_homepage(C("url")) | C("html").rlike(r"(?is)<title>\s*[^<\s]")).alias("fit"))
+    hit = F.when(C("ok") & C("fit"), C("id"))
+    picked = pages.groupBy("host").agg(F.min("id").alias("first"), F.min_by("ok", "id").alias("first_ok"), F.min_by("url", "id").alias("first_url"), F.min(hit).alias("other"), F.min_by("url", hit).alias("other_url"))
+    first = C("first_ok")
+    return picked.select("host", F.when(first, C("first")).otherwise(C("other")).alias("id"), F.when(first, C("first_url")).otherwise(C("other_url")).alias("url")).filter("id is not null")
 
 
 @query("status_fold", "SELECT visitor, arg_max(status, id) AS status, nullif(arg_max(coalesce(closedBy, ''), id) FILTER (WHERE closedBy IS NOT NULL OR status = 'open'), '') AS closedBy FROM (SELECT visitor, id, status, CASE WHEN visitorClosed THEN 'visitor' END AS closedBy FROM convs) GROUP BY visitor")
@@ -186,13 +215,95 @@ def upsert_settings(v: Views):
     return state.upsert(v.hagents.filter("id < 20").select("id", "name"), new, "id")
 
 
-@query("cascade_delete", "SELECT 'convs' AS source, id FROM convs WHERE agentId NOT IN (3, 4) UNION ALL SELECT 'msgs', id FROM msgs WHERE agentId NOT IN (3, 4) UNION ALL SELECT 'agents', id FROM agents WHERE id NOT IN (3, 4)")
+#: Collections whose rows go with their agent, and the columns of id and agent.
+OWNED = {"agents": ("id", "id"), "widgets": ("id", "agentId"), "tdocs": ("id", "agentId"), "webpages": ("id", "agentId"), "sites": ("userId", "agentId")}
+
+
+@query("cascade_delete", " UNION ALL ".join(f"SELECT '{t}' AS source, {i} AS id, NULL AS assigned FROM {t} WHERE {a} IS NULL OR {a} NOT IN (3, 4)" for t, (i, a) in OWNED.items()) + """
+ UNION ALL SELECT 'hagents', id, array_to_string(list_filter([a1, a2, a3], lambda x: x NOT IN (3, 4)), ',') FROM hagents""")
 def cascade_delete(v: Views):
-    """What is left of three collections after two agents are deleted."""
-    gone = v.agents.filter(C("id").isin(3, 4)).select(C("id").alias("agentId"))
-    parts = [state.without(df, gone, ["agentId"]).select(F.lit(name).alias("source"), "id") for df, name in ((v.convs, "convs"), (v.msgs, "msgs"))]
-    left = state.without(v.agents.withColumnRenamed("id", "agentId"), gone, ["agentId"]).select(F.lit("agents").alias("source"), C("agentId").alias("id"))
-    return parts[0].unionByName(parts[1]).unionByName(left)
+    """What is left of five collections after two agents are deleted, and of the lists of the people they were assigned to."""
+    gone = v.agents.filter(C("id").isin(3, 4)).select(C("id").alias("agent"))
+    left = [state.without(getattr(v, t).select(C(i).alias("id"), C(a).alias("agent")), gone, ["agent"]).select(F.lit(t).alias("source"), "id", F.lit(None).cast("string").alias("assigned")) for t, (i, a) in OWNED.items()]
+    pulled = F.array_except(F.array("a1", "a2", "a3"), F.array(F.lit(3).cast("long"), F.lit(4).cast("long")))
+    out = v.hagents.select(F.lit("hagents").alias("source"), "id", F.array_join(pulled, ",").alias("assigned"))
+    for part in left:
+        out = out.unionByName(part)
+    return out
+
+
+@query("get_or_create", """SELECT coalesce(s.userId, a.userId) AS userId, coalesce(a.agentId, s.agentId) AS agentId, s.userId IS NULL AS created, s.userId IS NOT NULL AND a.agentId IS NOT NULL AND s.agentId IS DISTINCT FROM a.agentId AS patched
+ FROM (SELECT * FROM sites WHERE userId % 3 <> 0) s FULL JOIN (SELECT userId, min(id) AS agentId FROM agents WHERE isActive GROUP BY userId) a ON s.userId = a.userId""")
+def get_or_create(v: Views):
+    """Website rows of owners: those there get the asked agent, missing ones are made."""
+    asked = v.agents.filter("isActive").groupBy("userId").agg(F.min("id").alias("agentId"))
+    return state.get_or_create(v.sites.filter("userId % 3 <> 0"), asked, "userId", "agentId")
+
+
+@query("collection_stats", "SELECT h.id AS collection, n > 0 AS there, n AS points FROM (SELECT id, (SELECT count(*) FROM points WHERE user_id = h.id) AS n FROM hagents h) h")
+def collection_stats(v: Views):
+    """Whether each collection exists, and its points; none is an empty collection."""
+    counts = v.points.groupBy(C("user_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return v.hagents.select("id").join(counts, "id", "left").select(C("id").alias("collection"), (n > 0).alias("there"), n.alias("points"))
+
+
+@query("vector_delete_errors", "SELECT id, CASE WHEN type = 'webpage' THEN 'url is missing' ELSE 'title is missing' END AS error FROM points WHERE coalesce(CASE WHEN type = 'webpage' THEN maybe_url ELSE title END, '') = ''")
+def vector_delete_errors(v: Views):
+    """Entries to delete that name no point: pages without a url, others without a title."""
+    page = C("type") == "webpage"
+    named = F.coalesce(F.when(page, C("maybe_url")).otherwise(C("title")), F.lit(""))
+    return v.points.filter(named == "").select("id", F.when(page, "url is missing").otherwise("title is missing").alias("error"))
+
+
+@query("migrate_check", "SELECT user_id, count(*) AS source, count(*) AS copied, true AS complete FROM points GROUP BY user_id")
+def migrate_check(v: Views):
+    """Points of each owner before and after the copy into another collection, and whether all have arrived."""
+    copied = v.points.withColumn("collection", F.lit("paid")).unionByName(v.points.withColumn("collection", F.lit("free")))
+    both = copied.groupBy("user_id").agg(F.count_if(C("collection") == "free").alias("source"), F.count_if(C("collection") == "paid").alias("copied"))
+    return both.withColumn("complete", C("source") == C("copied"))
+
+
+@query("transfer_chat", """SELECT c.id, CASE WHEN n.conversationId IS NOT NULL THEN false ELSE aiChat END AS aiChat, coalesce(n.humanAgentId, c.humanAgentId) AS humanAgentId, strftime(n.at, '%Y-%m-%d') AS transferred, CASE WHEN n.conversationId IS NOT NULL THEN 'agent-connect: ' || coalesce(h.name, 'an agent') END AS line
+ FROM convs c LEFT JOIN (SELECT conversationId, arg_max(humanAgentId, id) AS humanAgentId, max(createdAt) AS at FROM notifs WHERE NOT isSeen GROUP BY conversationId) n ON n.conversationId = c.id LEFT JOIN hagents h ON h.id = n.humanAgentId""")
+def transfer_chat(v: Views):
+    """Conversations after the transfers that people were notified of: no AI, a person, a time, and a line in the chat."""
+    asked = v.notifs.filter(~C("isSeen")).groupBy(C("conversationId").alias("id")).agg(F.max_by("humanAgentId", "id").alias("person"), F.max("createdAt").alias("at"))
+    names = v.hagents.select(C("id").alias("person"), "name")
+    moved = C("at").isNotNull()
+    both = v.convs.select("id", "aiChat", "humanAgentId").join(asked, "id", "left").join(F.broadcast(names), "person", "left")
+    return both.select(
+        "id", F.when(moved, False).otherwise(C("aiChat")).alias("aiChat"), F.coalesce("person", "humanAgentId").alias("humanAgentId"), F.date_format("at", "yyyy-MM-dd").alias("transferred"),
+        F.when(moved, F.concat(F.lit("agent-connect: "), F.coalesce("name", F.lit("an agent")))).alias("line"),
+    )
+
+
+@query("pending_requests", """SELECT c.id AS conversation_id, c.visitor, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS since FROM (SELECT user_id, arg_max(event_type, event_id) AS kind, arg_max(ts, event_id) AS ts FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id) e
+ JOIN convs c ON c.id = e.user_id WHERE e.kind = 'click' AND c.aiChat""")
+def pending_requests(v: Views):
+    """Requests for a person that are still open, while the conversation is with the AI."""
+    last = v.events.filter(C("event_type").isin("click", "purchase")).groupBy(C("user_id").alias("id")).agg(F.max_by(F.struct("event_type", "ts"), "event_id").alias("e"))
+    asked = last.filter("e.event_type = 'click'").select("id", F.date_format("e.ts", "yyyy-MM-dd HH:mm:ss").alias("since"))
+    return asked.join(v.convs.filter("aiChat").select("id", "visitor"), "id").select(C("id").alias("conversation_id"), "visitor", "since")
+
+
+@query("visitor_connect", f"""WITH l AS ({LIMITS}), o AS (SELECT visitor, userId, max(id) AS open_id FROM convs WHERE status = 'open' GROUP BY visitor, userId), u AS (SELECT userId, count(*) AS used FROM convs GROUP BY userId),
+ m AS (SELECT DISTINCT conversation_id FROM msgs), v AS (SELECT p.id, p.userId, o.open_id, coalesce(l.max_queries, 1000) - coalesce(u.used, 0) AS room FROM visitors p LEFT JOIN o ON o.visitor = p.id AND o.userId = p.userId LEFT JOIN l ON l.userId = p.userId LEFT JOIN u ON u.userId = p.userId),
+ r AS (SELECT *, CASE WHEN open_id IS NULL THEN row_number() OVER (PARTITION BY userId, open_id IS NULL ORDER BY id) END AS place FROM v)
+ SELECT r.id AS visitor, open_id AS conversation, CASE WHEN open_id IS NOT NULL THEN 'reused' WHEN place <= room THEN 'created' ELSE 'limit' END AS outcome, CASE WHEN open_id IS NOT NULL THEN m.conversation_id IS NULL ELSE place <= room END AS welcome FROM r LEFT JOIN m ON m.conversation_id = r.open_id""")
+def visitor_connect(v: Views):
+    """Each visitor who connects: the open conversation again, else a new one while the owner's limit has room; a welcome where nothing was said yet."""
+    open_ = v.convs.filter("status = 'open'").groupBy(C("visitor").alias("id"), "userId").agg(F.max("id").alias("open_id"))
+    used = v.convs.groupBy("userId").agg(F.count(F.lit(1)).alias("used"))
+    room = F.coalesce("max_queries", F.lit(1000)) - F.coalesce("used", F.lit(0))
+    owners = v.visitors.select("userId").distinct().join(limits(v).select("userId", "max_queries"), "userId", "left").join(used, "userId", "left").select("userId", room.alias("room"))
+    came = v.visitors.select("id", "userId").join(open_, ["id", "userId"], "left")
+    again = came.filter("open_id is not null").join(v.msgs.select(C("conversation_id").alias("open_id")).distinct().withColumn("said", F.lit(True)), "open_id", "left")
+    again = again.select(C("id").alias("visitor"), C("open_id").alias("conversation"), F.lit("reused").alias("outcome"), C("said").isNull().alias("welcome"))
+    place = F.row_number().over(W.partitionBy("userId").orderBy("id"))
+    new = came.filter("open_id is null").withColumn("place", place).join(owners, "userId").withColumn("fits", C("place") <= C("room"))
+    new = new.select(C("id").alias("visitor"), C("open_id").alias("conversation"), F.when(C("fits"), "created").otherwise("limit").alias("outcome"), C("fits").alias("welcome"))
+    return again.unionByName(new)
 
 
 @query("vector_delete", "SELECT id FROM points WHERE NOT (user_id = 3 AND ((type = 'webpage' AND coalesce(maybe_url IN ('https://a.test/4', 'https://a.test/8'), false)) OR (type <> 'webpage' AND title IN ('Title 5', 'Title 9'))))")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions import colors, dates, text, urls
+from parlance.functions import colors, dates, forms, text, urls
 from parlance.plans.registry import query
 from parlance.sources.views import Views
 
@@ -267,18 +267,23 @@ def validate_faq(v: Views):
     return v.points.select("id", F.when(F.length(F.trim("title")) < 8, "QUESTION_TOO_SHORT").when(F.length(F.trim("text")) < 13, "ANSWER_TOO_SHORT").when(both > 22, "TOO_LONG").otherwise("OK").alias("code"))
 
 
-@query("validate_form", """SELECT id, concat_ws('; ', CASE WHEN coalesce(trim(name), '') = '' THEN 'Name is required' END, CASE WHEN email IS NULL THEN 'Email is required' WHEN NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'Email must be a valid email address' END,
- CASE WHEN length(email) < 15 THEN 'Email must be at least 15 characters' END, CASE WHEN NOT regexp_matches(replace(ip, '.', ''), '^[+]?[1-9]\\d{0,15}$') THEN 'Phone must be a valid phone number' END, CASE WHEN length(coalesce(location, '')) > 8 THEN 'Location must not exceed 8 characters' END) AS errors FROM visitors""")
+@query("validate_form", f"""SELECT id, concat_ws('; ', CASE WHEN coalesce(trim(name), '') = '' THEN 'Name is missing' END, CASE WHEN trim(name) <> '' AND NOT regexp_matches(name, '^Customer#\\d+[02468]$') THEN 'Name has another form' END,
+ CASE WHEN coalesce(trim(email), '') = '' THEN 'Email is missing' END, CASE WHEN email <> '' AND NOT regexp_matches(email, '{forms.EMAIL}') THEN 'Email is no e-mail address' END, CASE WHEN length(email) < 15 THEN 'Email has fewer than 15 characters' END,
+ CASE WHEN NOT regexp_matches(regexp_replace('+' || id || ' (' || (id % 7) || ')-5', '[\\s()-]', '', 'g'), '{forms.PHONE}') THEN 'Phone is no phone number' END,
+ CASE WHEN location <> '' AND try_cast(trim(location) AS DOUBLE) IS NULL THEN 'Place is no number' END, CASE WHEN length(location) > 8 THEN 'Place has more than 8 characters' END,
+ CASE WHEN NOT regexp_matches(CASE WHEN id % 3 = 0 THEN 'https://' || ip WHEN id % 3 = 1 THEN 'x:' ELSE ip END, '{forms.URL}') THEN 'Site is no address' END) AS errors FROM visitors""")
 def validate_form(v: Views):
     """All errors of a form, in the order of its fields."""
-    errors = F.array(
-        F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "Name is required"),
-        F.when(C("email").isNull(), "Email is required").when(~C("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "Email must be a valid email address"),
-        F.when(F.length("email") < 15, "Email must be at least 15 characters"),
-        F.when(~F.replace("ip", F.lit("."), F.lit("")).rlike(r"^[+]?[1-9]\d{0,15}$"), "Phone must be a valid phone number"),
-        F.when(F.length(F.coalesce("location", F.lit(""))) > 8, "Location must not exceed 8 characters"),
-    )
-    return v.visitors.select("id", F.array_join(F.filter(errors, lambda e: e.isNotNull()), "; ").alias("errors"))
+    phone = F.concat(F.lit("+"), C("id").cast("string"), F.lit(" ("), (C("id") % 7).cast("string"), F.lit(")-5"))
+    site = F.when(C("id") % 3 == 0, F.concat(F.lit("https://"), "ip")).when(C("id") % 3 == 1, "x:").otherwise(C("ip"))
+    found = forms.errors([
+        (forms.Field("Name", required=True, pattern=r"^Customer#\d+[02468]$"), C("name")),
+        (forms.Field("Email", "email", required=True, least=15), C("email")),
+        (forms.Field("Phone", "tel"), phone),
+        (forms.Field("Place", "number", most=8), C("location")),
+        (forms.Field("Site", "url"), site),
+    ])
+    return v.visitors.select("id", F.array_join(found, "; ").alias("errors"))
 
 
 @query("regex_checks", "SELECT userId, regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') AS email_ok, length(name) >= 8 AND regexp_matches(name, '[A-Z]') AND regexp_matches(name, '[0-9]') AND regexp_matches(name, '[^A-Za-z0-9]') AS strong FROM clients")
@@ -359,11 +364,17 @@ def json_parse(v: Views):
     return v.events.select(C("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("working_hours", "SELECT id, strftime(createdAt, '%H:%M') BETWEEN '03:00' AND '05:30' AND dayofweek(createdAt) NOT IN (0, 6) AS open FROM msgs")
+#: Opening hours by weekday: open at all, from, to.
+HOURS = {
+    "Monday": (True, "03:00", "05:30"), "Tuesday": (True, "03:00", "05:30"), "Wednesday": (True, "00:00", "23:59"), "Thursday": (True, "12:15", "18:00"),
+    "Friday": (True, "03:00", "04:45"), "Saturday": (True, "10:00", "12:00"), "Sunday": (False, "00:00", "23:59"),
+}
+
+
+@query("working_hours", "SELECT id, CASE dayname(createdAt) " + " ".join(f"WHEN '{d}' THEN {str(on).lower()} AND strftime(createdAt, '%H:%M') BETWEEN '{a}' AND '{b}'" for d, (on, a, b) in HOURS.items()) + " END AS open FROM msgs")
 def working_hours(v: Views):
-    """Inside the hours of the weekday; closed on weekends."""
-    hours = F.date_format("createdAt", "HH:mm")
-    return v.msgs.select("id", ((hours >= "03:00") & (hours <= "05:30") & ~F.dayofweek("createdAt").isin(1, 7)).alias("open"))
+    """Inside the hours of the weekday, both ends included; a day that is off is closed."""
+    return v.msgs.select("id", dates.within_hours(C("createdAt"), HOURS).alias("open"))
 
 
 @query("color_freq", f"SELECT h AS color, sum(CASE WHEN id % 3 = 0 THEN 30 WHEN id % 3 = 1 THEN 3 ELSE 1 END)::BIGINT AS weight FROM (SELECT id, {HEX} AS h FROM shades) WHERE h IS NOT NULL GROUP BY h ORDER BY weight DESC, color LIMIT 6")

@@ -88,7 +88,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "text AS content", "concat('title ', cast(documents.doc_id % 90 AS STRING)) AS title",
         "CASE WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 0 END AS trainingStatus", "n_chars",
         "CASE WHEN lang = 'en' THEN concat('https://www.site', cast(documents.doc_id % 40 AS STRING), '.example.com/p/', cast(documents.doc_id % 7 AS STRING)) ELSE NULL END AS url",
-        "CASE WHEN documents.doc_id % 3 = 0 THEN 'free' ELSE 'paid' END AS tier",
+        "CASE WHEN documents.doc_id % 3 = 0 THEN 'free' ELSE 'paid' END AS tier", "documents.doc_id % 20 AS agentId",
     ]),
     "points": ("embeddings", [
         "vec_id AS id", "embedding AS vector", "label AS user_id", "concat('https://a.test/', cast(vec_id % 50 AS STRING)) AS url",
@@ -98,7 +98,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
     "revised": ("benchmark", ["item_id AS id", "text AS original_question", "concat('answer ', cast(item_id AS STRING)) AS answer"]),
     "asked": ("benchmark", ["item_id AS id", "concat('<p>', text, '&nbsp;</p>') AS question"]),
-    "webpages": ("pages", ["page_id AS id", "url", "html"]),
+    "webpages": ("pages", ["page_id AS id", "url", "html", "page_id % 20 AS agentId"]),
+    "sites": ("supplier", ["s_suppkey AS userId", "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 20 END AS agentId"]),
     # texts, addresses and colours that scalar functions run over
     "questions": ("conversations", ["conv_id * 1000 + turn AS id", "CASE WHEN (conv_id + turn) % 23 = 0 THEN NULL ELSE text END AS q"]),
     "snippets": ("pages", ["page_id AS id", "html AS t"]),

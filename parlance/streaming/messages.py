@@ -25,13 +25,13 @@ def conversation_state(messages: DataFrame) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, unread, started, last, seq = state.get if state.exists else (0, 0, False, None, -1)
         rows = pd.concat(list(parts)).sort_values("seq")
-        for r in rows.itertuples():
-            if r.sender_type == "seen":
-                unread = 0
-                continue
-            started = started or (n >= 1 and r.sender_type == "visitor")
-            n, last, seq = n + 1, r.message, r.seq
-            unread += r.sender_type == "visitor"
+        seen, visitor = rows["sender_type"].eq("seen"), rows["sender_type"].eq("visitor")
+        # visitors' messages behind the last row that resets them
+        unread = int(visitor[~seen[::-1].cummax()[::-1]].sum()) + (0 if seen.any() else unread)
+        said = rows[~seen]
+        if len(said):
+            started = bool(started or visitor[~seen].iloc[0 if n else 1 :].any())
+            n, last, seq = n + len(said), said["message"].iloc[-1], int(said["seq"].iloc[-1])
         state.update((n, unread, started, last, seq))
         yield pd.DataFrame([(key[0], n, unread, started, last, seq)], columns=["conversation_id", "messages", "unread", "started", "last_message", "last_seq"])
 
@@ -88,9 +88,30 @@ def not_expired(blocked: DataFrame, now: Column) -> DataFrame:
     return blocked.filter(F.col("expiresAt") > now)
 
 
-def throttled(progress: DataFrame, every: str = "2 seconds") -> DataFrame:
-    """One progress row of each job in a stretch of time; ``progress`` has ``job, ts`` with a watermark."""
-    return progress.withColumn("slot", F.window("ts", every)["start"]).dropDuplicatesWithinWatermark(["job", "slot"]).drop("slot")
+def throttled(progress: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """The progress rows of each job that are sent: the first, the last, and others two seconds apart.
+
+    ``progress`` has ``job, ts, current, total``; rows of a batch count by ``ts``.  A job's
+    state goes when its last row (``current`` equal to ``total``) is sent.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["ts", "current"])
+        sent = state.get[0] if state.exists else None
+        keep = []
+        for at, current, total in zip(rows["ts"].astype("int64") // 10**3, rows["current"], rows["total"], strict=True):
+            keep.append(sent is None or at - sent >= seconds * 10**6 or current == total)
+            sent = at if keep[-1] else sent
+        if (rows["current"] == rows["total"]).any():
+            state.remove() if state.exists else None
+        else:
+            state.update((int(sent),))
+        yield rows[keep][["job", "ts", "current", "total"]]
+
+    spaced = progress.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spaced.groupBy("job").applyInPandasWithState(
+        step, "job long, ts timestamp, current long, total long", "sent long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def rooms(events: DataFrame) -> DataFrame:

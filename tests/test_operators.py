@@ -14,7 +14,7 @@ from parlance.operators.ingest import markdown, split
 from parlance.operators.lookups import latest
 from parlance.plans import QUERIES
 from parlance.sources.views import Views
-from parlance.streaming.messages import conversation_state, handoffs, limited
+from parlance.streaming.messages import conversation_state, handoffs, limited, not_expired, throttled
 
 
 @settings(max_examples=60, deadline=None)
@@ -167,6 +167,46 @@ def test_handoff_timer(spark, tmp_path):
     assert {(r.conversation_id, r.outcome) for r in got.collect()} == {(1, "accepted"), (2, "apology"), (3, "accepted")}
 
 
+def test_throttled_progress(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    row = lambda job, s, k, n=9: (job, t + dt.timedelta(seconds=s), k, n)
+    frames = [[row(1, 0, 0), row(1, 1, 1), row(1, 2.5, 2), row(2, 0, 0, 2)], [row(1, 3, 3), row(1, 4.6, 4), row(2, 0.1, 1, 2)], [row(1, 5, 9), row(2, 0.2, 2, 2)]]
+    got = run_stream(spark, tmp_path, frames, "job long, ts timestamp, current long, total long", throttled, "throttle", "append")
+    assert {(r.job, r.current) for r in got.collect()} == {(1, 0), (1, 2), (1, 4), (1, 9), (2, 0), (2, 2)}
+
+
+def test_blocks_expire(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 3)), (3, None)], "id long, expiresAt timestamp")
+    assert [r.id for r in not_expired(df, F.lit("2024-01-02").cast("timestamp")).collect()] == [2]
+
+
+def test_forms(spark):
+    from parlance.functions.forms import Field, errors
+
+    cases = [("a@b.c", "+1 (234)-5", "1.5", "https://h.test/x", ""), ("no", "0", "x", "h.test", "n"), (None, "", " ", "mailto:a@b", "n n")]
+    want = [
+        ["N is missing"], ["E is no e-mail address", "E has fewer than 3 characters", "T is no phone number", "C is no number", "U is no address"],
+        ["E is missing", "N has another form"],
+    ]
+    df = spark.createDataFrame(cases, "e string, t string, c string, u string, n string")
+    fields = [Field("E", "email", True, 3), Field("T", "tel"), Field("C", "number"), Field("U", "url"), Field("N", "text", True, None, 5, r"^\S*$")]
+    assert [r.x for r in df.select(errors(list(zip(fields, map(F.col, "etcun")))).alias("x")).collect()] == want
+
+
+def test_chunks_and_get_or_create(spark, sf_dir):
+    """Chunk queries against the plain splitter, and rows made or patched."""
+    rows = Views(spark, sf_dir).tdocs.select("id", "content").collect()
+    plain = {r.id: split(r.content or "") for r in rows}
+    got = QUERIES["split_chunks"](spark, sf_dir).collect()
+    assert {(r.id, r.chunk_index): (r.chunk, r.total_chunks) for r in got} == {(i, k): (c, len(x)) for i, x in plain.items() for k, c in enumerate(x)}
+    assert {r.id: (r.chunks, r.chars) for r in QUERIES["chunk_counts"](spark, sf_dir).collect()} == {i: (len(x), sum(map(len, x))) for i, x in plain.items() if x}
+    old = spark.createDataFrame([(1, 7), (2, None), (3, 5)], "k long, a long")
+    asked = spark.createDataFrame([(1, 7), (2, 9), (4, None), (5, 1)], "k long, a long")
+    assert sorted(map(tuple, state.get_or_create(old, asked, "k", "a").collect()), key=lambda r: r[0]) == [
+        (1, 7, False, False), (2, 9, False, True), (3, 5, False, False), (4, None, True, False), (5, 1, True, False)
+    ]
+
+
 def test_pandas_has_no_part_in_simple_plans(spark, sf_dir):
     assert isinstance(QUERIES["csat"](spark, sf_dir).toPandas(), pd.DataFrame)
     assert "Python" not in plan_of(QUERIES["dashboard_tenant"](spark, sf_dir))
