@@ -7,6 +7,11 @@ with versions: rebalancing edits the map and so moves whole slots, never single
 records.  Everything here is DataFrame operations; only slots (a fixed number,
 never rows) are gathered into one row.
 
+Equal texts are no unit of placement: a record's slot comes from its ``doc_id`` and its
+text's checksum, so copies spread over the shards.  A group of copies may hold a third of all
+bytes; kept together it would fill a third of one shard's worth many times over, and
+the law ``bytes`` (sizes near equal) could not hold.
+
 Defined cases: a null text weighs 16 bytes; a null ``doc_id`` is hashed like any
 value; repeated rows are placed one by one; an empty table gives no rows and a
 map whose slots are all empty; other columns of the input are ignored.

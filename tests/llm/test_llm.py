@@ -262,6 +262,22 @@ def test_shards(odd, empty, docs):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_the_deal(docs):
+    """Shards and places against a plain replay of the deal."""
+    rows = sharding.shard_documents(docs, 7).collect()
+    weight = Counter({k: 0 for k in range(sharding.SLOTS)})
+    for r in rows:
+        weight[r.vslot] += r.size
+    loads, shard = [0] * 7, {}
+    for k in sorted(weight, key=lambda k: (-weight[k], k)):
+        shard[k] = loads.index(min(loads))
+        loads[shard[k]] += weight[k]
+    assert all(r.shard == shard[r.vslot] for r in rows)
+    for s in range(7):
+        own = sorted((r for r in rows if r.shard == s), key=lambda r: (r.vslot, r.doc_id, r.text_crc32, r.size))
+        assert [r.slot for r in own] == list(range(len(own)))
+
+
 def test_rebalancing(spark):
     weights = spark.createDataFrame([(k, 100 + k % 7) for k in range(256)], "vslot int, bytes long")
     path = scratch_dir(spark, "map")
