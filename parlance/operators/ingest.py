@@ -149,6 +149,24 @@ def links_of(page: Column) -> Column:
     return F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Where a page names its logo, in the order of preference: element, pattern of its tag, attribute.
+LOGOS = [
+    ("link", r"""\brel\s*=\s*["']?apple-touch-icon["'\s>]""", "href"), ("link", r"""\brel\s*=\s*["']?icon["'\s>]""", "href"),
+    ("link", r"""\brel\s*=\s*["']shortcut icon["']""", "href"), ("meta", r"""\bproperty\s*=\s*["']?og:image["'\s>]""", "content"),
+    *[("img", rf"""\b{a}\s*=\s*("[^"]*logo|'[^']*logo|[^\s"'>]*logo)""", "src") for a in ("alt", "class", "id")],
+]
+
+
+def logo_of(url: Column, page: Column) -> Column:
+    """The first logo that a page names, as an absolute address; null if it names none."""
+    found = []
+    for element, pattern, attribute in LOGOS:
+        tag = F.get(F.filter(F.regexp_extract_all(page, F.lit(rf"(?is)<{element}\b[^>]*>"), F.lit(0)), lambda t: t.rlike(f"(?i){pattern}")), 0)
+        value = rf"""(?is)\s{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        found.append(F.nullif(F.trim(F.concat(*[F.regexp_extract(tag, value, k) for k in (1, 2, 3)])), F.lit("")))
+    return resolved(F.concat(origin_of(url), F.lit("/")), F.coalesce(*found))
+
+
 def sitemap_addresses(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """``root, url``: the addresses below each root sitemap, through nested indexes.
 

@@ -160,14 +160,14 @@ def page_title(v: Views):
     return v.webpages.select("id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
 
 
-@query("site_name", f"""SELECT id, coalesce(nullif(regexp_extract(html, '(?is)<meta property="og:site_name" content="([^"]*)"', 1), ''), nullif(trim(string_split(string_split({TITLE}, '|')[1], '-')[1]), ''),
+@query("site_name", f"""SELECT id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta property="og:site_name" content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<meta property="og:title" content="([^"]*)"', 1)), ''), nullif(trim(string_split(string_split({TITLE}, '|')[1], '-')[1]), ''),
  nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '')) AS name FROM webpages""")
 def site_name(v: Views):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    og = F.regexp_extract("html", r'(?is)<meta property="og:site_name" content="([^"]*)"', 1)
+    og, og_title = (F.trim(F.regexp_extract("html", rf'(?is)<meta property="og:{x}" content="([^"]*)"', 1)) for x in ("site_name", "title"))
     h1 = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
     short = F.trim(F.substring_index(F.substring_index(title, "|", 1), "-", 1))
-    return v.webpages.select("id", F.coalesce(*[F.nullif(x, F.lit("")) for x in (og, short, h1)]).alias("name"))
+    return v.webpages.select("id", F.coalesce(*[F.nullif(x, F.lit("")) for x in (og, og_title, short, h1)]).alias("name"))
 
 
 #: Words of company types and industries, in their order.
@@ -377,11 +377,19 @@ def working_hours(v: Views):
     return v.msgs.select("id", dates.within_hours(C("createdAt"), HOURS).alias("open"))
 
 
-@query("color_freq", f"SELECT h AS color, sum(CASE WHEN id % 3 = 0 THEN 30 WHEN id % 3 = 1 THEN 3 ELSE 1 END)::BIGINT AS weight FROM (SELECT id, {HEX} AS h FROM shades) WHERE h IS NOT NULL GROUP BY h ORDER BY weight DESC, color LIMIT 6")
+STYLED = f"""(SELECT p.id, a.h AS a, b.h AS b FROM webpages p JOIN (SELECT id, {HEX} AS h FROM shades) a ON a.id = p.id + 1 JOIN (SELECT id, {HEX} AS h FROM shades) b ON b.id = p.id + 2)"""
+
+
+@query("color_freq", f"""SELECT id, color, weight FROM (SELECT id, h AS color, sum(w)::BIGINT AS weight FROM (SELECT id, a AS h, 30 + 3 AS w FROM {STYLED} UNION ALL SELECT id, b, 3 + 1 + 1 FROM {STYLED}) WHERE h IS NOT NULL GROUP BY id, h)
+ WHERE NOT (least(('0x' || color[2:3])::INT, ('0x' || color[4:5])::INT, ('0x' || color[6:7])::INT) > 210) AND NOT (greatest(('0x' || color[2:3])::INT, ('0x' || color[4:5])::INT, ('0x' || color[6:7])::INT) < 40)
+ AND greatest(('0x' || color[2:3])::INT, ('0x' || color[4:5])::INT, ('0x' || color[6:7])::INT) - least(('0x' || color[2:3])::INT, ('0x' || color[4:5])::INT, ('0x' || color[6:7])::INT) >= 30""")
 def color_freq(v: Views):
-    """The six colours of the largest weight."""
-    w = F.when(C("id") % 3 == 0, 30).when(C("id") % 3 == 1, 3).otherwise(1)
-    return v.shades.select(colors.to_hex(C("c")).alias("color"), w.alias("w")).filter("color is not null").groupBy("color").agg(F.sum("w").alias("weight")).orderBy(F.desc("weight"), "color").limit(6)
+    """The six colours of the largest weight of each page; pages get a theme and a style sheet, as they have none with colours."""
+    one, two = (v.shades.select((C("id") - k).alias("id"), C("c").alias(f"c{k}")) for k in (1, 2))
+    theme = F.concat(F.lit('<meta name="theme-color" content="'), "c1", F.lit('">'))
+    sheet = F.concat(F.lit("<style>a:hover{color: "), "c2", F.lit(";BACKGROUND:"), "c1", F.lit("} .x{border-color:"), "c2", F.lit("} svg{fill :"), "c2", F.lit("}</style>"))
+    styled = v.webpages.join(one, "id").join(two, "id").select("id", F.concat("html", theme, sheet).alias("html"))
+    return styled.select("id", F.explode(colors.brand_colors(C("html"))).alias("x")).select("id", "x.color", C("x.weight").cast("long").alias("weight"))
 
 
 # dates

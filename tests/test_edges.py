@@ -1,9 +1,8 @@
 """Scalar queries over literal edge cases, against their oracles over the same rows."""
 
-import duckdb
 import pytest
 
-from harness import difference
+from harness import connect, difference
 from parlance.plans import QUERIES
 from parlance.plans.registry import OVER_VIEWS
 from parlance.sources import views
@@ -41,7 +40,7 @@ def test_all_edges_are_met():
 def test_edges(spark, sf_dir, monkeypatch, name):
     for table, rows in EDGES.items():
         monkeypatch.setitem(views.LITERALS, table, rows)
-    assert difference(QUERIES[name](spark, sf_dir), duckdb.connect(), views.with_views(OVER_VIEWS[name])) == ""
+    assert difference(QUERIES[name](spark, sf_dir), connect(sf_dir), views.with_views(OVER_VIEWS[name])) == ""
 
 
 def test_fixed_answers(spark, sf_dir, monkeypatch):

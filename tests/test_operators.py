@@ -167,6 +167,20 @@ def test_handoff_timer(spark, tmp_path):
     assert {(r.conversation_id, r.outcome) for r in got.collect()} == {(1, "accepted"), (2, "apology"), (3, "accepted")}
 
 
+def test_colours(spark):
+    from parlance.functions import colors
+
+    cases = [("hsl(0,0%,50%)", "#808080"), ("hsl(210, 100%, 40%)", "#0066cc"), ("hsla(120,50%,75%,.5)", "#9fdf9f"), ("hsl(300, 60%, 20%)", "#521452"), ("#AbC", "#aabbcc"), ("rgb(300,0,7)", "#ff0007"), ("red", None), ("hsl(1)", None), (None, None)]
+    df = spark.createDataFrame(cases, "c string, want string")
+    assert [r.h for r in df.select(colors.to_hex(F.col("c")).alias("h")).collect()] == [w for _, w in cases]
+    page = (
+        "<meta content='#0a64c8' name='theme-color'><style>a{color:#c80a0a} b{background : rgb(10,200,10); margin:0} i{background-color:#ffffff;border:#808080}</style>"
+        "<p>color: #00ff00</p><STYLE type=x>u{fill:#c80a0a;stroke:hsl(300, 60%, 40%)} v{xcolor:#123456}</STYLE>"
+    )
+    got = spark.createDataFrame([(page,), ("",), (None,)], "p string").select(colors.brand_colors(F.col("p")).alias("x")).collect()
+    assert [tuple(x) for x in got[0].x] == [("#0a64c8", 30), ("#c80a0a", 4), ("#0ac80a", 3), ("#a329a3", 1)] and not got[1].x and not got[2].x
+
+
 def test_throttled_progress(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     row = lambda job, s, k, n=9: (job, t + dt.timedelta(seconds=s), k, n)
