@@ -72,6 +72,8 @@ LONG = 100
 PERIOD = 3
 #: Levels of elements, and members of a group, that a wrapper tells apart.
 DEEP, WIDE = 48, 96
+#: Hosts whose partial wrappers a task holds at a time.
+HOSTS = 1000
 #: Parts that a host's partial wrappers are folded in first.
 PARTS = 32
 #: Bytes of wrappers up to which they are broadcast.
@@ -594,14 +596,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w) for w in found.values()])], names=["host", "wrapper"])
+            found.clear()
+            return out
+
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["html"], strict=True):
                 new = shape(page.as_py() or "")
                 found[host] = align(found[host], new) if host in found else new
+                if len(found) >= HOSTS:
+                    yield sent()
         if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found)), pa.array([json.dumps(w) for w in found.values()])], names=["host", "wrapper"]
-            )
+            yield sent()
 
     def merge(batches: Iterator[pa.RecordBatch], close: Callable = lambda w: w) -> Iterator[pa.RecordBatch]:
         """Rows sorted by host: one row for each."""
