@@ -59,16 +59,28 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         m, F.zip_with(F.slice(tokens, 1, pairs), F.slice(tokens, 2, pairs), lambda a, b: F.xxhash64(a, b))
     )
     inner = K - S + 1
+    # the least of each run of `inner` S-mers, by runs that grow; a slice for each place would copy all of them
+    least, have = m, 1
+    while have < inner:
+        more = min(have, inner - have)
+        rest = F.greatest(F.size(least) - more, F.lit(0))
+        runs = F.zip_with(F.slice(least, 1, rest), F.slice(least, 1 + more, rest), lambda x, y: F.least(x, y))
+        have += more
+        least = f"{out}__{have}"
+        step = step.withColumn(least, runs)
+    low = F.col(least)
     places = F.filter(
         F.sequence(F.lit(1), F.size(tokens) - (K - 1)),
-        lambda i: F.least(F.get(mers, i - 1), F.get(mers, i + (inner - 2))) == F.array_min(F.slice(mers, i, inner)),
+        # named twice, so that the optimizer does not put the runs into the lambda
+        lambda i: (F.get(mers, i - 1) == F.get(low, i - 1)) | (F.get(mers, i + (inner - 2)) == F.get(low, i - 1)),
     )
     # S-mers side by side cover the k-mer, so their hashes name it
     named = F.transform(places, lambda i: _anchor(F.xxhash64(*[F.get(mers, i - 1 + k) for k in range(0, K, S)]), i - 1))
     whole = F.array(_anchor(F.xxhash64(tokens), F.lit(0)))
     anchors = F.when(F.size(tokens) >= K, named).otherwise(F.array().cast("array<bigint>"))
     step = step.withColumn(out, F.array_sort(anchors))
-    step = step.withColumn(out, F.when((F.size(out) == 0) & (F.size(tokens) > 0), whole).otherwise(F.col(out))).drop(t, m)
+    step = step.withColumn(out, F.when((F.size(out) == 0) & (F.size(tokens) > 0), whole).otherwise(F.col(out)))
+    step = step.select(*df.columns, out)
     # of equal hashes the first place stays
     a = F.col(out)
     first = F.filter(
