@@ -23,7 +23,6 @@ after all others; an empty table gives no records but the ``warcinfo``; other co
 from __future__ import annotations
 
 import gzip
-import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -43,6 +42,8 @@ FILE_BYTES = 64 << 20
 #: Largest payloads of the classes that records are written in; beyond the last a record has a file.
 CLASSES = (16 << 10, 512 << 10, 8 << 20)
 END = "\r\n\r\n"
+#: Bytes of an unpacked archive that are read at a time.
+READ = 1 << 18
 
 HEADERS = "page_id long, record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
@@ -113,17 +114,27 @@ def write_archive(pages: DataFrame, path: str) -> None:
 
 
 def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an unpacked archive."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/1."):
+    """Headers and block of each record of an unpacked archive, read ``READ`` bytes at a time."""
+    held, at = b"", 0
+    while True:
+        start = held.find(b"WARC/1.", at)
+        stop = held.find(b"\r\n\r\n", start) if start >= 0 else -1
+        if stop < 0:
+            at = start if start >= 0 else max(at, len(held) - 6)
+            more = stream.read(READ)
+            if not more:
+                return
+            held, at = held[at:] + more, 0
             continue
-        headers: dict[str, str] = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
-            name, found, value = line.decode("utf-8", "replace").partition(": ")
-            if found:
-                headers[name] = value
-        size = int(headers["Content-Length"])
-        yield headers, stream.read(size)
+        lines = held[start:stop].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = dict(line.split(": ", 1) for line in lines if ": " in line)
+        first, end = stop + 4, stop + 4 + int(headers["Content-Length"])
+        if end > len(held):
+            block = held[first:] + stream.read(end - len(held))
+            held, at = b"", 0
+        else:
+            block, at = held[first:end], end
+        yield headers, block
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -143,7 +154,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 packed = pa.BufferReader(content.as_buffer())
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=packed) if name.endswith(".gz") else packed, 1 << 20)
+                stream = gzip.GzipFile(fileobj=packed) if name.endswith(".gz") else packed
                 found: list[tuple] = []
                 held = 0
                 for h, block in parse_records(stream):

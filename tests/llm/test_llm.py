@@ -390,6 +390,18 @@ PAGES = [
 ]
 
 
+def test_record_parser(monkeypatch):
+    """Records that hold what looks like records, read in parts of any size."""
+    import io
+
+    rng = random.Random(1)
+    bodies = [bytes(rng.choice(b"ab\r\nWARC/1.\r\n\r\n") for _ in range(rng.randrange(60))) for _ in range(40)]
+    data = b"".join(b"WARC/1.1\r\nX: %d\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (k, len(b), b) for k, b in enumerate(bodies))
+    for size in (1, 3, 50, 1 << 18):
+        monkeypatch.setattr(warc, "READ", size)
+        assert [(int(h["X"]), b) for h, b in warc.parse_records(io.BytesIO(data))] == list(enumerate(bodies))
+
+
 def test_warc_classes_and_hot_digests(spark, monkeypatch):
     """Records of all sizes, one file for a large one, and lookups without a broadcast of all."""
     import gzip
