@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, urls
+from . import codes, quality, trie, urls
 
 QUALITY = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
@@ -61,3 +61,41 @@ HOSTS = f"""WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coales
    (SELECT named, turned, p, q, z, k + 1 AS k, c, d, h, (k + 1) * (q - k - 1) * z / ((p + 2 * k + 1) * (p + 2 * k + 2)) AS e1, -(p + k + 1) * (p + q + k + 1) * z / ((p + 2 * k + 2) * (p + 2 * k + 3)) AS e2 FROM f WHERE k < {STEPS})))),
  g AS (SELECT named, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(z) + q * ln(1 - z)) / p * h AS v, CASE WHEN turned THEN v ELSE 1 - v END AS above FROM f WHERE k = {STEPS})
 SELECT page_id, host, path, {RULE} AS rule, coalesce({VERDICT}, CASE WHEN above >= {urls.SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS host_bad FROM p JOIN c ON host = c.named LEFT JOIN g ON host = g.named"""
+
+
+def _lloyd() -> str:
+    """Lloyd rounds over all pairs of parts and entries; float sums of integers below 2^53 are exact."""
+    near = lambda k, more="": f"""SELECT p, vec_id, s, min((xx + zz - 2 * list_inner_product(x, z))::BIGINT * {codes.ENTRIES} + e) AS best{more} FROM parts JOIN book{k} USING (p) GROUP BY ALL"""
+    steps = []
+    for k in range(codes.ROUNDS):
+        steps.append(f"""assigned{k} AS MATERIALIZED ({near(k)}),
+ mean{k} AS (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY j) AS c FROM (SELECT p, best % {codes.ENTRIES} AS e, j, sum(s[j])::BIGINT AS t, count(*) AS n FROM assigned{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(s)) FROM parts))) AS j) GROUP BY ALL) GROUP BY ALL),
+ book{k + 1} AS MATERIALIZED (SELECT *, list_inner_product(z, z) AS zz FROM (SELECT p, e, coalesce(m.c, b.c) AS c, coalesce(m.c, b.c)::DOUBLE[] AS z FROM book{k} b LEFT JOIN mean{k} m USING (p, e)))""")
+    return f"""WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ parts AS MATERIALIZED (SELECT *, s::DOUBLE[] AS x, list_inner_product(s::DOUBLE[], s::DOUBLE[]) AS xx FROM (SELECT vec_id, r, p, v[p * (len(v) // {codes.PARTS}) + 1:(p + 1) * (len(v) // {codes.PARTS})] AS s FROM kept, (SELECT unnest(range({codes.PARTS})) AS p))),
+ book0 AS MATERIALIZED (SELECT p, r - 1 AS e, s AS c, x AS z, xx AS zz FROM parts WHERE r <= {codes.ENTRIES}),
+ {", ".join(steps)},
+ last AS MATERIALIZED ({near(codes.ROUNDS)}),
+ coded AS (SELECT vec_id, string_agg(printf('%02x', best % {codes.ENTRIES}), '' ORDER BY p) AS code, sum(best // {codes.ENTRIES})::BIGINT AS error FROM last GROUP BY vec_id),
+ digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest"""
+
+
+LLOYD = _lloyd()
+
+#: CRC-32 of a decimal number: its digits byte by byte, bit by bit.
+CRC = """xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(a, b)), 4294967295), 4294967295)"""
+
+#: Prefixes as lists of all their turns, subtrees by comparing lists: quadratic, for small tables.
+TRIE = f"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(text, '') AS t, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id AS c, conv_id - conv_id % {trie.GROUP} AS f, count(*) AS n, {CRC} % {trie.HEADS} AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ rebuilt AS (SELECT c.c, p, t, k FROM c JOIN o ON o.c = c.f AND p <= h UNION ALL SELECT c.c, p - c.h + least(c.h, coalesce(f.n, 0)), t, k FROM c JOIN o ON o.c = c.c AND p > c.h LEFT JOIN c f ON f.c = c.f),
+ ends AS (SELECT c.c, coalesce(max(p), 0) AS n FROM c LEFT JOIN rebuilt USING (c) GROUP BY c.c),
+ members AS (SELECT c, p AS d, t, list(k) OVER (PARTITION BY c ORDER BY p) AS path FROM rebuilt UNION ALL SELECT c, 0, '', CAST([] AS VARCHAR[]) FROM c),
+ nodes AS MATERIALIZED (SELECT d, path, min(c) AS c, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(any_value(t), '[^\\x20\\x09-\\x0D]+')) AS w, count(*) FILTER (WHERE ends.n > d) = 0 AS leaf,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends.n = d), '')) AS ends_sha256 FROM members JOIN ends USING (c) GROUP BY d, path),
+ sums AS (SELECT n.d, n.path, sum(u.w)::BIGINT AS saved, count(*) FILTER (WHERE u.leaf) AS leaves, count(*) FILTER (WHERE u.d = n.d + 1) AS children FROM nodes n JOIN nodes u ON u.d >= n.d AND u.path[1:n.d] = n.path GROUP BY n.d, n.path)
+SELECT nodes.c AS conv_id, nodes.d AS depth, up.c AS parent_conv_id, nodes.n AS n_convs, children AS n_children, leaves AS n_leaves, saved AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums ON nodes.d = sums.d AND nodes.path = sums.path LEFT JOIN nodes up ON up.d = nodes.d - 1 AND up.path = nodes.path[1:nodes.d - 1]"""

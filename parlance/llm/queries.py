@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .codes import op11_filtering_lloyd
 from .html import op7_host_wrappers
 from .jaccard import op5_partition_jaccard
 from .langid import op10_marginal_unigrams
@@ -15,6 +16,7 @@ from .pieces import op3_max_plus_pieces
 from .quality import op2_quality_cascade
 from .sharding import op4_virtual_slot_sharding
 from .syncmers import op1_closed_syncmers
+from .trie import op13_prefix_doubling_trie
 from .urls import op8_host_reputation
 from .warc import op6_revisit_archives
 
@@ -31,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_host_reputation": op8_host_reputation,
         "op9_histogram_packing": op9_histogram_packing,
         "op10_marginal_unigrams": op10_marginal_unigrams,
+        "op11_filtering_lloyd": op11_filtering_lloyd,
+        "op13_prefix_doubling_trie": op13_prefix_doubling_trie,
     }
 
 
@@ -39,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_cascade": oracles.QUALITY,
         "op6_revisit_archives": oracles.REVISITS,
         "op8_host_reputation": oracles.HOSTS,
+        "op11_filtering_lloyd": oracles.LLOYD,
+        "op13_prefix_doubling_trie": oracles.TRIE,
     }
