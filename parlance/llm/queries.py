@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .codes import op11_filtering_lloyd
+from .findings import op12_secret_network
 from .html import op7_host_wrappers
 from .jaccard import op5_partition_jaccard
 from .langid import op10_marginal_unigrams
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_histogram_packing": op9_histogram_packing,
         "op10_marginal_unigrams": op10_marginal_unigrams,
         "op11_filtering_lloyd": op11_filtering_lloyd,
+        "op12_secret_network": op12_secret_network,
         "op13_prefix_doubling_trie": op13_prefix_doubling_trie,
     }
 
