@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from parlance.functions import dates, text
 from parlance.operators.filters import not_true
-from parlance.operators.lookups import counts_by, signed_in
+from parlance.operators.lookups import by_key, counts_by, signed_in
 from parlance.operators.metrics import count_where, rounded, share, total, zero_filled_days
+from parlance.operators.prefix import running
 from parlance.plans.registry import query
 from parlance.plans.scalars import WINDOW_SQL, _plus, billing
 from parlance.sources.views import Views
@@ -226,8 +227,9 @@ def delete_stats(v: Views):
 @query("token_batches", "SELECT userId, (r - 1) // 100 AS batch, sum(cast(ceil(length(content) / 4.0) AS BIGINT))::BIGINT AS tokens FROM (SELECT userId, content, row_number() OVER (PARTITION BY userId ORDER BY id) AS r FROM tdocs) GROUP BY 1, 2")
 def token_batches(v: Views):
     """Estimated tokens of each hundred documents of an owner."""
-    placed = v.tdocs.withColumn("r", F.row_number().over(W.partitionBy("userId").orderBy("id")))
-    return placed.groupBy("userId", F.floor((C("r") - 1) / 100).alias("batch")).agg(F.sum(text.token_estimate(C("content"))).alias("tokens"))
+    slim = v.tdocs.select("id", "userId", text.token_estimate(C("content")).alias("n"))
+    placed = running(slim, ["userId"], [C("id").asc()], {"r": F.lit(1).cast("long")})
+    return placed.groupBy("userId", F.floor((C("r") - 1) / 100).alias("batch")).agg(F.sum("n").alias("tokens"))
 
 
 @query("vector_cost", "SELECT user_id, n, floor(n * 1536 * 4 / 1048576.0 * 10000 + 0.5) / 10000 AS mb, floor(n * 1536 * 4 / 1048576.0 / 1024 * 0.12 * 100000000 + 0.5) / 100000000 AS storage_cost, cast(ceil(n / 256.0) AS BIGINT) * 0.10 / 1000 AS request_cost FROM (SELECT user_id, count(*) AS n FROM points GROUP BY user_id)")
@@ -246,10 +248,11 @@ def upsert_batches(v: Views):
 @query("even_split", "SELECT id, CASE WHEN r = n THEN t - t // n * (n - 1) ELSE t // n END AS share FROM (SELECT id, row_number() OVER (PARTITION BY userId ORDER BY id) AS r, count(*) OVER (PARTITION BY userId) AS n, 100003 + userId AS t FROM agents)")
 def even_split(v: Views):
     """An amount in equal parts; the last row takes the rest."""
-    w = W.partitionBy("userId")
-    n, t = F.count(F.lit(1)).over(w), 100003 + C("userId")
+    sizes = v.agents.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
+    placed = by_key(running(v.agents.select("id", "userId"), ["userId"], [C("id").asc()], {"r": F.lit(1).cast("long")}), sizes, "userId")
+    n, t = C("n"), 100003 + C("userId")
     each = F.floor(t / n)
-    return v.agents.select("id", F.when(F.row_number().over(w.orderBy("id")) == n, t - each * (n - 1)).otherwise(each).cast("long").alias("share"))
+    return placed.select("id", F.when(C("r") == n, t - each * (n - 1)).otherwise(each).cast("long").alias("share"))
 
 
 @query("plan_totals", "SELECT (SELECT count(*) FROM plans) AS plans, (SELECT count(*) FROM plans WHERE status = 'active') AS active, (SELECT count(*) FROM clients) AS clients")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import norm_question
 from parlance.operators.filters import not_true
 from parlance.operators.lookups import counts_by, latest, signed_in
+from parlance.operators.prefix import running
 from parlance.plans.registry import query
 from parlance.sources.views import Views
 
@@ -322,10 +323,10 @@ def distinct_vals(v: Views):
  FROM (SELECT id, userId, strlen(content) AS size, sum(strlen(content)) OVER (PARTITION BY userId ORDER BY id ROWS UNBOUNDED PRECEDING) AS running FROM tdocs)""")
 def w_quota_prefix(v: Views):
     """Documents are admitted in order until the first overflow."""
-    w = W.partitionBy("userId").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     sized = v.tdocs.select("id", "userId", F.octet_length("content").cast("long").alias("size"))
-    fits = sized.withColumn("fits", F.sum("size").over(w) <= 40000)
-    return fits.withColumn("admitted", F.min(C("fits").cast("int")).over(w) == 1)
+    # sizes are not negative: what comes behind an overflow does not fit either
+    fits = running(sized, ["userId"], [C("id").asc()], {"so_far": C("size")}).withColumn("fits", C("so_far") <= 40000)
+    return fits.select("id", "userId", "size", "fits", C("fits").alias("admitted"))
 
 
 @query("w_footer_once", """SELECT id, regexp_extract(url, '://([^/]*)', 1) AS host, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]*)', 1) ORDER BY id) = 1 AS keeps_footer FROM webpages""")

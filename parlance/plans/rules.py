@@ -6,12 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import dates, text, urls
-from parlance.operators import state
+from parlance.operators import copying, state
 from parlance.operators.filters import not_true
-from parlance.operators.lookups import counts_by
+from parlance.operators.lookups import by_key, counts_by
+from parlance.operators.prefix import running
 from parlance.plans.registry import query
 from parlance.plans.scalars import _plus
 from parlance.sources.views import Views
+from parlance.sources.work import scratch_dir
 
 C = F.col
 EXPIRED = "planExpiry IS NOT NULL AND planExpiry <= TIMESTAMP '2025-01-20 00:00:00' AND plan <> 'free'"
@@ -258,10 +260,13 @@ def vector_delete_errors(v: Views):
 
 @query("migrate_check", "SELECT user_id, count(*) AS source, count(*) AS copied, true AS complete FROM points GROUP BY user_id")
 def migrate_check(v: Views):
-    """Points of each owner before and after the copy into another collection, and whether all have arrived."""
-    copied = v.points.withColumn("collection", F.lit("paid")).unionByName(v.points.withColumn("collection", F.lit("free")))
-    both = copied.groupBy("user_id").agg(F.count_if(C("collection") == "free").alias("source"), F.count_if(C("collection") == "paid").alias("copied"))
-    return both.withColumn("complete", C("source") == C("copied"))
+    """Points of each owner and those that have arrived in another collection, read back from its files."""
+    points = v.points.select("id", "user_id", "vector", "title", "url", "type")
+    path = scratch_dir(v.spark, "paid")
+    copying.copy(points, path, "id", 16).collect()
+    arrived = v.spark.read.parquet(f"{path}/rows").groupBy("user_id").agg(F.count(F.lit(1)).alias("copied"))
+    there = points.groupBy("user_id").agg(F.count(F.lit(1)).alias("source")).join(arrived, "user_id", "left")
+    return there.select("user_id", "source", F.coalesce("copied", F.lit(0)).alias("copied"), F.coalesce(C("source") == C("copied"), F.lit(False)).alias("complete"))
 
 
 @query("transfer_chat", """SELECT c.id, CASE WHEN n.conversationId IS NOT NULL THEN false ELSE aiChat END AS aiChat, coalesce(n.humanAgentId, c.humanAgentId) AS humanAgentId, strftime(n.at, '%Y-%m-%d') AS transferred, CASE WHEN n.conversationId IS NOT NULL THEN 'agent-connect: ' || coalesce(h.name, 'an agent') END AS line
@@ -271,7 +276,7 @@ def transfer_chat(v: Views):
     asked = v.notifs.filter(~C("isSeen")).groupBy(C("conversationId").alias("id")).agg(F.max_by("humanAgentId", "id").alias("person"), F.max("createdAt").alias("at"))
     names = v.hagents.select(C("id").alias("person"), "name")
     moved = C("at").isNotNull()
-    both = v.convs.select("id", "aiChat", "humanAgentId").join(asked, "id", "left").join(F.broadcast(names), "person", "left")
+    both = by_key(v.convs.select("id", "aiChat", "humanAgentId").join(asked, "id", "left"), names, "person")
     return both.select(
         "id", F.when(moved, False).otherwise(C("aiChat")).alias("aiChat"), F.coalesce("person", "humanAgentId").alias("humanAgentId"), F.date_format("at", "yyyy-MM-dd").alias("transferred"),
         F.when(moved, F.concat(F.lit("agent-connect: "), F.coalesce("name", F.lit("an agent")))).alias("line"),
@@ -287,10 +292,13 @@ def pending_requests(v: Views):
     return asked.join(v.convs.filter("aiChat").select("id", "visitor"), "id").select(C("id").alias("conversation_id"), "visitor", "since")
 
 
-@query("visitor_connect", f"""WITH l AS ({LIMITS}), o AS (SELECT visitor, userId, max(id) AS open_id FROM convs WHERE status = 'open' GROUP BY visitor, userId), u AS (SELECT userId, count(*) AS used FROM convs GROUP BY userId),
+CONNECT = f"""WITH l AS ({LIMITS}), o AS (SELECT visitor, userId, max(id) AS open_id FROM convs WHERE status = 'open' GROUP BY visitor, userId), u AS (SELECT userId, count(*) AS used FROM convs GROUP BY userId),
  m AS (SELECT DISTINCT conversation_id FROM msgs), v AS (SELECT p.id, p.userId, o.open_id, coalesce(l.max_queries, 1000) - coalesce(u.used, 0) AS room FROM visitors p LEFT JOIN o ON o.visitor = p.id AND o.userId = p.userId LEFT JOIN l ON l.userId = p.userId LEFT JOIN u ON u.userId = p.userId),
  r AS (SELECT *, CASE WHEN open_id IS NULL THEN row_number() OVER (PARTITION BY userId, open_id IS NULL ORDER BY id) END AS place FROM v)
- SELECT r.id AS visitor, open_id AS conversation, CASE WHEN open_id IS NOT NULL THEN 'reused' WHEN place <= room THEN 'created' ELSE 'limit' END AS outcome, CASE WHEN open_id IS NOT NULL THEN m.conversation_id IS NULL ELSE place <= room END AS welcome FROM r LEFT JOIN m ON m.conversation_id = r.open_id""")
+ SELECT r.id AS visitor, open_id AS conversation, CASE WHEN open_id IS NOT NULL THEN 'reused' WHEN place <= room THEN 'created' ELSE 'limit' END AS outcome, CASE WHEN open_id IS NOT NULL THEN m.conversation_id IS NULL ELSE place <= room END AS welcome FROM r LEFT JOIN m ON m.conversation_id = r.open_id"""
+
+
+@query("visitor_connect", CONNECT)
 def visitor_connect(v: Views):
     """Each visitor who connects: the open conversation again, else a new one while the owner's limit has room; a welcome where nothing was said yet."""
     open_ = v.convs.filter("status = 'open'").groupBy(C("visitor").alias("id"), "userId").agg(F.max("id").alias("open_id"))
@@ -300,8 +308,8 @@ def visitor_connect(v: Views):
     came = v.visitors.select("id", "userId").join(open_, ["id", "userId"], "left")
     again = came.filter("open_id is not null").join(v.msgs.select(C("conversation_id").alias("open_id")).distinct().withColumn("said", F.lit(True)), "open_id", "left")
     again = again.select(C("id").alias("visitor"), C("open_id").alias("conversation"), F.lit("reused").alias("outcome"), C("said").isNull().alias("welcome"))
-    place = F.row_number().over(W.partitionBy("userId").orderBy("id"))
-    new = came.filter("open_id is null").withColumn("place", place).join(owners, "userId").withColumn("fits", C("place") <= C("room"))
+    new = running(came.filter("open_id is null"), ["userId"], [C("id").asc()], {"place": F.lit(1).cast("long")})
+    new = by_key(new, owners, "userId").withColumn("fits", C("place") <= C("room"))
     new = new.select(C("id").alias("visitor"), C("open_id").alias("conversation"), F.when(C("fits"), "created").otherwise("limit").alias("outcome"), C("fits").alias("welcome"))
     return again.unionByName(new)
 
