@@ -172,8 +172,18 @@ def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
     """``q, id, score, rank``: the ``k`` nearest points that the probed cells hold, for each question.
 
     ``questions`` has ``id, vector`` and the columns of ``within``.  Scores are cosines,
-    rounded to five places; ties go to the smaller id.
+    rounded to five places; ties go to the smaller id.  Questions whose cells hold fewer than
+    ``k`` points ask all points that they may find instead.
     """
+    found = stored(probed(index, questions, k), "hits")
+    full = found.filter(F.col("rank") == k).select("q")
+    short = stored(questions.join(full, questions["id"] == full["q"], "left_anti"), "short")
+    flat = Index(index.points.withColumn("cell", F.lit(0)), index.centroids[:1], index.within)
+    return found.join(full, "q", "left_semi").select("q", "id", "score", "rank").unionByName(probed(flat, short, k))
+
+
+def probed(index: Index, questions: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest points, or as many as there are, in the probed cells."""
     centroids, probes, keys = index.centroids, min(index.probes, len(index.centroids)), [*index.within, "cell"]
     width = centroids.shape[1] if centroids.size else 1
     shared = questions.sparkSession.sparkContext.broadcast(centroids)
@@ -187,8 +197,8 @@ def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
                 for j in range(probes):
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells[:, j], pa.int32())], names=[*batch.schema.names, "cell"])
 
-    probed = stored(units.mapInArrow(probe, T.StructType([*units.schema.fields, T.StructField("cell", T.IntegerType())])), "probes")
-    p, q = (blocked(rows, keys, width, name) for rows, name in ((index.points, "points"), (probed, "asked")))
+    asking = stored(units.mapInArrow(probe, T.StructType([*units.schema.fields, T.StructField("cell", T.IntegerType())])), "probes")
+    p, q = (blocked(rows, keys, width, name) for rows, name in ((index.points, "points"), (asking, "asked")))
     p = stored(p.withColumn("salt", F.floor(F.col("slot") / TOGETHER)).drop("slot"), "blocks")
     salts = p.groupBy(*keys).agg((F.max("salt") + 1).alias("salts"))
     key = F.struct(*keys)
