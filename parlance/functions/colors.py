@@ -12,19 +12,18 @@ def _two(n: Column) -> Column:
 
 
 def _hsl(s: Column) -> Column:
-    """hsl(h, s%, l%) to #rrggbb; null if a number is missing."""
-    number = lambda k: F.get(F.regexp_extract_all(s, F.lit(r"[\d.]+"), F.lit(0)), k).try_cast("double")
-    h, c, light = number(0) / 360, number(1) / 100, number(2) / 100
-    q = F.when(light < 0.5, light * (1 + c)).otherwise(light + c - light * c)
-    p = 2 * light - q
-
-    def part(turn: float) -> Column:
-        t = h + turn
-        t = F.when(t < 0, t + 1).when(t > 1, t - 1).otherwise(t)
-        x = F.when(t < 1 / 6, p + (q - p) * 6 * t).when(t < 1 / 2, q).when(t < 2 / 3, p + (q - p) * (2 / 3 - t) * 6).otherwise(p)
-        return _two(F.floor(F.when(c == 0, light).otherwise(x) * 255 + 0.5))
-
-    return F.concat(F.lit("#"), part(1 / 3), part(0.0), part(-1 / 3))
+    """hsl(h, s%, l%) to #rrggbb; null if a number is missing.
+
+    The closed form of CSS Color 4: a channel n of 0, 8 and 4 is
+    l - s min(l, 1 - l) max(-1, min(k - 3, 9 - k, 1)) with k = (n + h / 30) mod 12.
+    """
+    numbers = F.transform(F.regexp_extract_all(s, F.lit(r"[\d.]+"), F.lit(0)), lambda x: x.try_cast("double"))
+    hue, saturation, light = F.get(numbers, 0), F.get(numbers, 1) / 100, F.get(numbers, 2) / 100
+    reach = saturation * F.least(light, 1 - light)
+    places = [F.pmod(F.lit(float(n)) + hue / 30, F.lit(12.0)) for n in (0, 8, 4)]
+    levels = [light - reach * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0))) for k in places]
+    # half steps go up
+    return F.when(hue.isNotNull(), F.concat(F.lit("#"), *[_two(F.floor(F.round(x * 255, 9) + 0.5)) for x in levels]))
 
 
 def to_hex(c: Column) -> Column:

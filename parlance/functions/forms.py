@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # fixed values: patterns of valid values
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-PHONE = r"^[+]?[1-9]\d{0,15}$"
+PHONE = r"^[\+]?[1-9][\d]{0,15}$"
 URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^\s/?#]+|[^/\s])\S*$"
 
 
@@ -29,7 +29,7 @@ def kind_error(field: Field, value: Column) -> Column:
     if field.kind == "email":
         return F.when(~value.rlike(EMAIL), f"{field.label} is no e-mail address")
     if field.kind == "tel":
-        return F.when(~F.regexp_replace(value, r"[\s()-]", "").rlike(PHONE), f"{field.label} is no phone number")
+        return F.when(~F.regexp_replace(value, r"[\s\-\(\)]", "").rlike(PHONE), f"{field.label} is no phone number")
     if field.kind == "number":
         return F.when((F.trim(value) != "") & F.trim(value).try_cast("double").isNull(), f"{field.label} is no number")
     if field.kind == "url":

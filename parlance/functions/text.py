@@ -35,7 +35,8 @@ LONG_WORDS = [
 ]
 #: Patterns of the token budget.
 QUANTITY = r"(?i)\b(\d+)\s+(best|top|ways|steps|items|products|links|options|recommendations|suggestions|examples)\b"
-LISTING = r"(?i)\b(list|lists|listing|all|every|each)\b"
+LISTING = r"(?i)\b(list|lists|listing)\b"
+WHOLE = r"(?i)\b(all|every|each)\b"
 LINKING = r"(?i)\b(link|links|url|urls|website|websites|page|pages)\b"
 DETAILED = r"(?i)\b(explain|describe|detail|detailed|comprehensive|complete|full|everything|how\s+does|how\s+do|what\s+are|what\s+is)\b"
 
@@ -120,7 +121,7 @@ def max_tokens(c: Column) -> Column:
     """Token budget of an answer, by what it is asked to hold."""
     q = F.coalesce(c, F.lit(""))
     long = _any([F.lower(F.trim(q)).contains(w) for w in LONG_WORDS])
-    lists, links = q.rlike(LISTING), q.rlike(LINKING)
+    lists, links = q.rlike(LISTING) | q.rlike(WHOLE), q.rlike(LINKING)
     n = F.coalesce(_first_number(q), F.lit(5))
     counted = q.rlike(QUANTITY) | (long & (lists | links))
     return (

@@ -22,6 +22,12 @@ def primary_label(host: Column) -> Column:
     return F.when(two, F.try_element_at(parts, F.lit(-3))).when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise(host)
 
 
+def display_name(website: Column, onboarding: Column, name: Column) -> Column:
+    """The label of the first address that has a host, else the name, the website, or ``client``."""
+    own = [F.nullif(F.trim(c), F.lit("")) for c in (name, website)]
+    return F.coalesce(primary_label(F.coalesce(hostname(website), hostname(onboarding))), *own, F.lit("client"))
+
+
 def is_domain(c: Column) -> Column:
     return F.trim(c).rlike(r"^[\w.-]+\.[\w.-]+$")
 

@@ -167,6 +167,12 @@ def logo_of(url: Column, page: Column) -> Column:
     return resolved(F.concat(origin_of(url), F.lit("/")), F.coalesce(*found))
 
 
+def robots_addresses(robots: Column) -> Column:
+    """Addresses of the ``Sitemap:`` lines of a robots file, in order; any case, blanks around the colon."""
+    lines = F.split(robots, r"\r\n|\r|\n")
+    return F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)), lambda x: x != "")
+
+
 def sitemap_addresses(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """``root, url``: the addresses below each root sitemap, through nested indexes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.text import clean_markdown
-from parlance.operators.ingest import chunked, embed, html_to_md, links_of, logo_of, origin_of, resolved, sitemap_addresses
+from parlance.operators.ingest import chunked, embed, html_to_md, links_of, logo_of, origin_of, resolved, robots_addresses, sitemap_addresses
 from parlance.plans.registry import query
 from parlance.sources.views import Views
 
@@ -85,12 +85,12 @@ def sitemap_urls(v: Views):
     return found.groupBy(F.regexp_extract("root", "://([^/?#]*)", 1).alias("host")).agg(F.count(F.lit(1)).alias("urls"), F.min("url").alias("first_url"))
 
 
-@query("robots_sitemaps", "SELECT 'https://site' || id || '.example.com/map.xml' AS sitemap, id FROM webpages WHERE id % 2 = 0")
+@query("robots_sitemaps", r"""SELECT id, len(string_split_regex(content, '\r\n|\r|\n')) AS n_lines, coalesce(string_agg(trim(regexp_extract(line, '(?i)^\s*sitemap\s*:\s*(\S+)', 1)), ' ') FILTER (WHERE regexp_matches(line, '(?i)^\s*sitemap\s*:\s*\S')), '') AS sitemaps
+ FROM (SELECT id, content, unnest(string_split_regex(content, '\r\n|\r|\n')) AS line FROM tdocs) GROUP BY id, content""")
 def robots_sitemaps(v: Views):
-    """``Sitemap:`` lines of robots files."""
-    head = F.when(C("id") % 2 == 0, F.concat(F.lit("SITEMAP : https://site"), C("id").cast("string"), F.lit(".example.com/map.xml"))).otherwise("Disallow: /x")
-    lines = v.webpages.select("id", F.explode(F.split(F.concat(F.lit("User-agent: *\n"), head), "\n")).alias("line"))
-    return lines.select("id", F.regexp_extract("line", r"(?i)^\s*sitemap\s*:\s*(\S+)", 1).alias("sitemap")).filter("sitemap <> ''")
+    """Addresses of the ``Sitemap:`` lines of each text, read as a robots file (the given texts have none; tests do)."""
+    lines = F.split("content", r"\r\n|\r|\n")
+    return v.tdocs.select("id", F.size(lines).cast("long").alias("n_lines"), F.array_join(robots_addresses(C("content")), " ").alias("sitemaps"))
 
 
 @query("logo_pick", """SELECT id, CASE WHEN id % 4 = 0 THEN o || '/touch.png' WHEN id % 4 = 1 THEN 'https://cdn.test/og.png' WHEN id % 4 = 2 THEN o || '/pic/l.png' END AS logo FROM (SELECT id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) AS o FROM webpages)""")

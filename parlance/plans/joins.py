@@ -221,11 +221,12 @@ def join_expired_users(v: Views):
     return v.clients.filter((C("planExpiry") <= now) & (C("plan") != "free")).select("userId").join(users, "userId")
 
 
-@query("join_anti_unique", "SELECT id, name FROM hagents WHERE lower(name) NOT IN (SELECT lower(name) FROM visitors v2 WHERE name IS NOT NULL) AND id NOT IN (SELECT userId FROM clients WHERE userId % 2 = 0)")
+@query("join_anti_unique", "SELECT id, name FROM hagents h WHERE NOT EXISTS (SELECT 1 FROM visitors v2 WHERE lower(v2.name) = lower(h.name)) AND NOT EXISTS (SELECT 1 FROM clients c WHERE c.userId = h.id AND c.planStatus = 'active')")
 def join_anti_unique(v: Views):
-    """Names and ids that nobody has yet."""
+    """Names that nobody has yet, and ids that no client with an active plan has."""
     names = v.visitors.select(F.lower("name").alias("n"))
-    return v.hagents.join(names, F.lower("name") == C("n"), "left_anti").join(v.clients.filter("userId % 2 = 0").select(C("userId").alias("u")), C("id") == C("u"), "left_anti").select("id", "name")
+    held = v.clients.filter("planStatus = 'active'").select(C("userId").alias("u"))
+    return v.hagents.join(names, F.lower("name") == C("n"), "left_anti").join(held, C("id") == C("u"), "left_anti").select("id", "name")
 
 
 @query("sender_name", """SELECT m.id, CASE WHEN m.sender_type = 'visitor' THEN 'Visitor' WHEN m.sender_type = 'system' THEN 'System' ELSE coalesce(h.name, a.siteName, 'AI Agent') END AS sender
@@ -336,10 +337,11 @@ def w_footer_once(v: Views):
     return v.webpages.select("id", host.alias("host")).withColumn("keeps_footer", F.row_number().over(W.partitionBy("host").orderBy("id")) == 1)
 
 
-@query("w_plan_rank", "SELECT name, row_number() OVER (ORDER BY sort) AS rank FROM plans WHERE status = 'active'")
+@query("w_plan_rank", "SELECT id, userId, row_number() OVER (PARTITION BY userId ORDER BY sort, id) AS rank FROM offers WHERE status = 'active'")
 def w_plan_rank(v: Views):
-    """A fixed handful of plans, so one window over all of them."""
-    return v.plans.filter("status = 'active'").select("name", F.row_number().over(W.orderBy("sort")).cast("long").alias("rank"))
+    """Place of each plan among those that its tenant offers."""
+    offered = v.offers.filter("status = 'active'").select("id", "userId", "sort")
+    return running(offered, ["userId"], [C("sort").asc(), C("id").asc()], {"rank": F.lit(1).cast("long")}).select("id", "userId", "rank")
 
 
 @query("w_duration", """SELECT conversation_id, date_diff('second', min(CASE WHEN r = 2 THEN createdAt END), max(createdAt)) AS seconds FROM

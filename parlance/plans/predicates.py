@@ -99,10 +99,9 @@ def filter_contains_client(v: Views):
     return v.clients.filter(contains_any("Client1", C("email"), C("plan"))).select("userId", "email")
 
 
-@query("filter_regex_plan", "SELECT name FROM plans WHERE regexp_matches(name, '(?i)^(PRO|bus)') OR regexp_matches(status, '(?i)^(PRO|bus)')")
+@query("filter_regex_plan", "SELECT id, name FROM offers WHERE regexp_matches(name, '(?i)^(A1|b)') OR regexp_matches(status, '(?i)^(INA)')")
 def filter_regex_plan(v: Views):
-    p = "(?i)^(PRO|bus)"
-    return v.plans.filter(C("name").rlike(p) | C("status").rlike(p)).select("name")
+    return v.offers.filter(C("name").rlike("(?i)^(A1|b)") | C("status").rlike("(?i)^(INA)")).select("id", "name")
 
 
 @query("filter_array_contains", "SELECT id, name FROM hagents WHERE list_contains([a1, a2, a3], 30)")
@@ -122,11 +121,11 @@ def project_select(v: Views):
     return v.visitors.drop("email", "ip", "agentId", "balance")
 
 
-@query("project_struct", "SELECT name, maxQueries AS limits_queries, maxAgents AS limits_agents, sort AS position FROM plans WHERE status = 'active'")
+@query("project_struct", "SELECT id, name, maxQueries AS limits_queries, maxAgents AS limits_agents, sort AS position FROM offers WHERE status = 'active'")
 def project_struct(v: Views):
     """A public shape rebuilt as a struct, flattened for the result."""
-    shaped = v.plans.filter("status = 'active'").select("name", F.struct(C("maxQueries").alias("queries"), C("maxAgents").alias("agents")).alias("limits"), C("sort").alias("position"))
-    return shaped.select("name", C("limits.queries").alias("limits_queries"), C("limits.agents").alias("limits_agents"), "position")
+    shaped = v.offers.filter("status = 'active'").select("id", "name", F.struct(C("maxQueries").alias("queries"), C("maxAgents").alias("agents")).alias("limits"), C("sort").alias("position"))
+    return shaped.select("id", "name", C("limits.queries").alias("limits_queries"), C("limits.agents").alias("limits_agents"), "position")
 
 
 @query("filter_label_code", "SELECT id, type, trainingStatus FROM tdocs WHERE type = 2 AND trainingStatus IN (1, 2)")
@@ -211,9 +210,9 @@ def sort_desc(v: Views):
     return v.convs.filter("agentId = 5").select("id", "score").orderBy(F.desc("score"), "id")
 
 
-@query("sort_multi", "SELECT name, sort AS position FROM plans ORDER BY sort ASC, name DESC")
+@query("sort_multi", "SELECT id, name, sort AS position FROM offers ORDER BY sort ASC, name DESC")
 def sort_multi(v: Views):
-    return v.plans.orderBy("sort", F.desc("name")).select("name", C("sort").alias("position"))
+    return v.offers.orderBy("sort", F.desc("name")).select("id", "name", C("sort").alias("position"))
 
 
 @query("page_offset", """SELECT id, title, (SELECT count(*) FROM tdocs WHERE type = 0) AS total,
@@ -246,11 +245,13 @@ def slice_cap(v: Views):
     return first.groupBy("userId").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("firsts"))
 
 
-@query("default_plan", "SELECT name, sort AS position FROM plans WHERE status = 'active' ORDER BY isDefault DESC, sort LIMIT 1")
+@query("default_plan", "SELECT userId, arg_min(name, (CASE WHEN isDefault THEN 0 ELSE 1 END, sort, id)) AS name FROM offers WHERE status = 'active' GROUP BY userId")
 def default_plan(v: Views):
-    return v.plans.filter("status = 'active'").orderBy(F.desc("isDefault"), "sort").limit(1).select("name", C("sort").alias("position"))
+    """Each tenant's plan for new clients: the default one, else the first of those on offer."""
+    first = F.struct(F.when(C("isDefault"), 0).otherwise(1), "sort", "id")
+    return v.offers.filter("status = 'active'").groupBy("userId").agg(F.min_by("name", first).alias("name"))
 
 
-@query("active_plans", "SELECT name, sort AS position, maxQueries FROM plans WHERE status = 'active' ORDER BY sort")
+@query("active_plans", "SELECT id, userId, name, sort AS position, maxQueries FROM offers WHERE status = 'active' ORDER BY userId, sort, id")
 def active_plans(v: Views):
-    return v.plans.filter("status = 'active'").orderBy("sort").select("name", C("sort").alias("position"), "maxQueries")
+    return v.offers.filter("status = 'active'").orderBy("userId", "sort", "id").select("id", "userId", "name", C("sort").alias("position"), "maxQueries")

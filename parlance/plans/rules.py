@@ -110,16 +110,19 @@ def plan_migrate(v: Views):
     return state.update(v.clients.select("userId", "plan"), (C("plan") == "pro") & C("userId").isin(1, 2, 3, 5, 8), plan="business")
 
 
-@query("exclusive_default", "SELECT name, name = 'pro' AS isDefault FROM plans")
+@query("exclusive_default", "SELECT id, userId, id = c.chosen AS isDefault FROM offers JOIN (SELECT userId, max(id) FILTER (WHERE status = 'active') AS chosen FROM offers GROUP BY userId) c USING (userId) WHERE c.chosen IS NOT NULL UNION ALL SELECT id, userId, isDefault FROM offers WHERE userId NOT IN (SELECT userId FROM offers WHERE status = 'active')")
 def exclusive_default(v: Views):
-    return v.plans.select("name", (C("name") == "pro").alias("isDefault"))
+    """Each tenant makes its newest active plan the default: all its others are none any more; without one nothing changes."""
+    chosen = v.offers.filter("status = 'active'").groupBy("userId").agg(F.max("id").alias("chosen"))
+    both = by_key(v.offers.select("id", "userId", "isDefault"), chosen, "userId")
+    return both.select("id", "userId", F.coalesce(C("id") == C("chosen"), "isDefault").alias("isDefault"))
 
 
-@query("reorder", "SELECT p.name, o.i AS position FROM plans p JOIN (VALUES ('business', 0), ('pro', 1), ('free', 2)) AS o(name, i) ON p.name = o.name")
+@query("reorder", "SELECT id, userId, row_number() OVER (PARTITION BY userId ORDER BY name DESC) - 1 AS position FROM offers")
 def reorder(v: Views):
-    """Positions from the place in a list."""
-    order = v.spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in ("business", "pro", "free")])).alias("position", "name"))
-    return v.plans.select("name").join(F.broadcast(order), "name")
+    """New positions of each tenant's plans: their places in the list that it sends, which is by name from the end."""
+    placed = running(v.offers.select("id", "userId", "name"), ["userId"], [C("name").desc()], {"place": F.lit(1).cast("long")})
+    return placed.select("id", "userId", (C("place") - 1).alias("position"))
 
 
 PAID = """SELECT o_custkey % 10 AS userId, o_orderkey AS id, cast(floor(o_totalprice) AS BIGINT) AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS cycle, o_orderdate AS paid_on FROM orders"""
@@ -235,11 +238,11 @@ def cascade_delete(v: Views):
 
 
 @query("get_or_create", """SELECT coalesce(s.userId, a.userId) AS userId, coalesce(a.agentId, s.agentId) AS agentId, s.userId IS NULL AS created, s.userId IS NOT NULL AND a.agentId IS NOT NULL AND s.agentId IS DISTINCT FROM a.agentId AS patched
- FROM (SELECT * FROM sites WHERE userId % 3 <> 0) s FULL JOIN (SELECT userId, min(id) AS agentId FROM agents WHERE isActive GROUP BY userId) a ON s.userId = a.userId""")
+ FROM sites s FULL JOIN (SELECT userId, min(id) AS agentId FROM agents WHERE isActive GROUP BY userId) a ON s.userId = a.userId""")
 def get_or_create(v: Views):
     """Website rows of owners: those there get the asked agent, missing ones are made."""
     asked = v.agents.filter("isActive").groupBy("userId").agg(F.min("id").alias("agentId"))
-    return state.get_or_create(v.sites.filter("userId % 3 <> 0"), asked, "userId", "agentId")
+    return state.get_or_create(v.sites, asked, "userId", "agentId")
 
 
 @query("collection_stats", "SELECT h.id AS collection, n > 0 AS there, n AS points FROM (SELECT id, (SELECT count(*) FROM points WHERE user_id = h.id) AS n FROM hagents h) h")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions import colors, dates, forms, text, urls
+from parlance.functions import colors, dates, forms, pages, text, urls, validation
+from parlance.operators.lookups import by_key
 from parlance.plans.registry import query
 from parlance.sources.views import Views
 
@@ -147,27 +148,42 @@ def is_domain(v: Views):
     return v.hosts.select("id", urls.is_domain(C("u")).alias("hit"))
 
 
-@query("display_name", "SELECT id, coalesce(nullif(siteName, ''), nullif(agentName, ''), 'client') AS shown FROM agents")
+LABEL = f"""CASE WHEN len(p) >= 3 AND p[-2] || '.' || p[-1] IN ({', '.join(f"'{x}'" for x in urls.TWO_PART)}) THEN p[-3] WHEN len(p) >= 2 THEN p[-2] ELSE h END"""
+
+
+@query("display_name", f"""SELECT id, coalesce(CASE WHEN h IS NOT NULL THEN {LABEL} END, nullif(trim(agentName), ''), nullif(trim(website), ''), 'client') AS shown FROM
+ (SELECT *, string_split(h, '.') AS p FROM (SELECT a.id, agentName, website, coalesce({HOST.replace('coalesce(u,', 'coalesce(website,')}, {HOST.replace('coalesce(u,', 'coalesce(onboarding,')}) AS h FROM agents a LEFT JOIN (SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE u END AS website, CASE WHEN id % 2 = 0 THEN u END AS onboarding FROM hosts) s ON s.id = a.id))""")
 def display_name(v: Views):
-    return v.agents.select("id", F.coalesce(F.nullif("siteName", F.lit("")), F.nullif("agentName", F.lit("")), F.lit("client")).alias("shown"))
+    """A client's name: the label of its website's host, of the address it began with, else what it calls itself."""
+    sites = v.hosts.select("id", F.when(C("id") % 3 != 0, C("u")).alias("website"), F.when(C("id") % 2 == 0, C("u")).alias("onboarding"))
+    named = v.agents.select("id", "agentName").join(sites, "id", "left")
+    return named.select("id", urls.display_name(C("website"), C("onboarding"), C("agentName")).alias("shown"))
+
 
+def _meta(kind: str, name: str) -> str:
+    """SQL: trimmed content of the first meta tag whose ``kind`` is ``name``."""
+    of = lambda t, a: " || ".join(f"""regexp_extract({t}, '(?is)^<[a-z0-9]+(?:[^>"'']|"[^"]*"|''[^'']*'')*?\\s{a}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', {k})""" for k in (1, 2, 3))
+    tags = """regexp_extract_all(html, '(?is)<meta\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>')"""
+    ours = f"list_filter({tags}, lambda t: lower(trim({of('t', kind)})) = '{name}')[1]"
+    return f"""nullif(trim({of(ours, 'content')}), '')"""
 
-TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 
+def _element(name: str) -> str:
+    text = f"""regexp_replace(regexp_extract(html, '(?is)<{name}(?:\\s[^>]*>|>)(.*?)</{name}\\s*>', 1), '(?s)<!--.*?-->|</?[a-zA-Z][^>]*>', '', 'g')"""
+    for mark, char in (("&nbsp;", " "), ("&copy;", "©"), ("&#169;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{mark}', '{char}')"
+    return f"nullif(trim({text}), '')"
 
-@query("page_title", f"SELECT id, {TITLE} AS title FROM webpages")
+
+@query("page_title", f"SELECT id, {_element('title')} AS title, {_meta('name', 'description')} AS description FROM webpages")
 def page_title(v: Views):
-    return v.webpages.select("id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    """Title and description of each page."""
+    return v.webpages.select("id", pages.first_element(C("html"), "title").alias("title"), pages.meta(C("html"), "name", "description").alias("description"))
 
 
-@query("site_name", f"""SELECT id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta property="og:site_name" content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<meta property="og:title" content="([^"]*)"', 1)), ''), nullif(trim(string_split(string_split({TITLE}, '|')[1], '-')[1]), ''),
- nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '')) AS name FROM webpages""")
+@query("site_name", f"""SELECT id, coalesce({_meta('property', 'og:site_name')}, {_meta('property', 'og:title')}, nullif(trim(string_split(string_split(title, '|')[1], '-')[1]), ''), h1, title) AS name FROM (SELECT id, html, {_element('title')} AS title, {_element('h1')} AS h1 FROM webpages)""")
 def site_name(v: Views):
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    og, og_title = (F.trim(F.regexp_extract("html", rf'(?is)<meta property="og:{x}" content="([^"]*)"', 1)) for x in ("site_name", "title"))
-    h1 = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    short = F.trim(F.substring_index(F.substring_index(title, "|", 1), "-", 1))
-    return v.webpages.select("id", F.coalesce(*[F.nullif(x, F.lit("")) for x in (og, og_title, short, h1)]).alias("name"))
+    return v.webpages.select("id", pages.site_name(C("html")).alias("name"))
 
 
 #: Words of company types and industries, in their order.
@@ -193,29 +209,34 @@ def _sql_cascade(expression, table, default):
     return "CASE " + " ".join(f"WHEN {_sql_any(expression, words)} THEN '{name}'" for name, words in table) + f" ELSE {default} END"
 
 
-@query("company_type", f"SELECT id, {_sql_cascade('lower(message)', TYPES, chr(39) + 'company' + chr(39))} AS kind FROM msgs")
+SAID = f"(SELECT id, lower(coalesce({_meta('name', 'keywords')}, '') || ' ' || coalesce({_meta('name', 'description')}, '')) AS said FROM webpages)"
+
+
+@query("company_type", f"SELECT id, {_sql_cascade('said', TYPES, chr(39) + 'company' + chr(39))} AS kind FROM {SAID}")
 def company_type(v: Views):
-    return v.msgs.select("id", _cascade(F.lower("message"), TYPES, "company").alias("kind"))
+    """By the words of the page's keywords and description."""
+    return v.webpages.select("id", _cascade(pages.described(C("html")), TYPES, "company").alias("kind"))
 
 
-@query("industry", f"SELECT id, {_sql_cascade('lower(message)', INDUSTRIES, 'NULL')} AS industry FROM msgs")
+@query("industry", f"SELECT id, {_sql_cascade('said', INDUSTRIES, 'NULL')} AS industry FROM {SAID}")
 def industry(v: Views):
-    return v.msgs.select("id", _cascade(F.lower("message"), INDUSTRIES, None).alias("industry"))
+    return v.webpages.select("id", _cascade(pages.described(C("html")), INDUSTRIES, None).alias("industry"))
 
 
-@query("founded_year", "SELECT id, nullif(regexp_extract('Acme, founded in ' || (1900 + id % 120) || '. ' || url, '(?i)(?:founded|established|since|©)\\s*(?:in\\s*)?(\\d{4})', 1), '') AS year FROM webpages")
+@query("founded_year", r"""SELECT id, nullif(regexp_extract(regexp_replace(array_to_string(regexp_extract_all(html, '(?is)<footer(?:\s[^>]*>|>)(.*?)</footer\s*>', 1), '') || ' ' || regexp_extract(html, '(?is)<body(?:\s[^>]*>|>)(.*)', 1), '<[^>]*>', '', 'g'), '(?i)(?:founded|established|since|©|&copy;|&#169;)\s*(?:in\s*)?(\d{4})', 1), '') AS year FROM webpages""")
 def founded_year(v: Views):
-    line = F.concat(F.lit("Acme, founded in "), (1900 + C("id") % 120).cast("string"), F.lit(". "), "url")
-    return v.webpages.select("id", F.nullif(F.regexp_extract(line, r"(?i)(?:founded|established|since|©)\s*(?:in\s*)?(\d{4})", 1), F.lit("")).alias("year"))
+    """The year of foundation that the footer or the text states."""
+    return v.webpages.select("id", pages.founded_year(C("html")).alias("year"))
 
 
-@query("services_list", """SELECT id, string_agg(s, '|' ORDER BY i) AS services FROM (SELECT id, s, min(i) AS i, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS r FROM
- (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a>', 1) AS x FROM webpages)) WHERE length(s) < 50 AND s <> '' GROUP BY id, s) WHERE r <= 10 GROUP BY id""")
+MENU = "regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<(?:nav|header)(?:\\s[^>]*>|>).*?</(?:nav|header)>'), ''), '(?is)<a(?:\\s[^>]*>|>)(.*?)</a>', 1)"
+
+
+@query("services_list", f"""SELECT id, coalesce(services, '') AS services FROM webpages LEFT JOIN (SELECT id, string_agg(s, '|' ORDER BY i) AS services FROM (SELECT id, s, min(i) AS i, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS r FROM
+ (SELECT id, trim(unnest(x)) AS s, generate_subscripts(x, 1) AS i FROM (SELECT id, {MENU} AS x FROM webpages)) WHERE length(s) < 50 AND s <> '' AND lower(s) NOT IN ('home', 'about', 'contact', 'blog', 'login', 'sign up', 'sign in') GROUP BY id, s) WHERE r <= 10 GROUP BY id) USING (id)""")
 def services_list(v: Views):
-    """The first ten different link texts of the menu."""
-    found = F.regexp_extract_all("html", F.lit(r"<li><a [^>]*>([^<]*)</a>"), F.lit(1))
-    short = F.slice(F.array_distinct(F.filter(found, lambda s: (F.length(s) < 50) & (s != ""))), 1, 10)
-    return v.webpages.select("id", F.array_join(short, "|").alias("services"))
+    """The first ten services of each page: links of menus and headers but for common ones, headings of service sections (the pages have none)."""
+    return v.webpages.select("id", F.array_join(pages.services(C("html")), "|").alias("services"))
 
 
 @query("is_homepage", "SELECT id, len(list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')) <= 1 AS home FROM webpages")
@@ -252,19 +273,31 @@ def spam(v: Views):
     return v.tdocs.select("id", text.spam(C("content")).alias("spam"))
 
 
-@query("validate_content", "SELECT id, CASE WHEN coalesce(t, '') = '' THEN 'CONTENT_MISSING' WHEN length(trim(t)) < 10 THEN 'CONTENT_TOO_SHORT' WHEN strlen(trim(t)) > 4000 THEN 'PLAN_LIMIT_EXCEEDED' ELSE 'OK' END AS code, cast(coalesce(strlen(trim(t)), 0) AS BIGINT) AS size FROM snippets")
+ROOM = "(SELECT userId AS owner, currentDataSize AS used, CASE WHEN isCustomLimits THEN 4000000 ELSE 6000000 END AS room FROM clients)"
+KIND = "CASE id % 4 WHEN 0 THEN 'snippet' WHEN 1 THEN 'webpage' WHEN 2 THEN 'faq' ELSE 'other' END"
+SPACE = "'^[\\s\u00a0\ufeff]+|[\\s\u00a0\ufeff]+$'"
+
+
+def _owners(v: Views):
+    """Clients with what they store and what their plans allow."""
+    return v.clients.select(C("userId").alias("owner"), C("currentDataSize").alias("used"), F.when(C("isCustomLimits"), 4_000_000).otherwise(6_000_000).alias("room"))
+
+
+@query("validate_content", f"""SELECT id, kind, CASE WHEN coalesce(q, '') = '' THEN 'CONTENT_MISSING' WHEN length(t) < CASE kind WHEN 'snippet' THEN 10 WHEN 'webpage' THEN 10 WHEN 'faq' THEN 1 ELSE 5 END THEN 'CONTENT_TOO_SHORT'
+ WHEN coalesce(used, 0) + strlen(t) > room THEN 'PLAN_LIMIT_EXCEEDED' ELSE 'OK' END AS code FROM (SELECT id, q, {KIND} AS kind, regexp_replace(q, {SPACE}, '', 'g') AS t FROM questions) LEFT JOIN {ROOM} ON owner = id % 17""")
 def validate_content(v: Views):
-    """Missing, too short, above the limit, or fine; and the size in bytes."""
-    t = F.trim("t")
-    code = F.when(F.coalesce("t", F.lit("")) == "", "CONTENT_MISSING").when(F.length(t) < 10, "CONTENT_TOO_SHORT").when(F.octet_length(t) > 4000, "PLAN_LIMIT_EXCEEDED").otherwise("OK")
-    return v.snippets.select("id", code.alias("code"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("size"))
+    """Missing, too short for its kind, beyond what its owner's plan has room for, or fine."""
+    rows = by_key(v.questions.withColumn("owner", C("id") % 17), _owners(v), "owner").withColumn("kind", F.expr(KIND))
+    return rows.select("id", "kind", validation.content_code(C("q"), C("kind"), C("used"), C("room")).alias("code"))
 
 
-@query("validate_faq", "SELECT id, CASE WHEN length(trim(title)) < 8 THEN 'QUESTION_TOO_SHORT' WHEN length(trim(text)) < 13 THEN 'ANSWER_TOO_SHORT' WHEN strlen(title || text) > 22 THEN 'TOO_LONG' ELSE 'OK' END AS code FROM points")
+@query("validate_faq", f"""SELECT id, CASE WHEN coalesce(original_question, '') = '' OR coalesce(answer, '') = '' THEN 'FAQ_INCOMPLETE' WHEN length(a) < 1 OR length(b) < 1 THEN 'CONTENT_TOO_SHORT'
+ WHEN greatest(strlen(a), strlen(b), strlen('Question: ' || original_question || chr(10) || 'Answer: ' || answer)) + coalesce(used, 0) > room THEN 'PLAN_LIMIT_EXCEEDED' ELSE 'OK' END AS code FROM
+ (SELECT *, regexp_replace(original_question, {SPACE}, '', 'g') AS a, regexp_replace(answer, {SPACE}, '', 'g') AS b FROM revised) LEFT JOIN {ROOM} ON owner = id % 17""")
 def validate_faq(v: Views):
-    """Question, then answer, then both together."""
-    both = F.octet_length(F.concat("title", "text"))
-    return v.points.select("id", F.when(F.length(F.trim("title")) < 8, "QUESTION_TOO_SHORT").when(F.length(F.trim("text")) < 13, "ANSWER_TOO_SHORT").when(both > 22, "TOO_LONG").otherwise("OK").alias("code"))
+    """Question and answer, each by itself, then both as they are stored."""
+    rows = by_key(v.revised.withColumn("owner", C("id") % 17), _owners(v), "owner")
+    return rows.select("id", validation.faq_code(C("original_question"), C("answer"), C("used"), C("room")).alias("code"))
 
 
 @query("validate_form", f"""SELECT id, concat_ws('; ', CASE WHEN coalesce(trim(name), '') = '' THEN 'Name is missing' END, CASE WHEN trim(name) <> '' AND NOT regexp_matches(name, '^Customer#\\d+[02468]$') THEN 'Name has another form' END,
@@ -377,7 +410,8 @@ def working_hours(v: Views):
     return v.msgs.select("id", dates.within_hours(C("createdAt"), HOURS).alias("open"))
 
 
-STYLED = f"""(SELECT p.id, a.h AS a, b.h AS b FROM webpages p JOIN (SELECT id, {HEX} AS h FROM shades) a ON a.id = p.id + 1 JOIN (SELECT id, {HEX} AS h FROM shades) b ON b.id = p.id + 2)"""
+#: Each page with two colours of parts: the part behind its number, and the next, counted round.
+STYLED = f"""(SELECT p.id, a.h AS a, b.h AS b FROM webpages p CROSS JOIN (SELECT max(id) AS n FROM shades) JOIN (SELECT id, {HEX} AS h FROM shades) a ON a.id = p.id % n + 1 JOIN (SELECT id, {HEX} AS h FROM shades) b ON b.id = (p.id + 1) % n + 1)"""
 
 
 @query("color_freq", f"""SELECT id, color, weight FROM (SELECT id, h AS color, sum(w)::BIGINT AS weight FROM (SELECT id, a AS h, 30 + 3 AS w FROM {STYLED} UNION ALL SELECT id, b, 3 + 1 + 1 FROM {STYLED}) WHERE h IS NOT NULL GROUP BY id, h)
@@ -385,10 +419,12 @@ STYLED = f"""(SELECT p.id, a.h AS a, b.h AS b FROM webpages p JOIN (SELECT id, {
  AND greatest(('0x' || color[2:3])::INT, ('0x' || color[4:5])::INT, ('0x' || color[6:7])::INT) - least(('0x' || color[2:3])::INT, ('0x' || color[4:5])::INT, ('0x' || color[6:7])::INT) >= 30""")
 def color_freq(v: Views):
     """The six colours of the largest weight of each page; pages get a theme and a style sheet, as they have none with colours."""
-    one, two = (v.shades.select((C("id") - k).alias("id"), C("c").alias(f"c{k}")) for k in (1, 2))
+    n = v.shades.agg(F.max("id")).first()[0]
+    one, two = (v.shades.select(C("id").alias(f"i{k}"), C("c").alias(f"c{k}")) for k in (1, 2))
     theme = F.concat(F.lit('<meta name="theme-color" content="'), "c1", F.lit('">'))
     sheet = F.concat(F.lit("<style>a:hover{color: "), "c2", F.lit(";BACKGROUND:"), "c1", F.lit("} .x{border-color:"), "c2", F.lit("} svg{fill :"), "c2", F.lit("}</style>"))
-    styled = v.webpages.join(one, "id").join(two, "id").select("id", F.concat("html", theme, sheet).alias("html"))
+    placed = v.webpages.withColumns({"i1": C("id") % n + 1, "i2": (C("id") + 1) % n + 1})
+    styled = by_key(by_key(placed, one, "i1"), two, "i2").select("id", F.concat("html", theme, sheet).alias("html"))
     return styled.select("id", F.explode(colors.brand_colors(C("html"))).alias("x")).select("id", "x.color", C("x.weight").cast("long").alias("weight"))
 
 

@@ -49,6 +49,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE p_size % 5 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS isDeleted", "p_size % 3 <> 0 AS isActive",
         "CASE WHEN p_partkey % 6 = 0 THEN '' WHEN p_partkey % 6 = 1 THEN NULL ELSE p_brand END AS agentName", "p_name AS siteName",
     ]),
+    # plans that tenants offer; their names come in any order
+    "offers": ("part", [
+        "p_partkey AS id", "cast(p_size AS BIGINT) AS userId", "concat(substring(md5(p_name), 1, 6), '-', cast(p_partkey AS STRING)) AS name", "p_brand AS brand",
+        "CASE WHEN p_partkey % 5 = 0 THEN 'inactive' ELSE 'active' END AS status", "p_partkey % 7 AS sort", "p_partkey % 11 = 0 AS isDefault",
+        "p_partkey * 10 AS maxQueries", "p_partkey % 4 + 1 AS maxAgents",
+    ]),
     "widgets": ("part", [
         "p_partkey AS id", "p_partkey % 150 AS agentId", "cast(p_size % 2 AS BIGINT) AS isActive",
         "CASE WHEN p_size % 3 = 0 THEN NULL ELSE 0.2 + (p_size % 5) * 0.1 END AS scoreThreshold",
