@@ -48,7 +48,7 @@ def test_contents(spark):
     df = spark.createDataFrame(rows, "t string, kind string, used long, room long, want string")
     for r in df.select("*", validation.content_code(F.col("t"), F.col("kind"), F.col("used"), F.col("room")).alias("got")).collect():
         assert r.got == r.want, r
-    pairs = [("q", None, 100, "FAQ_INCOMPLETE"), (" ", "a", 100, "CONTENT_TOO_SHORT"), ("q", "a", 22, "OK"), ("q", "a", 19, "PLAN_LIMIT_EXCEEDED"), ("q", "a", 20, "OK")]
+    pairs = [("q", None, 100, "FAQ_INCOMPLETE"), (" ", "a", 100, "CONTENT_TOO_SHORT"), ("q", "a", 22, "OK"), ("q", "a", 20, "PLAN_LIMIT_EXCEEDED"), ("q", "a", 21, "OK")]
     df = spark.createDataFrame(pairs, "q string, a string, room long, want string")
     assert [(r.want, r.got) for r in df.select("want", validation.faq_code(F.col("q"), F.col("a"), F.lit(0), F.col("room")).alias("got")).collect()] == [(w, w) for *_, w in pairs]
     files = [("1234567890", "a.PDF", "OK"), ("1234567890", "a.exe", "UNSUPPORTED_FILE_TYPE"), ("1234567890", "noend", "UNSUPPORTED_FILE_TYPE"), ("12", "a.exe", "CONTENT_TOO_SHORT")]
