@@ -12,9 +12,11 @@ partial wrappers of a host are folded in two steps; no task ever holds a host's
 A slot carries what its pages held: up to ``CONSTANT`` distinct contents of pages (so
 copies of a page count once), characters, characters inside links, and the range of
 the texts' hashes (equal ends: the text never changes).  Slots decide: a text that
-never changes in ``CONSTANT`` distinct contents is template; a slot made of links in
+never changes in ``CONSTANT`` distinct contents is template, and so is a list of the same
+links on all of them; a slot made of links in
 a repeated group is a menu (a block of plain text in it stays, and so does a lone
-linked heading).  Inside an article only the signs below count, and the slot where
+linked heading).  What stands in the flow of a container's text is part of it: a heading
+that all pages have between two contents, and a list of differing links behind the first.  Inside an article only the signs below count, and the slot where
 those are weak.
 
 Signs of boilerplate that need no wrapper are tags (menus, headers, footers, asides,
@@ -38,7 +40,10 @@ Wrappers stay small: elements below ``DEEP`` levels belong to the level above, n
 in class names are one number, and where a group has more than ``WIDE`` members classes and then
 places are left out.  This makes slots coarser; it drops no text.
 
-Defined cases: a null or empty page has no text; stray closing tags are skipped; an
+Defined cases: a null or empty page has no text; quotes open an attribute's value only
+right after ``=``, and one that nothing closes is a character like others; a comment ends
+at ``-->`` or ``--!>``, else with the page; a page that has nothing but texts under
+boilerplate names keeps the surest of them that are no links; stray closing tags are skipped; an
 element that is never closed is no boilerplate by its tag; only script, style,
 textarea and title are raw text (unclosed: to the end); very long and very deep pages
 are read in time linear in their length; a null url belongs to the host of the empty
@@ -60,7 +65,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship_package, stored
+from .shared import HOT, ship_package, stored
 
 #: Distinct contents of pages in which an unchanging text outside an article is boilerplate.
 CONSTANT = 3
@@ -102,7 +107,9 @@ STRONG = set(
     " newsletters popup popups modal modals overlay overlays nav navs navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars share"
     " sharing social footer footers masthead topbar toolbar pagination pager subscribe subscription signup login".split()
 )
-WEAK = set("alert alerts notice notices promo promos promotion promotions banner banners widget widgets search copyright legal hidden".split())
+#: A page's header is furniture, the header of an article, post or section is none.
+HEADERS, OWN = {"header", "headers"}, {"article", "articles", "post", "posts", "content", "section", "text", "stories", "panel"}
+WEAK = HEADERS | set("alert alerts notice notices promo promos promotion promotions banner banners widget widgets search copyright legal hidden".split())
 PHRASES = {"site-header", "page-header", "global-header", "top-bar", "side-bar", "skip-link", "skip-links"}
 PLACES = set(
     "site page main global mobile top bottom left right primary secondary area list link links item items box boxes block blocks bar container"
@@ -111,11 +118,14 @@ PLACES = set(
 )
 #: Kinds of texts: without a sign of boilerplate, under a weak, a strong or a firm name, under a tag or attribute.
 CLEAN, WEAKLY, NAMED, FIRMLY, HARD = range(5)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)", re.S)
+#: Comments, declarations and tags by the states of the standard's tag reader: a quote opens a value only right after ``=``.
+#: A quote that nothing closes is an ordinary character, so it takes no text with it.
+VALUE = r"""\s*(?:"[^"]*"|'[^']*'|[^\s>]*)"""
+TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>=]++|={VALUE})*+(?:>|\Z)""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-CLASS = re.compile(r"(?<![\w-])class\s*=\s*[\"']?\s*([\w-]+)", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+FIRST = re.compile(r"[\w-]+")
 BLANK = re.compile(r"\s+")
 TEXT = "#"
 
@@ -125,6 +135,8 @@ def name_level(name: str) -> int:
     if name.lower() in PHRASES:
         return NAMED
     words = [w.lower() for w in WORDS.findall(name)]
+    if not HEADERS.isdisjoint(words) and not OWN.isdisjoint(words):
+        return CLEAN
     level = CLEAN
     for w in words:
         own = FIRMLY if w in FIRM else NAMED if w in STRONG else WEAKLY if w in WEAK else CLEAN
@@ -134,6 +146,15 @@ def name_level(name: str) -> int:
     return level
 
 
+def named_values(attributes: str) -> Iterator[tuple[str, str]]:
+    """Names in lower case and values of a tag's attributes; the first of a name counts."""
+    seen = set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if (name := name.lower()) not in seen:
+            seen.add(name)
+            yield name, next((v for v in values if v), "")
+
+
 def _level(tag: str, attributes: str, inside: bool, closed: bool) -> int:
     """How surely an element is boilerplate by its tag and attributes.
 
@@ -142,9 +163,7 @@ def _level(tag: str, attributes: str, inside: bool, closed: bool) -> int:
     if tag in DROP_TAGS and closed and not (tag == "header" and inside):
         return HARD
     level = CLEAN
-    for name, *values in ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        name = name.lower()
+    for name, value in named_values(attributes):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in DROP_ROLES):
             return HARD
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -173,7 +192,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if got.startswith("</"):
             yield "close", tag, ""
             continue
-        yield "open", tag, got[name.end() :].rstrip("/>")
+        yield "open", tag, got[name.end() :].removesuffix(">")
         if tag in RAW and not got.endswith("/>"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else n
@@ -195,9 +214,11 @@ def closed_elements(stream: list[tuple[str, str, str]]) -> set[int]:
 
 def label_of(tag: str, attributes: str) -> str:
     """An element in a wrapper: its tag and first class; numbers are one, and so are tags that HTML lacks."""
-    first = CLASS.search(attributes)
     tag = tag if tag in TAGS else "other"
-    return f"{tag}.{re.sub(r'[0-9]+', '0', first[1])}" if first else tag
+    if "class" not in attributes.lower():
+        return tag
+    first = FIRST.search(next((v for n, v in named_values(attributes) if n == "class"), ""))
+    return f"{tag}.{re.sub(r'[0-9]+', '0', first[0])}" if first else tag
 
 
 def texts(page: str, root, enter: Callable, leave: Callable | None = None) -> Iterator[tuple]:
@@ -281,7 +302,8 @@ def texts(page: str, root, enter: Callable, leave: Callable | None = None) -> It
 
 # A wrapper is [label, repeated, optional, slot, children, mark]; the label of a text
 # is "#", and only texts have a slot: [distinct contents, characters, link characters,
-# least hash, largest hash].  A mark is 1 where a repeated group of several elements
+# least hash, largest hash, least sum, largest sum]; a sum is that of the hashes of one page's
+# texts in the slot, and there is one of them while a page is read.  A mark is 1 where a repeated group of several elements
 # begins, 2 where it ends.
 
 
@@ -305,13 +327,14 @@ def shape(page: str) -> list:
         every = zlib.crc32(crc.to_bytes(4), every)
         if level == CLEAN and not linked:
             own = zlib.crc32(crc.to_bytes(4), own)
-        push(node[4], [TEXT, False, False, [[], n, n if linked else 0, crc, crc], [], 0])
+        push(node[4], [TEXT, False, False, [[], n, n if linked else 0, crc, crc, crc], [], 0])
     root[4] = narrow(root[4])
     todo = [root]
     while todo:
         w = todo.pop()
         if w[3]:
             w[3][0] = [own or every]
+            w[3].append(w[3][5])
         todo += w[4]
     return root
 
@@ -365,6 +388,7 @@ def align(a: list, b: list) -> list:
     if a[3] and b[3]:
         s, t = a[3], b[3]
         slot = [s[0] if s[0] == t[0] else sorted({*s[0], *t[0]})[:CONSTANT], s[1] + t[1], s[2] + t[2], min(s[3], t[3]), max(s[4], t[4])]
+        slot += [s[5] + t[5]] if len(s) == 6 else [min(s[5], t[5]), max(s[6], t[6])]
     left, right = a[4], b[4]
     if [(c[0], c[5]) for c in left] == [(c[0], c[5]) for c in right]:
         members = [align(c, d) for c, d in zip(left, right, strict=True)]
@@ -462,8 +486,8 @@ def judged(wrapper: list) -> list:
     def one(w: list, grouped: bool) -> list:
         slot = None
         if w[3]:
-            contents, n, linked, low, high = w[3]
-            same = len(contents) >= CONSTANT and low == high
+            contents, n, linked, low, high, least, most = w[3]
+            same = len(contents) >= CONSTANT and (low == high or (least == most and linked >= LINKS * n))
             menu = linked >= LINKS * n and (w[1] or grouped)
             slot = None if menu and not same else not same
         members, within = [], False
@@ -471,11 +495,50 @@ def judged(wrapper: list) -> list:
             within = within or c[5] == 1
             members.append(one(c, w[1] or grouped and w[5] == 0 or within))
             within = within and c[5] != 2
+        flowing(members)
         return [w[0], w[1], w[2], slot, members, w[5]]
 
     return one(wrapper, False)
 
 
+#: Elements that stand in a text's flow, side by side in the container that holds it.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", TEXT}
+
+
+def verdicts(w: list) -> set:
+    """Verdicts of the slots in a judged wrapper."""
+    return ({w[3]} if w[0] == TEXT else set()).union(*map(verdicts, w[4]))
+
+
+def kept_whole(w: list) -> None:
+    """All slots of a judged wrapper become content."""
+    if w[0] == TEXT:
+        w[3] = True
+    for c in w[4]:
+        kept_whole(c)
+
+
+def flowing(members: list[list]) -> None:
+    """What stands in the flow of a container's text is part of it.
+
+    Behind the first content, a list of links that differ from page to page is part of the
+    text (references), no menu; and between two contents an unchanging text is too (a
+    heading such as Summary).
+    """
+    flow = [(m, verdicts(m)) for m in members if m[0].split(".")[0] in FLOW]
+    first = next((k for k, (_, v) in enumerate(flow) if True in v), None)
+    if first is None:
+        return
+    for k, (m, v) in enumerate(flow):
+        if k > first and None in v and False not in v:
+            kept_whole(m)
+            flow[k] = (m, {True})
+    last = max(k for k, (_, v) in enumerate(flow) if True in v)
+    for m, v in flow[first + 1 : last]:
+        if True not in v:
+            kept_whole(m)
+
+
 class Follower:
     """A judged wrapper with the places of its labels, to be followed by pages."""
 
@@ -544,6 +607,7 @@ def main_text(page: str | None, wrapper: Follower | None) -> str:
         rows.append((slot.content if slot else True, level, box, inside, block, text))
     found: list[tuple[int, int, bool, int, str]] = []  # level, box, in an article, block, text
     sums: dict[tuple[int, int, bool], int] = {}
+    plain: dict[tuple[int, int], int] = {}  # characters outside links of a box
     for good, level, box, inside, block, text in rows:
         if text == " ":
             found.append((HARD, 0, False, block, " "))
@@ -556,6 +620,8 @@ def main_text(page: str | None, wrapper: Follower | None) -> str:
             level = HARD
         kind = level, box, inside
         sums[kind] = sums.get(kind, 0) + len(text.strip())
+        if level < HARD and size_of[block][1] < LINKS * size_of[block][0]:
+            plain[level, box] = plain.get((level, box), 0) + len(text.strip())
         found.append((*kind, block, text))
     within = any(level == CLEAN and inside for level, _, inside in sums)
     clean = sum(n for (level, _, _), n in sums.items() if level == CLEAN)
@@ -568,6 +634,10 @@ def main_text(page: str | None, wrapper: Follower | None) -> str:
         least = max(LONG, enough + 1, max(size.values(), default=0) / 2)
         if not within and len(main) == 1 and (NAMED in overruled or not clean):
             main |= {box for box, n in size.items() if n >= least}
+    if not within and not clean and len(main) == 1 and plain:  # nothing else is there: the surest of what is named
+        surest = min(level for level, _ in plain)
+        most = max(n for (level, _), n in plain.items() if level == surest)
+        main |= {box for (level, box), n in plain.items() if level == surest and n >= most / 2}
     blocks: list[str] = []
     parts: list[str] = []
     now = None
@@ -635,18 +705,29 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(lambda b: merge(b, judged), kinds)
 
 
+def with_wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with their host's wrapper: those of hosts with ``HOT`` pages or more where they are, others by a shuffle.
+
+    There is one such host for ``HOT`` pages at most, so few wrappers are broadcast.
+    """
+    hot = stored(pages.groupBy("host").count().filter(F.col("count") >= HOT).select("host"), "hot")
+    few = F.broadcast(found.join(F.broadcast(hot), "host", "left_semi"))
+    rest = pages.join(F.broadcast(hot), "host", "left_anti").join(found, "host", "left")
+    return pages.join(F.broadcast(hot), "host", "left_semi").join(few, "host", "left").unionByName(rest)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``.
 
     Wrappers are sent to each worker once if they have ``SMALL`` bytes at most; beyond
-    that each page is joined to its own.
+    that each page is joined to its own, and pages of large hosts are not shuffled.
     """
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     found = stored(wrappers(own.select("host", "html")), "wrappers")
     size = found.agg(F.sum(F.length("wrapper") + F.length("host") + 64)).first()[0] or 0
     sent = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in found.collect()}) if size <= SMALL else None
-    joined = own.withColumn("wrapper", F.lit(None).cast("string")) if sent else own.join(found, "host", "left")
+    joined = own.withColumn("wrapper", F.lit(None).cast("string")) if sent else with_wrappers(own, found)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Follower | None] = {}

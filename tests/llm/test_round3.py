@@ -252,3 +252,57 @@ def test_trie_without_turns(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == plain_trie(rows)
     df.limit(0).write.parquet(f"{tmp_path}/b/conversations.parquet")
     assert trie.op13_prefix_doubling_trie(spark, f"{tmp_path}/b").count() == 0
+
+
+# --- pages: what tag reader, wrapper and names decide
+
+
+def wrapped(pages):
+    """Texts of pages of one host by their wrapper."""
+    import functools
+
+    from parlance.llm import html as h
+
+    follower = h.Follower(h.judged(functools.reduce(h.align, [h.shape(p) for p in pages])))
+    return [h.main_text(p, follower) for p in pages]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p title=it's>Bob</p><p>don't stop</p><p>end</p>", "Bob\ndon't stop\nend"), ("<p title=it's>Bob", "Bob"), ("a<!-- x --!>b<p>c", "ab\nc"), ("<p>a<!-->b<!--->c</p>", "abc"), ("<p>a<!-- > -- b", "a"),
+        ("<p title='a>b\"' class=\"x y\">t", "t"), ("<a href=x?a=\"b\" title='q'>link</a> t", "link t"), ("<p title=\"open>text <b>more</b>", "text more"), ("<p class=ad class=x>advert</p><p title='class=ad'>text", "text"),
+        ("<div class=header>site</div><p>body", "body"), ("<div id=site-header>site</div><p>body", "body"), ("<div class='post-header'><h1>T</h1></div><p>x", "T\nx"), ("<article><div class=header><h1>T</h1></div><p>x</article>", "T\nx"),
+        ('<div class="menu-item">soup</div>', "soup"), ('<div class="menu"><a href=/>home</a></div>', ""), ("<div hidden>no</div>", ""),
+    ],
+)
+def test_tag_reader_and_names(page, text):
+    from parlance.llm import html as h
+
+    assert h.main_text(page, None) == text
+
+
+def test_the_flow_of_a_text_is_kept():
+    """Headings that recur between contents and lists of references stay; menus in front and constant lists behind go."""
+    pages = [
+        f"<body><ul class=m><li><a href=/>Home</a></li><li><a href=/n>News {k}</a></li></ul><h1>title {k}</h1><h2>Summary</h2><p>body {k}</p><h2>References</h2>"
+        f"<ul><li><a href=x>ref {k} a</a></li><li><a href=y>ref {k} b</a></li></ul><p>All rights</p><ul class=f><li><a>Imprint</a></li><li><a>Terms</a></li></ul></body>"
+        for k in range(5)
+    ]
+    from parlance.llm import html as h
+
+    assert wrapped(pages) == [f"title {k}\nSummary\nbody {k}\nReferences\nref {k} a\nref {k} b" for k in range(5)]
+    # without the wrapper menus and constant lines stay: it is the wrapper that decides
+    assert all(len(h.main_text(p, None)) > len(t) + 20 for p, t in zip(pages, wrapped(pages)))
+
+
+def test_pages_of_large_hosts_meet_their_wrapper(spark, monkeypatch):
+    """Beyond the broadcast bound pages of hosts of any size give the same texts."""
+    from parlance.llm import html as h
+
+    rows = [(k, f"https://{'big' if k % 3 else f's{k % 2}'}.test/{k}", f"<div>same for all</div><div><h1>t {k}</h1><p>text {k}</p></div>") for k in range(60)] + [(99, None, "<p>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, h.extract(pages).collect()))
+    monkeypatch.setattr(h, "SMALL", 10)
+    monkeypatch.setattr(h, "HOT", 30)
+    assert sorted(map(tuple, h.extract(pages).collect())) == want and want[0][2] == "t 0\ntext 0"
