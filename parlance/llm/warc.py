@@ -11,7 +11,8 @@ classes of size, so a file has about ``FILE_BYTES`` of payloads at most, or one
 reads archives, shuffles the headers (never payloads) by payload digest, picks
 the record with the smallest page id of each digest as the original and writes
 new archives with fresh headers, where all others are revisit records without a
-payload.  :func:`resolved` joins revisits back to their originals.
+payload.  :func:`resolved` joins revisits back to their originals.  Payloads are hashed when
+they are read, so a damaged record counts as what is in it, is marked, and is no copy of others.
 
 Defined cases: a null payload is empty; a null url becomes ``about:blank``;
 line breaks in a url are percent-encoded; payloads below ``LEAST`` bytes are all
@@ -23,6 +24,7 @@ after all others; an empty table gives no records but the ``warcinfo``; other co
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -45,7 +47,7 @@ END = "\r\n\r\n"
 #: Bytes of an unpacked archive that are read at a time.
 READ = 1 << 18
 
-HEADERS = "page_id long, record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
+HEADERS = "page_id long, record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, refers_record string, damaged boolean"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -138,11 +140,15 @@ def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Headers of all records, and payloads if asked for."""
+    """Headers of all records, and payloads if asked for.
+
+    Digest and length of a response are those of the payload that is there; ``damaged`` says
+    that its header names others.  Those of a revisit, which has none, are its header's.
+    """
     ship_package(spark)
 
-    names = ["page_id", "record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "refers_record"]
-    kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string()]
+    names = ["page_id", "record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "refers_record", "damaged"]
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     if payloads:
         names, kinds = [*names, "payload"], [*kinds, pa.string()]
 
@@ -162,12 +168,16 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                         continue
                     number = lambda key: int(h[key]) if key in h else None
                     urn = lambda key: re.sub(r"^<urn:uuid:|>$", "", h[key]) if key in h else None
+                    named = digest, size = h["WARC-Payload-Digest"].removeprefix("sha256:"), number("X-Payload-Length")
+                    payload = block[block.find(b"\r\n\r\n") + 4 :]
+                    if h["WARC-Type"] == "response":
+                        digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
                     row = (
                         number("X-Page-ID"), urn("WARC-Record-ID"), h.get("WARC-Target-URI"), h["WARC-Type"],
-                        h["WARC-Payload-Digest"].removeprefix("sha256:"), number("X-Payload-Length"), number("X-Refers-To-Page"), urn("WARC-Refers-To"),
+                        digest, size, number("X-Refers-To-Page"), urn("WARC-Refers-To"), named != (digest, size),
                     )
                     if payloads:
-                        row += (block.split(b"\r\n\r\n", 1)[1].decode("utf-8", "replace"),)
+                        row += (payload.decode("utf-8", "replace"),)
                         held += len(block)
                     found.append(row)
                     if len(found) >= 500 or held > 8 << 20:
@@ -176,7 +186,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                 if found:
                     yield batch_of(found)
 
-    schema = HEADERS + ", refers_record string" + (", payload string" if payloads else "")
+    schema = HEADERS + (", payload string" if payloads else "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") > 0).select("path", "content").mapInArrow(rows, schema)
 
@@ -206,7 +216,7 @@ def deduplicate(spark: SparkSession, source: str, target: str) -> None:
     """Archives at ``source`` written to ``target`` with revisits in place of repeated payloads."""
     headers = stored(read_archive(spark, source), "warc-headers")
     decided = stored(revisits(headers).filter("record_type = 'revisit'"), "revisits")
-    whole = read_archive(spark, source, payloads=True).drop("record_type", "refers_to", "refers_record")
+    whole = read_archive(spark, source, payloads=True).drop("record_type", "refers_to", "refers_record", "damaged")
     records = lookup(whole, decided, "record_id").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
     _write(records, target, headers)
 

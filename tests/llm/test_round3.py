@@ -1,6 +1,7 @@
 """Vector codes, secret findings, prefix tries: brute force, fixtures, odd tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -306,3 +307,29 @@ def test_pages_of_large_hosts_meet_their_wrapper(spark, monkeypatch):
     monkeypatch.setattr(h, "SMALL", 10)
     monkeypatch.setattr(h, "HOT", 30)
     assert sorted(map(tuple, h.extract(pages).collect())) == want and want[0][2] == "t 0\ntext 0"
+
+
+def test_damaged_records_are_found(spark, tmp_path):
+    """A changed byte in a payload: the record is marked, counts as what is in it, and is no copy of the others."""
+    import glob
+    import gzip
+
+    from parlance.llm import warc
+
+    page = "<p>" + "same text " * 30
+    pages = spark.createDataFrame([(k, "https://a.test/", page) for k in range(4)], "page_id long, url string, html string").coalesce(1)
+    source, target = f"{tmp_path}/raw", f"{tmp_path}/new"
+    warc.write_archive(pages, source)
+    assert not warc.read_archive(spark, source).filter("damaged").count()
+    path = max(glob.glob(f"{source}/*.gz"), key=lambda f: len(gzip.open(f).read()))
+    content = gzip.open(path).read()
+    at = content.index(b"same text", content.index(b"X-Page-ID: 2"))
+    for crc in glob.glob(f"{source}/.*.crc"):
+        os.remove(crc)
+    with gzip.open(path, "wb") as f:
+        f.write(content[:at] + b"Same" + content[at + 4 :])
+    bad = warc.read_archive(spark, source).filter("damaged").collect()
+    assert [(r.page_id, r.payload_digest) for r in bad] == [(2, hashlib.sha256(page.replace("same", "Same", 1).encode()).hexdigest())]
+    warc.deduplicate(spark, source, target)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.resolved(warc.read_archive(spark, target)).collect()}
+    assert got == {0: ("response", None), 1: ("revisit", 0), 2: ("response", None), 3: ("revisit", 0)}
