@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators.prefix import running
 
-from .shared import lookup, ship_package, stored
+from .shared import lookup, scratch_dir, ship_package, stored
 
 #: Each conversation is rebuilt on the first of its group of so many ids, with fewer than so many of its turns.
 GROUP, HEADS = 20, 4
@@ -106,11 +107,12 @@ def prefix_names(turns: DataFrame) -> DataFrame:
     last = ends[0]
     for e in ends[1:]:
         last = last.unionByName(e)
-    ones = F.bit_count("d")
-    found = [stored(last.filter("before = 0").select("conv", "d", F.col("r").alias("name")), "prefixes")]
+    # a round reads the rows of its number of ones alone
+    last = _by_ones(last)
+    found = [stored(last.filter("ones = 1").select("conv", "d", F.col("r").alias("name")), "prefixes")]
     for k in range(2, max(longest.bit_count(), longest.bit_length() - 1) + 1):
         shorter = found[-1].select("conv", F.col("d").alias("before"), F.col("name").alias("l"))
-        pairs = last.filter(ones == k).join(shorter, ["conv", "before"]).select("conv", "d", F.col("d").alias("length"), "l", "r")
+        pairs = last.filter(F.col("ones") == k).join(shorter, ["conv", "before"]).select("conv", "d", F.col("d").alias("length"), "l", "r")
         found.append(named(pairs, ["length", "l", "r"]))
     out = found[0]
     for f in found[1:]:
@@ -118,6 +120,13 @@ def prefix_names(turns: DataFrame) -> DataFrame:
     return out
 
 
+def _by_ones(ends: DataFrame) -> DataFrame:
+    """``ends`` stored in a folder for each number of ones in ``d``."""
+    path = scratch_dir(ends.sparkSession, "ends")
+    ends.withColumn("ones", F.bit_count("d")).write.partitionBy("ones").parquet(path)
+    return ends.sparkSession.read.schema(T.StructType([*ends.schema.fields, T.StructField("ones", T.IntegerType())])).parquet(path)
+
+
 def list_digests(rows: DataFrame) -> DataFrame:
     """SHA-256 of the comma-joined ascending ids of each ``d, name``.
 
