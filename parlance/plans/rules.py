@@ -359,7 +359,7 @@ def transcript_rows(v: Views):
 def scored(v: Views, query_id: int = 7):
     """Points with the cosine similarity to one of them."""
     q = v.points.filter(C("id") == query_id).select(C("vector").alias("q"))  # one row
-    return v.points.join(F.broadcast(q)).select("id", "user_id", "url", "title", "type", cosine(C("vector"), C("q")).alias("score"))
+    return v.points.join(F.broadcast(q)).select("id", "user_id", "url", "title", "type", "text", cosine(C("vector"), C("q")).alias("score"))
 
 
 def cosine(a, b):
@@ -371,10 +371,10 @@ def cosine(a, b):
 COS = "list_cosine_similarity(p.vector::DOUBLE[], q.vector::DOUBLE[])"
 
 
-@query("vector_topk", f"SELECT p.id, round({COS}, 5) AS score FROM points p, points q WHERE q.id = 7 AND p.user_id = 3 ORDER BY score DESC, p.id LIMIT 5")
+@query("vector_topk", f"SELECT p.id, round({COS}, 5) AS score, p.url, p.title, p.type, p.text FROM points p, points q WHERE q.id = 7 AND p.user_id = 3 ORDER BY score DESC, p.id LIMIT 5")
 def vector_topk(v: Views):
-    """The five most similar points of an owner; the filter comes before the scores."""
-    return scored(v).filter("user_id = 3").select("id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "id").limit(5)
+    """The five most similar points of an owner, with their payload; the filter comes before the scores."""
+    return scored(v).filter("user_id = 3").select("id", F.round("score", 5).alias("score"), "url", "title", "type", "text").orderBy(F.desc("score"), "id").limit(5)
 
 
 def nearest(points, questions: str, k: int):

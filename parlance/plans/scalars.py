@@ -86,17 +86,26 @@ def keywords(v: Views):
     return v.questions.select("id", F.array_join(text.keywords(C("q")), " ").alias("words")).filter("words <> ''")
 
 
-@query("format_history", """SELECT conversation_id, string_agg(role || ': ' || message, chr(10) || chr(10) ORDER BY turn) AS history, CASE WHEN count(*) > 10 THEN 'long' WHEN count(*) > 5 THEN 'medium' ELSE 'short' END AS header FROM
- (SELECT conversation_id, turn, message, CASE sender_type WHEN 'ai' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE 'User' END AS role, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS r FROM msgs) WHERE r <= 12 GROUP BY conversation_id""")
+@query("format_history", r"""WITH asked AS (SELECT conversation_id, arg_max(message, turn) AS question FROM msgs WHERE sender_type = 'visitor' GROUP BY conversation_id),
+ kept AS (SELECT m.* FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS r FROM msgs) m LEFT JOIN asked a ON a.conversation_id = m.conversation_id WHERE r <= 12 AND regexp_replace(message, '^\s+|\s+$', '', 'g') IS DISTINCT FROM regexp_replace(question, '^\s+|\s+$', '', 'g')),
+ h AS (SELECT conversation_id, string_agg(CASE sender_type WHEN 'ai' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE 'User' END || ': ' || message, chr(10) || chr(10) ORDER BY turn) AS history, count(*) AS n FROM kept GROUP BY conversation_id)
+ SELECT conversation_id, coalesce(history, 'No previous conversation.') AS history, CASE WHEN n > 10 THEN 'long' WHEN n > 5 THEN 'medium' WHEN n > 0 THEN 'short' ELSE 'none' END AS header FROM (SELECT DISTINCT conversation_id FROM msgs) LEFT JOIN h USING (conversation_id)""")
 def format_history(v: Views):
-    """The oldest messages of a conversation with the names of their roles."""
+    """The oldest messages of a conversation with the names of their roles, without the question that is being asked: the last of the visitor.
+
+    ``history`` has twelve messages at most; ``header`` says how long it is.
+    """
     from pyspark.sql import Window as W
 
-    first = v.msgs.withColumn("r", F.row_number().over(W.partitionBy("conversation_id").orderBy("turn"))).filter("r <= 12")
-    line = F.concat(text.role_name(C("sender_type")), F.lit(": "), "message")
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    asked = v.msgs.filter("sender_type = 'visitor'").groupBy("conversation_id").agg(F.max_by("message", "turn").alias("question"))
+    first = v.msgs.withColumn("r", F.row_number().over(W.partitionBy("conversation_id").orderBy("turn"))).filter("r <= 12").join(asked, "conversation_id", "left")
+    line = F.when(~bare(C("message")).eqNullSafe(bare(C("question"))), F.struct("turn", F.concat(text.role_name(C("sender_type")), F.lit(": "), "message").alias("l")))
+    rows = first.groupBy("conversation_id").agg(F.array_sort(F.collect_list(line)).alias("x"))
     n = F.size("x")
-    return first.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("x")).select(
-        "conversation_id", F.array_join(F.transform("x", lambda y: y["l"]), "\n\n").alias("history"), F.when(n > 10, "long").when(n > 5, "medium").otherwise("short").alias("header")
+    return rows.select(
+        "conversation_id", F.when(n == 0, "No previous conversation.").otherwise(F.array_join(F.transform("x", lambda y: y["l"]), "\n\n")).alias("history"),
+        F.when(n > 10, "long").when(n > 5, "medium").when(n > 0, "short").otherwise("none").alias("header"),
     )
 
 
@@ -378,12 +387,16 @@ def contrast_text(v: Views):
     return h.select("id", colors.contrast_text(C("h")).alias("ink"))
 
 
-@query("map_to_details", "SELECT id, 'email=' || coalesce(email, '') || ';name=' || name AS details FROM visitors")
+@query("map_to_details", """SELECT id, CASE WHEN id % 3 = 0 THEN ' Name =' || name || ' II;email=' || coalesce(email, '') WHEN id % 3 = 1 THEN 'NAME=;email=' || coalesce(email, '') ELSE 'email=' || coalesce(email, '') || ';surname=' || name END AS details,
+ CASE WHEN id % 3 = 0 THEN name || ' II' WHEN id % 3 = 1 THEN '' ELSE name END AS name FROM visitors""")
 def map_to_details(v: Views):
-    """A map of fields as a list of field and value, by field name."""
-    m = F.create_map(F.lit("name"), C("name"), F.lit("email"), F.coalesce("email", F.lit("")))
+    """A map of fields as a list of field and value, by field name; a field called name, in any case, is the visitor's new name."""
+    field = F.when(C("id") % 3 == 0, " Name ").when(C("id") % 3 == 1, "NAME").otherwise("surname")
+    given = F.when(C("id") % 3 == 0, F.concat("name", F.lit(" II"))).when(C("id") % 3 == 1, "").otherwise(C("name"))
+    m = F.create_map(field, given, F.lit("email"), F.coalesce("email", F.lit("")))
     pairs = F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"))))
-    return v.visitors.select("id", F.array_join(F.transform(pairs, lambda p: F.concat(p["field"], F.lit("="), p["value"])), ";").alias("details"))
+    named = F.get(F.filter(pairs, lambda p: F.lower(F.trim(p["field"])) == "name"), 0)["value"]
+    return v.visitors.select("id", F.array_join(F.transform(pairs, lambda p: F.concat(p["field"], F.lit("="), p["value"])), ";").alias("details"), F.coalesce(named, "name").alias("name"))
 
 
 @query("to_json_row", """SELECT id, '{"name":"' || name || '","status":"' || status || '"}' AS j FROM hagents""")

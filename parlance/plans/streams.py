@@ -173,3 +173,14 @@ def stream_visitor_connect(v: Views):
     step = connecting(quota, rooms_now, open_now, f"{path}/rows")
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+@query("stream_unread", """SELECT conversation_id, count(*) AS messages, count(*) FILTER (WHERE sender_type = 'visitor' AND turn > coalesce(seen, -1)) AS unread FROM msgs LEFT JOIN (SELECT conversation_id, max(turn) AS seen FROM msgs WHERE turn % 3 = 2 GROUP BY conversation_id) USING (conversation_id) GROUP BY conversation_id""")
+def stream_unread(v: Views):
+    """Unread messages of each conversation; a person looks at it behind every third message, which makes all before it read."""
+    sender = F.when(C("role") == "user", "visitor").when(C("role") == "assistant", "ai").otherwise("system")
+    said = F.struct(sender.alias("sender_type"), C("text").alias("message"), (C("turn") * 2).cast("long").alias("seq"))
+    seen = F.when(C("turn") % 3 == 2, F.struct(F.lit("seen").alias("sender_type"), F.lit(None).cast("string").alias("message"), (C("turn") * 2 + 1).cast("long").alias("seq")))
+    rows = table_stream(v, "conversations").select(C("conv_id").alias("conversation_id"), F.inline(F.array_compact(F.array(said, seen))))
+    last = drained(conversation_state(rows), "update").groupBy("conversation_id").agg(F.max_by(F.struct("messages", "unread"), "last_seq").alias("s"))
+    return last.select("conversation_id", "s.messages", "s.unread")
