@@ -481,7 +481,10 @@ def expression(w: list) -> str:
 
 
 def judged(wrapper: list) -> list:
-    """A wrapper for extraction: slots become True for content, False for texts that never change, None for menus."""
+    """A wrapper for extraction: slots become True for content, False for texts that never change.
+
+    Menus are None, and the empty text if they never change either.
+    """
 
     def one(w: list, grouped: bool) -> list:
         slot = None
@@ -489,7 +492,7 @@ def judged(wrapper: list) -> list:
             contents, n, linked, low, high, least, most = w[3]
             same = len(contents) >= CONSTANT and (low == high or (least == most and linked >= LINKS * n))
             menu = linked >= LINKS * n and (w[1] or grouped)
-            slot = None if menu and not same else not same
+            slot = "" if menu and same else None if menu else not same
         members, within = [], False
         for c in w[4]:
             within = within or c[5] == 1
@@ -530,12 +533,12 @@ def flowing(members: list[list]) -> None:
     if first is None:
         return
     for k, (m, v) in enumerate(flow):
-        if k > first and None in v and False not in v:
+        if k > first and None in v and v <= {None, True}:
             kept_whole(m)
             flow[k] = (m, {True})
     last = max(k for k, (_, v) in enumerate(flow) if True in v)
     for m, v in flow[first + 1 : last]:
-        if True not in v:
+        if v == {False}:
             kept_whole(m)
 
 
