@@ -86,8 +86,8 @@ def keywords(v: Views):
     return v.questions.select("id", F.array_join(text.keywords(C("q")), " ").alias("words")).filter("words <> ''")
 
 
-@query("format_history", r"""WITH asked AS (SELECT conversation_id, arg_max(message, turn) AS question FROM msgs WHERE sender_type = 'visitor' GROUP BY conversation_id),
- kept AS (SELECT m.* FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS r FROM msgs) m LEFT JOIN asked a ON a.conversation_id = m.conversation_id WHERE r <= 12 AND regexp_replace(message, '^\s+|\s+$', '', 'g') IS DISTINCT FROM regexp_replace(question, '^\s+|\s+$', '', 'g')),
+@query("format_history", r"""WITH current_q AS (SELECT conversation_id, arg_max(message, turn) AS question FROM msgs WHERE sender_type = 'visitor' GROUP BY conversation_id),
+ kept AS (SELECT m.* FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS r FROM msgs) m LEFT JOIN current_q a ON a.conversation_id = m.conversation_id WHERE r <= 12 AND regexp_replace(message, '^\s+|\s+$', '', 'g') IS DISTINCT FROM regexp_replace(question, '^\s+|\s+$', '', 'g')),
  h AS (SELECT conversation_id, string_agg(CASE sender_type WHEN 'ai' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE 'User' END || ': ' || message, chr(10) || chr(10) ORDER BY turn) AS history, count(*) AS n FROM kept GROUP BY conversation_id)
  SELECT conversation_id, coalesce(history, 'No previous conversation.') AS history, CASE WHEN n > 10 THEN 'long' WHEN n > 5 THEN 'medium' WHEN n > 0 THEN 'short' ELSE 'none' END AS header FROM (SELECT DISTINCT conversation_id FROM msgs) LEFT JOIN h USING (conversation_id)""")
 def format_history(v: Views):
