@@ -21,6 +21,13 @@ group's first row.  What that connects is a class; of a group of near copies one
 holds almost all rows.  Then only rows outside the largest class go on, to be
 compared with all others: rows that are connected already never meet again.
 
+Texts of one template that are not linked share signatures too, a fixed share of them
+each, and have no such class.  Where more pairs than ``FULL`` squared tiles would be
+compared in a group, its rows are signed anew by another cut of the universe.  Linked
+pairs share a signature under every cut, so only rows that share the group and a new
+signature have to meet; this goes on inside the new groups.  A group for which the
+count of new pairs is no gain is compared as it is: no pair is ever left out.
+
 Defined cases: a null or wordless text has an empty set and is linked to nothing;
 fewer words than ``N`` make one shingle of them all; rows without ``doc_id`` take
 no part and keep a null component; rows of one ``doc_id`` are one document, and a
@@ -49,6 +56,9 @@ N, PERCENT = 3, 90
 COMMON, BAND_SHARE, MEETING = 0.05, 0.1, 8
 #: Rows of a tile, for sketches and for sets, and tokens of a tile of sets, about.
 TILE, SET_TILE, TOKENS = 512, 128, 4_000_000
+#: A group is cut anew if more pairs than this many squared tiles would be compared, if
+#: that leaves one pair of ``GAIN`` at most, and up to ``CUTS`` times.
+FULL, GAIN, CUTS = 64, 4, 12
 #: Cells of the smallest parity sketch; larger sets have a cell a token or more.
 CELLS = 512
 #: Rows up to which a table of ids is broadcast (about 16 bytes each).
@@ -112,26 +122,29 @@ def allocation(h: int, size: int, documents: int) -> tuple[int, int]:
     return h + 1 - m1, m1
 
 
-def signatures(tokens: np.ndarray, documents: int, percent: int = PERCENT) -> np.ndarray:
-    """Index keys of a set, under its own band and as the larger set of the one below."""
+def signatures(tokens: np.ndarray, documents: int, percent: int = PERCENT, cut: int = 0) -> np.ndarray:
+    """Index keys of a set, under its own band and as the larger set of the one below.
+
+    ``cut`` names one of many independent ways to cut the universe into segments.
+    """
     n = len(tokens)
     if not n:
         return np.empty(0, dtype=np.int64)
     first = edges(1 << max(n, 2).bit_length(), percent)
     own = int(np.searchsorted(first, n, side="right")) - 1
     keys = []
-    value = mix(tokens, seed=77)
+    value, at = mix(tokens, seed=77), cut * 1_000_003
     for band in (own, own - 1):
         if band < 0 or not (h := tolerance(band, first, percent)):
             continue  # linked sets are equal here, and equal sets are one node
         m, m1 = allocation(h, first[band + 1] - 1, documents)
-        segment = (mix(tokens, seed=1000 + band) % np.uint64(m)).astype(np.int64)
+        segment = (mix(tokens, seed=1000 + band + at) % np.uint64(m)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         v, s = value[order], segment[order]
         bounds = np.searchsorted(s, np.arange(m + 1))
         summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
         sums = summed[bounds[1:]] - summed[bounds[:-1]]
-        label = mix(np.arange(m, dtype=np.uint64), seed=5000 + band)
+        label = mix(np.arange(m, dtype=np.uint64), seed=5000 + band + at)
         keys.append(mix(sums + label))
         if m1:
             few = s < m1
@@ -214,14 +227,14 @@ def base_rows(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
-def index_rows(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT) -> DataFrame:
+def index_rows(docs: DataFrame, documents: int, n: int = N, percent: int = PERCENT, cut: int = 0) -> DataFrame:
     """``sig, node`` for each signature of each row; nothing of it is stored before the shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                keys = [signatures(shingle_set(t, n), documents, percent) for t in part["text"].to_pylist()]
+                keys = [signatures(shingle_set(t, n), documents, percent, cut) for t in part["text"].to_pylist()]
                 node = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node)], names=["sig", "node"])
 
@@ -270,15 +283,22 @@ def meeting(index: DataFrame) -> DataFrame:
     return index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(rows, "sig long, node long")
 
 
-def links_within(members: DataFrame, payload: DataFrame, most: int, compare: Callable) -> DataFrame:
+def links_within(
+    members: DataFrame, payload: DataFrame, most: int, compare: Callable, resign: Callable[[DataFrame, int], DataFrame] | None = None, cut: int = 0
+) -> DataFrame:
     """``u, v``: edges that connect what pairs within the groups of ``members`` connect.
 
-    ``members`` has ``key, node, tokens`` (long), ``payload`` a row or more for each
+    ``members`` has ``key, node, tokens`` (long) and may have ``class``, where nodes of one
+    class are connected already; ``payload`` a row or more for each
     node with what ``compare`` needs (see :func:`grouped`), which leaves pairs of equal ``class`` out.
+    ``resign`` gives ``node, sig`` for a table of nodes and the number of a cut.
     """
     kinds, at = "u long, v long", ["key", "left", "right"]
+    if "class" not in members.columns:
+        members = members.withColumn("class", F.col("node"))
     sizes = stored(
-        members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min("node").alias("first")).filter("n > 1"), "sizes"
+        members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min(F.struct("node", "class")).alias("first")).filter("n > 1"),
+        "sizes",
     )
     parts = lambda n, t: F.greatest(F.ceil(n / F.lit(most)), F.ceil(t / F.lit(TOKENS))).cast("long")
     zero = F.lit(0).cast("long")
@@ -286,16 +306,17 @@ def links_within(members: DataFrame, payload: DataFrame, most: int, compare: Cal
     several = whole.filter("tiles > 1")
     place = lambda tiles: F.pmod(F.xxhash64("node"), tiles)
     dealt = lookup(members, whole.select("key", "tiles"), "key").filter("tiles is not null")
-    own = dealt.select("key", place(F.col("tiles")).alias("left"), zero.alias("right"), "node", F.col("node").alias("class"))
+    own = dealt.select("key", place(F.col("tiles")).alias("left"), zero.alias("right"), "node", "class")
     # the first row visits the other tiles
-    visits = several.select("key", F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("left"), zero.alias("right"), F.col("first").alias("node"), F.col("first").alias("class"))
+    visits = several.select("key", F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("left"), zero.alias("right"), "first.node", "first.class")
     met = lambda rows: rows.join(payload, "node").repartition(*at).sortWithinPartitions(*at).mapInArrow(grouped(compare, at), kinds)
     if several.isEmpty():
         return met(own)
     near = stored(met(own.unionByName(visits)), "edges")
-    classes = stored(components(near), "classes")
+    known = members.filter("class <> node").select(F.col("node").alias("u"), F.col("class").alias("v")).distinct()
+    classes = stored(components(near.unionByName(known) if cut else near), "classes")
     # rows of the groups with several tiles, by class; those outside the largest one go on
-    split = dealt.filter("tiles > 1").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    split = dealt.filter("tiles > 1").join(classes, "node", "left").withColumn("class", F.coalesce("root", "class"))
     counts = split.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
     ranked = counts.groupBy("key").agg(
         F.max(F.struct("n", "class", "t")).alias("top"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("classes")
@@ -303,7 +324,11 @@ def links_within(members: DataFrame, payload: DataFrame, most: int, compare: Cal
     plan = stored(ranked.select(
         "key", F.col("top.class").alias("main"), parts(F.col("top.n"), F.col("top.t")).alias("most"),
         parts(F.col("n") - F.col("top.n"), F.col("t") - F.col("top.t")).alias("others"),
+        ((F.col("n") - F.col("top.n")).cast("double") * F.col("n")).alias("pairs"),
     ), "plan")
+    if resign and cut < CUTS:
+        found, plan = _cut_anew(split, plan, payload, most, compare, resign, cut + 1)
+        near = near.unionByName(found) if found else near
     if plan.isEmpty():
         return near
     split = lookup(split.select("key", "node", "class"), plan, "key").filter("main is not null")
@@ -318,6 +343,30 @@ def links_within(members: DataFrame, payload: DataFrame, most: int, compare: Cal
     return near.unionByName(met(cross.unionByName(among)))
 
 
+def _cut_anew(
+    split: DataFrame, plan: DataFrame, payload: DataFrame, most: int, compare: Callable, resign: Callable, cut: int
+) -> tuple[DataFrame | None, DataFrame]:
+    """Edges of the over-full groups of ``plan`` that another cut makes smaller, and the rest of ``plan``."""
+    full = stored(plan.filter(F.col("pairs") > FULL * most * most).select("key", "pairs"), "full")
+    if full.isEmpty():
+        return None, plan
+    rows = stored(lookup(split, full, "key").filter("pairs is not null").select("key", "node", "tokens", "class"), "rows")
+    signed = resign(stored(rows.select("node").distinct(), "resigned"), cut)
+    spread = stored(
+        rows.join(signed, "node").select(F.col("key").alias("before"), F.xxhash64("key", "sig").alias("key"), "node", "tokens", "class"), "spread"
+    )
+    by_class = spread.groupBy("before", "key", "class").agg(F.count(F.lit(1)).alias("n"))
+    by_key = by_class.groupBy("before", "key").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    left = by_key.groupBy("before").agg(F.sum((F.col("n") - F.col("top")).cast("double") * F.col("n")).alias("left"))
+    better = full.join(left, full["key"] == left["before"], "left").filter(GAIN * F.coalesce("left", F.lit(0)) <= F.col("pairs"))
+    better = stored(better.select(full["key"], F.lit(True).alias("smaller")), "better")
+    if better.isEmpty():
+        return None, plan
+    smaller = lookup(spread, better.withColumnRenamed("key", "before"), "before").filter("smaller").select("key", "node", "tokens", "class")
+    rest = stored(lookup(plan, better, "key").filter("smaller is null").drop("smaller"), "plan")
+    return links_within(smaller, payload, most, compare, resign, cut), rest
+
+
 def grouped(compare: Callable[[dict[str, pa.Array]], tuple[np.ndarray, np.ndarray]], names: list[str]):
     """A function for mapInArrow over rows sorted by ``names``: whole groups go to ``compare``.
 
@@ -436,7 +485,12 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = sizes.filter("n = 2 and a <> b").select("a", "b").distinct().join(named, F.col("a") == F.col("node")).join(other, F.col("b") == F.col("node_b"))
     near = pairs.select("node", "node_b", "n_shingles", "n_shingles_b", "sketch", "sketch_b").mapInArrow(_near_pairs(percent), kinds)
     many = shared.join(sizes.filter("n > 2").select("sig"), "sig", "left_semi").select(F.col("sig").alias("key"), "node", F.lit(0).cast("long").alias("tokens"))
-    near = near.unionByName(links_within(many, named, TILE, lambda t, b: _by_sketch(t, b, percent)))
+    documents = rows.count()
+
+    def resign(nodes: DataFrame, cut: int) -> DataFrame:
+        return index_rows(only(docs, nodes.withColumnRenamed("node", "doc_id"), "left_semi"), documents, n, percent, cut)
+
+    near = near.unionByName(links_within(many, named, TILE, lambda t, b: _by_sketch(t, b, percent), resign))
     blocks = stored(components(near), "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

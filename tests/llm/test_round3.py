@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import codes, findings, trie
+from parlance.llm import codes, findings, jaccard, trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -333,3 +333,63 @@ def test_damaged_records_are_found(spark, tmp_path):
     warc.deduplicate(spark, source, target)
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.resolved(warc.read_archive(spark, target)).collect()}
     assert got == {0: ("response", None), 1: ("revisit", 0), 2: ("response", None), 3: ("revisit", 0)}
+
+
+# --- similarity join: groups that are cut anew
+
+
+def template_texts(n):
+    """Confirmations of one template: nearly all are not linked, each tenth is one long text with a changed end."""
+    rng = random.Random(11)
+    long = " ".join(f"clause{k}" for k in range(40))
+    rows = [(k, f"your order number {rng.randrange(10**9)} was shipped today and will arrive within three working days at your door") for k in range(n)]
+    return rows + [(n + k, f"{long} signed by person{k // 2} {k % 2}") for k in range(n // 10)]
+
+
+def test_template_texts_are_not_compared_all_with_all(spark, monkeypatch):
+    """Pairs compared in over-full groups grow far slower than the square, and nothing is lost."""
+    monkeypatch.setattr(jaccard, "FULL", 4)
+    compared = {}
+    for n in (1500, 3000):
+        df = spark.createDataFrame(template_texts(n), "doc_id long, text string").repartition(4)
+        rows = jaccard.base_rows(df).cache()
+        named = rows.selectExpr("doc_id as node", "n_shingles", "sketch")
+        many = jaccard.meeting(jaccard.index_rows(df, n)).selectExpr("sig as key", "node", "0L as tokens").cache()
+        largest = many.groupBy("key").count().agg(F.max("count")).first()[0]
+        resign = lambda nodes, cut: jaccard.index_rows(df.join(nodes, df["doc_id"] == nodes["node"], "left_semi"), n, cut=cut)
+        for name, again in (("whole", None), ("cut", resign)):
+            count = spark.sparkContext.accumulator(0)
+
+            def compare(table, bounds):
+                count.add(int((np.diff(bounds) ** 2).sum()))  # noqa: B023
+                return jaccard._by_sketch(table, bounds, 90)
+
+            edges = jaccard.stored(jaccard.links_within(many, named, 64, compare, again), "edges-test")
+            compared[n, name] = count.value
+            roots = {tuple(r) for r in jaccard.components(edges).collect()}
+            assert roots == compared.setdefault((n, "roots"), roots)
+        assert largest > n / 20
+    assert 5 * compared[3000, "cut"] < compared[3000, "whole"]
+    assert compared[3000, "cut"] < 3 * compared[1500, "cut"]
+
+
+@pytest.mark.parametrize("gain", [0, 10**9])
+def test_cut_groups_keep_every_link(spark, monkeypatch, gain):
+    """Classes with every group cut anew, again and again, or with none that gains by it."""
+    for name, value in (("FULL", 0), ("TILE", 4), ("SET_TILE", 3), ("GAIN", gain), ("CUTS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    rows = template_texts(60)
+    base = [f"w{j}" for j in range(60)]
+    for k in range(100, 120):  # a chain: neighbours are linked, few are linked to the first
+        base[rng.randrange(60)] = f"y{k}"
+        rows.append((k, " ".join(base)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert got == root
