@@ -296,6 +296,8 @@ def links_within(
     kinds, at = "u long, v long", ["key", "left", "right"]
     if "class" not in members.columns:
         members = members.withColumn("class", F.col("node"))
+    # what makes the members (joins, signatures) runs once, however many steps read them
+    members = stored(members, "members")
     sizes = stored(
         members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min(F.struct("node", "class")).alias("first")).filter("n > 1"),
         "sizes",
@@ -305,18 +307,21 @@ def links_within(
     whole = sizes.select("key", "first", parts(F.col("n"), F.col("t")).alias("tiles"))
     several = whole.filter("tiles > 1")
     place = lambda tiles: F.pmod(F.xxhash64("node"), tiles)
+    alone = several.isEmpty()
     dealt = lookup(members, whole.select("key", "tiles"), "key").filter("tiles is not null")
+    dealt = dealt if alone else stored(dealt, "dealt")
     own = dealt.select("key", place(F.col("tiles")).alias("left"), zero.alias("right"), "node", "class")
     # the first row visits the other tiles
     visits = several.select("key", F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("left"), zero.alias("right"), "first.node", "first.class")
     met = lambda rows: rows.join(payload, "node").repartition(*at).sortWithinPartitions(*at).mapInArrow(grouped(compare, at), kinds)
-    if several.isEmpty():
+    if alone:
         return met(own)
     near = stored(met(own.unionByName(visits)), "edges")
     known = members.filter("class <> node").select(F.col("node").alias("u"), F.col("class").alias("v")).distinct()
     classes = stored(components(near.unionByName(known) if cut else near), "classes")
     # rows of the groups with several tiles, by class; those outside the largest one go on
     split = dealt.filter("tiles > 1").join(classes, "node", "left").withColumn("class", F.coalesce("root", "class"))
+    split = stored(split.select("key", "node", "tokens", "class"), "split")
     counts = split.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
     ranked = counts.groupBy("key").agg(
         F.max(F.struct("n", "class", "t")).alias("top"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("classes")
@@ -507,7 +512,7 @@ def links(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     ids = blocks.select(F.col("node").alias("doc_id"))
     tokens = only(docs, ids, "left_semi").mapInArrow(sets, "node long, tokens array<long>")
     sizes = named.groupBy("node").agg(F.max("n_shingles").alias("tokens"))
-    members = stored(blocks.join(sizes, "node").select(F.col("root").alias("key"), "node", "tokens"), "members")
+    members = blocks.join(sizes, "node").select(F.col("root").alias("key"), "node", "tokens")
     return links_within(members, tokens, SET_TILE, lambda t, b: _by_set(t, b, percent))
 
 

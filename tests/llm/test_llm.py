@@ -358,6 +358,26 @@ def test_jaccard_tiles(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == want
 
 
+def test_members_of_groups_are_made_once(spark, monkeypatch):
+    """Groups of several tiles, whose rows are dealt out in rounds, do not repeat what makes their members."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rng = random.Random(6)
+    base = [f"w{j}" for j in range(60)]
+    rows = [(k, " ".join([*base, f"x{k}"])) for k in range(20)] + [(k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(60))) for k in range(20, 36)]
+    named = jaccard.base_rows(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc_id", "node")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    members = spark.createDataFrame([(7, k, 0) for k in range(36)], "key long, node long, tokens long").mapInArrow(counted, "key long, node long, tokens long")
+    edges = jaccard.links_within(members, named, 4, lambda t, b: jaccard._by_sketch(t, b, 90)).collect()
+    linked = {x for e in edges for x in (e.u, e.v)}
+    assert linked == set(range(20)) and made.value == 36
+
+
 def test_jaccard_tolerant_segments(spark, monkeypatch):
     """Many documents make segments tolerant; links stay the same."""
     monkeypatch.setattr(jaccard, "BAND_SHARE", 1e9)
