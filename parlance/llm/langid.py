@@ -4,7 +4,8 @@ Every language has a probability for each piece of one fixed public vocabulary.
 A word's probability is the sum, over all ways to cut it into pieces, of the
 product of their probabilities: the forward algorithm.  Piece probabilities are
 fitted by expectation maximisation (the backward pass gives expected counts) on
-a bounded sample of labelled documents, ``SAMPLE`` of each language at most.
+a bounded sample of labelled documents, ``SAMPLE`` of each language at most
+(:func:`train`), or on all of them (:func:`train_whole`).
 Words are maximal runs of letters, in lower case; pieces never cross a blank, so
 a text's log likelihood is the sum over its words, and each distinct word is
 scored once for a task.  The score is the posterior of the best language under
@@ -14,7 +15,8 @@ the sample shows for each language.
 
 A letter is what ``str.isalpha`` says (the Unicode categories L), in fitting and in
 prediction alike.  What the driver gets for fitting are the sample's word counts; they
-grow with its documents' lengths and the number of languages, not with the corpus.
+grow with its documents' lengths and the number of languages, not with the corpus.  Of
+all documents it gets sums for each piece and language alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text if there is no labelled row to learn from; equal posteriors go to
@@ -26,6 +28,7 @@ have the names of its results, which are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -56,8 +59,12 @@ LINEAR = 64
 CELLS = 1 << 19
 #: Nats below the lowest likelihood of a letter (but for one text in a hundred) that still count as the language.
 MARGIN = 1.0
+#: Bins of a nat in which the percentile is looked for.
+BINS = 1000
 #: Rows whose new words are scored together.
 BLOCK = 500
+#: Distinct words of a task in a round of fitting to all words, and pieces whose expected counts are sent together.
+WORDS, PIECES = 20_000, 1024
 SPACE = "▁"
 BASE = np.uint64(1_099_511_628_211)
 #: Letters, and numbers that are no digits: those are taken out afterwards.
@@ -201,6 +208,38 @@ def _expect_long(pieces: Pieces, codes: np.ndarray, p: np.ndarray, weight: np.nd
                 np.add.at(expected[:, k], ids, got[:, k])
 
 
+def expected_counts(pieces: Pieces, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected counts of pieces (piece, language) in words that occur ``weight`` times (word, language)."""
+    expected = np.zeros_like(p)
+    for part, codes in by_length(words):
+        if codes.shape[1] > LINEAR:
+            _expect_long(pieces, codes, p, weight[part], expected)
+            continue
+        n = codes.shape[1]
+        alpha, beta = np.zeros((n + 1, len(part), p.shape[1])), np.zeros((n + 1, len(part), p.shape[1]))
+        alpha[0] = beta[n] = 1.0
+        found = list(pieces.matches(codes))
+        steps: dict[int, list] = {}
+        covered = np.zeros((n, len(part)), dtype=bool)
+        for start, length, rows, ids in found:
+            steps.setdefault(start, []).append((length, rows, ids))
+            covered[start, rows] |= length == 1
+        for start in range(n):
+            for length, rows, ids in steps.get(start, ()):
+                alpha[start + length, rows] += alpha[start, rows] * p[ids]
+            alpha[start + 1] += np.where(covered[start][:, None], 0.0, alpha[start] * UNKNOWN)
+        for start in reversed(range(n)):
+            for length, rows, ids in steps.get(start, ()):
+                beta[start, rows] += p[ids] * beta[start + length, rows]
+            beta[start] += np.where(covered[start][:, None], 0.0, UNKNOWN * beta[start + 1])
+        share = weight[part] / np.maximum(alpha[n], 1e-300)
+        for start, length, rows, ids in found:
+            got = alpha[start, rows] * p[ids] * beta[start + length, rows] * share[rows]
+            for k in range(p.shape[1]):
+                expected[:, k] += np.bincount(ids, weights=got[:, k], minlength=pieces.size)
+    return expected
+
+
 def fit(pieces: Pieces, counts: list[tuple[str, str, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and piece probabilities (piece, language), from word counts."""
     langs = sorted({lang for lang, _, _ in counts})
@@ -211,34 +250,48 @@ def fit(pieces: Pieces, counts: list[tuple[str, str, int]], rounds: int = ROUNDS
         weight[at[w], col[lang]] += n
     p = np.full((pieces.size, len(langs)), 1.0 / max(pieces.size, 1))
     for _ in range(rounds if words else 0):
-        expected = np.full_like(p, SMOOTH)
-        for part, codes in by_length(words):
-            if codes.shape[1] > LINEAR:
-                _expect_long(pieces, codes, p, weight[part], expected)
-                continue
-            n = codes.shape[1]
-            alpha, beta = np.zeros((n + 1, len(part), len(langs))), np.zeros((n + 1, len(part), len(langs)))
-            alpha[0] = beta[n] = 1.0
-            found = list(pieces.matches(codes))
-            steps: dict[int, list] = {}
-            covered = np.zeros((n, len(part)), dtype=bool)
-            for start, length, rows, ids in found:
-                steps.setdefault(start, []).append((length, rows, ids))
-                covered[start, rows] |= length == 1
-            for start in range(n):
-                for length, rows, ids in steps.get(start, ()):
-                    alpha[start + length, rows] += alpha[start, rows] * p[ids]
-                alpha[start + 1] += np.where(covered[start][:, None], 0.0, alpha[start] * UNKNOWN)
-            for start in reversed(range(n)):
-                for length, rows, ids in steps.get(start, ()):
-                    beta[start, rows] += p[ids] * beta[start + length, rows]
-                beta[start] += np.where(covered[start][:, None], 0.0, UNKNOWN * beta[start + 1])
-            share = weight[part] / np.maximum(alpha[n], 1e-300)
-            for start, length, rows, ids in found:
-                got = alpha[start, rows] * p[ids] * beta[start + length, rows] * share[rows]
-                for k in range(len(langs)):
-                    expected[:, k] += np.bincount(ids, weights=got[:, k], minlength=pieces.size)
+        expected = SMOOTH + expected_counts(pieces, words, weight, p)
+        p = expected / expected.sum(axis=0)
+    return langs, p
+
+
+def fit_whole(vocab: list[str], counts: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """:func:`fit` for ``lang, word, n`` of any size: each round is one pass of tasks over the words.
+
+    The driver holds piece probabilities alone; a task sends its expected counts in
+    blocks of pieces, which are added up block by block.
+    """
+    spark, size = counts.sparkSession, len(vocab)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    words = stored(counts.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("in")), "words")
+    tasks = max(1, -(-words.count() // WORDS))
+    p, col = np.full((size, len(langs)), 1.0 / max(size, 1)), {lang: k for k, lang in enumerate(langs)}
+    blocks = list(range(0, size, PIECES))
+    for _ in range(rounds if langs else 0):
+        shared = spark.sparkContext.broadcast((vocab, p))
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocab, p = shared.value  # noqa: B023
+            pieces, total = Pieces(vocab), np.zeros_like(p)
+            for batch in batches:
+                weight = np.zeros((batch.num_rows, p.shape[1]))
+                for k, found in enumerate(batch["in"].to_pylist()):
+                    for x in found:
+                        weight[k, col[x["lang"]]] += x["n"]
+                total += expected_counts(pieces, batch["word"].to_pylist(), weight, p)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array([total[b : b + PIECES].ravel() for b in blocks], pa.list_(pa.float64()))], names=["block", "x"]
+            )
+
+        def added(table: pa.Table) -> pa.Table:
+            rows = np.sort(np.array(table["x"].to_pylist()), axis=0)  # the same sum in any order of tasks
+            return pa.table({"block": table["block"].slice(0, 1), "x": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
+
+        sent = words.repartition(tasks).mapInArrow(expect, "block long, x array<double>")
+        summed = {r["block"]: r["x"] for r in sent.groupBy("block").applyInArrow(added, "block long, x array<double>").collect()}
+        expected = SMOOTH + np.concatenate([np.array(summed[b]).reshape(-1, len(langs)) for b in blocks])
         p = expected / expected.sum(axis=0)
+        shared.unpersist()
     return langs, p
 
 
@@ -266,12 +319,9 @@ def sample_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return training_rows(docs.select("doc_id", "lang", "text")).join(ids, "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, file: str = VOCABULARY, rows: DataFrame | None = None) -> dict:
-    """The model: vocabulary, languages, probabilities, from the word counts of the sample.
-
-    ``rows`` is the sample if it is there already.
-    """
-    ship_package(docs.sparkSession)
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``lang, word, n`` of ``lang, text``; a task sends a word once for each batch it occurs in."""
+    ship_package(rows.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,21 +333,60 @@ def train(docs: DataFrame, sample: int = SAMPLE, file: str = VOCABULARY, rows: D
                 [pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"]
             )
 
-    rows = sample_rows(docs, sample) if rows is None else rows
     counts = rows.select("lang", "text").mapInArrow(counted, "lang string, word string, n long")
+    return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, file: str = VOCABULARY, rows: DataFrame | None = None) -> dict:
+    """The model: vocabulary, languages, probabilities, from the word counts of the sample.
+
+    ``rows`` is the sample if it is there already.
+    """
+    counts = word_counts(sample_rows(docs, sample) if rows is None else rows)
+    vocab = vocabulary(file)
+    langs, p = fit(Pieces(vocab), [tuple(r) for r in counts.collect()])
+    return {"vocabulary": vocab, "langs": langs, "p": p}
+
+
+def train_whole(docs: DataFrame, file: str = VOCABULARY) -> dict:
+    """The model of :func:`train` from all labelled rows, fitted by Spark."""
     vocab = vocabulary(file)
-    langs, p = fit(Pieces(vocab), [tuple(r) for r in counts.groupBy("lang", "word").agg(F.sum("n")).collect()])
+    counts = stored(word_counts(training_rows(docs.select("doc_id", "lang", "text"))), "counts")
+    langs, p = fit_whole(vocab, counts)
     return {"vocabulary": vocab, "langs": langs, "p": p}
 
 
 def likelihood_floors(rows: DataFrame, model: dict) -> dict[str, float]:
     """For each language, the least log likelihood of a letter, on the mean of a text.
 
-    It lies ``MARGIN`` below that of all but one in a hundred of the sample's texts, ``rows``.
+    It lies ``MARGIN`` below that of all but one in a hundred of ``rows``.
     """
-    found = identify(rows.select("text"), model, ("lang_pred", "score", "letter"))
-    lows = found.filter("letter is not null").groupBy("lang_pred").agg(F.percentile("letter", F.lit(0.01)).alias("low"))
-    return {r["lang_pred"]: r["low"] - MARGIN for r in lows.collect()}
+    names = ("lang_pred", "score", "letter")
+    return floors_of(stored(identify(rows.select("text"), model, names).select("lang_pred", "letter"), "letters"))
+
+
+def floors_of(found: DataFrame) -> dict[str, float]:
+    """:func:`likelihood_floors` of stored ``lang_pred, letter``: exact percentiles, one pass for bins and one inside of the bins that hold them."""
+    found = found.filter("letter is not null").withColumn("bin", F.floor(F.col("letter") * BINS))
+    counts: dict[str, list] = {}
+    for r in found.groupBy("lang_pred", "bin").count().orderBy("lang_pred", "bin").collect():
+        counts.setdefault(r["lang_pred"], []).append((r["bin"], r["count"]))
+    wanted, at = [], {}
+    for lang, bins in counts.items():
+        at[lang] = 0.01 * (sum(n for _, n in bins) - 1)
+        before = 0
+        for b, n in bins:
+            wanted += [(lang, b, k - before, k) for k in {math.floor(at[lang]), math.ceil(at[lang])} if before <= k < before + n]
+            before += n
+    if not wanted:
+        return {}
+    asked = F.broadcast(found.sparkSession.createDataFrame(wanted, "lang_pred string, bin long, inside long, rank long"))
+    values = found.join(F.broadcast(asked.select("lang_pred", "bin").distinct()), ["lang_pred", "bin"]).groupBy("lang_pred", "bin", "letter").count()
+    upto = values.withColumn("upto", F.sum("count").over(W.partitionBy("lang_pred", "bin").orderBy("letter")))
+    held = upto.join(asked, ["lang_pred", "bin"]).filter("upto > inside and upto - count <= inside")
+    low = {(r["lang_pred"], r["rank"]): r["letter"] for r in held.collect()}
+    between = lambda lang, x: (1 - x % 1) * low[lang, math.floor(x)] + x % 1 * low[lang, math.ceil(x)]
+    return {lang: between(lang, x) - MARGIN for lang, x in at.items()}
 
 
 def identify(docs: DataFrame, model: dict, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:

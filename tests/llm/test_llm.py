@@ -896,6 +896,30 @@ def test_pipeline(spark, sf_dir, docs):
     assert [n for n, _ in c.STAGES] == ["language", "quality", "near_copies", "packing"]
 
 
+def test_language_stage_learns_from_all_rows(spark, monkeypatch):
+    """Probabilities and floors are those of all labelled rows, not of some hundred of a language."""
+    import corpus_pipeline as c
+    import numpy as np
+
+    rng = random.Random(12)
+    lexicon = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300)] for lang, letters in (("x", "aeinrst"), ("y", "oulmdkgé"))}
+    lexicon["y"].append("u" * 70)
+    rows = [(k, "xxy"[k % 3], " ".join(rng.choice(lexicon["xxy"[k % 3]]) for _ in range(rng.randint(3, 12)))) for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    taught = [(lang, t) for k, lang, t in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    counts = Counter((lang, w) for lang, t in taught for w in langid.words(t))
+    vocab = langid.vocabulary()
+    langs, p = langid.fit(langid.Pieces(vocab), [(*key, n) for key, n in counts.items()])
+    monkeypatch.setattr(langid, "WORDS", 100)
+    model = langid.train_whole(df)
+    assert model["langs"] == langs and np.allclose(model["p"], p, rtol=1e-9)
+    monkeypatch.setattr(langid, "MARGIN", 1e-9)
+    known = langid.identify(df, model, ("pred", "score", "letter")).collect()
+    floors = {lang: np.percentile([r.letter for r in known if r.pred == lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2], 1) - 1e-9 for lang in langs}
+    want = {r.doc_id for r in known if r.score >= c.LEAST_SCORE and r.letter >= floors[r.pred]}
+    assert len(want) < 1200 and {r.doc_id for r in c.language(spark, df, "").collect()} == want
+
+
 def test_language_stage_rejects_gibberish(spark, docs):
     """Texts of letters in no learned language go; clean ones of the learned languages stay."""
     import corpus_pipeline as c
