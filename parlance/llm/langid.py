@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship_package, stored
+from .shared import lowest, ship_package, stored
 
 #: Labelled documents of a language that piece probabilities are fitted on.
 SAMPLE = 400
@@ -59,8 +59,6 @@ LINEAR = 64
 CELLS = 1 << 19
 #: Nats below the lowest likelihood of a letter (but for one text in a hundred) that still count as the language.
 MARGIN = 1.0
-#: Bins of a nat in which the percentile is looked for.
-BINS = 1000
 #: Rows whose new words are scored together.
 BLOCK = 500
 #: Distinct words of a task in a round of fitting to all words, and pieces whose expected counts are sent together.
@@ -366,27 +364,9 @@ def likelihood_floors(rows: DataFrame, model: dict) -> dict[str, float]:
 
 
 def floors_of(found: DataFrame) -> dict[str, float]:
-    """:func:`likelihood_floors` of stored ``lang_pred, letter``: exact percentiles, one pass for bins and one inside of the bins that hold them."""
-    found = found.filter("letter is not null").withColumn("bin", F.floor(F.col("letter") * BINS))
-    counts: dict[str, list] = {}
-    for r in found.groupBy("lang_pred", "bin").count().orderBy("lang_pred", "bin").collect():
-        counts.setdefault(r["lang_pred"], []).append((r["bin"], r["count"]))
-    wanted, at = [], {}
-    for lang, bins in counts.items():
-        at[lang] = 0.01 * (sum(n for _, n in bins) - 1)
-        before = 0
-        for b, n in bins:
-            wanted += [(lang, b, k - before, k) for k in {math.floor(at[lang]), math.ceil(at[lang])} if before <= k < before + n]
-            before += n
-    if not wanted:
-        return {}
-    asked = F.broadcast(found.sparkSession.createDataFrame(wanted, "lang_pred string, bin long, inside long, rank long"))
-    values = found.join(F.broadcast(asked.select("lang_pred", "bin").distinct()), ["lang_pred", "bin"]).groupBy("lang_pred", "bin", "letter").count()
-    upto = values.withColumn("upto", F.sum("count").over(W.partitionBy("lang_pred", "bin").orderBy("letter")))
-    held = upto.join(asked, ["lang_pred", "bin"]).filter("upto > inside and upto - count <= inside")
-    low = {(r["lang_pred"], r["rank"]): r["letter"] for r in held.collect()}
-    between = lambda lang, x: (1 - x % 1) * low[lang, math.floor(x)] + x % 1 * low[lang, math.ceil(x)]
-    return {lang: between(lang, x) - MARGIN for lang, x in at.items()}
+    """:func:`likelihood_floors` of stored ``lang_pred, letter``, by exact percentiles."""
+    ranked = lowest(found, "lang_pred", "letter", 0.01)
+    return {lang: (1 - x % 1) * v[math.floor(x)] + x % 1 * v[math.ceil(x)] - MARGIN for lang, (_, x, v) in ranked.items()}
 
 
 def identify(docs: DataFrame, model: dict, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:

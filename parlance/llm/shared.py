@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of the word rules: space and U+0009 to U+000D.
@@ -96,3 +98,37 @@ def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
     return left.join(F.broadcast(hot), key, "left_semi").join(few, key, "left").unionByName(rest)
+
+
+#: Bins of a unit in which :func:`lowest` looks for ranks.
+BINS = 1000
+
+
+def lowest(found: DataFrame, key: str, value: str, share: float) -> dict:
+    """For each ``key``: rows with a value, the place ``share`` * (rows - 1), and the values of the ranks around it.
+
+    One pass counts bins, another one ranks inside of the bins that hold these ranks, so
+    no task sees all values.  ``found`` is read twice and should be stored.
+    """
+    found = found.select(F.col(key).alias("key"), F.col(value).alias("value")).filter("value is not null").withColumn("bin", F.floor(F.col("value") * BINS))
+    counts: dict = {}
+    for r in found.groupBy("key", "bin").count().orderBy("key", "bin").collect():
+        counts.setdefault(r["key"], []).append((r["bin"], r["count"]))
+    wanted, places = [], {}
+    for k, bins in counts.items():
+        n, before = sum(n for _, n in bins), 0
+        places[k] = n, share * (n - 1)
+        ranks = {math.floor(places[k][1]), math.ceil(places[k][1])}
+        for b, many in bins:
+            wanted += [(k, b, rank - before, rank) for rank in ranks if before <= rank < before + many]
+            before += many
+    if not wanted:
+        return {}
+    kind = found.schema["key"].dataType.simpleString()
+    asked = found.sparkSession.createDataFrame(wanted, f"key {kind}, bin long, inside long, rank long")
+    values = found.join(F.broadcast(asked.select("key", "bin").distinct()), ["key", "bin"]).groupBy("key", "bin", "value").count()
+    upto = values.withColumn("upto", F.sum("count").over(W.partitionBy("key", "bin").orderBy("value")))
+    held: dict = {}
+    for r in upto.join(F.broadcast(asked), ["key", "bin"]).filter("upto > inside and upto - count <= inside").collect():
+        held.setdefault(r["key"], {})[r["rank"]] = r["value"]
+    return {k: (n, x, held[k]) for k, (n, x) in places.items()}
