@@ -258,10 +258,12 @@ def gradients(w: dict, ids: np.ndarray, span: np.ndarray, inside: np.ndarray, ou
     d_r *= r > 0
     flat = d_r.reshape(-1, FILTERS)
     d_seen = (flat @ w["conv"].T).reshape(n, size, WIDTH, EMBED + 1)
-    d_embed, half = np.zeros_like(w["embed"]), WIDTH // 2
-    padded = np.pad(ids, ((0, 0), (half, half)))
+    half = WIDTH // 2
+    d_place = np.zeros((n, size + 2 * half, EMBED))
     for j in range(WIDTH):
-        np.add.at(d_embed, padded[:, j : j + size], d_seen[:, :, j, :EMBED])
+        d_place[:, j : j + size] += d_seen[:, :, j, :EMBED]
+    d_place, places = d_place[:, half : half + size].reshape(-1, EMBED), ids.ravel()
+    d_embed = np.stack([np.bincount(places, weights=d_place[:, e], minlength=ALPHABET) for e in range(EMBED)], axis=1)
     d_embed[0] = 0
     return {
         "embed": d_embed, "conv": seen.reshape(-1, WIDTH * (EMBED + 1)).T @ flat, "conv0": flat.sum(axis=0),
