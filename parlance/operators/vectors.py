@@ -1,9 +1,9 @@
 """Approximate search by cosine with an inverted file: cells of an index, of which a question probes a few.
 
 Centroids are fitted on a bounded sample; every point is assigned to the nearest one.
-Points and questions of a cell meet in blocks of bounded size, so a cell with a third of
-all points is many blocks and no task holds a cell; pairs of points are never rows.  How
-many cells a question probes is measured: a bounded sample of questions is answered
+Parts of the points meet parts of the questions, both of bounded size, so a cell with a third of
+all points is many blocks and no task holds a cell; neither pairs of points nor pairs of
+question and cell are rows.  How many cells a question probes is measured: a bounded sample of questions is answered
 exactly, and the smallest number of cells that holds the asked share of their true
 neighbours is taken.
 """
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.operators.lookups import by_key
+from parlance.operators.nearest import nearest_in_task
 from parlance.sources.work import ship_package, stored
 
 #: Vectors that centroids are fitted on and questions that are answered exactly, at most about so many; cells; rounds of the fit.
 SAMPLE, ASKED, MOST_CELLS, ROUNDS = 20_000, 256, 4096, 10
-#: Components of a block of points or questions, and blocks of points that share a task.
-BLOCK, TOGETHER = 2**16, 8
+#: Components of a block of points; blocks of points, or as many questions, that share a task at most; tasks that the work is cut into at least.
+BLOCK, TOGETHER, TASKS = 2**16, 128, 64
 
 
 @dataclass
@@ -175,48 +176,77 @@ def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
     rounded to five places; ties go to the smaller id.  Questions whose cells hold fewer than
     ``k`` points ask all points that they may find instead.
     """
-    found = stored(probed(index, questions, k), "hits")
+    units = unit(questions, "id", index.within)
+    found = stored(probed(index, units, k), "hits")
     full = found.filter(F.col("rank") == k).select("q")
-    short = stored(questions.join(full, questions["id"] == full["q"], "left_anti"), "short")
+    few = stored(units.select("id").join(full, F.col("id") == F.col("q"), "left_anti").distinct(), "short")
+    if few.isEmpty():
+        return found
     flat = Index(index.points.withColumn("cell", F.lit(0)), index.centroids[:1], index.within)
-    return found.join(full, "q", "left_semi").select("q", "id", "score", "rank").unionByName(probed(flat, short, k))
+    rest = stored(probed(flat, units.join(few, "id", "left_semi"), k), "rest")
+    return found.join(few, found["q"] == few["id"], "left_anti").unionByName(rest)
+
+
+def exact(points: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """``q, id, score, rank``: the ``k`` nearest of all points for each question, as SQL orders them.
+
+    Both have ``id, vector``.  A score is NaN, and so first, where a vector has no finite length
+    above 0; it is null, and so last, where one is null or empty.
+    """
+    ship_package(points.sparkSession)
+    n, width = points.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    cells = np.zeros((max(1, n * width // BLOCK), max(1, width)))
+    points = points.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(len(cells))).cast("int").alias("cell"))
+    return probed(Index(points, cells, [], len(cells)), questions.select("id", "vector"), k)
 
 
 def probed(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest points, or as many as there are, in the probed cells."""
-    centroids, probes, keys = index.centroids, min(index.probes, len(index.centroids)), [*index.within, "cell"]
+    """The ``k`` nearest points, or as many as there are, in the probed cells.
+
+    Points and questions are dealt into parts, and a part of the ones meets a part of the others
+    in a task.  So a vector is shuffled once for each part of the other side, however many cells
+    are probed.  The parts grow with the tables up to ``TOGETHER`` blocks.
+    """
+    points, within, centroids = index.points, index.within, index.centroids
     width = centroids.shape[1] if centroids.size else 1
+    if within:
+        p, q = (rows.groupBy(*within).agg(F.count(F.lit(1)).alias(name)) for rows, name in ((points, "p"), (questions, "q")))
+        sizes = stored(p.join(q, within), "sizes")
+    else:
+        sizes = points.sparkSession.createDataFrame([(points.count(), questions.count())], "p long, q long")
+    work, rows = sizes.agg(F.coalesce(F.sum(F.col("p").cast("double") * F.col("q")), F.lit(0.0)), F.coalesce(F.sum(F.greatest("p", "q")), F.lit(0))).first()
+    most = max(1, int(min(max((work / TASKS) ** 0.5, BLOCK / width), BLOCK * TOGETHER / width)))
+    parts = [F.ceil(F.col(c) / most).cast("long").alias(f"{c}_parts") for c in ("p", "q")]
+    large = stored(sizes.filter(F.greatest("p", "q") > most / 4).select(*within, *parts), "large")
+    shared_tasks = max(1, -(-rows // most))
+    tasks = shared_tasks + (large.agg(F.sum(F.col("p_parts") * F.col("q_parts"))).first()[0] or 0)
+    few = None if within else large.first()
+
+    def dealt(df: DataFrame, own: str, at: F.Column, other: str) -> DataFrame:
+        """``df`` with the task of each row: one part by ``at``, all parts of the other side."""
+        one, mark = F.lit(1).cast("long"), F.xxhash64(*within) if within else F.lit(0).cast("long")
+        if within:
+            df = df.join(F.broadcast(large), within, "left")
+        else:
+            df = df.withColumns({c: F.lit(few[c] if few else 1).cast("long") for c in ("p_parts", "q_parts")})
+        df = df.withColumns({
+            "task": F.when(F.col("p_parts").isNull(), F.pmod(mark, F.lit(shared_tasks))).otherwise(F.pmod(mark, F.lit(2**40)) + shared_tasks),
+            own: F.pmod(at, F.coalesce(f"{own}_parts", one)),
+            other: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_parts", one) - 1)),
+        }).drop("p_parts", "q_parts")
+        return df.repartition(min(2 * tasks, 2000), "task", "p", "q")
+
+    blocks = blocked(points, [*within, "cell"], width, "points")
+    held = dealt(blocks, "p", F.col("cell") + F.col("slot"), "q")
+    asking = dealt(questions, "q", F.xxhash64("id"), "p")
     shared = questions.sparkSession.sparkContext.broadcast(centroids)
-    units = unit(questions, "id", index.within)
+    probes = min(index.probes, len(centroids))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and probes:
-                near = -(matrix(batch["vector"], batch.num_rows) @ shared.value.T)
-                cells = np.argsort(near, axis=1, kind="stable")[:, :probes]
-                for j in range(probes):
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells[:, j], pa.int32())], names=[*batch.schema.names, "cell"])
-
-    asking = stored(units.mapInArrow(probe, T.StructType([*units.schema.fields, T.StructField("cell", T.IntegerType())])), "probes")
-    p, q = (blocked(rows, keys, width, name) for rows, name in ((index.points, "points"), (asking, "asked")))
-    p = stored(p.withColumn("salt", F.floor(F.col("slot") / TOGETHER)).drop("slot"), "blocks")
-    salts = p.groupBy(*keys).agg((F.max("salt") + 1).alias("salts"))
-    key = F.struct(*keys)
-    spread = by_key(q.withColumn("key", key), stored(salts.select(key.alias("key"), "salts"), "salts"), "key").filter("salts is not null")
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("key", "salts", "slot")
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return nearest_in_task(asked, held, within, shared.value, probes, k)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                asked, points = (batch[c].slice(i, 1).flatten() for c in ("asked", "points"))
-                qs, ps = (matrix(x.field("vector"), len(x)) for x in (asked, points))
-                ids = np.asarray(points.field("id").to_numpy(zero_copy_only=False))
-                scores = np.round(qs @ ps.T, 5)
-                row, column = best(scores, ids, k)
-                yield pa.RecordBatch.from_arrays([asked.field("id").take(pa.array(row)), pa.array(ids[column]), pa.array(scores[row, column])], names=["q", "id", "score"])
-
-    pairs = spread.join(p, [*keys, "salt"]).select("asked", "points")
-    found = pairs.mapInArrow(meet, "q long, id long, score double")
+    keys = ["task", "p", "q"]
+    found = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "q long, id long, score double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
