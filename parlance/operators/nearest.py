@@ -34,7 +34,9 @@ class Vectors:
         self.like = np.where((self.like == 0) & ~((self.square > 0) & (self.square < np.inf)), NAN, self.like)
         self.x[self.like != 0] = 0
         self.square[self.like != 0] = 1
-        self.unit = (self.x / np.sqrt(self.square)[:, None]).astype(np.float32)
+        self.unit = np.empty(self.x.shape, np.float32)
+        for a in range(0, len(self.x), PAIRS):
+            self.unit[a : a + PAIRS] = self.x[a : a + PAIRS] / np.sqrt(self.square[a : a + PAIRS])[:, None]
 
     def take(self, rows: np.ndarray) -> Vectors:
         new = object.__new__(Vectors)
@@ -47,7 +49,7 @@ def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Products of rows, summed from front to back."""
     out = np.zeros(len(x))
     for a in range(0, len(x) if x.shape[1] else 0, PAIRS):
-        out[a : a + PAIRS] = np.add.accumulate(x[a : a + PAIRS] * y[a : a + PAIRS], axis=1)[:, -1]
+        out[a : a + PAIRS] = np.add.accumulate(x[a : a + PAIRS].astype(float) * y[a : a + PAIRS], axis=1)[:, -1]
     return out
 
 
@@ -72,12 +74,13 @@ def whole(column: pa.ChunkedArray) -> pa.Array:
 
 def vectors(ids: pa.Array, column: pa.Array, owner: np.ndarray, width: int) -> Vectors:
     length = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    there, x = length > 0, np.zeros((len(column), width))
+    there, x = length > 0, np.zeros((len(column), width), np.float32 if pa.types.is_float32(column.type.value_type) else float)
     if there.any():
         if (length[there] != width).any():
             raise ValueError(f"vectors of other than {width} components")
-        x[there] = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(there.sum(), -1)
-    return Vectors(np.asarray(ids.to_numpy(zero_copy_only=False)), owner, x + 0.0, np.where(there, 0, NULL))
+        x[there] = np.asarray(column.flatten().to_numpy(zero_copy_only=False), x.dtype).reshape(there.sum(), -1)
+    x += 0  # no minus zero
+    return Vectors(np.asarray(ids.to_numpy(zero_copy_only=False)), owner, x, np.where(there, 0, NULL))
 
 
 def owners(asked: pa.Table, held: pa.Table, within: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +96,9 @@ def owners(asked: pa.Table, held: pa.Table, within: list[str]) -> tuple[np.ndarr
 def copies(v: Vectors, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by owner, kind, cell, vector and id; true where a row has another vector than the one before."""
     odd = np.random.default_rng(1).integers(0, 2**63, v.x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mark = np.ascontiguousarray(v.x).view(np.uint64) @ odd
+    mark, bits = np.zeros(len(v.x), np.uint64), np.uint32 if v.x.itemsize == 4 else np.uint64
+    for a in range(0, len(v.x), PAIRS):
+        mark[a : a + PAIRS] = v.x[a : a + PAIRS].view(bits).astype(np.uint64) @ odd
     order = np.lexsort((v.id, mark, cell, v.like, v.owner))
     new = np.ones(len(order), bool)
     new[1:] = np.any([key[order[1:]] != key[order[:-1]] for key in (v.owner, v.like, cell, mark)], axis=0)

@@ -27,12 +27,12 @@ from parlance.sources.work import ship_package, stored
 #: Vectors that centroids are fitted on and questions that are answered exactly, at most about so many; cells; rounds of the fit.
 SAMPLE, ASKED, MOST_CELLS, ROUNDS = 20_000, 256, 4096, 10
 #: Components of a block of points; blocks of points, or as many questions, that share a task at most; tasks that the work is cut into at least.
-BLOCK, TOGETHER, TASKS = 2**16, 128, 64
+BLOCK, TOGETHER, TASKS = 2**16, 128, 25
 
 
 @dataclass
 class Index:
-    """Stored points with their cells: ``id, vector`` (unit length), the columns of ``within``, ``cell``."""
+    """Stored points with their cells: ``id, vector``, the columns of ``within``, ``cell``."""
 
     points: DataFrame
     centroids: np.ndarray
@@ -40,15 +40,13 @@ class Index:
     probes: int = 1
 
 
-def unit(vectors: DataFrame, key: str, within: list[str]) -> DataFrame:
-    """``key``, the columns of ``within``, and the vector divided by its length.
+def directed(vectors: DataFrame, key: str, within: list[str]) -> DataFrame:
+    """``key``, the columns of ``within``, and the vector, as it is.
 
     Vectors that are null, empty, or without a finite length above 0 have no direction and are left out.
     """
-    cells = F.transform("vector", lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select(F.col(key), *within, cells.alias("vector"), length.alias("length")).filter("length > 0 AND length < double('Infinity')")
-    return rows.withColumn("vector", F.transform("vector", lambda x: x / F.col("length"))).drop("length")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return vectors.select(F.col(key), *within, "vector", length.alias("length")).filter("length > 0 AND length < double('Infinity')").drop("length")
 
 
 def some(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
@@ -62,6 +60,12 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else np.empty((0, 0))
 
 
+def unit(column: pa.Array, rows: int) -> np.ndarray:
+    """The same, each vector divided by its length."""
+    x = matrix(column, rows)
+    return x / np.linalg.norm(x, axis=1)[:, None] if rows else x
+
+
 def fit_centroids(points: np.ndarray, cells: int) -> np.ndarray:
     """Spherical k-means; the first centroids are points at equal distances in the sample's order, empty cells keep theirs."""
     centroids = points[np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int)] if len(points) else points
@@ -81,10 +85,10 @@ def build(vectors: DataFrame, within: list[str] | None = None, cells: int | None
     """
     ship_package(vectors.sparkSession)
     within = within or []
-    rows = stored(unit(vectors, "id", within), "units")
+    rows = directed(vectors, "id", within)
     n = rows.count()
     table = some(rows, "id", n, sample).sort(F.xxhash64("id")).select("vector").toArrow()
-    centroids = fit_centroids(matrix(table.column("vector").combine_chunks(), table.num_rows), cells or max(1, min(MOST_CELLS, round(n**0.5))))
+    centroids = fit_centroids(unit(table.column("vector").combine_chunks(), table.num_rows), cells or max(1, min(MOST_CELLS, round(n**0.5))))
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +127,11 @@ def tune(index: Index, questions: DataFrame, k: int, recall: float, asked: int =
     points answers the sample exactly; a neighbour is found with p probes if its cell is among the
     p nearest of the question.
     """
-    units = stored(unit(questions, "id", index.within), "questions")
-    chosen = some(units, "id", units.count(), asked).dropDuplicates(["id"]).limit(4 * asked).toArrow()
+    rows = directed(questions, "id", index.within)
+    chosen = some(rows, "id", rows.count(), asked).dropDuplicates(["id"]).limit(4 * asked).toArrow()
     if not chosen.num_rows:
         return Index(index.points, index.centroids, index.within, len(index.centroids) or 1)
-    q = matrix(chosen.column("vector").combine_chunks(), chosen.num_rows)
+    q = unit(chosen.column("vector").combine_chunks(), chosen.num_rows)
     owner = list(zip(*(chosen.column(c).to_pylist() for c in index.within), strict=True)) if index.within else [()] * len(q)
     shared = index.points.sparkSession.sparkContext.broadcast((q, owner))
     within = index.within
@@ -138,7 +142,7 @@ def tune(index: Index, questions: DataFrame, k: int, recall: float, asked: int =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = np.round(q @ matrix(batch["vector"], batch.num_rows).T, 5)
+            scores = np.round(q @ unit(batch["vector"], batch.num_rows).T, 5)
             if within:
                 names = {o: i for i, o in enumerate(dict.fromkeys(owner))}
                 own = np.array([names.get(o, -1) for o in zip(*(batch[c].to_pylist() for c in within), strict=True)])
@@ -176,14 +180,14 @@ def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
     rounded to five places; ties go to the smaller id.  Questions whose cells hold fewer than
     ``k`` points ask all points that they may find instead.
     """
-    units = unit(questions, "id", index.within)
-    found = stored(probed(index, units, k), "hits")
+    asking = directed(questions, "id", index.within)
+    found = stored(probed(index, asking, k), "hits")
     full = found.filter(F.col("rank") == k).select("q")
-    few = stored(units.select("id").join(full, F.col("id") == F.col("q"), "left_anti").distinct(), "short")
+    few = stored(asking.select("id").join(full, F.col("id") == F.col("q"), "left_anti").distinct(), "short")
     if few.isEmpty():
         return found
     flat = Index(index.points.withColumn("cell", F.lit(0)), index.centroids[:1], index.within)
-    rest = stored(probed(flat, units.join(few, "id", "left_semi"), k), "rest")
+    rest = stored(probed(flat, asking.join(few, "id", "left_semi"), k), "rest")
     return found.join(few, found["q"] == few["id"], "left_anti").unionByName(rest)
 
 
@@ -234,7 +238,7 @@ def probed(index: Index, questions: DataFrame, k: int) -> DataFrame:
             own: F.pmod(at, F.coalesce(f"{own}_parts", one)),
             other: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_parts", one) - 1)),
         }).drop("p_parts", "q_parts")
-        return df.repartition(min(2 * tasks, 2000), "task", "p", "q")
+        return df.repartition(min(8 * tasks, 2000), "task", "p", "q")
 
     blocks = blocked(points, [*within, "cell"], width, "points")
     held = dealt(blocks, "p", F.col("cell") + F.col("slot"), "q")

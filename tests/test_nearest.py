@@ -6,6 +6,7 @@ import pytest
 from harness import connect, difference
 from parlance.operators import vectors
 from parlance.plans import ORACLES, QUERIES
+from parlance.sources import work
 
 
 @pytest.fixture
@@ -43,3 +44,44 @@ def test_pairs_are_never_rows(spark, odd_dir):
     found = QUERIES["knn_join_all"](spark, odd_dir)
     plan = found._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("within", [[], ["owner"]])
+def test_probes_are_not_written(spark, monkeypatch, within):
+    """Working tables hold hits and sizes, never a row for each question and probed cell."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=16).tolist(), k % 3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, owner int").cache()
+    index = vectors.build(df, within, cells=60)
+    written = []
+    monkeypatch.setattr(vectors, "stored", lambda d, name: (lambda back: (written.append((name, back.count())), back)[1])(work.stored(d, name)))
+    for probes in (3, 30):
+        index.probes = probes
+        assert vectors.search(index, df, 4).count() == 4 * 3000
+    assert max(n for _, n in written) <= 4 * 3000
+
+
+def test_owner_hits_are_probed_and_exact_when_all_are(spark, monkeypatch):
+    """Owners of one to hundreds of points, in parts of 64: all probes give the exact result of each owner."""
+    monkeypatch.setattr(vectors, "BLOCK", 256)
+    monkeypatch.setattr(vectors, "TOGETHER", 2)
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 5, 40, 300, 500]
+    rows, k = [], 0
+    for owner, n in enumerate(sizes):
+        for _ in range(n):
+            rows.append((k, rng.normal(size=8).tolist(), owner))
+            k += 1
+    df = spark.createDataFrame(rows, "id long, vector array<double>, owner int")
+    index = vectors.build(df, ["owner"], cells=20)
+    index.probes = 20
+    got = sorted((r.q, r["rank"], r.id, r.score) for r in vectors.search(index, df, 3).collect())
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    owner = np.array([r[2] for r in rows])
+    want = []
+    for q in range(k):
+        same = np.flatnonzero(owner == owner[q])
+        s = np.round(x[same] @ x[q], 5) + 0.0
+        want += [(q, n + 1, int(same[i]), float(s[i])) for n, i in enumerate(np.lexsort((same, -s))[:3])]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-5 for g, w in zip(got, want))
