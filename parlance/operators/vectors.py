@@ -49,9 +49,9 @@ def directed(vectors: DataFrame, key: str, within: list[str]) -> DataFrame:
     return vectors.select(F.col(key), *within, "vector", length.alias("length")).filter("length > 0 AND length < double('Infinity')").drop("length")
 
 
-def some(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
-    """About ``rows`` of ``n`` rows, by a hash of the key: the same ones in every run."""
-    return df.filter(F.xxhash64(key) / F.lit(2.0**64) + 0.5 <= rows / max(n, 1))
+def some(df: DataFrame, key: str, n: int, rows: int, use: str) -> DataFrame:
+    """About ``rows`` of ``n`` rows, by a hash of the key and the use: the same ones in every run, others for each use."""
+    return df.filter(F.xxhash64(key, F.lit(use)) / F.lit(2.0**64) + 0.5 <= rows / max(n, 1))
 
 
 def matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def build(vectors: DataFrame, within: list[str] | None = None, cells: int | None
     within = within or []
     rows = directed(vectors, "id", within)
     n = rows.count()
-    table = some(rows, "id", n, sample).sort(F.xxhash64("id")).select("vector").toArrow()
+    table = some(rows, "id", n, sample, "fit").sort(F.xxhash64("id")).select("vector").toArrow()
     centroids = fit_centroids(unit(table.column("vector").combine_chunks(), table.num_rows), cells or max(1, min(MOST_CELLS, round(n**0.5))))
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
@@ -125,10 +125,11 @@ def tune(index: Index, questions: DataFrame, k: int, recall: float, asked: int =
 
     ``questions`` has ``id, vector`` and the columns of ``within``.  One pass over the
     points answers the sample exactly; a neighbour is found with p probes if its cell is among the
-    p nearest of the question.
+    p nearest of the question.  It is another sample than the one that centroids are fitted on, whose
+    points lie nearer to their centroids than others.
     """
     rows = directed(questions, "id", index.within)
-    chosen = some(rows, "id", rows.count(), asked).dropDuplicates(["id"]).limit(4 * asked).toArrow()
+    chosen = some(rows, "id", rows.count(), asked, "ask").dropDuplicates(["id"]).limit(4 * asked).toArrow()
     if not chosen.num_rows:
         return Index(index.points, index.centroids, index.within, len(index.centroids) or 1)
     q = unit(chosen.column("vector").combine_chunks(), chosen.num_rows)

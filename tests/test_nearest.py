@@ -85,3 +85,10 @@ def test_owner_hits_are_probed_and_exact_when_all_are(spark, monkeypatch):
         s = np.round(x[same] @ x[q], 5) + 0.0
         want += [(q, n + 1, int(same[i]), float(s[i])) for n, i in enumerate(np.lexsort((same, -s))[:3])]
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-5 for g, w in zip(got, want))
+
+
+def test_asked_points_are_not_those_of_the_fit(spark):
+    """Probes are measured on other points than those that centroids lie near to: of samples of a tenth about a hundredth is shared."""
+    df = spark.range(20_000)
+    fit, ask = (vectors.some(df, "id", 20_000, 2000, use) for use in ("fit", "ask"))
+    assert 1700 < fit.count() < 2300 and 1700 < ask.count() < 2300 and fit.join(ask, "id").count() < 400
